@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,3 +159,14 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = mix(h * U64(0x9FB21C651E98DF25) + words[k : k + m])
     return h
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read back: lineage is cut, columns can be pruned."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
