@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's chance of being offensive grows with the evidence
-of its words; a document's is the noisy-or of its sentences and a leak for label noise. The word
-weights are learned from document labels alone, and then point at the offending sentences.
+of its features (words and their beginnings, so that inflected forms count together); a document's
+is the noisy-or of its sentences and a leak for label noise. The weights are learned from document
+labels alone, and then point at the offending sentences.
 """
 
 from __future__ import annotations
@@ -30,13 +31,18 @@ class Model:
     leak: float
 
 
+def features(word: str) -> list[str]:
+    """The word, and its beginnings of 4 to 7 letters, marked by a star."""
+    return [word, *[word[:n] + "*" for n in range(4, min(8, len(word) + 1))]]
+
+
 def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     """(start, end, distinct lower-case words) of each sentence."""
     return [(m.start(), m.end(), set(WORD.findall(m[0].lower()))) for m in SENTENCE.finditer(text or "")]
 
 
-def select_words(bags: list[list[frozenset[str]]], labels: np.ndarray, min_support: int, min_ratio: float) -> list[str]:
-    """Words that stand in at least min_support distinct sentences of toxic documents and are min_ratio times likelier there.
+def select_words(bags: list[list[frozenset[str]]], labels: np.ndarray, evidence: float) -> list[str]:
+    """Features likelier in toxic documents' sentences than chance: their log-likelihood ratio reaches `evidence`.
 
     Copies of a sentence count once, so that a document copied many times lends no support.
     """
@@ -53,16 +59,22 @@ def select_words(bags: list[list[frozenset[str]]], labels: np.ndarray, min_suppo
             c = count.setdefault(w, [0, 0])
             c[0] += clean > 0
             c[1] += toxic > 0
-    scale = (totals[1] + 1) / (totals[0] + 1)
-    return sorted(w for w, (clean, toxic) in count.items() if toxic >= min_support and toxic >= min_ratio * scale * (clean + 0.5))
+    share = totals[1] / (totals[0] + totals[1])
+
+    def ratio(clean: int, toxic: int) -> float:
+        n = clean + toxic
+        return (toxic * np.log(toxic / (n * share)) if toxic > n * share else 0.0) + (clean * np.log(clean / (n * (1 - share))) if clean else 0.0)
+
+    least = evidence / -np.log(share)
+    return sorted(w for w, (clean, toxic) in count.items() if toxic >= least and ratio(clean, toxic) >= evidence)
 
 
-def fit(texts: list[str], labels: np.ndarray, min_support: int = 8, min_ratio: float = 4.0, rounds: int = 400, l2: float = 1e-3) -> Model:
+def fit(texts: list[str], labels: np.ndarray, evidence: float = 10.0, rounds: int = 400, l2: float = 1e-3) -> Model:
     """Maximum likelihood of the noisy-or by projected Adam; weights stay >= 0."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, float(labels.mean()) if len(labels) else 0.0)
-    bags = [list({frozenset(w) for _, _, w in sentences(t) if w}) for t in texts]
-    words = select_words(bags, labels, min_support, min_ratio)
+    bags = [list({frozenset(f for x in w for f in features(x)) for _, _, w in sentences(t) if w}) for t in texts]
+    words = select_words(bags, labels, evidence)
     index = {w: i for i, w in enumerate(words)}
     doc, row, col = [], [], []
     for d, bag in enumerate(bags):
@@ -92,14 +104,30 @@ def fit(texts: list[str], labels: np.ndarray, min_support: int = 8, min_ratio: f
     return Model({t: float(x) for t, x in zip(words, w, strict=True) if x > 0}, leak)
 
 
-def chances(text: str | None, model: Model) -> list[tuple[int, int, float]]:
+class Evidence(dict):
+    """word -> its features that have a weight, looked up once for each word; bounded."""
+
+    def __init__(self, model: Model, most: int = 400_000):
+        super().__init__()
+        self.weights, self.most = model.weights, most
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = tuple([f for f in features(word) if f in self.weights])
+        return found
+
+
+def chances(text: str | None, evidence: Evidence) -> list[tuple[int, int, float]]:
     """(start, end, chance) of each sentence that holds evidence."""
-    get = model.weights.get
+    if not text or not any([evidence[w] for w in set(WORD.findall(text.lower()))]):
+        return []
     out = []
     for a, b, words in sentences(text):
-        z = sum([x for w in words if (x := get(w))])
-        if z:
-            out.append((a, b, 1 / (1 + np.exp(-(FLOOR + z)))))
+        hit = {f for w in words for f in evidence[w]}
+        if hit:
+            z = FLOOR + sum([evidence.weights[f] for f in sorted(hit)])
+            out.append((a, b, 1 / (1 + np.exp(-z))))
     return out
 
 
@@ -113,7 +141,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_chars:
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / counts.get(0, 1))))
     rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < rate * (1 << 20))
-    taken = docs.where(F.length("text") <= max_chars).join(rows, "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "text").toArrow()
+    taken = docs.where(F.length("text") <= max_chars).join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # at most about 2 * per_class ids
+    taken = taken.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(taken["text"].to_pylist(), taken["toxic"].to_numpy())
 
 
@@ -121,14 +150,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, offending (array of start, end, chance) of every row; null and empty texts get the leak alone."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    any_word = re.compile("|".join(sorted(map(re.escape, model.weights), key=len, reverse=True)) or r"(?!)") if len(model.weights) <= 2000 else None
 
     def run(batches):
         model = shared.value
+        evidence = Evidence(model)
         for b in chunks(batches, "text"):
             scores, spans = [], []
             for text in b.column("text").to_pylist():
-                found = chances(text, model) if text and (any_word is None or any_word.search(text.lower())) else []
+                found = chances(text, evidence)
                 clean = 1 - model.leak
                 for _, _, p in found:
                     clean *= 1 - p
