@@ -66,10 +66,15 @@ def select_words(bags: list[list[frozenset[str]]], labels: np.ndarray, evidence:
         return (toxic * np.log(toxic / (n * share)) if toxic > n * share else 0.0) + (clean * np.log(clean / (n * (1 - share))) if clean else 0.0)
 
     least = evidence / -np.log(share)
-    return sorted(w for w, (clean, toxic) in count.items() if toxic >= least and ratio(clean, toxic) >= evidence)
+    best: dict[tuple[str, int, int], str] = {}
+    for w, (clean, toxic) in count.items():
+        if toxic >= least and ratio(clean, toxic) >= evidence:
+            key = (w[:4], clean, toxic)  # beginnings that stand in the same sentences say the same: the longest stays
+            best[key] = max(w, best.get(key, ""), key=lambda x: (len(x), x))
+    return sorted(best.values())
 
 
-def fit(texts: list[str], labels: np.ndarray, evidence: float = 10.0, rounds: int = 400, l2: float = 1e-3) -> Model:
+def fit(texts: list[str], labels: np.ndarray, evidence: float = 8.0, rounds: int = 400, l2: float = 1e-3) -> Model:
     """Maximum likelihood of the noisy-or by projected Adam; weights stay >= 0."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, float(labels.mean()) if len(labels) else 0.0)
