@@ -25,6 +25,8 @@ NODES_TO_BROADCAST = 4_000_000
 STAR_ROUNDS = 2
 
 FINEST = 20  # ranks below 2^-FINEST form one strip, then strips double up to rank 1, then each is 1 wide
+SLICE = 1 << 17  # elements thrown at once: bounds a worker's memory
+CHUNK = 1 << 20
 EMPTY = np.uint64(2**64 - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,12 +51,17 @@ def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
     return np.searchsorted(table, u, side="right")
 
 
-def _throw(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, unit: np.ndarray, strip: np.ndarray, width: np.ndarray | float, mean: float, out: np.ndarray) -> None:
+def _throw(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, unit: np.ndarray, strip: np.ndarray, mean: float, out: np.ndarray) -> None:
     """Throw the darts of each (element, unit of weight, strip) and keep the least key on each coordinate.
 
     A key orders darts by rank: strip number, then place in the strip.
     """
     k = out.shape[1]
+    if len(element) > SLICE:
+        for at in range(0, len(element), SLICE):
+            part = slice(at, at + SLICE)
+            _throw(element[part], owner[part], weight[part], unit[part], strip[part], mean, out)
+        return
     seed = mix(element ^ mix(strip * GOLD + unit + np.uint64(1)))
     n = _poisson(_uniform(seed), mean)
     hit = np.flatnonzero(n)
@@ -99,17 +106,17 @@ def signatures(element: np.ndarray, offset: np.ndarray, k: int, weight: np.ndarr
         for s, (a, b) in enumerate(_strips()):
             go = (a < top) & (b > bottom)
             if go.any():
-                _throw(e[go], o[go], w[go], unit[go], np.full(int(go.sum()), s, np.uint64), b - a, b - a, out)
+                _throw(e[go], o[go], w[go], unit[go], np.full(int(go.sum()), s, np.uint64), b - a, out)
         first = np.maximum(np.floor(bottom), 1)
         more = np.maximum(np.ceil(top) - first, 0).astype(np.int64)
         if more.any():
-            step = max(1, (4 << 20) // max(1, int(more.max())))
+            step = max(1, SLICE // max(1, int(more.max())))
             for at in range(0, len(e), step):
                 part = slice(at, at + step)
                 each = np.repeat(np.arange(at, at + len(more[part])), more[part])
                 nth = np.arange(len(each)) - np.repeat(np.cumsum(more[part]) - more[part], more[part])
                 strip = (FINEST + 1 + first[each].astype(np.int64) - 1 + nth).astype(np.uint64)
-                _throw(e[each], o[each], w[each], unit[each], strip, 1.0, 1.0, out)
+                _throw(e[each], o[each], w[each], unit[each], strip, 1.0, out)
         todo = todo[(out[todo] == EMPTY).any(axis=1)]
         low = high
         darts *= 2
@@ -143,7 +150,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> DataF
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", CHUNK):
             element, offset = shingle_sets(b.column("text"), size)
             keys = band_keys(signatures(element, offset, bands * rows), bands, rows).view(np.int64)
             n = np.diff(offset)
