@@ -22,7 +22,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 NODES_TO_BROADCAST = 4_000_000
-STAR_ROUNDS = 2
 
 FINEST = 20  # ranks below 2^-FINEST form one strip, then strips double up to rank 1, then each is 1 wide
 SLICE = 1 << 17  # elements thrown at once: bounds a worker's memory
@@ -185,6 +184,96 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sizes.join(a.drop("na"), "a").join(b.drop("nb"), "b").mapInArrow(run, "a long, b long")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(node, size, held): distinct shingles of each set, and those of them that another of the sets has too."""
+    def run(batches):
+        for batch in batches:
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                x = np.frombuffer(blob, "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x), pa.array(np.full(len(x), len(x), np.int32))], ["node", "x", "size"])
+
+    each = sets.select("node", "shingles").mapInArrow(run, "node long, x int, size int")
+    own = each.groupBy("x").agg(F.count("*").alias("m"), F.min("node").alias("node"), F.min("size").alias("size")).where("m = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    size = sets.select("node", F.expr("length(shingles) div 4").alias("size"))
+    return size.join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("held"))
+
+
+def in_mixed(member: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of buckets (key) of at least so many members that hold more than one component."""
+    mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where((F.col("x") != F.col("y")) & (F.col("m") >= least)).select("key")
+    return checkpoint(member.join(mixed, "key"))
+
+
+def star_pairs(member: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs of each bucket's leader (key, lead, own: its component) with the members of other components."""
+    pairs = member.join(leaders, "key").where(F.col("comp") != F.col("own"))
+    return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """(len(a) x len(b)) sizes of the intersections of sorted sets, by products of 0/1 matrices over the values that both sides have."""
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, flat)
+        hit = shared[np.minimum(at, len(shared) - 1)] == flat
+        return row[hit], at[hit]
+
+    if not len(shared):
+        return out
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for at in range(0, len(shared), columns):
+        x, y = np.zeros((len(a), columns), np.float32), np.zeros((len(b), columns), np.float32)
+        i, j = (ca >= at) & (ca < at + columns), (cb >= at) & (cb < at + columns)
+        x[ra[i], ca[i] - at] = 1
+        y[rb[j], cb[j] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def leftover_links(member: DataFrame, sets: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+    """Links (a, b) between components that share a bucket, found without listing pairs.
+
+    A shingle that no other set of these buckets has can't be shared, so sets that lose more than a
+    fifth of their shingles that way have no partner and go first. Each bucket's main component is
+    its hub; a node outside it is compared with the hub's nodes and with the others outside it.
+    Both sides of a hub are cut in blocks of nodes, two blocks meet in a task, and only links leave it.
+    """
+    sizes = checkpoint(shared_sizes(sets.join(member.select("node").distinct(), "node", "left_semi")))
+    able = sizes.where(F.col("held") >= (similarity - 1e-9) * F.col("size")).select("node")
+    able = in_mixed(member.join(able, "node"))
+    main = checkpoint(able.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", "m").alias("hub")))
+    able = able.join(main, "key")
+    odd = checkpoint(able.where(F.col("comp") != F.col("hub")).select("hub", "node", "comp").distinct())
+    hubs = odd.select("hub").distinct()
+    inner = able.select(F.col("comp").alias("hub"), "node", "comp").distinct().join(hubs, "hub", "left_semi")
+    every = checkpoint(inner.unionByName(odd).distinct())
+    blocks = lambda df, name: df.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    cut = checkpoint(blocks(odd, "nu").join(blocks(every, "nv"), "hub"))
+    blobs = sets.select("node", "shingles")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    repeat = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = odd.join(cut, "hub").join(blobs, "node").select("hub", "node", "comp", "shingles", deal("nu").alias("ub"), repeat("nv").alias("vb"))
+    right = every.join(cut, "hub").join(blobs, "node").select("hub", "node", "comp", "shingles", deal("nv").alias("vb"), repeat("nu").alias("ub"))
+    right = right.select(F.col("hub").alias("h"), F.col("ub").alias("i"), F.col("vb").alias("j"), F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("shingles").alias("sv"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        u = v = np.zeros(0, np.int64)
+        if len(a) and len(b):
+            x, y = ([np.frombuffer(z.as_py(), "<u4") for z in t[c]] for t, c in ((a, "shingles"), (b, "sv")))
+            both = common(x, y)
+            union = np.array([len(z) for z in x])[:, None] + np.array([len(z) for z in y])[None, :] - both
+            linked = (both >= similarity * union - 1e-6) & (a["comp"].to_numpy()[:, None] != b["cv"].to_numpy()[None, :])
+            i, j = np.nonzero(linked)
+            u, v = a["node"].to_numpy()[i], b["v"].to_numpy()[j]
+        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return left.groupBy("hub", "ub", "vb").cogroup(right.groupBy("h", "i", "j")).applyInArrow(meet, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """doc_id, t (xxhash64 of the text), class_id of every row of docs; class_id is the smallest doc_id of the class.
 
@@ -193,42 +282,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     more. Rows without a word (null or blank text) are a class of their own each, named by their
     doc_id; a class in which no row has an id is named null. Repeated rows fall in one class.
 
-    In each star round a leader of every band bucket is compared with the bucket's other members;
-    last, members still outside the bucket's main component are compared with all members of other
-    components, so that no pair which shares a bucket goes unlinked.
+    No bucket's pairs are listed. First every bucket's leader, the member with the fullest buckets
+    (of a text's variants that is mostly the original), is compared with the others; then the leader
+    of those that it didn't reach; last, pairs of what are still different components of a bucket,
+    as far as their unshared shingles leave them a chance. So every pair that shares a bucket is
+    either compared, linked already, or shown to be too different.
     """
     s = stored(sketch(docs, bands, rows, size))
     nodes = checkpoint(s.where(F.col("n1").isNotNull()).groupBy("n1", "n2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     bucket = s.select("rid", "bands").join(nodes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-    shared = checkpoint(bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    shared = checkpoint(bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     member = checkpoint(bucket.join(shared, "key"))
-    linked = checkpoint(member.select("node").distinct())
-    small = broadcast_if(linked.withColumnRenamed("node", "rid"), NODES_TO_BROADCAST)
+    fullness = checkpoint(member.groupBy("node").agg((F.sum("m") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))).alias("rank")))
+    member = checkpoint(member.join(fullness, "node").select("key", "node", "rank"))
+    small = broadcast_if(fullness.select(F.col("node").alias("rid")), NODES_TO_BROADCAST)
     sets = stored(s.select("rid", "n", "shingles").join(small, "rid").withColumnRenamed("rid", "node"))
-    labels = checkpoint(linked.select("node", F.col("node").alias("comp")))
-    tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = checkpoint(member.join(labels, "node"))
-        if turn:
-            mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key")
-            now = checkpoint(now.join(mixed, "key"))
-            if now.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            rank = F.col("node") if not turn else F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4)))
-            lead = checkpoint(now.groupBy("key").agg(F.min_by("node", rank).alias("lead"), F.min_by("comp", rank).alias("own")))
-            pairs = now.join(lead, "key").where((F.col("comp") != F.col("own")) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        else:
-            main = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-            now = checkpoint(now.join(main, "key"))
-            odd = now.where(F.col("comp") != F.col("main")).select("key", F.col("node").alias("u"), F.col("comp").alias("cu"))
-            pairs = now.join(odd, "key").where((F.col("comp") != F.col("cu")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("u")))).select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
+    labels = checkpoint(fullness.select("node", F.col("node").alias("comp")))
+    for turn in range(2):
+        now = in_mixed(member.join(labels, "node"), 2 + turn)
+        lead = now.groupBy("key").agg(F.max_by("node", "rank").alias("lead"), F.max_by("comp", "rank").alias("own"))
+        if turn:  # the leader of those that the first one didn't reach
+            top = checkpoint(lead.select("key", F.col("own").alias("top")))
+            lead = now.join(top, "key").where(F.col("comp") != F.col("top")).groupBy("key").agg(F.max_by("node", "rank").alias("lead"), F.max_by("comp", "rank").alias("own"))
+        pairs = checkpoint(star_pairs(now, checkpoint(lead)))
         labels = merge(labels, checkpoint(verify(pairs, sets, similarity)))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    now = in_mixed(member.join(labels, "node"), 3)
+    labels = merge(labels, checkpoint(leftover_links(now, sets, similarity)))
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = checkpoint(named)
     lowest = checkpoint(named.groupBy("comp").agg(F.min("first").alias("class_id")))
