@@ -9,6 +9,8 @@ labels alone, and then point at the offending sentences.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,36 +43,49 @@ def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     return [(m.start(), m.end(), set(WORD.findall(m[0].lower()))) for m in SENTENCE.finditer(text or "")]
 
 
-def select_words(bags: list[list[frozenset[str]]], labels: np.ndarray, evidence: float) -> list[str]:
+def distinct_sentences(texts: Iterable[str]) -> Iterator[set[str]]:
+    """Feature sets of the texts' sentences, equal word sets once: a document copied many times lends no more support."""
+    seen: set[int] = set()
+    for t in texts:
+        for _, _, words in sentences(t):
+            if words and (key := hash(frozenset(words))) not in seen:
+                seen.add(key)
+                yield {f for w in words for f in features(w)}
+
+
+def select_features(clean: list[str], toxic: list[str], evidence: float) -> list[str]:
     """Features likelier in toxic documents' sentences than chance: their log-likelihood ratio reaches `evidence`.
 
-    Copies of a sentence count once, so that a document copied many times lends no support.
+    Toxic texts are counted first, into hash buckets and then exactly where a bucket reaches the
+    least support; clean ones only for what is left, so that memory doesn't follow the vocabulary.
     """
-    seen: dict[frozenset[str], list[int]] = {}
-    for bag, y in zip(bags, labels, strict=True):
-        for s in bag:
-            seen.setdefault(s, [0, 0])[int(y)] += 1
-    count: dict[str, list[int]] = {}
-    totals = [0, 0]
-    for s, (clean, toxic) in seen.items():
-        totals[0] += clean > 0
-        totals[1] += toxic > 0
-        for w in s:
-            c = count.setdefault(w, [0, 0])
-            c[0] += clean > 0
-            c[1] += toxic > 0
-    share = totals[1] / (totals[0] + totals[1])
-
-    def ratio(clean: int, toxic: int) -> float:
-        n = clean + toxic
-        return (toxic * np.log(toxic / (n * share)) if toxic > n * share else 0.0) + (clean * np.log(clean / (n * (1 - share))) if clean else 0.0)
-
-    least = evidence / -np.log(share)
+    least, mask = 3, (1 << 22) - 1
+    bucket = np.zeros(mask + 1, np.uint16)
+    for f in distinct_sentences(toxic):
+        at = np.array([hash(x) & mask for x in f])
+        bucket[at] += bucket[at] < least
+    hits: Counter[str] = Counter()
+    n_toxic = 0
+    for f in distinct_sentences(toxic):
+        n_toxic += 1
+        hits.update(x for x in f if bucket[hash(x) & mask] >= least)
+    hits = Counter({f: n for f, n in hits.items() if n >= least})
+    misses: Counter[str] = Counter()
+    n_clean = 0
+    for f in distinct_sentences(clean):
+        n_clean += 1
+        misses.update(f & hits.keys())
+    share = n_toxic / max(1, n_clean + n_toxic)
+
+    def ratio(no: int, yes: int) -> float:
+        n = no + yes
+        return (yes * np.log(yes / (n * share)) if yes > n * share else 0.0) + (no * np.log(no / (n * (1 - share))) if no else 0.0)
+
     best: dict[tuple[str, int, int], str] = {}
-    for w, (clean, toxic) in count.items():
-        if toxic >= least and ratio(clean, toxic) >= evidence:
-            key = (w[:4], clean, toxic)  # beginnings that stand in the same sentences say the same: the longest stays
-            best[key] = max(w, best.get(key, ""), key=lambda x: (len(x), x))
+    for f, yes in hits.items():
+        if ratio(misses[f], yes) >= evidence and yes > (yes + misses[f]) * share:
+            key = (f[:4], misses[f], yes)  # beginnings that stand in the same sentences say the same: the longest stays
+            best[key] = max(f, best.get(key, ""), key=lambda x: (len(x), x))
     return sorted(best.values())
 
 
@@ -78,13 +93,12 @@ def fit(texts: list[str], labels: np.ndarray, evidence: float = 8.0, rounds: int
     """Maximum likelihood of the noisy-or by projected Adam; weights stay >= 0."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, float(labels.mean()) if len(labels) else 0.0)
-    bags = [list({frozenset(f for x in w for f in features(x)) for _, _, w in sentences(t) if w}) for t in texts]
-    words = select_words(bags, labels, evidence)
+    words = select_features([t for t, y in zip(texts, labels, strict=True) if not y], [t for t, y in zip(texts, labels, strict=True) if y], evidence)
     index = {w: i for i, w in enumerate(words)}
     doc, row, col = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hit = [index[w] for w in s if w in index]
+    for d, text in enumerate(texts):
+        for s in {frozenset(w) for _, _, w in sentences(text)}:
+            hit = sorted({index[f] for w in s for f in features(w) if f in index})
             if hit:
                 row += [len(doc)] * len(hit)
                 col += hit
