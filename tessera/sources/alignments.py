@@ -105,7 +105,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
 def combine_fastq(spark: SparkSession, folder: str) -> DataFrame:
     """Records (name, seq, qual) of all .fastq files below folder; every record is four lines, a file is read whole."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fastq").option("wholetext", "true").text(folder)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fastq").text(folder, wholetext=True)
     lines = F.split(F.rtrim("value"), "\n")
     starts = F.sequence(F.lit(1), F.size(lines), F.lit(4))
     rec = text.select(F.explode(F.transform(starts, lambda i: F.slice(lines, i, 4))).alias("r")).where(F.size("r") == 4)
