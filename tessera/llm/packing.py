@@ -139,28 +139,43 @@ def best_fit(histogram: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...],
     return done + [(g[0], g[1]) for x in groups.values() for g in x]
 
 
-def plan(histogram: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use up the histogram (index: length)."""
-    left = histogram.astype(np.int64).copy()
+def use_patterns(rows: np.ndarray, fitted: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with their repeats rounded down, as far as `left` (changed here) has their lengths."""
     out = []
-    if left[max_len]:
-        out.append(((max_len,), int(left[max_len])))
-        left[max_len] = 0
-    present = np.flatnonzero(left)
+    repeats = np.floor(fitted + 1e-9).astype(np.int64)
+    for i in np.argsort(-fitted, kind="stable"):
+        if repeats[i] < 1:
+            break
+        lengths = [int(v) for v in rows[i] if v]
+        n = min(int(repeats[i]), *(int(left[v]) // lengths.count(v) for v in lengths))
+        if n > 0:
+            for v in lengths:
+                left[v] -= n
+            out.append((tuple(lengths), n))
+    return out
+
+
+def plan(histogram: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) that use up the histogram (index: length).
+
+    Where most documents are so short that a sequence takes many of them, few-document patterns
+    would use up the fillers that the rest needs; so the fitted counts are also tried damped, and
+    the plan of fewest sequences is taken.
+    """
+    start = histogram.astype(np.int64).copy()
+    full = [((max_len,), int(start[max_len]))] if start[max_len] else []
+    start[max_len] = 0
+    present = np.flatnonzero(start)
     rows = patterns(present, max_len) if len(present) else np.zeros((0, 3), np.int64)
-    if len(rows):
-        fitted = nnls(rows, left.astype(float))
-        repeats = np.floor(fitted + 1e-9).astype(np.int64)
-        for i in np.argsort(-fitted, kind="stable"):
-            if repeats[i] < 1:
-                break
-            lengths = [int(v) for v in rows[i] if v]
-            n = min(int(repeats[i]), *(int(left[v]) // lengths.count(v) for v in lengths))
-            if n > 0:
-                for v in lengths:
-                    left[v] -= n
-                out.append((tuple(lengths), n))
-    return out + best_fit(left, max_len)
+    fitted = nnls(rows, start.astype(float)) if len(rows) else np.zeros(0)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.0):
+        left = start.copy()
+        tried = use_patterns(rows, fitted * share, left)
+        tried += best_fit(left, max_len)
+        if best is None or sum(n for _, n in tried) < sum(n for _, n in best):
+            best = tried
+    return full + (best or [])
 
 
 def slots(plan_: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
