@@ -6,6 +6,7 @@ array is hashed word by word without making Python strings.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -34,7 +35,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches of text are bounded by bytes, since single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -62,6 +63,14 @@ def columns_first(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and serve other operators next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding about limit bytes of text each; a longer text is alone."""
     for batch in batches:
@@ -75,6 +84,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release_memory()
 
 
 def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from .common import bounded_batches, checkpoint, chunks, columns_first, held_out
 DIM = 1024
 SYMBOLS = 128
 SEED = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 #: Letters with a symbol of their own beside a-z; others share the rest by code point.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœąćęłńśźżčďěňřšťůž"
@@ -78,8 +78,8 @@ def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     used, column = np.unique(code, return_inverse=True)
     counts = np.bincount(own * len(used) + column, minlength=len(texts) * len(used)).reshape(len(texts), -1)
     out = np.zeros((len(texts), DIM), np.float32)
-    for at in range(0, len(used), 4096):
-        out += counts[:, at : at + 4096].astype(np.float32) @ ngram_vectors(used[at : at + 4096]).astype(np.float32)
+    for at in range(0, len(used), 2048):
+        out += counts[:, at : at + 2048].astype(np.float32) @ ngram_vectors(used[at : at + 2048]).astype(np.float32)
     return out, letters
 
 
@@ -103,7 +103,7 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 sums[i] += part[0]
                 letters[i] += n[0]
             continue
-        if len(batch) == 256 or size + len(t) > CHUNK:
+        if len(batch) == 64 or size + len(t) > CHUNK:
             flush()
             size = 0
         batch.append(i)
@@ -133,7 +133,7 @@ def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 1 << 20):
             sums, letters = bundles(b.column("text").to_pylist())
             whole = np.rint(unit(sums) * 4096).astype(np.int64)
             langs = np.array(b.column("lang").to_pylist(), object)
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], add: tuple[str,
 
     def run(batches):
         centred, mean = shared.value
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 1 << 20):
             sums, letters = bundles(b.column("text").to_pylist())
             cosine = unit(unit(sums) - mean) @ centred.T if len(names) else np.zeros((len(sums), 1))
             best = cosine.argmax(axis=1)

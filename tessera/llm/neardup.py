@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, mix, ngrams, stored, word_hashes
+from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, mix, ngrams, release_memory, stored, word_hashes
 from .graph import merge
 
 SHINGLE = 5
@@ -180,6 +180,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 both = np.intersect1d(x, y, assume_unique=True).size
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return sizes.join(a.drop("na"), "a").join(b.drop("nb"), "b").mapInArrow(run, "a long, b long")
 

@@ -9,6 +9,8 @@ of documents; each piece finds its place from its number among pieces of its len
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -33,13 +35,8 @@ class Encoder:
     added token, which tokenizers maps to its own id, goes through tokenizers itself.
     """
 
-    def __init__(self, json_path: str, rank_path: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(str(json_path))
-        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.fast = None
+    def __init__(self, json_path: str, rank_path: str | None, added: list[str]):
+        self.json_path, self.added, self.fast = json_path, added, None
         if rank_path:
             import base64
 
@@ -49,6 +46,13 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(str(self.json_path))
+
     def __call__(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -196,10 +200,12 @@ def slots(plan_: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 def pieces(docs: DataFrame, json_path: str, rank_path: str | None, max_len: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row; null text is empty (the end id alone)."""
     bounded_batches(docs.sparkSession)
+    with open(json_path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
 
     def run(batches):
-        encode = Encoder(json_path, rank_path)
-        for b in chunks(batches, "text"):
+        encode = Encoder(json_path, rank_path, added)
+        for b in chunks(batches, "text", 1 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 ids = np.array([*encode(text), end_id], "<u4")

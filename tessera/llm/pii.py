@@ -142,7 +142,7 @@ def detect(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 1 << 20):
             found = [find(t) for t in b.column("text").to_pylist()]
             base = [[x for x in f if x[1] < BASE] for f in found]
             counts = [pa.array([sum(x[1] == k for x in f) for f in base], pa.int64()) for k in range(BASE)]
@@ -159,7 +159,7 @@ def mask(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in docs.schema])
 
     def run(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 1 << 20):
             i = b.schema.get_field_index("text")
             texts = pa.array([redact(t, find(t)) for t in b.column(i).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if j == i else c for j, c in enumerate(b.columns)], b.schema.names)

@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         evidence = Evidence(model)
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 1 << 20):
             scores, spans = [], []
             for text in b.column("text").to_pylist():
                 found = chances(text, evidence)
