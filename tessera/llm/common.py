@@ -24,15 +24,19 @@ U64 = np.uint64
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder in spark.checkpoint.dir.
+    """df written as Parquet in the shared folder of spark.checkpoint.dir and read back.
 
-    A local folder is set only where the session names none (tests).
+    Lineage is cut, columns can be pruned, and the planner knows the table's true size (that of
+    DataFrame.checkpoint() is a product of its inputs' and outgrows all bounds in loops). A local
+    folder is set only where the session names none (tests).
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
@@ -169,14 +173,3 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = mix(h * U64(0x9FB21C651E98DF25) + words[k : k + m])
     return h
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read back: lineage is cut, columns can be pruned."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, mix, ngrams, release_memory, stored, word_hashes
+from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, mix, ngrams, release_memory, word_hashes
 from .graph import merge
 
 SHINGLE = 5
@@ -289,7 +289,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     as far as their unshared shingles leave them a chance. So every pair that shares a bucket is
     either compared, linked already, or shown to be too different.
     """
-    s = stored(sketch(docs, bands, rows, size))
+    s = checkpoint(sketch(docs, bands, rows, size))
     nodes = checkpoint(s.where(F.col("n1").isNotNull()).groupBy("n1", "n2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     bucket = s.select("rid", "bands").join(nodes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     shared = checkpoint(bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
@@ -297,7 +297,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     fullness = checkpoint(member.groupBy("node").agg((F.sum("m") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))).alias("rank")))
     member = checkpoint(member.join(fullness, "node").select("key", "node", "rank"))
     small = broadcast_if(fullness.select(F.col("node").alias("rid")), NODES_TO_BROADCAST)
-    sets = stored(s.select("rid", "n", "shingles").join(small, "rid").withColumnRenamed("rid", "node"))
+    sets = checkpoint(s.select("rid", "n", "shingles").join(small, "rid").withColumnRenamed("rid", "node"))
     labels = checkpoint(fullness.select("node", F.col("node").alias("comp")))
     for turn in range(2):
         now = in_mixed(member.join(labels, "node"), 2 + turn)
