@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,12 +60,17 @@ def clip_ends(ops: Column) -> Column:
     return F.aggregate(ops, zero, step, lambda acc: F.array(acc["left"], acc["right"]))
 
 
-def summary(cigar: Column, max_deletion: int) -> Column:
-    """struct: exon_intron, read_length, mapped (genome bases without introns), mapped_n (with), insertions, deletions, max_insertion, clips, sj_read_pos."""
-    ops = operations(cigar)
+def with_summary(df: DataFrame, cigar: str, into: str, max_deletion: int) -> DataFrame:
+    """df with a struct: exon_intron, read_length, mapped (genome bases without introns), mapped_n (with), insertions, deletions, max_insertion, clips, sj_read_pos.
+
+    The parsed operations and the exons are columns of their own in between, so that each is
+    computed once and not wherever the struct uses it.
+    """
+    out = df.withColumn("_ops", operations(F.col(cigar)))
+    out = out.withColumn("_ei", exon_introns(F.col("_ops"), max_deletion))
+    ops, ei = F.col("_ops"), F.col("_ei")
     small = F.filter(ops, lambda x: ~is_intron(x, max_deletion))
-    ei = exon_introns(ops, max_deletion)
-    return F.struct(
+    fields = F.struct(
         ei.alias("exon_intron"),
         _total(ops, "M=XSI").alias("read_length"),
         _total(small, "M=XD").alias("mapped"),
@@ -76,6 +81,7 @@ def summary(cigar: Column, max_deletion: int) -> Column:
         clip_ends(ops).alias("clips"),
         junction_read_positions(ops, max_deletion).alias("sj_read_pos"),
     )
+    return out.withColumn(into, fields).drop("_ops", "_ei")
 
 
 def junctions(start: Column, exon_intron: Column) -> Column:

@@ -42,7 +42,7 @@ def parse(alignments: DataFrame, genome: DataFrame, cfg: ScanConfig) -> DataFram
     """alignments with chr_len, the CIGAR summary s, drop_reason and 1-based end."""
     sizes = broadcast_small(genome.select(F.col("chr").alias("_c"), F.col("len").alias("chr_len")), GENOME_ROWS_TO_BROADCAST)
     rows = alignments.join(sizes, F.col("chr") == F.col("_c"), "left").drop("_c")
-    rows = rows.withColumn("s", cg.summary(F.col("cigar"), cfg.cont_del_max)).withColumn("drop_reason", drop_reason(cfg))
+    rows = cg.with_summary(rows, "cigar", "s", cfg.cont_del_max).withColumn("drop_reason", drop_reason(cfg))
     return rows.withColumn("end", (F.col("start") - 1 + F.col("s.mapped_n")).cast("int"))
 
 

@@ -20,7 +20,7 @@ def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _cigars(spark, sf_dir).withColumn("s", cigar.summary(F.col("cigar"), 50))
+    s = cigar.with_summary(_cigars(spark, sf_dir), "cigar", "s", 50)
     long = lambda c: F.col(f"s.{c}").cast("long").alias(c)
     return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cigar", long("read_length"), long("mapped"), long("mapped_n"), long("insertions"), long("deletions"), long("max_insertion"), F.array_join(F.col("s.exon_intron").cast("array<string>"), ",").alias("exon_intron"), F.array_join(F.col("s.clips").cast("array<string>"), ",").alias("clips"))
 
