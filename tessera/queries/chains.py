@@ -12,7 +12,7 @@ from . import Query, table
 _CHAIN = """
 o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS chain,
              list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey),
-c AS (SELECT chain, min(l_orderkey) AS chain_id, count(*) AS n FROM o WHERE len(chain) <= 4 GROUP BY chain)
+c AS (SELECT chain, min(l_orderkey) AS chain_id, count(*) AS n FROM o GROUP BY chain)
 """
 _PAIRS = f"""
 {_CHAIN}, p AS (
@@ -29,28 +29,28 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", F.col("x.l_partkey").alias("chain"), F.col("x.l_suppkey").alias("supp"))
 
 
-def short_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = orders(spark, sf_dir).where(F.size("chain") <= 4).groupBy("chain").agg(F.min("l_orderkey").alias("chain_id"), F.count("*").alias("n"))
+def distinct_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir).groupBy("chain").agg(F.min("l_orderkey").alias("chain_id"), F.count("*").alias("n"))
     return rows.withColumn("group_id", F.lit(0))
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains that several orders share, or of at most two parts."""
-    return short_chains(spark, sf_dir).select("chain_id", F.array_join(F.col("chain").cast("array<string>"), "_").alias("chain"), "n")
+    """Every distinct chain and its number of orders."""
+    return distinct_chains(spark, sf_dir).select("chain_id", F.array_join(F.col("chain").cast("array<string>"), "_").alias("chain"), "n")
 
 
 def subchains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ch.subchain_pairs(short_chains(spark, sf_dir)).dropDuplicates(["short_id", "long_id"])
+    pairs = ch.subchain_pairs(distinct_chains(spark, sf_dir)).dropDuplicates(["short_id", "long_id"])
     return pairs.select("short_id", "long_id", F.col("offset").cast("long").alias("offset"))
 
 
 def longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ch.longest(short_chains(spark, sf_dir)).select("chain_id", "n")
+    return ch.longest(distinct_chains(spark, sf_dir)).select("chain_id", "n")
 
 
 def wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains with their second part unknown, against chains of as many parts."""
-    full = short_chains(spark, sf_dir).where(F.size("chain") >= 3)
+    full = distinct_chains(spark, sf_dir).where(F.size("chain") >= 2)
     unknown = F.transform(F.col("chain"), lambda x, i: F.when(i != 1, x))
     probe = full.select("group_id", (-F.col("chain_id") - 1).alias("chain_id"), unknown.alias("chain"))
     both = probe.unionByName(full.select("group_id", "chain_id", "chain"))
@@ -171,7 +171,7 @@ QUERIES: dict[str, Query] = {
     "chain_subsequence_join": (subchains, f"WITH {_PAIRS} SELECT DISTINCT short_id, long_id, \"offset\" FROM sp"),
     "longest_chain_anti": (longest, f"WITH {_PAIRS} SELECT chain_id, n FROM c WHERE chain_id NOT IN (SELECT short_id FROM sp)"),
     "wildcard_chain_join": (wildcards, f"""
-WITH {_CHAIN}, f AS (SELECT * FROM c WHERE len(chain) >= 3),
+WITH {_CHAIN}, f AS (SELECT * FROM c WHERE len(chain) >= 2),
 q AS (SELECT a.chain_id AS short_id, b.chain_id AS long_id, list_filter(range(0, len(b.chain) - len(a.chain) + 1), lambda i:
         len(list_filter(range(1, len(a.chain) + 1), lambda j: j = 2 OR a.chain[j] = b.chain[i + j])) = len(a.chain)) AS pos
       FROM f a JOIN (SELECT DISTINCT chain_id, chain, unnest(chain) AS x FROM f) b ON a.chain[1] = b.x AND len(b.chain) >= len(a.chain))

@@ -46,9 +46,8 @@ def numbered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_with_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pre-groups of the R line items, merged where at most 20 days apart."""
-    rows = alignments(spark, sf_dir).where("l_returnflag = 'R' and l_quantity <= 5")
-    return iv.merge_intervals(rows, ["chr"], "s", "e", extra=20, bin_width=BIN)
+    """Groups of each supplier and flag, merged where at most 2 days apart."""
+    return iv.merge_intervals(alignments(spark, sf_dir), ["chr", "l_returnflag"], "s", "e", extra=2, bin_width=BIN)
 
 
 def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +63,15 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days shared by returned and accepted line items of a supplier."""
     rows = alignments(spark, sf_dir)
-    a = rows.where("l_returnflag = 'R' and l_quantity <= 10").select("chr", F.col("s").alias("rs"), F.col("e").alias("re"))
-    b = rows.where("l_returnflag = 'A' and l_quantity <= 10").select("chr", F.col("s").alias("as"), F.col("e").alias("ae"))
+    a = rows.where("l_returnflag = 'R'").select("chr", F.col("s").alias("rs"), F.col("e").alias("re"))
+    b = rows.where("l_returnflag = 'A'").select("chr", F.col("s").alias("as"), F.col("e").alias("ae"))
     pairs = iv.overlap_join(a, b, ["chr"], "rs", "re", "as", "ae", BIN)
     return pairs.groupBy("chr").agg(F.count("*").alias("n"), F.sum(F.least("re", "ae") - F.greatest("rs", "as")).alias("days"))
 
 
 def group_of_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of: for each return, the last group that begins at or before it (a point in a group of non-overlapping ones)."""
-    points = alignments(spark, sf_dir).where("l_returnflag = 'R'").select("chr", "l_orderkey", "l_linenumber", "s", "e")
+    """As-of: for each line item, the last group that begins at or before it (a point in a group of non-overlapping ones)."""
+    points = alignments(spark, sf_dir).select("chr", "l_orderkey", "l_linenumber", "s", "e")
     pairs = iv.overlap_join(points.withColumn("p", F.col("s")), merge_groups(spark, sf_dir), ["chr"], "s", "p", "g_start", "g_end", BIN, "contains")
     return pairs.groupBy("chr", "g_start").agg(F.count("*").alias("n"), F.max("e").alias("last_end"))
 
@@ -131,21 +130,21 @@ QUERIES: dict[str, Query] = {
     "interval_merge_groups": (merge_groups, f"WITH {_GROUPS} SELECT chr, g_start, g_end, n FROM grp"),
     "interval_numbered_groups": (numbered_groups, f"WITH {_GROUPS} SELECT chr, g_start, g_end, row_number() OVER (ORDER BY chr, g_start, g_end) AS group_id FROM grp"),
     "interval_merge_with_range": (merge_with_range, f"""
-WITH {_IV}, x AS (SELECT * FROM iv WHERE l_returnflag = 'R' AND l_quantity <= 5), fl AS (
-  SELECT chr, s, e, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w + 20 THEN 1 ELSE 0 END AS fresh FROM x
-  WINDOW w AS (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), il AS (SELECT *, sum(fresh) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM fl)
-SELECT chr, min(s) AS g_start, max(e) AS g_end, count(*) AS n FROM il GROUP BY chr, i"""),
+WITH {_IV}, fl AS (
+  SELECT chr, l_returnflag, s, e, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w + 2 THEN 1 ELSE 0 END AS fresh FROM iv
+  WINDOW w AS (PARTITION BY chr, l_returnflag ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), il AS (SELECT *, sum(fresh) OVER (PARTITION BY chr, l_returnflag ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM fl)
+SELECT chr, l_returnflag, min(s) AS g_start, max(e) AS g_end, count(*) AS n FROM il GROUP BY chr, l_returnflag, i"""),
     "interval_gap_shared_groups": (shared_groups, f"WITH {_SHARED} SELECT chr, w_start, w_end, g_start, g_end FROM sh"),
     "read_group_containment_join": (containment, f"""
 WITH {_SHARED} SELECT sh.chr, w_start, w_end, count(*) AS n FROM iv JOIN sh ON iv.chr = sh.chr AND w_start <= s AND e <= w_end GROUP BY sh.chr, w_start, w_end"""),
     "overlap_range_join": (overlap, f"""
 WITH {_IV} SELECT a.chr, count(*) AS n, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS days
 FROM iv a JOIN iv b ON a.chr = b.chr AND b.s <= a.e AND a.s <= b.e
-WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A' AND a.l_quantity <= 10 AND b.l_quantity <= 10 GROUP BY a.chr"""),
+WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A' GROUP BY a.chr"""),
     "group_of_start_asof": (group_of_start, f"""
 WITH {_GROUPS} SELECT grp.chr, g_start, count(*) AS n, max(e) AS last_end
-FROM iv JOIN grp ON iv.chr = grp.chr AND g_start <= s AND s <= g_end WHERE l_returnflag = 'R' GROUP BY grp.chr, g_start"""),
+FROM iv JOIN grp ON iv.chr = grp.chr AND g_start <= s AND s <= g_end GROUP BY grp.chr, g_start"""),
     "two_level_linkage_clusters": (clusters, f"WITH {_CLUSTERS} SELECT * FROM cl"),
     "cluster_extents": (cluster_extents, f"""
 WITH {_CLUSTERS}, x AS (SELECT p_brand, cluster_start, cluster_end_key, min(s) AS c_start, max(e) AS c_end, count(*) AS n FROM cl GROUP BY 1, 2, 3)
