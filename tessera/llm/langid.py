@@ -58,7 +58,9 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = " ".join(["", *texts, ""])
     point = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     s = letter_table()[np.minimum(point, 0xFFFF)]
-    s[point > 0xFFFF] = 0
+    if (beyond := point > 0xFFFF).any():
+        far, place = np.unique(point[beyond], return_inverse=True)
+        s[beyond] = np.array([SYMBOLS - 1 if chr(c).isalpha() else 0 for c in far.tolist()], np.uint8)[place]
     ends = np.cumsum([len(t) + 1 for t in texts])
     owner = np.zeros(len(s), np.int64)
     owner[ends[:-1][ends[:-1] < len(s)]] = 1
