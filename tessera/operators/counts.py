@@ -120,14 +120,14 @@ def bh_fdr(df: DataFrame, p: str, into: str, *tie: str) -> DataFrame:
     The global rank comes from equal-p groups: p values are counted first, and only the distinct
     ones meet in a running sum, in ranges of p. Equal p values get the same adjusted value.
     """
-    tests = df.agg(F.count(p).alias("_m"))
+    tests = df.agg(F.count(p)).first()[0]
     counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_bin", F.floor(-F.log10(F.greatest(F.col("_p"), F.lit(1e-300))) * 64))
     sums = counts.groupBy("_bin").agg(F.sum("_c").alias("_t"))
     before = F.coalesce(F.sum("_t").over(Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = Window.partitionBy("_bin").orderBy("_p")
     ranked = counts.join(sums.select("_bin", before.alias("_before")), "_bin").withColumn("_rank", F.sum("_c").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
-    ranked = ranked.crossJoin(F.broadcast(tests)).withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
+    ranked = ranked.withColumn("_q", F.col("_p") * F.lit(tests) / F.col("_rank"))
     lows = ranked.groupBy("_bin").agg(F.min("_q").alias("_low"))
     later = F.min("_low").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     ranked = ranked.join(lows.select("_bin", later.alias("_later")), "_bin")

@@ -188,13 +188,13 @@ def sample_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-tailed binomial test of each supplier's returned share against the share of all."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     per = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("k"))
-    share = per.agg((F.sum("k") / F.sum("n")).alias("p"))
+    share = per.agg(F.sum("k") / F.sum("n")).first()[0]
 
     def tail(batches):
         for b in batches:
-            yield b[["l_suppkey", "n", "k"]].assign(p_value=[ct.binomial_sf(int(k), int(n), float(p)) for k, n, p in zip(b.k, b.n, b.p, strict=True)]) if len(b) else pd.DataFrame({"l_suppkey": [], "n": [], "k": [], "p_value": []})
+            yield b[["l_suppkey", "n", "k"]].assign(p_value=[ct.binomial_sf(int(k), int(n), share) for k, n in zip(b.k, b.n, strict=True)]) if len(b) else pd.DataFrame({"l_suppkey": [], "n": [], "k": [], "p_value": []})
 
-    return per.crossJoin(F.broadcast(share)).mapInPandas(tail, "l_suppkey long, n long, k long, p_value double")
+    return per.mapInPandas(tail, "l_suppkey long, n long, k long, p_value double")
 
 
 _HALF = """
