@@ -38,6 +38,16 @@ def block_ngrams(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[list[np
     return hashes, last, offset
 
 
+def pack_keys(h: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte planes apart: the high planes are all but zero and compress away in a shuffle."""
+    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Range of each hash; sorted hashes have sorted ranges."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -85,13 +95,13 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         words = np.bincount(part_of(single, parts), weights=own, minlength=parts).astype(np.int64)
         cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
         n = n.astype("<u4")
-        rows = [(h[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [(pack_keys(h[a:b]), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         keys, counts = zip(*rows, strict=True)
         block = np.full(parts, t["block"][0].as_py(), np.int64)
         return pa.table({"part": np.arange(parts), "block": block, "words": words, "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in t["keys"]]
+        keys = [unpack_keys(x.as_py()) for x in t["keys"]]
         counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t["counts"]])
         h = np.concatenate(keys)
         distinct, place = np.unique(h, return_inverse=True)
