@@ -106,14 +106,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 12, l
     """
     spark = vectors.sparkSession
     nonzero = F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q"))
     rows = rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & nonzero).dropDuplicates()
     rows = checkpoint(rows)
     w = Window.partitionBy("embedding").orderBy("vec_id")
     classes = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = checkpoint(classes.select(F.col("ids")[0].alias("cid"), "embedding", "ids"))
     asked = checkpoint(rows.where("q").select(F.col("vec_id").alias("query_id"), "embedding").join(classes.select("embedding", "cid"), "embedding").select("query_id", "cid"))
-    n, norm, d = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))), F.max(F.size("embedding"))).first()
+    n, norm, d = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), F.max(F.size("embedding"))).first()
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
@@ -166,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 12, l
         cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("qcid", "cid", "score"), cols, strict=True)))
 
-    cell = "tree int, leaf long, part long, cid long, embedding array<double>"
+    cell = f"tree int, leaf long, part long, cid long, embedding {classes.schema['embedding'].dataType.simpleString()}"  # as stored; doubles only where they are multiplied
     index = classes.select("cid", "embedding").mapInArrow(indexed, cell).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     queries = classes.select("cid", "embedding").join(asked.select("cid").distinct(), "cid", "left_semi").repartition("cid").mapInArrow(probed, cell).withColumn("qb", F.pmod(F.xxhash64("cid"), F.lit(q_blocks)).cast("int"))
     key = ["tree", "leaf", "part", "qb"]
