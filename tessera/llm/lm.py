@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns_first, ngrams, word_hashes
+from .common import bounded_batches, columns_first, ngrams, release_memory, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def block_ngrams(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -98,6 +98,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         rows = [(pack_keys(h[a:b]), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         keys, counts = zip(*rows, strict=True)
         block = np.full(parts, t["block"][0].as_py(), np.int64)
+        del hashes, h, n, single, own, rows
+        release_memory()
         return pa.table({"part": np.arange(parts), "block": block, "words": words, "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
@@ -122,6 +124,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         sums = log_scores(counts, last, offset, int(np.sum(answers["words"].to_numpy())), backoff, min_count)
         n = np.diff(offset)
         mean = sums / np.maximum(n, 1)
+        del hashes, last, totals, place, counts
+        release_memory()
         return pa.table({"doc_id": t["doc_id"], "n_words": n.astype(np.int64), "score": pa.array(mean, pa.float64(), mask=n == 0)})
 
     tables = dealt.groupBy("block").applyInArrow(request, "part long, block long, words long, keys binary, counts binary")
