@@ -46,20 +46,35 @@ def parse(alignments: DataFrame, genome: DataFrame, cfg: ScanConfig) -> DataFram
     return rows.withColumn("end", (F.col("start") - 1 + F.col("s.mapped_n")).cast("int"))
 
 
-def check_sorted(alignments: DataFrame) -> DataFrame:
-    """The alignments, with an error for a start below that of the row before it in the same block of its file, or a chromosome met again after another one.
+def unsorted_files(alignments: DataFrame) -> DataFrame:
+    """file_id of each file with a start below that of the row before it, or a chromosome met again after another one.
 
-    Rows are compared inside blocks; blocks and chromosomes are compared by their ends, which are few.
+    Rows are compared inside blocks. What meets across blocks are the ends of each block's chromosomes,
+    at most a row for each (block, chromosome).
     """
-    w = Window.partitionBy("file_id", "line.block").orderBy("line.row")
-    bad = (F.lag("chr").over(w) == F.col("chr")) & (F.lag("start").over(w) > F.col("start"))
-    fresh = F.coalesce(F.lag("chr").over(w) != F.col("chr"), F.lit(True))
-    rows = alignments.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_fresh", fresh)
-    runs = rows.where("_fresh").groupBy("file_id", "chr", "line.block").agg(F.count("*").alias("runs"))
-    again = runs.where("runs > 1").select("file_id", "chr").distinct().withColumn("_again", F.lit(True))
-    rows = rows.join(F.broadcast(again.limit(1000)), ["file_id", "chr"], "left")
-    stop = F.raise_error(F.concat(F.lit("file "), F.col("file_id").cast("string"), F.lit(" is not sorted")))
-    return rows.withColumn("chr", F.when(F.col("_bad") | F.col("_again").isNotNull(), stop.cast("string")).otherwise(F.col("chr"))).drop("_bad", "_fresh", "_again")
+    w = Window.partitionBy("file_id", "block").orderBy("row")
+    rows = alignments.select("file_id", "line.block", "line.row", "chr", "start")
+    before, last = F.lag("chr").over(w), F.lag("start").over(w)
+    fresh = F.coalesce(before != F.col("chr"), F.lit(True))
+    rows = rows.select("*", F.coalesce((before == F.col("chr")) & (last > F.col("start")), F.lit(False)).alias("_bad"), fresh.alias("_fresh"))
+    ends = rows.groupBy("file_id", "block", "chr").agg(
+        F.min("row").alias("_at"), F.min_by("start", "row").alias("_first"), F.max_by("start", "row").alias("_last"),
+        (F.bool_or("_bad") | (F.sum(F.col("_fresh").cast("int")) > 1)).alias("_bad"),
+    )
+    f = Window.partitionBy("file_id").orderBy("block", "_at")
+    before, last = F.lag("chr").over(f), F.lag("_last").over(f)
+    down = F.coalesce((before == F.col("chr")) & (last > F.col("_first")), F.lit(False))
+    runs = ends.select("file_id", "chr", (F.col("_bad") | down).alias("_bad"), F.coalesce(before != F.col("chr"), F.lit(True)).alias("_fresh"))
+    each = runs.groupBy("file_id", "chr").agg((F.bool_or("_bad") | (F.sum(F.col("_fresh").cast("int")) > 1)).alias("_bad"))
+    return each.where("_bad").select("file_id").distinct()
+
+
+def check_sorted(alignments: DataFrame) -> DataFrame:
+    """The alignments; an error at once if a file is not sorted (see unsorted_files), inside a block or across blocks."""
+    bad = unsorted_files(alignments).agg(F.min("file_id")).first()[0]
+    if bad is not None:
+        raise ValueError(f"file {bad} is not sorted")
+    return alignments
 
 
 ERRORS = "sj_errors array<struct<ins:int,del:int,sub:int>>, background struct<ins:int,del:int,sub:int,total:int>"
@@ -255,7 +270,7 @@ def run(alignments: DataFrame, genome: DataFrame, exons: DataFrame | None = None
     from ..sources import annotation as an
 
     cfg = cfg or ScanConfig()
-    parsed = stored(parse(alignments, genome, cfg))
+    parsed = check_sorted(stored(parse(alignments, genome, cfg)))
     kept = parsed.where("drop_reason is null")
     with_errors = stored(error_profiles(kept, genome, cfg))
     if exons is not None and not cfg.alignment_read_groups:

@@ -133,6 +133,40 @@ def test_unsorted_is_an_error(spark, world):
     assert scan.check_sorted(world[3]).count() == 23
 
 
+def test_unsorted_across_blocks_is_an_error(spark, world):
+    w, genome, exons, _, folder = world
+
+    def read(name, rows):
+        (folder / name).write_text("".join(f"{n}{i}\t{f}\t{c}\t{p}\t{q}\t{cg}\t*\t0\t0\t{s}\t*\n" for i, (n, f, c, p, q, cg, s) in enumerate(rows)))
+        return al.read_sam(spark, [(str(folder / name), "u")])
+
+    g1, g2, g3 = w.genes
+    one, two, three = ([w.read("r", g, list(range(k)))] * 40 for g, k in ((g1, 4), (g2, 3), (g3, 1)))
+    blocks = lambda d: d.select("line.block").distinct().count()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    size = sum(len(x[6]) + 40 for x in one)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(500, size // 8)))
+        good = read("sorted.sam", one + two + three)
+        assert blocks(good) > 4 and scan.check_sorted(good).count() == 120
+        assert scan.run(good, genome, exons).reads.count() > 0
+        for name, rows in (("again.sam", one + three + two), ("down.sam", two + one + three), ("late.sam", one[:1] + three + one)):
+            bad = read(name, rows)
+            assert blocks(bad) > 4
+            with pytest.raises(Exception, match="is not sorted"):
+                scan.check_sorted(bad).collect()
+            with pytest.raises(Exception, match="is not sorted"):
+                scan.run(bad, genome, exons)
+        rows = spark.createDataFrame([(0, (b, r), c, s) for b, r, c, s in [(0, 1, "c", 5), (0, 2, "c", 9), (7, 3, "c", 8), (7, 4, "c", 10)]], "file_id int, line struct<block:long,row:long>, chr string, start int")
+        assert [x.file_id for x in scan.unsorted_files(rows).collect()] == [0]  # each block is sorted, the file isn't
+        rows = spark.createDataFrame([(3, (b, b), c, 5) for b, c in enumerate("cdc")] + [(4, (b, b), c, 5) for b, c in enumerate("ccd")], rows.schema)
+        assert [x.file_id for x in scan.unsorted_files(rows).collect()] == [3]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_unknown_chromosome_is_an_error(spark, world):
     _, genome, _, _, folder = world
     (folder / "k.sam").write_text("r\t0\tchrZ\t5\t30\t10M\t*\t0\t0\tACGTACGTAC\t*\n")
