@@ -119,6 +119,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def labelled(docs: DataFrame, per_language: int) -> DataFrame | None:
+    """text and lang of the rows to learn from: about per_language of each language. None where no row has a label."""
+    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    if not counts:
+        return None
+    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).select("text", "lang")
+
+
 def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
     """Prototype of each language: the sum of its documents' unit bundles, rounded to 1/4096.
 
@@ -126,12 +136,9 @@ def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
     part. About per_language documents of each language are taken, by a hash of text and id; of
     languages with fewer, all are.
     """
-    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
+    rows = labelled(docs, per_language)
+    if rows is None:
         return {}
-    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -145,7 +152,7 @@ def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
             i = pa.array(np.tile(np.arange(DIM, dtype=np.int32), len(total)))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(total), DIM).tolist(), pa.string()), i, pa.array(np.concatenate(list(total.values())))], ["lang", "i", "x"])
 
-    got = rows.select("text", "lang").mapInArrow(run, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    got = rows.mapInArrow(run, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for r in got.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect():  # DIM values for each language
         v = np.array([x["x"] for x in r["v"]], np.float64)
@@ -154,27 +161,64 @@ def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], add: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def least_levels(docs: DataFrame, prototypes: dict[str, np.ndarray], per_language: int = 6000, quantile: float = 0.001) -> dict[str, float]:
+    """The level below which a text is not of a language, fitted on the documents that learn() takes.
+
+    A text's level is its bundle's projection on the unit prototype for each letter: the same for
+    short and long texts of a language, and about 0 for random letters. A document's own part of the
+    prototype is left out. The least level is a low quantile of the language's documents, but at
+    least a quarter of their median (else labelled junk would let junk through) and at most half of
+    it. A language of one document has no level to go by: 0.
+    """
+    rows = labelled(docs, per_language)
+    if rows is None or not prototypes:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(prototypes)
+
+    def run(batches):
+        prototypes = shared.value
+        for b in chunks(batches, "text", 1 << 20):
+            sums, letters = bundles(b.column("text").to_pylist())
+            langs = np.array(b.column("lang").to_pylist(), object)
+            for k in sorted(set(langs) & prototypes.keys()):
+                own = sums[at := (langs == k) & (letters > 0)]
+                others = prototypes[k] - np.rint(unit(own) * 4096)
+                level = (own * unit(others)).sum(axis=1) / letters[at]
+                level = level[others.any(axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(level), pa.string()), pa.array(level, pa.float64())], ["lang", "level"])
+
+    got = rows.mapInArrow(run, "lang string, level double").groupBy("lang").agg(F.percentile("level", F.array(F.lit(quantile), F.lit(0.5))).alias("q"))
+    fitted = {r["lang"]: float(np.clip(r["q"][0], r["q"][1] / 4, r["q"][1] / 2)) if r["q"][1] > 0 else 0.0 for r in got.collect()}
+    return {k: fitted.get(k, 0.0) for k in prototypes}
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], add: tuple[str, str] = ("lang_pred", "score"), least: dict[str, float] | None = None) -> DataFrame:
     """docs (text among its columns) with the language of the nearest prototype and its cosine, 0 to 1.
 
     Null texts and texts without a letter, and all texts where nothing was learned, are `und` with
     score 0. Prototypes are first centred on their mean, so that what languages share doesn't count;
-    ties go to the language first in order.
+    ties go to the language first in order. With `least` (least_levels), texts below their language's
+    least level by more than two deviations of as many random letters are `und`, too: the centred cosine
+    can't tell, since the nearest of centred prototypes is never at an obtuse angle.
     """
     bounded_batches(docs.sparkSession)
     names = sorted(prototypes)
     profile = np.array([unit(prototypes[k]) for k in names]).reshape(len(names), DIM)
     mean = profile.mean(axis=0) if len(names) > 1 else np.zeros(DIM)
     centred = unit(profile - mean)
-    shared = docs.sparkSession.sparkContext.broadcast((centred, mean))
+    floor = None if least is None else np.array([least[k] for k in names])
+    shared = docs.sparkSession.sparkContext.broadcast((centred, mean, profile, floor))
 
     def run(batches):
-        centred, mean = shared.value
+        centred, mean, profile, floor = shared.value
         for b in chunks(batches, "text", 1 << 20):
             sums, letters = bundles(b.column("text").to_pylist())
             cosine = unit(unit(sums) - mean) @ centred.T if len(names) else np.zeros((len(sums), 1))
             best = cosine.argmax(axis=1)
             known = (letters > 0) & (len(names) > 0)
+            if floor is not None and len(names):
+                n = np.maximum(letters, 1)
+                known &= (sums * profile[best]).sum(axis=1) / n >= floor[best] - 2 / np.sqrt(n)
             lang = [names[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, np.clip((1 + cosine[np.arange(len(best)), best]) / 2, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *add])

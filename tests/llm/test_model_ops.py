@@ -244,3 +244,20 @@ def test_pipeline(make_docs, words):
     assert all("a@b.com" not in r.text and ("[EMAIL]" in r.text) == (r.doc_id < 100) for r in masked)
     packed = d.toPandas()
     assert set(packed.doc_id) == {r.doc_id for r in kept} and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_drops_unrecognised(make_docs):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(i, prose(k, i), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)] + [(200 + i, prose(k, 500 + i), None) for i, k in enumerate(["aa", "bb", "cc"] * 10)]
+    junk = [(300 + i, "".join(r.choice(letters + " ") for _ in range(n)), None) for i, n in enumerate([60, 300, 2000] * 5)]
+    junk += [(400 + i, "".join(r.choice(letters + letters.upper() + "0123456789+/") for _ in range(n)), None) for i, n in enumerate([60, 300, 2000] * 5)]
+    other = ["".join(r.choice(["hun", "wek", "dyf", "gob", "jip"]) for _ in range(3)) for _ in range(50)]
+    junk += [(500 + i, " ".join(r.choice(other) for _ in range(60)), None) for i in range(10)]
+    junk.append((600, junk[0][1], "aa"))  # a wrong label doesn't let junk through
+    d = make_docs(docs + junk)
+    assert {x.doc_id for x in corpus_pipeline.language(d.sparkSession, d, "").collect()} == {i for i, *_ in docs}
+    two = make_docs([x for x in docs if x[2] != "cc"])  # a language that was not learned
+    assert {x.doc_id for x in corpus_pipeline.language(two.sparkSession, two, "").collect()} == {i for i, *_ in docs if (i % 3 if i < 200 else (i - 200) % 3) != 2}
+    one = make_docs([(1, prose("aa", 1), "aa"), (2, prose("aa", 2), None)] + junk[:3])
+    assert {1, 2} <= {x.doc_id for x in corpus_pipeline.language(one.sparkSession, one, "").collect()}
