@@ -134,6 +134,25 @@ def test_pii(make_docs):
     assert pii.detect(make_docs([])).count() == 0
 
 
+def test_pii_anchors_in_any_case_and_length(make_docs):
+    def spans(t):
+        return [(pii.KINDS[k], t[s:e]) for s, k, e in pii.find(t)]
+
+    for cue in ("Social Security Number", "social Security number", "SOCIAL SECURITY NUMBER", "sSn"):
+        for before in ("", "\u0130\u212a é\U0001f600 "):  # lower-casing these would move offsets or make ASCII letters
+            assert spans(f"{before}{cue}: 123-45-6789.") == [("ssn", "123-45-6789")]
+    assert spans("IbAn GB82 WEST 1234 5698 7654 32") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert spans("aCCount Nr 12345678") == [("account", "12345678")]
+    for scheme in ("HTTP://", "Https://", "fTp://"):
+        assert ("login", f"{scheme}user:pw@host") in spans(f"see {scheme}user:pw@host now")
+    for user, password in (("u", "t" * 5000), ("u" * 5000, "p"), ("u", "t" * 257)):
+        t = f"https://{user}:{password}@host.org/x"
+        assert ("login", t[:-2]) in spans(t)
+    assert not spans("http://" + "a" * 200_000) and not spans("http://a:" + "b:" * 100_000 + " ")
+    masked = pii.mask(make_docs([(1, "Social Security Number: 123-45-6789 and HTTP://a:" + "b" * 300 + "@c.org")])).first().text
+    assert masked == "Social Security Number: [SSN] and [LOGIN]"
+
+
 @pytest.fixture(scope="module")
 def reference_encoding():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
