@@ -276,7 +276,7 @@ def leftover_links(member: DataFrame, sets: DataFrame, similarity: float, block:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, t (xxhash64 of the text), class_id of every row of docs; class_id is the smallest doc_id of the class.
+    """doc_id, t (xxhash64 of the text), class_id, class_t of every row of docs: the class is named by its row of the smallest doc_id, then t.
 
     Classes are the connected components of documents whose sets of word shingles have a Jaccard
     similarity of at least `similarity`. Equal shingle sets are one node, so copies cost nothing
@@ -290,7 +290,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     either compared, linked already, or shown to be too different.
     """
     s = checkpoint(sketch(docs, bands, rows, size))
-    nodes = checkpoint(s.where(F.col("n1").isNotNull()).groupBy("n1", "n2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    nodes = checkpoint(s.where(F.col("n1").isNotNull()).groupBy("n1", "n2").agg(F.min("rid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"), F.count("*").alias("copies")))
     bucket = s.select("rid", "bands").join(nodes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     shared = checkpoint(bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     member = checkpoint(bucket.join(shared, "key"))
@@ -311,23 +311,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     labels = merge(labels, checkpoint(leftover_links(now, sets, similarity)))
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = checkpoint(named)
-    lowest = checkpoint(named.groupBy("comp").agg(F.min("first").alias("class_id")))
-    named = checkpoint(named.join(lowest, "comp").select("n1", "n2", "class_id", F.lit(True).alias("in")))
-    return s.select("doc_id", "t", "n1", "n2").join(named, ["n1", "n2"], "left").select("doc_id", "t", F.when(F.col("in"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    lowest = checkpoint(named.groupBy("comp").agg(F.min("first").alias("least")))
+    named = checkpoint(named.join(lowest, "comp").select("n1", "n2", F.col("least.doc_id").alias("class_id"), F.col("least.t").alias("class_t"), F.lit(True).alias("in")))
+    own = lambda name, other: F.when(F.col("in"), F.col(name)).otherwise(F.col(other)).alias(name)
+    return s.select("doc_id", "t", "n1", "n2").join(named, ["n1", "n2"], "left").select("doc_id", "t", own("class_id", "doc_id"), own("class_t", "t"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: that of the smallest doc_id; all columns stay.
+    """docs with one document of each class: that of the smallest doc_id, then of the smallest text hash; all columns stay.
 
-    A row without doc_id stays unless a row with one is in its class; of exactly repeated (doc_id,
-    text) one stays.
+    A document without doc_id stays only where no row of its class has one. Of exactly repeated
+    (doc_id, text), null ids and null texts too, one row stays.
     """
     found = checkpoint(classes(docs))
-    lost = found.where(F.col("doc_id").isNull() & F.col("class_id").isNotNull() | (F.col("class_id") != F.col("doc_id"))).select(F.col("doc_id").alias("__id__"), F.col("t").alias("__t__")).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("class_t"))
+    lost = found.where(~stays).select(F.col("doc_id").alias("__id__"), F.col("t").alias("__t__")).distinct()
     lost = broadcast_if(checkpoint(lost), NODES_TO_BROADCAST)
     out = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id__")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t__")), "left_anti")
-    stay = found.where(F.col("class_id") == F.col("doc_id"))
-    if not stay.groupBy("doc_id", "t").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
+    if not found.where(stays).groupBy("doc_id", "t").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 

@@ -129,6 +129,20 @@ def test_near_duplicates(make_docs, words):
     assert {r.text for r in kept if r.doc_id is None} == {"only me"}
 
 
+def test_keep_one_without_unique_ids(make_docs, words):
+    a, b, c, d = (words(2000 + i, 80) for i in range(4))
+    near = a.split()
+    near[3] = "x"
+    rows = [(None, a), (None, a), (None, " ".join(near)), (7, b), (7, b.upper()), (7, b + " x"), (8, b), (None, c), (None, c), (3, d), (None, d), (None, None), (None, None), (9, None), (None, "..."), (None, "two words")]
+    for more in ([], [(500, "again and again it is"), (500, "again and again it is")]):
+        kept = [(r.doc_id, r.text) for r in neardup.keep_one(make_docs(rows + more)).collect()]
+        assert sum(i is None and t in (a, " ".join(near)) for i, t in kept) == 1 and kept.count((None, c)) == 1
+        assert sum(i == 7 for i, _ in kept) == 1 and not any(i == 8 for i, _ in kept)
+        assert (3, d) in kept and (None, d) not in kept
+        assert kept.count((None, None)) == kept.count((9, None)) == kept.count((None, "...")) == 1
+        assert len(kept) == 8 + len(more) // 2
+
+
 def test_leftovers_find_links(spark):
     sets = [list(range(100)), list(range(10, 110)), list(range(1000, 1100)), list(range(1001, 1101))]
     frame = spark.createDataFrame([(i, len(s), np.array(s, "<u4").tobytes()) for i, s in enumerate(sets)], "node long, n int, shingles binary")
