@@ -135,7 +135,7 @@ def em(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     direct = e.where("value > 10").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     shared = e.where("value <= 10 and event_type <> 'view'").groupBy("user_id", F.array(F.col("event_type"), F.lit("view")).alias("targets")).agg(F.count("*").alias("n"))
-    return ct.em_allocate(direct, shared, "user_id", "event_type", max_iterate=6)
+    return ct.em_allocate(direct, shared, "user_id", "event_type")
 
 
 def _em_sql(rounds: int) -> str:

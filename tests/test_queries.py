@@ -55,3 +55,28 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_em_runs_to_its_end(spark, tmp_path):
+    """A user whose values still move after many rounds: the query goes on until they don't."""
+    rows = [(1, t, 20.0) for t in ("a", "b", "view")] + [(1, "a", 1.0)] * 5 + [(1, "b", 1.0)] * 40
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_type: r.em for r in catalog()["em_allocation"][0](spark, str(tmp_path)).collect()}
+
+    def after(rounds):
+        now = direct = {"a": 1.0, "b": 1.0, "view": 1.0}
+        for i in range(rounds):
+            new = dict(direct)
+            for t, n in (("a", 5), ("b", 40)):
+                for x in (t, "view"):
+                    new[x] += float("%.2f" % (n * now[x] / (now[t] + now["view"])))
+            new = {t: float("%.2f" % v) for t, v in new.items()}
+            moved = max(abs(new[t] - now[t]) for t in new)
+            now = new
+            if moved < 0.1:
+                return now, i + 1
+        return now, rounds
+
+    want, rounds = after(100)
+    assert 6 < rounds < 100 and after(6)[0] != want
+    assert got == want
