@@ -138,21 +138,27 @@ def em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.em_allocate(direct, shared, "user_id", "event_type")
 
 
-def _em_sql(rounds: int) -> str:
-    parts = ["""d AS (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value > 10 GROUP BY 1, 2),
-ev AS (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value <= 10 AND event_type <> 'view' GROUP BY 1, 2),
-tg AS (SELECT user_id, t FROM d UNION SELECT user_id, t FROM ev UNION SELECT user_id, 'view' FROM ev),
-g0 AS (SELECT tg.user_id, tg.t, coalesce(d.n, 0) AS direct, coalesce(d.n, 0) AS em, FALSE AS stop FROM tg LEFT JOIN d USING (user_id, t))"""]
-    for i in range(rounds):
-        parts.append(f"""
-s{i} AS (SELECT ev.user_id, ev.t, ev.n, a.em AS x, v.em AS y FROM ev JOIN g{i} a ON a.user_id = ev.user_id AND a.t = ev.t JOIN g{i} v ON v.user_id = ev.user_id AND v.t = 'view'),
-h{i} AS (SELECT user_id, t, printf('%.2f', CASE WHEN x + y = 0 THEN n / 2 ELSE n * x / (x + y) END)::DOUBLE AS q FROM s{i}
- UNION ALL SELECT user_id, 'view', printf('%.2f', CASE WHEN x + y = 0 THEN n / 2 ELSE n * y / (x + y) END)::DOUBLE FROM s{i}),
-k{i} AS (SELECT user_id, t, sum(q) AS q FROM h{i} GROUP BY 1, 2),
-m{i} AS (SELECT g.user_id, g.t, g.direct, g.em AS old, g.stop, printf('%.2f', g.direct + coalesce(k.q, 0))::DOUBLE AS new FROM g{i} g LEFT JOIN k{i} k USING (user_id, t)),
-g{i + 1} AS (SELECT user_id, t, direct, CASE WHEN stop THEN old ELSE new END AS em, stop OR max(abs(new - old)) OVER (PARTITION BY user_id) < 0.1 AS stop FROM m{i})""")
-    return "WITH " + ",".join(parts) + f" SELECT user_id, t AS event_type, em FROM g{rounds}"
-
+#: Rounds as recursion: a user stops when nothing moves by 0.1, or after 100 rounds.
+_EM = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value > 10 GROUP BY 1, 2),
+ev AS MATERIALIZED (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value <= 10 AND event_type <> 'view' GROUP BY 1, 2),
+tg AS MATERIALIZED (SELECT user_id, t FROM d UNION SELECT user_id, t FROM ev UNION SELECT user_id, 'view' FROM ev),
+g AS (
+  SELECT 0 AS round, tg.user_id, tg.t, coalesce(d.n, 0) AS direct, coalesce(d.n, 0) AS em, FALSE AS stop FROM tg LEFT JOIN d USING (user_id, t)
+  UNION ALL
+  SELECT round + 1, user_id, t, direct, new, max(abs(new - em)) OVER (PARTITION BY user_id) < 0.1 FROM (
+    SELECT g.round, g.user_id, g.t, g.direct, g.em, printf('%.2f', g.direct + coalesce(k.q, 0))::DOUBLE AS new
+    FROM g LEFT JOIN (
+      SELECT user_id, t, sum(q) AS q FROM (
+        SELECT ev.user_id, unnest([ev.t, 'view']) AS t, unnest([
+          printf('%.2f', CASE WHEN a.em + v.em = 0 THEN ev.n / 2 ELSE ev.n * a.em / (a.em + v.em) END)::DOUBLE,
+          printf('%.2f', CASE WHEN a.em + v.em = 0 THEN ev.n / 2 ELSE ev.n * v.em / (a.em + v.em) END)::DOUBLE]) AS q
+        FROM ev JOIN g a ON a.user_id = ev.user_id AND a.t = ev.t JOIN g v ON v.user_id = ev.user_id AND v.t = 'view') GROUP BY user_id, t
+    ) k ON k.user_id = g.user_id AND k.t = g.t
+    WHERE NOT g.stop AND g.round < 100)
+)
+SELECT user_id, t AS event_type, arg_max(em, round) AS em FROM g GROUP BY user_id, t
+"""
 
 _READS = """
 r AS (SELECT l_orderkey, unnest(chain) AS part, unnest(supp) AS supp FROM o WHERE l_orderkey % 2 = 1),
@@ -199,5 +205,5 @@ WINDOW w AS (PARTITION BY l_orderkey ORDER BY s, e, l_linenumber, chr)"""),
 WITH o AS (SELECT user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS week, max(CAST(value > 5 AS INT)) AS p FROM events GROUP BY 1, 2, 3),
 t AS (SELECT user_id, event_type, CAST(sum(p) AS BIGINT) AS perfect, count(*) AS n FROM o GROUP BY 1, 2)
 SELECT user_id, min(perfect) AS least_perfect, bool_and(perfect >= 2 AND perfect >= n * 0.5) AS valid FROM t GROUP BY user_id"""),
-    "em_allocation": (em, _em_sql(6)),
+    "em_allocation": (em, _EM),
 }
