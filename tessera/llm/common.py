@@ -164,6 +164,19 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return out, np.searchsorted(start, off)
 
 
+def count_words(texts: pa.Array) -> int:
+    """Number of words that word_hashes finds in all texts."""
+    raw, off = string_buffer(texts)
+    if not len(raw):
+        return 0
+    inside = ~_SPACE[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begin = off[:-1][off[1:] > off[:-1]]
+    first[begin] = inside[begin]
+    return int(first.sum())
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that begin at each position (positions that have n words to the end)."""
     m = len(words) - n + 1

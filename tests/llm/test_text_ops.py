@@ -87,6 +87,26 @@ def test_language_model(make_docs, words, order, least, block):
     assert lm.stupid_backoff(make_docs(ODD)).count() == len(ODD)
 
 
+def test_count_tables():
+    """Keys and counts of a block come back as they went, large counts too; an n-gram of every order has its place."""
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    n = np.resize(np.array([1, 2, 254, 255, 256, 1 << 40], np.uint64), len(h))
+    assert (lm.unpack_keys(lm.pack_keys(h), len(h)) == h).all() and (lm.unpack_counts(lm.pack_counts(n), len(n), int((n >= 255).sum())) == n).all()
+    assert len(lm.unpack_keys(lm.pack_keys(h[:0]), 0)) == 0
+    hashes = [h[[3, 1, 3]], h[[9, 9]], h[:0]]
+    keys, counts, places = lm.distinct_ngrams(hashes)
+    assert (np.diff(keys) > 0).all() and sorted(counts.tolist()) == [1, 2, 2]
+    assert all((keys[p] == x).all() for p, x in zip(places, hashes, strict=True))
+
+
+def test_language_model_hot_words(make_docs):
+    """A word of all documents, counted past a byte, in many small blocks."""
+    docs = [(i % 7, "the the " + "the x%d" % (i % 5)) for i in range(400)]
+    got = sorted((r.doc_id, round(r.score, 9)) for r in lm.stupid_backoff(make_docs(docs), block_bytes=2000).collect())
+    want = scores_by_hand([t for _, t in docs], 3, 0.4, 2)
+    assert got == sorted((i, round(w, 9)) for (i, _), w in zip(docs, want, strict=True))
+
+
 def test_language_model_sql(make_docs, words):
     docs = make_docs([(i, words(i % 9, 40, 15)) for i in range(30)] + [(90, None), (91, "A a\tA\n b")])
     got = [(i, n, None if s is None else round(s, 6)) for i, n, s in rows(lm.stupid_backoff(docs), "doc_id", "n_words", "score")]
