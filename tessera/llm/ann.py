@@ -180,7 +180,7 @@ def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, m: int, floor: np.ndarra
     return i[keep], ids[j[keep]], score[keep]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 3, leaf_rows: int = 128, first_rows: int = 1024, recall: float = 0.94, judged: int = 128, sample_rows: int = SAMPLE_ROWS, block_rows: int = 4096, seed: int = 5, figures: dict | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 3, leaf_rows: int = 256, first_rows: int = 1024, recall: float = 0.93, judged: int = 128, sample_rows: int = SAMPLE_ROWS, block_rows: int = 4096, seed: int = 5, figures: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found.
 
     vectors: vec_id long, embedding array of floats. Null ids, and vectors that are null, empty, zero
@@ -190,7 +190,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 3, le
     Ties go to the smaller vec_id. An empty table gives no row.
 
     The trees see at most about sample_rows rows, `reach` about `judged` queries. Up to sample_rows
-    / 16 * leaf_rows rows (1.6 million) leaves keep their size. A leaf's rows, and the queries that
+    / 16 * leaf_rows rows (3.2 million) leaves keep their size. A leaf's rows, and the queries that
     visit it, are cut in blocks of block_rows; a leaf is copied once for each block of its own queries.
     `figures`, if given, gets what a search costs: rows, queries, and scored (rows scored, all trees together).
     """
