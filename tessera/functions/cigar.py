@@ -1,10 +1,72 @@
-"""CIGAR parsing by higher-order functions."""
+"""CIGAR parsing: whole batches at once in numpy for the summary, higher-order functions for the rest."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SUMMARY = "struct<exon_intron:array<int>,read_length:int,mapped:int,mapped_n:int,insertions:int,deletions:int,max_insertion:int,clips:array<int>,sj_read_pos:array<int>>"
+
+
+def tokens(cigars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, length, operation byte) of every operation of a batch in order; H counts as S. Null and unreadable text has none."""
+    text = pc.fill_null(cigars, "").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    off = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    off = off - off[0]
+    digit = (raw >= 48) & (raw <= 57)
+    at, pos = np.flatnonzero(~digit), np.flatnonzero(digit)
+    row = np.searchsorted(off, at, side="right") - 1
+    op = np.searchsorted(at, pos)  # the letter that follows each digit
+    own = op < len(at)
+    own[own] = row[op[own]] == np.searchsorted(off, pos[own], side="right") - 1
+    pos, op = pos[own], op[own]
+    size = np.bincount(op, weights=(raw[pos] - 48.0) * 10.0 ** (at[op] - pos - 1), minlength=len(at)).astype(np.int64)
+    kind = raw[at].copy()
+    good = (np.bincount(op, minlength=len(at)) > 0) & np.isin(kind, np.frombuffer(b"MIDNSHP=X", np.uint8))
+    kind[kind == ord("H")] = ord("S")
+    return row[good], size[good], kind[good]
+
+
+def summaries(cigars: pa.Array, max_deletion: int) -> pa.StructArray:
+    """SUMMARY of each CIGAR; null for null."""
+    n = len(cigars)
+    row, size, kind = tokens(cigars)
+    of = lambda ops: np.isin(kind, np.frombuffer(ops, np.uint8))
+    total = lambda mask: pa.array(np.bincount(row[mask], weights=size[mask], minlength=n).astype(np.int32))
+    intron = of(b"N") | (of(b"D") & (size > max_deletion))
+    small = ~intron
+    aligned, reads = of(b"M=XD"), of(b"M=XSI")
+    k = np.bincount(row[intron], minlength=n)
+    ends = np.concatenate([[0], np.cumsum(k)])
+
+    def before(x: np.ndarray) -> np.ndarray:
+        """Sum of x over earlier operations of the row."""
+        sums = np.cumsum(x) - x
+        first = np.searchsorted(row, row)
+        return sums - sums[first] if len(sums) else sums
+
+    place = before(intron.astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(2 * k + 1)])
+    slot = base[row] + 2 * place
+    parts = np.bincount(slot, weights=np.where(aligned & small, size, 0), minlength=base[-1])
+    parts[slot[intron] + 1] = size[intron]
+    clip, seen = of(b"S"), before(aligned.astype(np.int64)) > 0
+    clips = np.stack([np.bincount(row[m], weights=size[m], minlength=n) for m in (clip & ~seen, clip & seen)], axis=1).astype(np.int32)
+    longest = np.zeros(n, np.int32)
+    np.maximum.at(longest, row[of(b"I")], size[of(b"I")])
+    ints = lambda off, x: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int32)))
+    fields = [
+        ints(base, parts), total(reads), total(aligned & small), total(aligned | intron), total(of(b"I")), total(of(b"D") & small),
+        pa.array(longest), ints(np.arange(0, 2 * n + 1, 2), clips.ravel()), ints(ends, before(np.where(reads, size, 0))[intron]),
+    ]
+    names = ["exon_intron", "read_length", "mapped", "mapped_n", "insertions", "deletions", "max_insertion", "clips", "sj_read_pos"]
+    return pa.StructArray.from_arrays(fields, names, mask=pc.is_null(cigars))
+
 
 def operations(cigar: Column) -> Column:
     """array<struct<n, op>>; H counts as S."""
@@ -13,10 +75,6 @@ def operations(cigar: Column) -> Column:
     return F.zip_with(n, op, lambda a, b: F.struct(a.alias("n"), b.alias("op")))
 
 
-def _total(ops: Column, kinds: str) -> Column:
-    return F.aggregate(F.filter(ops, lambda x: x["op"].isin(*kinds)), F.lit(0), lambda s, x: s + x["n"])
-
-
 def is_intron(op: Column, max_deletion: int) -> Column:
     return (op["op"] == "N") | ((op["op"] == "D") & (op["n"] > max_deletion))
 
@@ -35,53 +93,13 @@ def exon_introns(ops: Column, max_deletion: int) -> Column:
     return F.aggregate(ops, F.array(F.lit(0)), step)
 
 
-def junction_read_positions(ops: Column, max_deletion: int) -> Column:
-    """Read bases (clips included) before each intron."""
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.when(x["op"].isin("M", "=", "X", "S", "I"), x["n"]).otherwise(0)
-        out = F.when(is_intron(x, max_deletion), F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"])
-        return F.struct(at.alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(ops, zero, step, lambda acc: acc["out"])
-
-
-def clip_ends(ops: Column) -> Column:
-    """Clipped bases before and after the first base aligned to the genome."""
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(x["op"] == "S", x["n"]).otherwise(0)
-        return F.struct(
-            (acc["seen"] | x["op"].isin("M", "=", "X", "D")).alias("seen"),
-            (acc["left"] + F.when(acc["seen"], 0).otherwise(n)).alias("left"),
-            (acc["right"] + F.when(acc["seen"], n).otherwise(0)).alias("right"),
-        )
-
-    zero = F.struct(F.lit(False).alias("seen"), F.lit(0).alias("left"), F.lit(0).alias("right"))
-    return F.aggregate(ops, zero, step, lambda acc: F.array(acc["left"], acc["right"]))
-
-
 def with_summary(df: DataFrame, cigar: str, into: str, max_deletion: int) -> DataFrame:
-    """df with a struct: exon_intron, read_length, mapped (genome bases without introns), mapped_n (with), insertions, deletions, max_insertion, clips, sj_read_pos.
-
-    The parsed operations and the exons are columns of their own in between, so that each is
-    computed once and not wherever the struct uses it.
-    """
-    out = df.withColumn("_ops", operations(F.col(cigar)))
-    out = out.withColumn("_ei", exon_introns(F.col("_ops"), max_deletion))
-    ops, ei = F.col("_ops"), F.col("_ei")
-    small = F.filter(ops, lambda x: ~is_intron(x, max_deletion))
-    fields = F.struct(
-        ei.alias("exon_intron"),
-        _total(ops, "M=XSI").alias("read_length"),
-        _total(small, "M=XD").alias("mapped"),
-        F.aggregate(ei, F.lit(0), lambda s, x: s + x).alias("mapped_n"),
-        _total(ops, "I").alias("insertions"),
-        _total(small, "D").alias("deletions"),
-        F.coalesce(F.array_max(F.transform(F.filter(ops, lambda x: x["op"] == "I"), lambda x: x["n"])), F.lit(0)).alias("max_insertion"),
-        clip_ends(ops).alias("clips"),
-        junction_read_positions(ops, max_deletion).alias("sj_read_pos"),
-    )
-    return out.withColumn(into, fields).drop("_ops", "_ei")
+    """df with a SUMMARY struct: alternating exons and introns, read_length, mapped (genome bases without introns), mapped_n (with), insertions, deletions, max_insertion, clips before and after the first base on the genome, and the read bases before each intron. Null for a null CIGAR."""
+    @F.arrow_udf(SUMMARY)
+    def summary(x: pa.Array) -> pa.Array:
+        return summaries(x, max_deletion)
+
+    return df.withColumn(into, summary(F.col(cigar)))
 
 
 def junctions(start: Column, exon_intron: Column) -> Column:
