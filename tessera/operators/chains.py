@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,25 +24,36 @@ def match_kind(short: Column, long: Column) -> Column:
     return F.when(at.isNull(), 0).when(unknown, 3).when(F.size(short) == F.size(long), 1).otherwise(2)
 
 
-def candidate_pairs(chains: DataFrame, key: str = "group_id", chain_id: str = "chain_id", chain: str = "chain") -> DataFrame:
-    """(key, short_id, long_id): pairs of a key that share an element, long having more known elements, or as many while just one has unknown ones.
-
-    A short chain only fits a long one that has its first known element, so pairs meet on that
-    element alone: one row for each short chain instead of one for each of its elements.
-    """
-    known = F.filter(F.col(chain), lambda x: x.isNotNull())
-    base = chains.select(F.col(key), F.col(chain_id), F.col(chain), F.size(known).alias("_n"), F.element_at(F.when(F.size(known) > 0, known), 1).alias("_x"), F.exists(F.col(chain), lambda x: x.isNull()).alias("_u"))
-    a = base.where(F.col("_x").isNotNull()).select(F.col(key).alias("_ka"), F.col(chain_id).alias("short_id"), F.col(chain).alias("short"), F.col("_n").alias("_na"), F.col("_u").alias("_ua"), "_x")
-    b = base.select(F.col(key).alias("_kb"), F.col(chain_id).alias("long_id"), F.col(chain).alias("long"), F.col("_n").alias("_nb"), F.col("_u").alias("_ub"), F.explode(F.filter(F.col(chain), lambda x: x.isNotNull())).alias("_y"))
-    fit = (F.col("_nb") > F.col("_na")) | ((F.col("_nb") == F.col("_na")) & (F.col("_ua") != F.col("_ub")))
-    pairs = a.join(b, (F.col("_ka") == F.col("_kb")) & (F.col("_x") == F.col("_y")) & (F.col("short_id") != F.col("long_id")) & fit)
-    return pairs.select(F.col("_ka").alias(key), "short_id", "long_id", "short", "long")
+def rarest(chains: DataFrame, key: str, chain_id: str, chain: str) -> DataFrame:
+    """(key, chain_id, _x, _p): of each chain the known element that stands in the fewest places of its key, and its first place."""
+    each = chains.select(key, chain_id, F.posexplode(chain).alias("_p", "_x")).where("_x is not null")
+    often = each.groupBy(key, "_x").agg(F.count("*").alias("_often"))
+    least = each.join(often, [key, "_x"]).groupBy(key, chain_id).agg(F.min(F.struct("_often", "_x", "_p")).alias("_r"))
+    return least.select(key, chain_id, "_r._x", "_r._p")
 
 
 def subchain_pairs(chains: DataFrame, key: str = "group_id", chain_id: str = "chain_id", chain: str = "chain") -> DataFrame:
-    """candidate_pairs that match, with kind and offset."""
-    pairs = candidate_pairs(chains, key, chain_id, chain)
-    return pairs.withColumn("kind", match_kind(F.col("short"), F.col("long"))).where("kind > 0").withColumn("offset", match_offset(F.col("short"), F.col("long")))
+    """(key, short_id, long_id, short, long, kind, offset): chains of a key of which one fits in the other, once for each pair.
+
+    long has more known elements, or as many while just one of the two has unknown ones. A short
+    chain can only fit where its rarest element stands, so pairs meet on that element alone and
+    its place gives the offset: an element that all chains share joins nothing but chains without a rarer one.
+    """
+    known = F.size(F.filter(F.col(chain), lambda x: x.isNotNull()))
+    base = chains.select(key, chain_id, chain, known.alias("_n"), F.exists(F.col(chain), lambda x: x.isNull()).alias("_u"))
+    a = base.join(rarest(chains, key, chain_id, chain), [key, chain_id])
+    a = a.select(F.col(key).alias("_ka"), F.col(chain_id).alias("short_id"), F.col(chain).alias("short"), F.col("_n").alias("_na"), F.col("_u").alias("_ua"), "_x", "_p")
+    b = base.select(F.col(key).alias("_kb"), F.col(chain_id).alias("long_id"), F.col(chain).alias("long"), F.col("_n").alias("_nb"), F.col("_u").alias("_ub"), F.posexplode(chain).alias("_q", "_y"))
+    fit = (F.col("_nb") > F.col("_na")) | ((F.col("_nb") == F.col("_na")) & (F.col("_ua") != F.col("_ub")))
+    at = F.col("_q") - F.col("_p")
+    inside = (at >= 0) & (at + F.size("short") <= F.size("long"))
+    pairs = a.join(b, (F.col("_ka") == F.col("_kb")) & (F.col("_x") == F.col("_y")) & (F.col("short_id") != F.col("long_id")) & fit & inside)
+    part = F.slice("long", F.greatest(at, F.lit(0)) + 1, F.size("short"))
+    loose = F.forall(F.zip_with("short", part, lambda x, y: x.isNull() | F.coalesce(x == y, F.lit(False))), lambda v: v)
+    pairs = pairs.where(F.when(F.col("_ua"), loose).otherwise(part == F.col("short"))).withColumn("offset", at)
+    kind = F.when(F.col("_ua"), 3).when(F.size("short") == F.size("long"), 1).otherwise(2)
+    once = F.col("offset") == match_offset(F.col("short"), F.col("long"))  # an element may stand in several places
+    return pairs.where(once).select(F.col("_ka").alias(key), "short_id", "long_id", "short", "long", kind.alias("kind"), "offset")
 
 
 def longest(chains: DataFrame, key: str = "group_id", chain_id: str = "chain_id", chain: str = "chain") -> DataFrame:
@@ -56,6 +69,18 @@ def endpoint_ok(read: Column, isoform: Column, is_start: bool, terminal: Column,
     return F.when(terminal, outer).otherwise(over <= internal_limit)
 
 
+def class_medians(df: DataFrame, keys: Sequence[str], value: str, upper: bool, into: str, count: str | None = None) -> DataFrame:
+    """(keys, into): the middle value of each key, of two middles the upper or lower one; count: how often a row stands (1).
+
+    Ranks are counted over distinct values, so a key's rows are never gathered.
+    """
+    n = df.groupBy(*keys, value).agg((F.count("*") if count is None else F.sum(count)).alias("_m"))
+    own = Window.partitionBy(*keys)
+    n = n.withColumn("_upto", F.sum("_m").over(own.orderBy(value))).withColumn("_all", F.sum("_m").over(own))
+    at = F.floor(F.col("_all") / 2) + 1 if upper else F.floor((F.col("_all") - 1) / 2) + 1
+    return n.where(F.col("_upto") >= at).groupBy(*keys).agg(F.min(value).alias(into))
+
+
 def median_ends(values: Column, upper: bool) -> Column:
     """Lower or upper median of an array (an element of it)."""
     ordered = F.array_sort(values)

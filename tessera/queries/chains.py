@@ -40,7 +40,7 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subchains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ch.subchain_pairs(distinct_chains(spark, sf_dir)).dropDuplicates(["short_id", "long_id"])
+    pairs = ch.subchain_pairs(distinct_chains(spark, sf_dir))
     return pairs.select("short_id", "long_id", F.col("offset").cast("long").alias("offset"))
 
 
@@ -54,7 +54,7 @@ def wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = F.transform(F.col("chain"), lambda x, i: F.when(i != 1, x))
     probe = full.select("group_id", (-F.col("chain_id") - 1).alias("chain_id"), unknown.alias("chain"))
     both = probe.unionByName(full.select("group_id", "chain_id", "chain"))
-    pairs = ch.subchain_pairs(both).where("kind = 3 and long_id >= 0").dropDuplicates(["short_id", "long_id"])
+    pairs = ch.subchain_pairs(both).where("kind = 3 and long_id >= 0")
     return pairs.select((-F.col("short_id") - 1).alias("short_id"), "long_id", F.col("offset").cast("long").alias("offset"))
 
 

@@ -5,18 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back: lineage and plan are cut there, columns can be pruned.
 
-    A local folder is used only where the session names none.
+def new_path(spark: SparkSession) -> str:
+    """A path for a step's table below spark.checkpoint.dir.
+
+    A local folder stands in only where the session names none and runs on this machine alone; on a
+    cluster that is an error, since each executor would write to its own disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(folder)
+    _made.append(f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read back: lineage and plan are cut there, columns can be pruned, and the planner knows the table's true size."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Delete the step tables written so far. DataFrames that come from them can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
