@@ -69,13 +69,20 @@ def _spread(blob: bytes, size: int) -> bytes:
 
 
 def pack_keys(h: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte planes apart: the high planes are all but zero and compress away."""
-    return _squeeze(np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Sorted keys as differences in byte planes: the low ones, which are noise, as they are, the others compressed."""
+    if not len(h):
+        return b""
+    planes = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    low = max(1, (int(h[-1]) - int(h[0])) // len(h)).bit_length() // 8
+    return bytes([low]) + planes[:low].tobytes() + _squeeze(planes[low:].tobytes())
 
 
 def unpack_keys(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(_spread(blob, 8 * n), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    if not n:
+        return np.zeros(0, np.uint64)
+    low = blob[0]
+    raw = blob[1 : 1 + low * n] + _spread(blob[1 + low * n :], (8 - low) * n)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -127,7 +134,7 @@ def blocks_of(batches, block_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
     held, size = [], 0
-    for b in chunks(batches, "text", block_bytes):
+    for b in chunks(batches, "text", block_bytes // 8):
         own = pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
         if held and size + own > block_bytes:
             yield emit(held)

@@ -92,7 +92,8 @@ def test_count_tables():
     h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
     n = np.resize(np.array([1, 2, 254, 255, 256, 1 << 40], np.uint64), len(h))
     assert (lm.unpack_keys(lm.pack_keys(h), len(h)) == h).all() and (lm.unpack_counts(lm.pack_counts(n), len(n), int((n >= 255).sum())) == n).all()
-    assert len(lm.unpack_keys(lm.pack_keys(h[:0]), 0)) == 0
+    for some in (h[:0], h[:1], np.arange(7, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64), np.array([2**64 - 1], np.uint64)):
+        assert (lm.unpack_keys(lm.pack_keys(some), len(some)) == some).all()
     hashes = [h[[3, 1, 3]], h[[9, 9]], h[:0]]
     keys, counts, places = lm.distinct_ngrams(hashes)
     assert (np.diff(keys) > 0).all() and sorted(counts.tolist()) == [1, 2, 2]
