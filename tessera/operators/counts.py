@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,23 @@ def best_record(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def best_margin(df: DataFrame, keys: Sequence[str], value: str, *tie: str, into: str = "best") -> DataFrame:
+    """(keys, into: the row of the largest value as a struct, then by least tie; second: the next value, null for none)."""
+    rest = [c for c in df.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(F.desc(value), *[F.asc(t) for t in tie])
+    top = df.withColumn("_at", F.row_number().over(w)).where("_at <= 2")
+    row = lambda i, x: F.max(F.when(F.col("_at") == i, x))
+    return top.groupBy(*keys).agg(F.first(F.when(F.col("_at") == 1, F.struct(*rest)), ignorenulls=True).alias(into), row(2, F.col(value)).alias("second"))
+
+
+def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many distinct keys only a has, only b has, and both have."""
+    side = lambda df, name: df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(1))
+    x = side(a, "_a").join(side(b, "_b"), key, "full_outer")
+    count = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    return x.agg(count(F.col("_b").isNull(), "only_a"), count(F.col("_a").isNull(), "only_b"), count(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both"))
+
+
 def proportional_split(df: DataFrame, keys: Sequence[str], weight: str, total: str, into: str) -> DataFrame:
     """df with total shared out inside keys by weight (equally where all weights are 0), to 2 places as C prints them."""
     w = Window.partitionBy(*keys)
@@ -196,44 +214,45 @@ def chi2_ppf(q: float, dof: float) -> float:
     return (low + high) / 2
 
 
-def binomial_sf(k: int, n: int, p: float) -> float:
-    """P(X >= k) of n trials, by a sum of log-gamma terms from the larger end."""
-    if k <= 0:
-        return 1.0
-    if p <= 0 or k > n:
-        return 0.0
-    if p >= 1:
-        return 1.0
-    log_p, log_q = math.log(p), math.log1p(-p)
-    term = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * log_p + (n - i) * log_q)
-    mode = int((n + 1) * p)
-    total, ratio = 0.0, p / (1 - p)
-    if k >= mode:
-        t, i = term(k), k
-        while i <= n and t > total * 1e-17:
-            total += t
-            t *= (n - i) / (i + 1) * ratio
-            i += 1
-        return min(1.0, total)
-    t, i = term(k - 1), k - 1
-    while i >= 0 and t > total * 1e-17:
-        total += t
-        t *= i / (n - i + 1) / ratio
-        i -= 1
-    return max(0.0, 1 - total)
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def binomial_sf(k: np.ndarray, n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """P(X >= k) of n trials, for whole arrays: sums of terms by their ratio, all rows a term at a time, from k up or from k - 1 down, whichever tail is the smaller."""
+    k, n, p = np.broadcast_arrays(np.asarray(k, np.int64), np.asarray(n, np.int64), np.asarray(p, float))
+    shape, (k, n, p) = k.shape, (x.ravel() for x in (k, n, p))
+    out = np.where(k <= 0, 1.0, 0.0)
+    todo = np.flatnonzero((k > 0) & (p > 0) & (k <= n))
+    out[todo[p[todo] >= 1]] = 1.0
+    todo = todo[p[todo] < 1]
+    k, n, p = k[todo], n[todo], p[todo]
+    up = k >= ((n + 1) * p).astype(np.int64)
+    i = np.where(up, k, k - 1).astype(float)
+    term = np.exp(_lgamma(n + 1.0) - _lgamma(i + 1) - _lgamma(n - i + 1) + i * np.log(p) + (n - i) * np.log1p(-p)) if len(k) else np.zeros(0)
+    total, odds = np.zeros(len(k)), p / (1 - p)
+    live = np.arange(len(k))
+    while len(live):
+        total[live] += term[live]
+        at, m, u = i[live], n[live], up[live]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            term[live] *= np.where(u, (m - at) / (at + 1) * odds[live], at / (m - at + 1) / odds[live])
+        i[live] += np.where(u, 1, -1)
+        live = live[(i[live] >= 0) & (i[live] <= n[live]) & (term[live] > total[live] * 1e-17)]
+    out[todo] = np.clip(np.where(up, total, 1 - total), 0, 1)
+    return out.reshape(shape)
 
 
 def balanced_bins(sizes: DataFrame, key: str, size: str, target: int) -> DataFrame:
     """(key, size, bin): keys dealt so that bins hold about target each; a key larger than target has a bin of its own.
 
     Keys in falling order of size are cut by their running total. The running total is taken in two
-    levels by powers of two of the size, so that no window holds all keys.
+    levels, by (size, hash of the key), so that no window holds all keys, nor all of one size; the
+    upper one has a row for each size and hash.
     """
-    level = F.floor(F.log2(F.greatest(F.col(size).cast("double"), F.lit(1.0))))
-    rows = sizes.select(key, F.col(size).cast("long").alias(size)).withColumn("_l", level).withColumn("_h", F.pmod(F.xxhash64(key), F.lit(64)))
-    part = rows.groupBy("_l", "_h").agg(F.sum(size).alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.orderBy(F.desc("_l"), "_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.sum(size).over(Window.partitionBy("_l", "_h").orderBy(F.desc(size), key).rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_own", own).join(part.select("_l", "_h", before.alias("_before")), ["_l", "_h"])
+    rows = sizes.select(key, F.col(size).cast("long").alias(size)).withColumn("_h", F.pmod(F.xxhash64(key), F.lit(64)))
+    part = rows.groupBy(size, "_h").agg(F.sum(size).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.orderBy(F.desc(size), "_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum(size).over(Window.partitionBy(size, "_h").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_own", own).join(part.select(size, "_h", before.alias("_before")), [size, "_h"])
     start = F.col("_own") + F.col("_before") - F.col(size)
     return out.select(key, size, F.floor(start / target).cast("long").alias("bin"))

@@ -2,7 +2,8 @@
 
 A genome has few chromosomes, so a window over a chromosome alone would put a tenth of all rows in
 one task. Every operator here therefore works in two levels: rows are first reduced inside
-(key, coordinate bin), and only the few rows that each bin leaves meet in a window over the key.
+(key, coordinate bin), and windows over a key hold one row for each bin. number_groups and
+share_gaps take merged groups, whose number a genome bounds, not the reads.
 """
 
 from __future__ import annotations
@@ -35,6 +36,34 @@ def _islands(df: DataFrame, keys: Sequence[str], start: str, end: str, extra: in
     return df.withColumn("_fresh", fresh).withColumn(into, F.sum("_fresh").over(running)).drop("_fresh")
 
 
+def _across_bins(local: DataFrame, keys: Sequence[str], extra: int) -> DataFrame:
+    """local (keys, _bin, _s, _e: islands inside bins) with _g, the first start of the group that each island falls in.
+
+    What reaches into a bin from the left is the largest end of all bins before it: a window over
+    bins, of which a key has as many as its length allows, not over islands. An island that begins
+    beyond it begins a group; others belong to the last group begun, in this bin or an earlier one.
+    """
+    on = [*keys, "_bin"]
+    ends = local.groupBy(*_cols(on)).agg(F.max("_e").alias("_m"))
+    before = Window.partitionBy(*_cols(keys)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _by_bin(local, ends.withColumn("_reach", F.max("_m").over(before)).drop("_m"), keys)
+    rows = rows.withColumn("_fresh", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + extra), F.col("_s"))).drop("_reach")
+    last = rows.groupBy(*_cols(on)).agg(F.max("_fresh").alias("_m"))
+    rows = _by_bin(rows, last.withColumn("_open", F.max("_m").over(before)).drop("_m"), keys)
+    own = F.max("_fresh").over(Window.partitionBy(*_cols(on)).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_g", F.coalesce(own, F.col("_open"))).drop("_fresh", "_open")
+
+
+def _by_bin(rows: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the other columns of their (keys, _bin) row of bins; null keys are equal."""
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_bin"])}
+    right = bins.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in bins.columns])
+    cond = F.col("_bin") == F.col(names["_bin"])
+    for k in keys:
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(names[k]))
+    return rows.join(right, cond).drop(*names.values())
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", extra: int = 0, bin_width: int = BIN) -> DataFrame:
     """Groups (keys, g_start, g_end, n) of intervals closer than extra; n counts the intervals.
 
@@ -45,7 +74,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", en
     rows = rows.withColumn("_bin", F.floor(F.col("_s") / bin_width))
     local = _islands(rows, [*keys, "_bin"], "_s", "_e", extra, "_i")
     local = local.groupBy(*_cols(keys), "_bin", "_i").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count("*").alias("_n"))
-    wide = _islands(local, keys, "_s", "_e", extra, "_g")
+    wide = _across_bins(local, keys, extra)
     return wide.groupBy(*_cols(keys), "_g").agg(F.min("_s").alias("g_start"), F.max("_e").alias("g_end"), F.sum("_n").alias("n")).drop("_g")
 
 
@@ -103,9 +132,8 @@ def linkage_clusters(df: DataFrame, keys: Sequence[str], position: str, gap: int
     rows = df.withColumn("_bin", F.floor(F.col(position) / bin_width))
     local = _islands(rows, [*keys, "_bin"], position, position, gap, "_i")
     heads = local.groupBy(*_cols(keys), "_bin", "_i").agg(F.min(position).alias("_s"), F.max(position).alias("_e"))
-    heads = _islands(heads, keys, "_s", "_e", gap, "_g")
-    first = F.min("_s").over(Window.partitionBy(*_cols(keys), "_g"))
-    heads = heads.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_kb"), F.col("_i").alias("_ki"), first.alias(into))
+    heads = _across_bins(heads, keys, gap)
+    heads = heads.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_kb"), F.col("_i").alias("_ki"), F.col("_g").alias(into))
     cond = (F.col("_bin") == F.col("_kb")) & (F.col("_i") == F.col("_ki"))
     for i, k in enumerate(keys):
         cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
@@ -120,6 +148,12 @@ def two_level_clusters(df: DataFrame, keys: Sequence[str], start: str, end: str,
     return out.withColumn("rank_by_end", F.row_number().over(w).cast("long"))
 
 
+def cluster_extents(clustered: DataFrame, keys: Sequence[str], start: str, end: str, first: str = "c_start", last: str = "c_end", **also: Column) -> DataFrame:
+    """(keys, cluster_start, cluster_end_key, first, last) of two_level_clusters' rows, and further aggregates by name."""
+    by = [*_cols(keys), F.col("cluster_start"), F.col("cluster_end_key")]
+    return clustered.groupBy(*by).agg(F.min(start).alias(first), F.max(end).alias(last), *[c.alias(n) for n, c in also.items()])
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], position: str, value: str, into: str, bin_width: int = BIN) -> DataFrame:
     """df with the sum of value over rows of the key up to each position (inclusive); positions are unique inside keys."""
     rows = df.withColumn("_bin", F.floor(F.col(position) / bin_width))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import LOCAL_SCORES, CorrectConfig
 from ..functions import cigar as cg
 from ..functions import seq as sq
-from ..operators import align, intervals
+from ..operators import align, counts, intervals
 from ..operators import junctions as jn
 from ..sources.genome import tiles, windows
 from ..storage import stored
@@ -34,14 +34,14 @@ def segments(reads: DataFrame, catalog: DataFrame, cfg: CorrectConfig) -> DataFr
     the read's beginning and also reaches clusters to the left, the last to its end and to the right.
     """
     near = 2 * cfg.flank + cfg.flank_extra
-    extent = catalog.groupBy("group_id", "cluster_start", "cluster_end_key").agg(F.min("start").alias("c_start"), F.max("end").alias("c_end"), F.max(F.col("is_hc").cast("int")).alias("hc")).where("hc = 1").drop("hc")
+    extent = intervals.cluster_extents(catalog, ["group_id"], "start", "end", hc=F.max(F.col("is_hc").cast("int"))).where("hc = 1").drop("hc")
     is_first, is_last = F.col("k") == 0, F.col("k") == F.col("n_sj") - 1
     lo = F.when(is_first, 0).otherwise(F.greatest(F.col("pos") - near, F.lit(0)))
     hi = F.when(is_last, F.col("read_length")).otherwise(F.least(F.col("pos") + near, F.col("read_length")))
     cluster = ["cluster_start", "cluster_end_key"]
     own = reads.where("c is not null").select(*KEY, F.col("c.cluster_start").alias("cluster_start"), F.col("c.cluster_end_key").alias("cluster_end_key"), lo.alias("lo"), hi.alias("hi"))
     own = own.join(extent.select("group_id", *cluster), ["group_id", *cluster], "left_semi")
-    all_ends = catalog.groupBy("group_id", "cluster_start", "cluster_end_key").agg(F.min("start").alias("m_start"), F.max("end").alias("m_end"))
+    all_ends = intervals.cluster_extents(catalog, ["group_id"], "start", "end", "m_start", "m_end")
     at = reads.where("c is not null").select(*KEY, "k", "n_sj", "pos", "read_length", F.col("c.cluster_start").alias("cluster_start"), F.col("c.cluster_end_key").alias("cluster_end_key")).join(all_ends, ["group_id", *cluster]).drop(*cluster)
     reach = lambda n: F.floor(n * cfg.end_lost_fold).cast("long")
     left = at.where(is_first & (F.col("pos") > 0)).select(*KEY, F.lit(0).alias("lo"), F.least(F.col("pos") + near, F.col("read_length")).alias("hi"), (F.col("m_start") - reach(F.col("pos"))).alias("a"), (F.col("m_start") + cfg.cluster_overlap_max - 1).alias("b"))
@@ -124,10 +124,9 @@ def accept_extra(decided: DataFrame, genome: DataFrame, cfg: CorrectConfig) -> D
         scored = stored(got)
     gain = (F.col("across_score") - F.col("beside_score")) / F.lit(float(LOCAL_SCORES.match))
     good = scored.where(gain >= cfg.score_difference).select("id.*", "strand", "pos", "prob", "across_score")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("across_score")).alias("o"), "start", "end", "strand", "pos", "prob", "across_score")))
-    top = good.groupBy(*KEY, "side").agg(order.alias("all"))
-    margin = (F.col("all")[0]["across_score"] - F.try_element_at("all", F.lit(2))["across_score"]) / F.lit(float(LOCAL_SCORES.match))
-    return top.where(F.coalesce(margin, F.lit(1e9)) >= cfg.score_difference).select(*KEY, "side", F.col("all")[0].alias("best"))
+    top = counts.best_margin(good, [*KEY, "side"], "across_score", "start", "end", "strand", "pos", "prob")
+    margin = (F.col("best.across_score") - F.col("second")) / F.lit(float(LOCAL_SCORES.match))
+    return top.where(F.coalesce(margin, F.lit(1e9)) >= cfg.score_difference).select(*KEY, "side", "best")
 
 
 def run(scan: Scan, genome: DataFrame, cfg: CorrectConfig | None = None) -> DataFrame:

@@ -56,6 +56,26 @@ def chains_of(reads: DataFrame, perfect: DataFrame | None) -> DataFrame:
     return out.join(per, key, "left").withColumn("perfect", F.coalesce("perfect", F.array().cast("array<long>")))
 
 
+def _chain(junctions) -> tuple:
+    return tuple(None if j is None else (int(j["start"]), int(j["end"])) for j in junctions)
+
+
+def read_chains(rows: pd.DataFrame, use_perfect: bool) -> list[ReadChain]:
+    """Rows of chains_of as a group's chains; without perfect counts every read is perfect."""
+    found = []
+    for r in rows.itertuples(index=False):
+        classes = [(c["sample"], int(c["start"]), int(c["end"]), int(c["n"])) for c in r.classes]
+        start, end = lower_median([(s, n) for _, s, _, n in classes], False), lower_median([(e, n) for _, _, e, n in classes], True)
+        chain = _chain(r.chain)
+        good = tuple(int(x) for x in r.perfect) if use_perfect else (sum(c[3] for c in classes),) * len(chain)
+        found.append(ReadChain(chain, start, end, bool(r.all_annotated), bool(r.all_sites), r.strand or "", good, classes))
+    return found
+
+
+def isoform_rows(rows: pd.DataFrame) -> list[Isoform]:
+    return [Isoform(_chain(r.chain), int(r.start0), int(r.end), r.transcript_id, r.transcript_name, r.gene_id) for r in rows.itertuples(index=False)]
+
+
 def run(reads: DataFrame, exons: DataFrame, perfect: DataFrame | None = None, cfg: QuantConfig | None = None) -> Quantified:
     """Counts of every isoform.
 
@@ -79,16 +99,7 @@ def run(reads: DataFrame, exons: DataFrame, perfect: DataFrame | None = None, cf
     use_perfect = perfect is not None
 
     def group(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        chain = lambda x: tuple(None if j is None else (int(j["start"]), int(j["end"])) for j in x)
-        found = []
-        for r in a.itertuples(index=False):
-            classes = [(c["sample"], int(c["start"]), int(c["end"]), int(c["n"])) for c in r.classes]
-            start, end = lower_median([(s, n) for _, s, _, n in classes], False), lower_median([(e, n) for _, _, e, n in classes], True)
-            n = sum(c[3] for c in classes)
-            ch = chain(r.chain)
-            good = tuple(int(x) for x in r.perfect) if use_perfect else (n,) * len(ch)
-            found.append(ReadChain(ch, start, end, bool(r.all_annotated), bool(r.all_sites), r.strand or "", good, classes))
-        isoforms = [Isoform(chain(r.chain), int(r.start0), int(r.end), r.transcript_id, r.transcript_name, r.gene_id) for r in b.itertuples(index=False)]
+        found, isoforms = read_chains(a, use_perfect), isoform_rows(b)
         out = Group(str(key[0]), int(key[1]), samples, found, isoforms, cfg).run() if found else None
         rows: list[dict] = []
         if out:

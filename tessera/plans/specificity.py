@@ -44,7 +44,7 @@ def run(abundance: DataFrame, gene_cutoff: float = 0.05, cutoff: float = 0.05) -
 
     @F.pandas_udf("double")
     def binomial(k: pd.Series, n: pd.Series, share: pd.Series) -> pd.Series:
-        return pd.Series([counts.binomial_sf(int(a), int(b), float(c)) for a, b, c in zip(k, n, share, strict=True)], dtype="float64")
+        return pd.Series(counts.binomial_sf(k.to_numpy(), n.to_numpy(), share.to_numpy()))
 
     test = stored(test.withColumn("p_value", binomial("n", "sample_total", "proportion_global")))
     out = counts.bh_fdr(test, "p_value", "p_adj").where(F.col("p_adj") < cutoff)

@@ -85,7 +85,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of every cluster and its rank by end among its brand's clusters."""
-    c = clusters(spark, sf_dir).groupBy("p_brand", "cluster_start", "cluster_end_key").agg(F.min("s").alias("c_start"), F.max("e").alias("c_end"), F.count("*").alias("n"))
+    c = iv.cluster_extents(clusters(spark, sf_dir), ["p_brand"], "s", "e", n=F.count("*"))
     w = Window.partitionBy("p_brand").orderBy("c_end", "c_start", "cluster_start", "cluster_end_key")
     return c.withColumn("rank", F.row_number().over(w).cast("long"))
 
