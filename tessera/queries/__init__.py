@@ -14,6 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalog() -> dict[str, Query]:
-    from . import chains, counts, intervals, sequences, steps
+    from . import chains, counts, files, intervals, sequences, steps
 
-    return intervals.QUERIES | chains.QUERIES | counts.QUERIES | sequences.QUERIES | steps.QUERIES
+    return intervals.QUERIES | chains.QUERIES | counts.QUERIES | sequences.QUERIES | steps.QUERIES | files.QUERIES

@@ -34,11 +34,6 @@ def distinct_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("group_id", F.lit(0))
 
 
-def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct chain and its number of orders."""
-    return distinct_chains(spark, sf_dir).select("chain_id", F.array_join(F.col("chain").cast("array<string>"), "_").alias("chain"), "n")
-
-
 def subchains(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ch.subchain_pairs(distinct_chains(spark, sf_dir))
     return pairs.select("short_id", "long_id", F.col("offset").cast("long").alias("offset"))
@@ -63,27 +58,6 @@ def _member(df: DataFrame, known: DataFrame, on: list[str], into: str) -> DataFr
     return df.join(known.withColumn(into, F.lit(True)), on, "left").withColumn(into, F.coalesce(into, F.lit(False)))
 
 
-def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd orders classified against even ones as annotation: part and supplier are a junction's two sites."""
-    o = orders(spark, sf_dir)
-    anno, reads = o.where("l_orderkey % 2 = 0"), o.where("l_orderkey % 2 = 1")
-    items = lambda d: d.select("l_orderkey", F.explode(F.arrays_zip("chain", "supp")).alias("x")).select("l_orderkey", F.col("x.chain").alias("part"), F.col("x.supp").alias("supp"))
-    a, r = items(anno), items(reads)
-    r = _member(r, a.select("part", "supp").distinct(), ["part", "supp"], "sj")
-    r = _member(r, a.select("part").distinct(), ["part"], "left")
-    r = _member(r, a.select("supp").distinct(), ["supp"], "right")
-    flags = r.groupBy("l_orderkey").agg(F.bool_and("sj").alias("sj"), F.bool_and(F.col("left") & F.col("right")).alias("site"))
-    names = F.transform(F.arrays_zip("chain", "supp"), lambda x: x["chain"] * 1_000_000 + x["supp"])
-    known = reads.join(flags.where("sj"), "l_orderkey").select(F.col("l_orderkey").alias("chain_id"), names.alias("chain"), F.lit(0).alias("group_id"), F.lit(True).alias("read"))
-    iso = anno.select((-F.col("l_orderkey") - 1).alias("chain_id"), names.alias("chain"), F.lit(0).alias("group_id"), F.lit(False).alias("read"))
-    short = known.withColumn("x", F.element_at("chain", 1))
-    long = iso.select(F.col("chain").alias("long"), F.explode(F.array_distinct("chain")).alias("x"))
-    hits = short.join(long, "x").withColumn("kind", ch.match_kind(F.col("chain"), F.col("long"))).where("kind in (1, 2)")
-    hits = hits.groupBy(F.col("chain_id").alias("l_orderkey")).agg(F.min("kind").alias("kind"))
-    label = F.when(F.col("kind") == 1, "FSM").when(F.col("kind") == 2, "ISM").when(F.col("sj") | F.col("site"), "NIC").otherwise("NNC")
-    return flags.join(hits, "l_orderkey", "left").select("l_orderkey", label.alias("class"))
-
-
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items' ends against their supplier's median ends."""
     from .intervals import alignments
@@ -96,40 +70,6 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("chr").agg(count("start_ok"), count("end_ok"), count("inner_start"), count("inner_end"))
 
 
-def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower median start and upper median end of each supplier and flag, by counting ranks of distinct values."""
-    from .intervals import alignments
-
-    rows = alignments(spark, sf_dir)
-    out = None
-    for value, upper, name in (("s", False, "start"), ("e", True, "end")):
-        n = rows.groupBy("chr", "l_returnflag", value).agg(F.count("*").alias("m"))
-        key = Window.partitionBy("chr", "l_returnflag")
-        n = n.withColumn("upto", F.sum("m").over(key.orderBy(value))).withColumn("all", F.sum("m").over(key))
-        at = F.floor(F.col("all") / 2) + 1 if upper else F.floor((F.col("all") - 1) / 2) + 1
-        got = n.where(F.col("upto") >= at).groupBy("chr", "l_returnflag").agg(F.min(value).alias(name))
-        out = got if out is None else out.join(got, ["chr", "l_returnflag"])
-    return out
-
-
-def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item of an order with the end before it and the start after it."""
-    from .intervals import alignments
-
-    w = Window.partitionBy("l_orderkey").orderBy("s", "e", "l_linenumber", "chr")
-    return alignments(spark, sf_dir).select("l_orderkey", "l_linenumber", "chr", F.lag("e").over(w).alias("exon_start"), F.lead("s").over(w).alias("exon_end"))
-
-
-def valid_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' event types with at least 2 errors-free weeks in every type: each junction of a chain needs enough perfect reads."""
-    e = table(spark, sf_dir, "events")
-    week = F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / 7).cast("long")
-    once = e.groupBy("user_id", "event_type", week.alias("week")).agg(F.max((F.col("value") > 5).cast("int")).alias("p"))
-    per = once.groupBy("user_id", "event_type").agg(F.sum("p").alias("perfect"), F.count("*").alias("n"))
-    ok = (F.col("perfect") >= 2) & (F.col("perfect") >= F.col("n") * 0.5)
-    return per.groupBy("user_id").agg(F.min("perfect").alias("least_perfect"), F.bool_and(ok).alias("valid"))
-
-
 def em(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: event types as targets; events of value above 10 are direct, the others are shared by their type and `view`."""
     e = table(spark, sf_dir, "events")
@@ -173,7 +113,6 @@ h AS (SELECT f.l_orderkey, min(CASE WHEN len(an.ch) = len(nm.ch) THEN 1 ELSE 2 E
 """
 
 QUERIES: dict[str, Query] = {
-    "ordered_chains": (chains, f"WITH {_CHAIN} SELECT chain_id, array_to_string(chain, '_') AS chain, n FROM c"),
     "chain_subsequence_join": (subchains, f"WITH {_PAIRS} SELECT DISTINCT short_id, long_id, \"offset\" FROM sp"),
     "longest_chain_anti": (longest, f"WITH {_PAIRS} SELECT chain_id, n FROM c WHERE chain_id NOT IN (SELECT short_id FROM sp)"),
     "wildcard_chain_join": (wildcards, f"""
@@ -182,9 +121,6 @@ q AS (SELECT a.chain_id AS short_id, b.chain_id AS long_id, list_filter(range(0,
         len(list_filter(range(1, len(a.chain) + 1), lambda j: j = 2 OR a.chain[j] = b.chain[i + j])) = len(a.chain)) AS pos
       FROM f a JOIN (SELECT DISTINCT chain_id, chain, unnest(chain) AS x FROM f) b ON a.chain[1] = b.x AND len(b.chain) >= len(a.chain))
 SELECT DISTINCT short_id, long_id, pos[1] AS "offset" FROM q WHERE len(pos) > 0"""),
-    "classify_chain_matches": (classify, f"""
-WITH {_CHAIN}, {_READS} SELECT f.l_orderkey, CASE WHEN h.kind = 1 THEN 'FSM' WHEN h.kind = 2 THEN 'ISM' WHEN f.sj OR f.site THEN 'NIC' ELSE 'NNC' END AS class
-FROM f LEFT JOIN h ON h.l_orderkey = f.l_orderkey"""),
     "endpoint_compat": (endpoints, """
 WITH iv AS (SELECT l_suppkey AS chr, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s,
                    date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
@@ -192,18 +128,5 @@ m AS (SELECT chr, CAST(trunc(quantile_cont(s, 0.5)) AS BIGINT) AS ms, CAST(trunc
 SELECT iv.chr, CAST(sum(CAST(ms - s <= 350 AS INT)) AS BIGINT) AS start_ok, CAST(sum(CAST(e - me <= 350 AS INT)) AS BIGINT) AS end_ok,
        CAST(sum(CAST(ms - s <= 60 AS INT)) AS BIGINT) AS inner_start, CAST(sum(CAST(e - me <= 60 AS INT)) AS BIGINT) AS inner_end
 FROM iv JOIN m ON m.chr = iv.chr GROUP BY iv.chr"""),
-    "median_endpoints": (medians, """
-WITH iv AS (SELECT l_suppkey AS chr, l_returnflag, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s,
-                   date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e FROM lineitem)
-SELECT chr, l_returnflag, list_sort(list(s))[(count(*) - 1) // 2 + 1] AS start, list_sort(list(e))[count(*) // 2 + 1] AS "end" FROM iv GROUP BY chr, l_returnflag"""),
-    "exon_boundaries": (boundaries, """
-WITH iv AS (SELECT l_orderkey, l_linenumber, l_suppkey AS chr, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s,
-                   date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e FROM lineitem)
-SELECT l_orderkey, l_linenumber, chr, lag(e) OVER w AS exon_start, lead(s) OVER w AS exon_end FROM iv
-WINDOW w AS (PARTITION BY l_orderkey ORDER BY s, e, l_linenumber, chr)"""),
-    "valid_novel_chains": (valid_chains, """
-WITH o AS (SELECT user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS week, max(CAST(value > 5 AS INT)) AS p FROM events GROUP BY 1, 2, 3),
-t AS (SELECT user_id, event_type, CAST(sum(p) AS BIGINT) AS perfect, count(*) AS n FROM o GROUP BY 1, 2)
-SELECT user_id, min(perfect) AS least_perfect, bool_and(perfect >= 2 AND perfect >= n * 0.5) AS valid FROM t GROUP BY user_id"""),
     "em_allocation": (em, _EM),
 }

@@ -22,11 +22,6 @@ def support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.distinct_support(e, ["event_type", "bucket"], "user_id", "perfect")
 
 
-def support_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over pre-groups: here over buckets."""
-    return support(spark, sf_dir).groupBy("event_type").agg(F.sum("n_perfect").alias("n_perfect"), F.sum("n_all").alias("n_all"))
-
-
 def confident(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "error", 0).otherwise(1)
     s = support(spark, sf_dir).withColumn("tag", tag)
@@ -38,53 +33,11 @@ def strand_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", strand_vote(F.col("e0"), F.col("e1")).alias("strand"))
 
 
-def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First failing filter of each line item, counted in one aggregation."""
-    reason = (
-        F.when(F.col("l_returnflag") == "R", "flag").when(F.col("l_linestatus") == "O", "status").when(F.col("l_quantity") < 5, "quantity")
-        .when(F.col("l_tax") * 100 >= 7, "tax").otherwise("kept")
-    )
-    return table(spark, sf_dir, "lineitem").groupBy(reason.alias("drop_reason")).agg(F.count("*").alias("n"))
-
-
-def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters by key, summed over workers (suppliers)."""
-    per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("items"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("returned"), F.countDistinct("l_orderkey").alias("orders"))
-    long = per.unpivot("l_suppkey", ["items", "returned", "orders"], "key", "value")
-    return long.groupBy("key").agg(F.sum("value").alias("value"))
-
-
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey", "l_suppkey")
     return ct.best_record(rows, ["l_orderkey"], F.desc("l_extendedprice"), F.desc("l_quantity"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey"))
 
 
-def best_against_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose dearest line is at least 10 times their second."""
-    top = F.slice(F.reverse(F.array_sort(F.collect_list("l_extendedprice"))), 1, 2)
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(top.alias("x"))
-    rows = rows.select("l_orderkey", F.element_at("x", 1).alias("best"), F.try_element_at("x", F.lit(2)).alias("second"))
-    return rows.where("second is not null and best >= 10 * second")
-
-
-def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest text of each language and source (ties: smallest doc_id)."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    key = F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("i"))
-    top = d.groupBy("source", "lang").agg(F.max(key).alias("k"))
-    top = top.select("source", "lang", F.col("k.n").cast("long").alias("n"), (-F.col("k.i")).alias("doc_id"))
-    return top.join(d.select("doc_id", F.md5("text").alias("md5")), "doc_id")
-
-
-def strand_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order, the product over suppliers of the summed discounts, by status; the larger must be 10 times the other."""
-    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_suppkey").agg(F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"))
-    p = s.groupBy("l_orderkey", "l_linestatus").agg(F.product(F.col("d").cast("double")).alias("p"))
-    o = p.groupBy("l_orderkey").agg(F.coalesce(F.sum(F.when(F.col("l_linestatus") == "O", F.col("p"))), F.lit(0.0)).alias("p0"), F.coalesce(F.sum(F.when(F.col("l_linestatus") == "F", F.col("p"))), F.lit(0.0)).alias("p1"))
-    strand = F.when(F.col("p0") >= 10 * F.col("p1"), "0").when(F.col("p1") >= 10 * F.col("p0"), "1").otherwise("unknown")
-    return o.select("l_orderkey", "p0", "p1", strand.alias("strand"))
-
-
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 100).cast("long").alias("w"), F.lit(7.0).alias("total"))
     return ct.proportional_split(rows, ["l_orderkey"], "w", "total", "share").drop("total")
@@ -103,11 +56,6 @@ def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).groupBy("c_nationkey").pivot("c_mktsegment", names).agg(F.first("n")).na.fill(0.0)
 
 
-def any_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with at least one segment of 12 or more."""
-    return pivot(spark, sf_dir).where(F.greatest("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") >= 12).select("c_nationkey")
-
-
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
     side = lambda k: o.where(F.col("o_orderkey") % 2 == k).groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.collect_set("o_orderpriority").alias("items"))
@@ -125,14 +73,6 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_custkey", *[F.array_join(c, ",").alias(c) for c in ("only_a", "only_b", "both")])
 
 
-def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts summed over every gene in a comma-separated list: here a part's type and brand."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))
-    genes = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", "p_type", "p_brand").alias("genes"))
-    each = items.join(genes, F.col("l_partkey") == F.col("p_partkey")).select(F.explode(F.split("genes", ",")).alias("gene"), "q")
-    return each.groupBy("gene").agg(F.sum("q").alias("q"), F.count("*").alias("n"))
-
-
 def largest_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(*[F.sum((F.col("o_orderkey") % 2 == i).cast("double")).alias(f"n_{x}") for i, x in ((0, "a"), (1, "b"))])
     d = ct.with_differences(o, "n")
@@ -147,11 +87,6 @@ def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.round(F.corr("a", "b"), 3).alias("r_all"), F.round(F.corr(F.when(near, F.col("a")), F.when(near, F.col("b"))), 3).alias("r_near"), F.count(F.when(near, 1)).alias("n_near"))
 
 
-def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = compare(spark, sf_dir)
-    return d.groupBy(F.least(F.floor(F.col("abs_diff") / 2), F.lit(5)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.sum((F.col("ratio_diff") > 1).cast("long")).alias("over"))
-
-
 def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", F.lit(1).alias("n"))
     x = ct.chi_square(rows, ["l_suppkey"], "l_returnflag", "l_linestatus", "n")
@@ -163,40 +98,6 @@ def fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.bh_fdr(p, "p", "q").select("p_partkey", c_round(F.col("q"), 9).alias("q"))
 
 
-def key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys in either or both of two sources: customers with orders, and of one segment."""
-    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("a", F.lit(1))
-    b = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k")).withColumn("b", F.lit(1))
-    x = a.join(b, "k", "full_outer")
-    return x.agg(F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"))
-
-
-def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers dealt to jobs of about 5,000 line items each."""
-    sizes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    return ct.balanced_bins(sizes, "l_suppkey", "n", 5000)
-
-
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of a user's events at most an hour apart: interval merging over time as a session window."""
-    e = table(spark, sf_dir, "events")
-    s = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("largest"))
-
-
-def sample_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-tailed binomial test of each supplier's returned share against the share of all."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    per = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("k"))
-    share = per.agg(F.sum("k") / F.sum("n")).first()[0]
-
-    def tail(batches):
-        for b in batches:
-            yield b[["l_suppkey", "n", "k"]].assign(p_value=[ct.binomial_sf(int(k), int(n), share) for k, n in zip(b.k, b.n, strict=True)]) if len(b) else pd.DataFrame({"l_suppkey": [], "n": [], "k": [], "p_value": []})
-
-    return per.mapInPandas(tail, "l_suppkey long, n long, k long, p_value double")
-
-
 _HALF = """
 o AS (SELECT o_custkey, o_orderkey % 2 AS h, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
 f AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.n AS n_a, b.n AS n_b
@@ -210,41 +111,21 @@ _PIVOT = "pv AS (SELECT c_nationkey, " + ", ".join(f"coalesce(max(CASE WHEN c_mk
 
 QUERIES: dict[str, Query] = {
     "sj_support_counts": (support, f"WITH {_SUPPORT} SELECT event_type, bucket, n_perfect, n_all FROM sup"),
-    "sj_support_totals": (support_totals, f"WITH {_SUPPORT} SELECT event_type, CAST(sum(n_perfect) AS BIGINT) AS n_perfect, CAST(sum(n_all) AS BIGINT) AS n_all FROM sup GROUP BY event_type"),
     "high_confidence_filter": (confident, f"""
 WITH {_SUPPORT}, t AS (SELECT *, CASE event_type WHEN 'view' THEN 2 WHEN 'error' THEN 0 ELSE 1 END AS tag FROM sup)
 SELECT event_type, bucket, tag = 2 OR (tag = 1 AND n_perfect >= 2 AND n_perfect >= n_all * 0.7::DOUBLE) AS is_hc FROM t"""),
     "strand_vote": (strand_votes, """
 WITH e AS (SELECT l_orderkey, bool_or(l_returnflag = 'A') AS e0, bool_or(l_returnflag = 'R') AS e1 FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CASE WHEN e0 AND NOT e1 THEN '0' WHEN e1 AND NOT e0 THEN '1' ELSE 'x' END AS strand FROM e"""),
-    "ordered_drop_reasons": (drop_reasons, """
-SELECT CASE WHEN l_returnflag = 'R' THEN 'flag' WHEN l_linestatus = 'O' THEN 'status' WHEN l_quantity < 5 THEN 'quantity'
-            WHEN l_tax * 100 >= 7 THEN 'tax' ELSE 'kept' END AS drop_reason, count(*) AS n FROM lineitem GROUP BY 1"""),
-    "summary_counters": (summaries, """
-WITH p AS (SELECT l_suppkey, count(*) AS items, sum(CAST(l_returnflag = 'R' AS BIGINT)) AS returned, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1)
-SELECT 'items' AS key, CAST(sum(items) AS BIGINT) AS value FROM p UNION ALL SELECT 'returned', CAST(sum(returned) AS BIGINT) FROM p UNION ALL SELECT 'orders', CAST(sum(orders) AS BIGINT) FROM p"""),
     "best_record_dedupe": (best, """
 WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_partkey, l_suppkey,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_partkey, l_suppkey FROM r WHERE k = 1"""),
-    "best_against_second": (best_against_second, """
-WITH r AS (SELECT l_orderkey, list_reverse_sort(list(l_extendedprice)) AS x FROM lineitem GROUP BY 1)
-SELECT l_orderkey, x[1] AS best, x[2] AS second FROM r WHERE len(x) > 1 AND x[1] >= 10 * x[2]"""),
-    "full_value_recovery": (recovery, """
-WITH r AS (SELECT source, lang, doc_id, length(text) AS n, text, row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) AS k FROM documents WHERE text IS NOT NULL)
-SELECT source, lang, n, doc_id, md5(text) AS md5 FROM r WHERE k = 1"""),
-    "strand_product_rule": (strand_products, """
-WITH s AS (SELECT l_orderkey, l_linestatus, l_suppkey, sum(CAST(round(l_discount * 100) AS BIGINT)) AS d FROM lineitem GROUP BY 1, 2, 3),
-p AS (SELECT l_orderkey, l_linestatus, product(d) AS p FROM s GROUP BY 1, 2),
-o AS (SELECT l_orderkey, coalesce(sum(CASE WHEN l_linestatus = 'O' THEN p END), 0.0::DOUBLE) AS p0, coalesce(sum(CASE WHEN l_linestatus = 'F' THEN p END), 0.0::DOUBLE) AS p1 FROM p GROUP BY 1)
-SELECT l_orderkey, p0, p1, CASE WHEN p0 >= 10 * p1 THEN '0' WHEN p1 >= 10 * p0 THEN '1' ELSE 'unknown' END AS strand FROM o"""),
     "proportional_split": (split, """
 WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_discount * 100) AS BIGINT) AS w FROM lineitem)
 SELECT *, printf('%.2f', 7.0::DOUBLE * CASE WHEN sum(w) OVER k = 0 THEN 1.0::DOUBLE / count(*) OVER k ELSE w::DOUBLE / (sum(w) OVER k)::DOUBLE END)::DOUBLE AS share
 FROM r WINDOW k AS (PARTITION BY l_orderkey)"""),
     "cpm_normalize": (cpm, f"WITH {_SEG} SELECT c_nationkey, c_mktsegment, n, printf('%.2f', n * 1e6::DOUBLE / sum(n) OVER (PARTITION BY c_mktsegment))::DOUBLE AS cpm FROM g"),
-    "abundance_pivot": (pivot, f"WITH {_SEG}, {_PIVOT} SELECT * FROM pv"),
-    "any_sample_minimum": (any_minimum, f"WITH {_SEG} SELECT DISTINCT c_nationkey FROM g WHERE n >= 12"),
     "full_outer_compare": (compare, f"WITH {_HALF} SELECT * FROM df"),
     "set_diff_compare": (set_difference, """
 WITH s AS (SELECT o_custkey, o_orderkey % 2 AS h, list_sort(list(DISTINCT o_orderpriority)) AS x FROM orders GROUP BY 1, 2),
@@ -252,10 +133,6 @@ f AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.x, [])
       FROM (SELECT * FROM s WHERE h = 0) a FULL JOIN (SELECT * FROM s WHERE h = 1) b ON a.o_custkey = b.o_custkey),
 d AS (SELECT o_custkey, list_filter(a, lambda v: NOT list_contains(b, v)) AS oa, list_filter(b, lambda v: NOT list_contains(a, v)) AS ob, list_filter(a, lambda v: list_contains(b, v)) AS bo FROM f)
 SELECT o_custkey, coalesce(array_to_string(oa, ','), '') AS only_a, coalesce(array_to_string(ob, ','), '') AS only_b, coalesce(array_to_string(bo, ','), '') AS both FROM d WHERE len(oa) + len(ob) > 0"""),
-    "gene_rollup": (rollup, """
-WITH i AS (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
-x AS (SELECT unnest([p_type, p_brand]) AS gene, q FROM i JOIN part ON l_partkey = p_partkey)
-SELECT gene, sum(q) AS q, count(*) AS n FROM x GROUP BY gene"""),
     "max_diff": (largest_difference, """
 WITH o AS (SELECT o_custkey, o_orderpriority, sum(CAST(o_orderkey % 2 = 0 AS DOUBLE)) AS a, sum(CAST(o_orderkey % 2 = 1 AS DOUBLE)) AS b FROM orders GROUP BY 1, 2),
 d AS (SELECT o_custkey, greatest(a, b) - least(a, b) AS ad, CASE WHEN a = b THEN 0.0::DOUBLE WHEN least(a, b) = 0 THEN -1.0::DOUBLE ELSE round((greatest(a, b) - least(a, b)) / least(a, b), 2) END AS rd FROM o)
@@ -263,7 +140,6 @@ SELECT o_custkey, max(ad) AS max_abs, max(rd) AS max_ratio, count(*) AS n FROM d
     "pearson_zoom": (pearson, f"""
 WITH {_HALF} SELECT round(corr(a, b), 3) AS r_all, round(corr(CASE WHEN a <= 6 AND b <= 6 THEN a END, CASE WHEN a <= 6 AND b <= 6 THEN b END), 3) AS r_near,
 count(CASE WHEN a <= 6 AND b <= 6 THEN 1 END) AS n_near FROM z"""),
-    "histogram_bins": (histogram, f"WITH {_HALF} SELECT CAST(least(floor(abs_diff / 2), 5) AS BIGINT) AS bin, count(*) AS n, CAST(sum(CAST(ratio_diff > 1 AS BIGINT)) AS BIGINT) AS over FROM df GROUP BY 1"),
     "chi_square_stat": (chi_square, """
 WITH c AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*)::DOUBLE AS o FROM lineitem GROUP BY 1, 2, 3),
 r AS (SELECT l_suppkey, l_returnflag, sum(o) AS r FROM c GROUP BY 1, 2), k AS (SELECT l_suppkey, l_linestatus, sum(o) AS c FROM c GROUP BY 1, 2),
@@ -277,14 +153,4 @@ SELECT l_suppkey, printf('%.6f', sum(x * x / e))::DOUBLE AS chi2, CAST(any_value
 WITH p AS (SELECT p_partkey, (p_partkey * 7919 % 1009)::DOUBLE / 1009 * (p_partkey * 104729 % 997) / 997 AS p FROM part),
 k AS (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM p)
 SELECT p_partkey, printf('%.9f', least(1.0::DOUBLE, min(p * m / r) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))::DOUBLE AS q FROM k"""),
-    "key_overlap_counts": (key_overlap, """
-WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment <> 'BUILDING'),
-x AS (SELECT a.k AS a, b.k AS b FROM a FULL JOIN b ON a.k = b.k)
-SELECT count(CASE WHEN b IS NULL THEN 1 END) AS only_a, count(CASE WHEN a IS NULL THEN 1 END) AS only_b, count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) AS both FROM x"""),
-    "bin_pack_balance": (balance, None),
-    "session_merge": (sessions, """
-WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g), c AS (SELECT user_id, i, count(*) AS n FROM s GROUP BY 1, 2)
-SELECT user_id, count(*) AS sessions, max(n) AS largest FROM c GROUP BY 1"""),
-    "binomial_tail_test": (sample_tests, None),
 }

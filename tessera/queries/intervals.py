@@ -94,26 +94,6 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.coverage_segments(alignments(spark, sf_dir), ["chr"], "s", "e", "l_discount", BIN)
 
 
-def sortedness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order that begin before the one listed before them."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "s", "e", "chr")
-    rows = alignments(spark, sf_dir).withColumn("before", F.lag("s").over(w))
-    return rows.groupBy("chr").agg(F.count("*").alias("n"), F.sum(F.when(F.col("s") < F.col("before"), 1).otherwise(0)).alias("unsorted"))
-
-
-def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extents by supplier and flag, as genes of a chromosome."""
-    return alignments(spark, sf_dir).groupBy("chr", "l_returnflag").agg(F.min("s").alias("g_start"), F.max("e").alias("g_end"))
-
-
-def introns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps between an order's merged line items: introns between a transcript's exons."""
-    exon = iv.merge_intervals(alignments(spark, sf_dir), ["l_orderkey"], "s", "e", bin_width=1 << 20)
-    w = Window.partitionBy("l_orderkey").orderBy("g_start")
-    gap = exon.withColumn("next", F.lead("g_start").over(w)).where("next is not null")
-    return gap.groupBy(F.col("g_end").alias("start"), F.col("next").alias("end")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first"))
-
-
 _CLUSTERS = """
 r AS (SELECT p_brand, CAST(round(p_retailprice * 10) AS BIGINT) AS s, CAST(round(p_retailprice * 10) AS BIGINT) + 20 * p_size AS e,
              min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2, 3),
@@ -154,16 +134,4 @@ WITH {_IV}, ev AS (SELECT chr, s AS p, CAST(l_discount AS DECIMAL(28, 6)) AS d F
 st AS (SELECT chr, p, sum(d) AS d FROM ev GROUP BY chr, p HAVING sum(d) <> 0),
 dp AS (SELECT chr, p AS seg_start, lead(p) OVER w AS seg_end, sum(d) OVER (PARTITION BY chr ORDER BY p ROWS UNBOUNDED PRECEDING) AS depth FROM st WINDOW w AS (PARTITION BY chr ORDER BY p))
 SELECT chr, seg_start, seg_end, CAST(depth AS DOUBLE) AS depth FROM dp WHERE depth > 0"""),
-    "sortedness_check": (sortedness, f"""
-WITH {_IV}, x AS (SELECT chr, s, lag(s) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, s, e, chr) AS before FROM iv)
-SELECT chr, count(*) AS n, CAST(sum(CASE WHEN s < before THEN 1 ELSE 0 END) AS BIGINT) AS unsorted FROM x GROUP BY chr"""),
-    "gene_extents": (extents, f"WITH {_IV} SELECT chr, l_returnflag, min(s) AS g_start, max(e) AS g_end FROM iv GROUP BY chr, l_returnflag"),
-    "introns_from_exons": (introns, f"""
-WITH {_IV}, fl AS (
-  SELECT l_orderkey, s, e, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w THEN 1 ELSE 0 END AS fresh FROM iv
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), il AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM fl),
-ex AS (SELECT l_orderkey, min(s) AS gs, max(e) AS ge FROM il GROUP BY l_orderkey, i),
-gp AS (SELECT l_orderkey, ge, lead(gs) OVER (PARTITION BY l_orderkey ORDER BY gs) AS nx FROM ex)
-SELECT ge AS start, nx AS "end", count(*) AS n, min(l_orderkey) AS first FROM gp WHERE nx IS NOT NULL GROUP BY ge, nx"""),
 }

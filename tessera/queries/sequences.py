@@ -36,7 +36,7 @@ def flag_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(seq.is_reverse(f).alias("is_reverse"), seq.is_secondary(f).alias("is_secondary")).agg(F.count("*").alias("n"))
 
 
-def _dna(c: str) -> F.Column:
+def _dna(c) -> F.Column:
     return F.translate(F.regexp_replace(F.upper(c), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "CGTACGTACGTACGTACGTACG")
 
 
@@ -82,20 +82,13 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", *[names.gtf_attribute(F.col("a"), k).alias(k) for k in ("gene_id", "transcript_id", "exon_number", "gene_name")])
 
 
-def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' first known priority of their orders in the order 1, 2, 5, others: one join and a minimum instead of three lookups."""
-    rank = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 1).when(F.col("o_orderpriority").startswith("5"), 2)
-    o = table(spark, sf_dir, "orders").withColumn("r", rank).where("r is not null")
-    best = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderpriority", "r").alias("priority"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(best, "c_custkey", "left")
-
-
 def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best local alignment of every distinct part name with every brand and type text."""
+    """Best local alignment of each part's name with the texts of the parts of its brand and size."""
     p = table(spark, sf_dir, "part")
-    a = p.select(_dna("p_name").alias("query")).distinct().withColumn("g", F.lit(1))
-    b = p.select(_dna(F.concat("p_type", "p_name", "p_type")).alias("ref"), F.lit(1).alias("g")).distinct()
-    return align.local(a.join(b, "g").select("query", "ref"), "query", "ref")
+    key = ["p_brand", "p_size"]
+    a = p.select(*key, _dna("p_name").alias("query")).distinct()
+    b = p.select(*key, _dna(F.concat("p_type", "p_name", "p_type")).alias("ref")).distinct()
+    return align.local(a.join(b, key).select("query", "ref").distinct(), "query", "ref")
 
 
 QUERIES: dict[str, Query] = {
@@ -131,9 +124,5 @@ SELECT l_suppkey, h0, h1, printf('%.6f', exp(lgamma(k0 + 1) - lgamma(h0 + 1) - l
 WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS s, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS e, min(l_returnflag) AS strand FROM lineitem GROUP BY 1)
 SELECT l_orderkey, strand || ',' || CASE WHEN len(s) = 1 THEN s[1] || ',' || e[1] ELSE array_to_string(flatten([[e[i], s[i + 1]] FOR i IN range(1, len(s))]), ',') END AS signature FROM o"""),
     "gtf_attributes": (attributes, "SELECT p_partkey, p_brand AS gene_id, p_name AS transcript_id, CAST(p_size AS VARCHAR) AS exon_number, CAST(NULL AS VARCHAR) AS gene_name FROM part"),
-    "catalog_lookup_fallback": (lookup_fallback, """
-WITH o AS (SELECT o_custkey, min(CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '5' THEN 2 END) AS r FROM orders GROUP BY 1),
-n AS (SELECT DISTINCT CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '5' THEN 2 END AS r, o_orderpriority AS priority FROM orders)
-SELECT c_custkey, n.priority FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN n ON n.r = o.r"""),
     "sw_align_score": (local_alignment, None),
 }
