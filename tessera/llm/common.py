@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,25 +16,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 CHUNK_BYTES = 8 << 20
 SEGMENT = 1 << 20
 U64 = np.uint64
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder of spark.checkpoint.dir and read back.
+#: df written in the shared folder of spark.checkpoint.dir and read back; the planner then knows its true size
+#: (that of DataFrame.checkpoint() is a product of its inputs' and outgrows all bounds in loops).
+checkpoint = stored
 
-    Lineage is cut, columns can be pruned, and the planner knows the table's true size (that of
-    DataFrame.checkpoint() is a product of its inputs' and outgrows all bounds in loops). A local
-    folder is set only where the session names none (tests).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ ... that is no column of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
@@ -58,7 +55,7 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast df only after counting that it has at most max_rows rows; else a shuffle join."""
+    """Broadcast df only after counting that it has at most max_rows rows; else a shuffle join. For rows of bounded size."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, checkpoint
+from .common import checkpoint, unused
 
 RATIO = 0.1
 MIN_PAGES = 5
-HOSTS_TO_BROADCAST = 200_000
+LINES_TO_BROADCAST = 2_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -38,19 +38,26 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
     A line is compared without the spaces around it; blank lines stay and never count. A page counts
     once for a line it repeats, and loses every copy of it. Lines on fewer than min_pages pages of
-    the host stay, so that small hosts keep their own text. Null text stays null; the lines left
-    keep their order. A repeated row counts as a page each time.
+    the host stay, so that small hosts keep their own text. Null text stays null, empty text empty; the
+    lines left keep their order. A null host is a host of its own. A repeated row counts as a page each
+    time. An empty table gives an empty one. Texts and lines of any length count whole. Columns of docs
+    keep their names; if docs has a column `count` already, the new one gets underscores at its end.
     """
     drops = checkpoint(boilerplate(docs, host, text, ratio, min_pages))
-    own, mine = "__host__", "__drops__"
-    small = broadcast_if(drops.select(F.col("host").alias(own), F.col("drops").alias(mine)), HOSTS_TO_BROADCAST)
+    own, mine = unused(docs, "__host__"), unused(docs, "__drops__")
+    small = drops.select(F.col("host").alias(own), F.col("drops").alias(mine))
+    lines_held = drops.agg(F.coalesce(F.sum(F.size("drops")), F.lit(0)) + F.count("*")).first()[0]
+    small = F.broadcast(small) if lines_held <= LINES_TO_BROADCAST else small  # 16 bytes a line
     lines = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(mine), line_key(x)))
+    bad = unused(docs, "__bad__")
     joined = docs.join(small, F.col(f"`{host}`").eqNullSafe(F.col(own)), "left")
-    cleaned = F.when(F.col(mine).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn(bad, F.array_intersect(F.transform(lines, line_key), F.col(mine)))  # by hash sets: no page is compared line by line with all of its host's
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bad), line_key(x)))
+    none = F.col(bad).isNull() | (F.size(bad) == 0)
+    cleaned = F.when(none, F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
     out = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if count:
-        out.append(F.when(F.col(mine).isNull() | F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(count))
+        out.append(F.when(none, F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(unused(docs, count)))
     return joined.select(*out)
 
 
