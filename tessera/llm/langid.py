@@ -17,28 +17,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpoint, chunks, columns_first, held_out, may_learn
+from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, held_out, may_learn
 
 DIM = 1024
-SYMBOLS = 128
+SYMBOLS = 256
 SEED = 4
 CHUNK = 1 << 18
+LANGUAGES_TO_BROADCAST = 100_000
 UNKNOWN = "und"
 #: Letters with a symbol of their own beside a-z; others share the rest by code point.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœąćęłńśźżčďěňřšťůž"
+OWN = "abcdefghijklmnopqrstuvwxyz" + ACCENTED
+
+
+def symbol(c: str) -> int:
+    """0 for no letter; small and capital forms of a letter are one symbol."""
+    if not c.isalpha():
+        return 0
+    c = c.lower()[0]
+    own = OWN.find(c)
+    return own + 1 if own >= 0 else len(OWN) + 1 + ord(c) % (SYMBOLS - 1 - len(OWN))
 
 
 @functools.cache
 def letter_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane: 0 for no letter."""
-    table = np.zeros(1 << 16, np.uint8)
-    own = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED)}
-    shared = SYMBOLS - 1 - len(own)
-    for code in range(1 << 16):
-        c = chr(code)
-        if c.isalpha():
-            table[code] = own.get(c.lower(), len(own) + 1 + code % shared)
-    return table
+    """Symbol of each code point of the basic plane."""
+    return np.array([symbol(chr(code)) for code in range(1 << 16)], np.uint8)
 
 
 @functools.cache
@@ -53,21 +57,30 @@ def ngram_vectors(codes: np.ndarray) -> np.ndarray:
     return first[codes // (SYMBOLS * SYMBOLS)] * second[codes // SYMBOLS % SYMBOLS] * v[codes % SYMBOLS]
 
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each text between two non-letters and runs of non-letters made one; text number of each."""
-    joined = " ".join(["", *texts, ""])
-    point = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+def raw_symbols(text: str) -> np.ndarray:
+    point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     s = letter_table()[np.minimum(point, 0xFFFF)]
     if (beyond := point > 0xFFFF).any():
         far, place = np.unique(point[beyond], return_inverse=True)
-        s[beyond] = np.array([SYMBOLS - 1 if chr(c).isalpha() else 0 for c in far.tolist()], np.uint8)[place]
+        s[beyond] = np.array([symbol(chr(c)) for c in far.tolist()], np.uint8)[place]
+    return s
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, each text between two non-letters and runs of non-letters made one; text number of each."""
+    s = raw_symbols(" ".join(["", *texts, ""]))
     ends = np.cumsum([len(t) + 1 for t in texts])
     owner = np.zeros(len(s), np.int64)
     owner[ends[:-1][ends[:-1] < len(s)]] = 1
     owner = np.cumsum(owner)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (owner[1:] != owner[:-1])
-    return s[keep].astype(np.int64), owner[keep]
+    return s[keep], owner[keep]
+
+
+def _codes(s: np.ndarray) -> np.ndarray:
+    s = s.astype(np.int64)
+    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
 def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +88,7 @@ def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     s, owner = symbols(texts)
     letters = np.bincount(owner[s > 0], minlength=len(texts))
     same = owner[2:] == owner[:-2]
-    code = ((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])[same]
+    code = _codes(s)[same]
     own = owner[2:][same]
     used, column = np.unique(code, return_inverse=True)
     counts = np.bincount(own * len(used) + column, minlength=len(texts) * len(used)).reshape(len(texts), -1)
@@ -85,8 +98,22 @@ def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, letters
 
 
+def bundle_long(text: str) -> tuple[np.ndarray, int]:
+    """bundle([text]) of one text of any length: its symbols are a byte each, and their trigrams are summed piece by piece."""
+    s = np.concatenate([np.zeros(1, np.uint8), *[raw_symbols(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)], np.zeros(1, np.uint8)])
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
+    s = s[keep]
+    out = np.zeros(DIM, np.float64)
+    for at in range(0, max(0, len(s) - 2), CHUNK):  # pieces share two symbols, so that each trigram is in one
+        used, n = np.unique(_codes(s[at : at + CHUNK + 2]), return_counts=True)
+        for i in range(0, len(used), 2048):
+            out += n[i : i + 2048].astype(np.float64) @ ngram_vectors(used[i : i + 2048]).astype(np.float64)
+    return out, int((s > 0).sum())
+
+
 def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """bundle() in slices of bounded size: few texts at once, and a very long text piece by piece (pieces share two letters)."""
+    """bundle() in slices of bounded size: few texts at once, and a very long text by itself."""
     sums, letters = np.zeros((len(texts), DIM), np.float64), np.zeros(len(texts), np.int64)
     batch: list[int] = []
     size = 0
@@ -100,10 +127,7 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not t:
             continue
         if len(t) > CHUNK:
-            for at in range(0, len(t), CHUNK):
-                part, n = bundle([t[max(0, at - 2) : at + CHUNK]])
-                sums[i] += part[0]
-                letters[i] += n[0]
+            sums[i], letters[i] = bundle_long(t)
             continue
         if len(batch) == 64 or size + len(t) > CHUNK:
             flush()
@@ -121,20 +145,22 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def labelled(docs: DataFrame, per_language: int) -> DataFrame | None:
     """text and lang of the rows to learn from: about per_language of each language. None where no row has a label."""
-    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
+    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if counts.isEmpty():
         return None
-    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).select("text", "lang")
+    rate = broadcast_if(counts.select("lang", (F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * (1 << 20)).alias("rate")), LANGUAGES_TO_BROADCAST)
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate")
+    return rows.join(rate, "lang").where(drawn).select("text", "lang")
 
 
 def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
     """Prototype of each language: the sum of its documents' unit bundles, rounded to 1/4096.
 
     docs: doc_id, text, lang. Rows whose fold is held out, and null ids, texts or languages take no
-    part. About per_language documents of each language are taken, by a hash of text and id; of
-    languages with fewer, all are.
+    part; texts without a letter add nothing. About per_language documents of each language are taken,
+    by a hash of id and text; of languages with fewer, all are. Exactly repeated rows are taken
+    together or not at all. An empty table teaches nothing. The driver holds a prototype for each value of lang.
     """
     rows = labelled(docs, per_language)
     if rows is None:
@@ -170,8 +196,8 @@ def least_levels(docs: DataFrame, prototypes: dict[str, np.ndarray], per_languag
     least a quarter of their median (else labelled junk would let junk through) and at most half of
     it. A language of one document has no level to go by: 0.
     """
-    rows = labelled(docs, per_language)
-    if rows is None or not prototypes:
+    rows = labelled(docs, per_language) if prototypes else None
+    if rows is None:
         return {}
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
 
@@ -228,7 +254,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], add: tuple[str,
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, learned from docs' own labels."""
+    """doc_id, held_out, lang_pred, score of every row, learned from docs' own labels.
+
+    Null ids are never held out; repeated rows each get their own row. Null, empty and letterless texts
+    are `und` with score 0, as are all where no row has a label. Texts count whole at any length. An
+    empty table gives no row. Other columns of docs are ignored.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     prototypes = learn(docs)
     out = predict(docs.select("doc_id", "text"), prototypes)
