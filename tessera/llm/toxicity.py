@@ -9,16 +9,18 @@ labels alone, and then point at the offending sentences.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, columns_first, held_out, may_learn
+from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, held_out, may_learn
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,6 +55,15 @@ def distinct_sentences(texts: Iterable[str]) -> Iterator[set[str]]:
                 yield {f for w in words for f in features(w)}
 
 
+def without_beginnings(features: list[str]) -> list[str]:
+    """Of features that stand equally often, those that no other begins with: a beginning that counts as much as the whole stands in the same sentences."""
+    kept: list[str] = []
+    for f in sorted(features, key=lambda x: (-len(x.rstrip("*")), x)):
+        if not any(k.startswith(f.rstrip("*")) and (f.endswith("*") or k == f + "*") for k in kept):
+            kept.append(f)
+    return kept
+
+
 def select_features(clean: list[str], toxic: list[str], evidence: float) -> list[str]:
     """Features likelier in toxic documents' sentences than chance: their log-likelihood ratio reaches `evidence`.
 
@@ -81,12 +92,11 @@ def select_features(clean: list[str], toxic: list[str], evidence: float) -> list
         n = no + yes
         return (yes * np.log(yes / (n * share)) if yes > n * share else 0.0) + (no * np.log(no / (n * (1 - share))) if no else 0.0)
 
-    best: dict[tuple[str, int, int], str] = {}
+    alike: dict[tuple[str, int, int], list[str]] = {}
     for f, yes in hits.items():
         if ratio(misses[f], yes) >= evidence and yes > (yes + misses[f]) * share:
-            key = (f[:4], misses[f], yes)  # beginnings that stand in the same sentences say the same: the longest stays
-            best[key] = max(f, best.get(key, ""), key=lambda x: (len(x), x))
-    return sorted(best.values())
+            alike.setdefault((f[:4], misses[f], yes), []).append(f)
+    return sorted(f for same in alike.values() for f in without_beginnings(same))
 
 
 def fit(texts: list[str], labels: np.ndarray, evidence: float = 8.0, rounds: int = 400, l2: float = 1e-3) -> Model:
@@ -123,46 +133,86 @@ def fit(texts: list[str], labels: np.ndarray, evidence: float = 8.0, rounds: int
     return Model({t: float(x) for t, x in zip(words, w, strict=True) if x > 0}, leak)
 
 
-class Evidence(dict):
-    """word -> its features that have a weight, looked up once for each word; bounded."""
-
-    def __init__(self, model: Model, most: int = 400_000):
-        super().__init__()
-        self.weights, self.most = model.weights, most
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found = tuple([f for f in features(word) if f in self.weights])
-        return found
+class Evidence:
+    """Finds the model's features in text by one automaton; a word or beginning counts where a word begins."""
+
+    def __init__(self, model: Model):
+        self.weights = model.weights
+        texts: dict[str, list[str]] = {}
+        for f in model.weights:
+            texts.setdefault(f.rstrip("*"), []).append(f)
+        self.automaton = ahocorasick.Automaton()
+        for t, features_ in texts.items():
+            self.automaton.add_word(t, (len(t), features_))
+        if texts:
+            self.automaton.make_automaton()
+        self.empty = not texts
+
+    def __call__(self, lowered: str) -> set[str]:
+        """Features of a lower-case text."""
+        hit: set[str] = set()
+        if self.empty:
+            return hit
+        for last, (size, features_) in self.automaton.iter(lowered):
+            at = last - size
+            if at >= 0 and WORD.match(lowered, at):
+                continue
+            inside = last + 1 < len(lowered) and WORD.match(lowered, last + 1) is not None
+            hit.update(f for f in features_ if f[-1] == "*" or not inside)
+        return hit
 
 
 def chances(text: str | None, evidence: Evidence) -> list[tuple[int, int, float]]:
     """(start, end, chance) of each sentence that holds evidence."""
-    if not text or not any([evidence[w] for w in set(WORD.findall(text.lower()))]):
+    if not text or not evidence(text.lower()):
         return []
     out = []
-    for a, b, words in sentences(text):
-        hit = {f for w in words for f in evidence[w]}
-        if hit:
+    for m in SENTENCE.finditer(text):
+        if hit := evidence(m[0].lower()):
             z = FLOOR + sum([evidence.weights[f] for f in sorted(hit)])
-            out.append((a, b, 1 / (1 + np.exp(-z))))
+            out.append((m.start(), m.end(), 1 / (1 + np.exp(-z))))
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_chars: int = 20_000) -> Model:
-    """Fit on a bounded sample: about per_class labelled rows of each class with at most max_chars characters.
+def shorten(text: str, most: int) -> str:
+    """A text of at most `most` characters: whole, or sentences drawn by hash from all of it, in order; a sentence is cut after every 100 words."""
+    if len(text) <= most:
+        return text
+    parts = [" ".join(words[i : i + 100]) for m in SENTENCE.finditer(text) if (words := m[0].split()) for i in range(0, len(words), 100)]
+    drawn, size = [], 0
+    for i in sorted(range(len(parts)), key=lambda i: zlib.crc32(f"{i} {parts[i]}".encode("utf-8", "surrogatepass"))):
+        if size + len(parts[i]) + 2 <= most:
+            drawn.append(i)
+            size += len(parts[i]) + 2
+    return ". ".join(parts[i] for i in sorted(drawn))
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_chars: int = 8000) -> Model:
+    """Fit on a bounded sample: about per_class labelled texts of each class, of longer ones max_chars characters of sentences drawn from the whole text.
 
     docs: doc_id, text; labels: doc_id, toxic. Held-out folds, null ids, texts and labels take no part.
-    Labels that contradict each other for one id count as toxic.
+    Labels that contradict each other for one id count as toxic; an exactly repeated row counts once,
+    several texts of one id count each. Empty tables, or one class alone, teach a constant.
     """
     rows = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / counts.get(0, 1))))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < rate * (1 << 20))
-    taken = docs.where(F.length("text") <= max_chars).join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # at most about 2 * per_class ids
-    taken = taken.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(taken["text"].to_pylist(), taken["toxic"].to_numpy())
+    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).withColumn("t", F.xxhash64("text"))
+    known = checkpoint(texts.select("doc_id", "t").join(rows, "doc_id").distinct())
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rate = lambda y: F.lit(min(1.0, per_class / counts.get(y, 1)) * (1 << 20))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", "t", F.lit(2)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
+    taken = texts.join(broadcast_if(checkpoint(drawn), 16 * per_class), ["doc_id", "t"])
+    long = F.length("text") > max_chars
+
+    def run(batches):
+        for b in chunks(batches, "text", 1 << 20):
+            cut = [shorten(t, max_chars) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), b.column("toxic"), pa.array(cut, pa.string())], ["doc_id", "t", "toxic", "text"])
+
+    schema = "doc_id long, t long, toxic int, text string"
+    whole = taken.where(~long).select("doc_id", "t", "toxic", "text")
+    cut = taken.where(long).select("doc_id", "t", "toxic", "text").mapInArrow(run, schema)
+    sample = whole.unionByName(cut).dropDuplicates(["doc_id", "t"]).toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
+    return fit(sample["text"].to_pylist(), sample["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -189,7 +239,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.3), offending of every row of docs."""
+    """doc_id, held_out, score, predicted (score >= 0.3), offending of every row of docs.
+
+    Null ids are never held out, repeated rows each get their own row, null and empty texts score the
+    leak alone, texts count whole at any length. An empty docs gives no row; empty labels score all 0.
+    Other columns of either table are ignored.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     out = score(docs, learn(docs, labels))
