@@ -2,7 +2,10 @@
 
 Distinct pre-tokens of about one length form the rows of a matrix of token ids. In each round
 every row merges its leftmost pair of minimum rank, found through a hashed pair table; rows with
-no pair left leave the matrix (compaction). Pre-tokens seen lately are kept in a bounded cache.
+no pair left leave the matrix (compaction). A long pre-token is a matrix of one row, in which a
+round merges all places of the minimum-rank pair, from the left, where that can't open a pair of a
+lower rank: it takes a round for each rank that occurs, not for each merge. Pre-tokens seen lately
+are kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -10,7 +13,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 
 import numpy as np
 import public_tokenizers
@@ -23,8 +25,8 @@ from .common import bounded_batches, chunks, columns_first
 
 NONE = np.int32(2**31 - 1)
 BITS = 20
-#: Pre-tokens longer than this many bytes merge through a heap instead: a matrix takes as many rounds as merges.
-MATRIX_BYTES = 1024
+#: Pre-tokens longer than this many bytes are alone in their matrix.
+MATRIX_BYTES = 256
 CACHE = 250_000
 
 
@@ -82,7 +84,7 @@ class Vocabulary:
             if (whole := self.ids.get(p)) is not None:
                 out[i] = [whole]
             elif len(p) > MATRIX_BYTES:
-                out[i] = self._heap(p)
+                out[i] = self._row(p)
             else:
                 buckets.setdefault(len(p) if len(p) <= 16 else -(-len(p) // 8) * 8 if len(p) <= 128 else -(-len(p) // 128) * 128, []).append(i)
         for width, rows in buckets.items():
@@ -121,32 +123,27 @@ class Vocabulary:
                 right = at < rank.shape[1]
                 rank[line[right], at[right]] = self.pair(token[line[right], at[right]], token[line[right], at[right] + 1])
 
-    def _heap(self, piece: bytes) -> list[int]:
-        token = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(token)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        table = self.table
-        heap = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := table.get((token[i], token[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if token[i] != a or j < 0 or token[j] != b:
-                continue
-            token[i], token[j] = r, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                if (x := table.get((r, token[after[i]]))) is not None:
-                    heapq.heappush(heap, (x, i, r, token[after[i]]))
-            if before[i] >= 0 and (x := table.get((token[before[i]], r))) is not None:
-                heapq.heappush(heap, (x, before[i], token[before[i]], r))
-        return [t for t in token if t >= 0]
-
-    @functools.cached_property
-    def table(self) -> dict[tuple[int, int], int]:
-        used = self.keys >= 0
-        return {(k >> 20, k & ((1 << 20) - 1)): m for k, m in zip(self.keys[used].tolist(), self.merged[used].tolist(), strict=True)}
+    def _row(self, piece: bytes) -> list[int]:
+        token = self.single[np.frombuffer(piece, np.uint8)]
+        rank = self.pair(token[:-1], token[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            fresh = np.diff(at, prepend=-2) != 1  # of pairs that overlap (a run of one token) every second merges
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            before, after = np.where(at > 0, token[at - 1], -1), np.where(at + 2 < len(token), token[np.minimum(at + 2, len(token) - 1)], -1)
+            before[1:][at[1:] - 2 == at[:-1]] = least
+            merged = np.full(len(at), least, np.int32)
+            if len(at) > 1 and min(self.pair(before, merged).min(), self.pair(merged, after).min()) < least:
+                at = at[:1]
+            token[at] = least
+            token = np.delete(token, at + 1)
+            rank = np.delete(rank, at)
+            at = at - np.arange(len(at))
+            left, right = at[at > 0] - 1, at[at < len(rank)]
+            rank[left] = self.pair(token[left], token[left + 1])
+            rank[right] = self.pair(token[right], token[right + 1])
+        return token.tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
@@ -182,7 +179,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null text is empty (no ids).
 
     path: a .tiktoken file that every executor can read. Special tokens' strings are ordinary text.
-    Repeated rows and null ids each give their own row.
+    Repeated rows and null ids each give their own row; an empty table gives none; texts count whole at
+    any length. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
