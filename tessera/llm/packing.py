@@ -9,6 +9,7 @@ of documents; each piece finds its place from its number among pieces of its len
 
 from __future__ import annotations
 
+import base64
 import functools
 import json
 import os
@@ -28,23 +29,63 @@ MAX_LEN = 1024
 END_ID = 2
 
 
+@functools.lru_cache(maxsize=4)
+def same_merges(json_path: str, rank_path: str) -> bool:
+    """Whether merging by the ranks of a .tiktoken file gives the ids of the tokenizer in json_path on every text.
+
+    It does if the token of each rank, merged from its bytes by lower ranks alone, ends as the pair that
+    the tokenizer lists for it. For then no other pair of neighbours can become that token: what has
+    happened inside its bytes before its rank, in any text, is what happens to these bytes alone.
+    Both sides must cut text alike, too: byte level by the same pattern, nothing else.
+    """
+    with open(json_path, encoding="utf-8") as f:
+        own = json.load(f)
+    model, cutter = own["model"], own.get("pre_tokenizer") or {}
+    plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space") and not own.get("normalizer")
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    ranks = read_ranks(rank_path)
+    token = {i: t for t, i in ranks.items()}
+    letter = {c: token[i] for c, i in model["vocab"].items() if len(c) == 1 and len(token.get(i, b"")) == 1}
+    if len(letter) != 256 or any(b"".join(letter[c] for c in t) != token.get(i) for t, i in model["vocab"].items()):
+        return False
+    pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+    listed = {model["vocab"][a + b]: (model["vocab"][a], model["vocab"][b]) for a, b in pairs}
+    if sorted(listed) != [model["vocab"][a + b] for a, b in pairs] or len(listed) + 256 != len(ranks):
+        return False
+    return all(last_pair(token[i], i, ranks) == pair for i, pair in listed.items())
+
+
+def last_pair(text: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """What bytes have become when all ranks below `rank` have merged, leftmost first."""
+    parts = [text[i : i + 1] for i in range(len(text))]
+    while len(parts) > 2:
+        least, at = min((ranks.get(parts[i] + parts[i + 1], rank), i) for i in range(len(parts) - 1))
+        if least >= rank:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return tuple(ranks[p] for p in parts)
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Encoder:
     """Ids as tokenizers' Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    tiktoken merges by the same ranks several times faster; a text that holds the string of an
-    added token, which tokenizers maps to its own id, goes through tokenizers itself.
+    With rank_path (which same_merges must allow) tiktoken merges by the same ranks, several times
+    faster; a text that holds the string of an added token, which tokenizers maps to its own id, goes
+    through tokenizers itself.
     """
 
     def __init__(self, json_path: str, rank_path: str | None, added: list[str]):
         self.json_path, self.added, self.fast = json_path, added, None
         if rank_path:
-            import base64
-
             import tiktoken
 
-            with open(rank_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(rank_path), special_tokens={})
 
     @functools.cached_property
     def exact(self):
@@ -173,7 +214,7 @@ def plan(histogram: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int
     rows = patterns(present, max_len) if len(present) else np.zeros((0, 3), np.int64)
     fitted = nnls(rows, start.astype(float)) if len(rows) else np.zeros(0)
     best: list[tuple[tuple[int, ...], int]] | None = None
-    for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.0):
+    for share in (1.0, 0.9, 0.75, 0.5, 0.25):
         left = start.copy()
         tried = use_patterns(rows, fitted * share, left)
         tried += best_fit(left, max_len)
@@ -202,6 +243,7 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str | None, max_len: int,
     bounded_batches(docs.sparkSession)
     with open(json_path, encoding="utf-8") as f:
         added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    rank_path = rank_path if rank_path and same_merges(json_path, rank_path) else None
 
     def run(batches):
         encode = Encoder(json_path, rank_path, added)
@@ -224,7 +266,9 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str | None, max_len: int,
 def pack(docs: DataFrame, json_path: str | None = None, rank_path: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every row of docs is packed, null or repeated ids too; null text is the end id alone; no rows give no piece.
+    Every row of docs is packed, null or repeated ids too; null text is the end id alone; no rows give no
+    piece. Texts count whole at any length; only documents of more than max_len ids are cut. Other
+    columns are ignored.
     """
     if json_path is None:
         json_path, rank_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
