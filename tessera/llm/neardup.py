@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, mix, ngrams, release_memory, word_hashes
+from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, mix, ngrams, release_memory, unused, word_hashes
 from .graph import merge
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 NODES_TO_BROADCAST = 4_000_000
+SALT_ROWS = 1000  # members of a bucket that meet its leader in one task
 
 FINEST = 20  # ranks below 2^-FINEST form one strip, then strips double up to rank 1, then each is 1 wide
 SLICE = 1 << 17  # elements thrown at once: bounds a worker's memory
@@ -131,27 +132,38 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, and their offsets. A text of 1 to size - 1 words is one shingle."""
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, how often each stands there, and their offsets. A text of 1 to size - 1 words is one shingle."""
     words, at = word_hashes(texts)
     grams = ngrams(words, size)
-    sets = []
+    sets, counts = [], []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= size:
-            sets.append(np.unique(grams[a : b - size + 1]))
-        else:
-            sets.append(ngrams(words[a:b], b - a) if b > a else grams[:0])
-    return np.concatenate(sets) if sets else grams[:0], np.cumsum([0, *map(len, sets)])
+        own = grams[a : b - size + 1] if b - a >= size else ngrams(words[a:b], b - a) if b > a else grams[:0]
+        x, n = np.unique(own, return_counts=True)
+        sets.append(x)
+        counts.append(n)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(sets) if sets else grams[:0], np.concatenate(counts) if counts else none, np.cumsum([0, *map(len, sets)])
+
+
+def copies_apart(element: np.ndarray, count: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every copy of a shingle as an element of its own: the Jaccard similarity of these sets is the weighted one of the counts."""
+    each = np.repeat(element, count)
+    nth = (np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    ends = np.concatenate([[0], np.cumsum(count)])[offset]
+    return np.where(nth > 0, mix(each + nth * GOLD), each), ends
 
 
-def sketch(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
+def sketch(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE, weighted: bool = False) -> DataFrame:
     """rid, doc_id, t (hash of the text), n1 and n2 (128 bits naming the shingle set; null without words), n, bands, shingles (sorted 32-bit)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in chunks(batches, "text", CHUNK):
-            element, offset = shingle_sets(b.column("text"), size)
-            keys = band_keys(signatures(element, offset, bands * rows), bands, rows).view(np.int64)
+            element, count, offset = shingle_sets(b.column("text"), size)
+            keys = band_keys(signatures(element, offset, bands * rows, count.astype(float) if weighted else None), bands, rows).view(np.int64)
+            if weighted:
+                element, offset = copies_apart(element, count, offset)
             n = np.diff(offset)
             mark = np.concatenate([[0], np.cumsum(mix(element), dtype=np.uint64)]).astype(np.uint64)
             other = np.concatenate([[0], np.cumsum(mix(element ^ GOLD), dtype=np.uint64)]).astype(np.uint64)
@@ -199,15 +211,20 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
     return size.join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("held"))
 
 
+def salted(by_key: DataFrame) -> DataFrame:
+    """by_key (key, parts, ...) once for each part of its bucket."""
+    return by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def in_mixed(member: DataFrame, least: int = 2) -> DataFrame:
-    """Rows of buckets (key) of at least so many members that hold more than one component."""
-    mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where((F.col("x") != F.col("y")) & (F.col("m") >= least)).select("key")
-    return checkpoint(member.join(mixed, "key"))
+    """Rows of buckets (key) of at least so many members that hold more than one component. A bucket's rows are dealt over its parts."""
+    mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.max("parts").alias("parts")).where((F.col("x") != F.col("y")) & (F.col("m") >= least)).select("key", "parts")
+    return checkpoint(member.join(salted(mixed), ["key", "salt"]))
 
 
 def star_pairs(member: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs of each bucket's leader (key, lead, own: its component) with the members of other components."""
-    pairs = member.join(leaders, "key").where(F.col("comp") != F.col("own"))
+    """Pairs of each bucket's leader (key, parts, lead, own: its component) with the members of other components."""
+    pairs = member.join(salted(leaders), ["key", "salt"]).where(F.col("comp") != F.col("own"))
     return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
@@ -246,8 +263,8 @@ def leftover_links(member: DataFrame, sets: DataFrame, similarity: float, block:
     sizes = checkpoint(shared_sizes(sets.join(member.select("node").distinct(), "node", "left_semi")))
     able = sizes.where(F.col("held") >= (similarity - 1e-9) * F.col("size")).select("node")
     able = in_mixed(member.join(able, "node"))
-    main = checkpoint(able.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", "m").alias("hub")))
-    able = able.join(main, "key")
+    main = checkpoint(able.groupBy("key", "comp").agg(F.count("*").alias("m"), F.max("parts").alias("parts")).groupBy("key").agg(F.max_by("comp", "m").alias("hub"), F.max("parts").alias("parts")))
+    able = able.join(salted(main), ["key", "salt"])
     odd = checkpoint(able.where(F.col("comp") != F.col("hub")).select("hub", "node", "comp").distinct())
     hubs = odd.select("hub").distinct()
     inner = able.select(F.col("comp").alias("hub"), "node", "comp").distinct().join(hubs, "hub", "left_semi")
@@ -275,36 +292,42 @@ def leftover_links(member: DataFrame, sets: DataFrame, similarity: float, block:
     return left.groupBy("hub", "ub", "vb").cogroup(right.groupBy("h", "i", "j")).applyInArrow(meet, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighted: bool = False) -> DataFrame:
     """doc_id, t (xxhash64 of the text), class_id, class_t of every row of docs: the class is named by its row of the smallest doc_id, then t.
 
     Classes are the connected components of documents whose sets of word shingles have a Jaccard
-    similarity of at least `similarity`. Equal shingle sets are one node, so copies cost nothing
-    more. Rows without a word (null or blank text) are a class of their own each, named by their
-    doc_id; a class in which no row has an id is named null. Repeated rows fall in one class.
+    similarity of at least `similarity`; weighted: shingles weigh as often as they stand in a document
+    (sum of lesser counts over sum of greater ones), both in the darts' regions and in the exact check.
+    Equal shingle sets are one node, so copies cost nothing more. Rows without a word (null or blank
+    text) are a class of their own each, named by their doc_id; a class in which no row has an id is
+    named null. Repeated rows fall in one class. Texts count whole at any length. An empty table gives no row.
+    Other columns are ignored.
 
     No bucket's pairs are listed. First every bucket's leader, the member with the fullest buckets
     (of a text's variants that is mostly the original), is compared with the others; then the leader
     of those that it didn't reach; last, pairs of what are still different components of a bucket,
     as far as their unshared shingles leave them a chance. So every pair that shares a bucket is
-    either compared, linked already, or shown to be too different.
+    either compared, linked already, or shown to be too different. A bucket of more than SALT_ROWS
+    members meets its leader in as many parts as it needs.
     """
-    s = checkpoint(sketch(docs, bands, rows, size))
+    s = checkpoint(sketch(docs, bands, rows, size, weighted))
     nodes = checkpoint(s.where(F.col("n1").isNotNull()).groupBy("n1", "n2").agg(F.min("rid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"), F.count("*").alias("copies")))
     bucket = s.select("rid", "bands").join(nodes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     shared = checkpoint(bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    member = checkpoint(bucket.join(shared, "key"))
+    parts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
+    member = checkpoint(bucket.join(shared, "key").select("key", "node", "m", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt")))
     fullness = checkpoint(member.groupBy("node").agg((F.sum("m") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))).alias("rank")))
-    member = checkpoint(member.join(fullness, "node").select("key", "node", "rank"))
+    member = checkpoint(member.join(fullness, "node").select("key", "parts", "salt", "node", "rank"))
     small = broadcast_if(fullness.select(F.col("node").alias("rid")), NODES_TO_BROADCAST)
     sets = checkpoint(s.select("rid", "n", "shingles").join(small, "rid").withColumnRenamed("rid", "node"))
     labels = checkpoint(fullness.select("node", F.col("node").alias("comp")))
+    leader = [F.max_by("node", "rank").alias("lead"), F.max_by("comp", "rank").alias("own"), F.max("parts").alias("parts")]
     for turn in range(2):
         now = in_mixed(member.join(labels, "node"), 2 + turn)
-        lead = now.groupBy("key").agg(F.max_by("node", "rank").alias("lead"), F.max_by("comp", "rank").alias("own"))
+        lead = now.groupBy("key").agg(*leader)
         if turn:  # the leader of those that the first one didn't reach
-            top = checkpoint(lead.select("key", F.col("own").alias("top")))
-            lead = now.join(top, "key").where(F.col("comp") != F.col("top")).groupBy("key").agg(F.max_by("node", "rank").alias("lead"), F.max_by("comp", "rank").alias("own"))
+            top = checkpoint(lead.select("key", "parts", F.col("own").alias("top")))
+            lead = now.join(salted(top), ["key", "salt"]).where(F.col("comp") != F.col("top")).groupBy("key").agg(*leader)
         pairs = checkpoint(star_pairs(now, checkpoint(lead)))
         labels = merge(labels, checkpoint(verify(pairs, sets, similarity)))
     now = in_mixed(member.join(labels, "node"), 3)
@@ -321,13 +344,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: that of the smallest doc_id, then of the smallest text hash; all columns stay.
 
     A document without doc_id stays only where no row of its class has one. Of exactly repeated
-    (doc_id, text), null ids and null texts too, one row stays.
+    (doc_id, text), null ids and null texts too, one row stays. An empty table gives an empty one.
     """
     found = checkpoint(classes(docs))
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("class_t"))
-    lost = found.where(~stays).select(F.col("doc_id").alias("__id__"), F.col("t").alias("__t__")).distinct()
+    own, mark = unused(docs, "__id__"), unused(docs, "__t__")
+    lost = found.where(~stays).select(F.col("doc_id").alias(own), F.col("t").alias(mark)).distinct()
     lost = broadcast_if(checkpoint(lost), NODES_TO_BROADCAST)
-    out = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id__")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t__")), "left_anti")
+    out = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark)), "left_anti")
     if not found.where(stays).groupBy("doc_id", "t").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out

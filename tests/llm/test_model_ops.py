@@ -1,7 +1,9 @@
 """Language ID, toxicity, near-duplicates, vector searches and the pipeline against plain versions."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -48,7 +50,44 @@ def test_bundles_add_up():
         cut, n = langid.bundles([None, text, "", "ab"])
     finally:
         langid.CHUNK = old
-    assert n.tolist()[0] == 0 and np.dot(cut[1], hand) / np.linalg.norm(cut[1]) / np.linalg.norm(hand) > 0.99
+    assert n.tolist() == [0, letters[0], 0, 2] and (cut[1] == hand).all()
+    mixed = "Привет, МИР! 日本 🙂 𐐀𐐨 Straße--ÉTÉ  x" * 9
+    langid.CHUNK = 7
+    try:
+        (a, n), (b, m) = langid.bundle_long(mixed), langid.bundle([mixed])
+    finally:
+        langid.CHUNK = old
+    assert (a == b[0]).all() and n == m[0]
+    assert (langid.bundle(["ПРИВЕТ Ça"])[0] == langid.bundle(["привет çA"])[0]).all()
+
+
+def test_langid_by_hand(make_docs):
+    """Prototypes, centring, cosine and argmax with plain loops."""
+    docs = [(i, prose(k, i, 20), k) for i, k in enumerate(["aa", "bb", "cc"] * 12)]
+    v = langid.letter_vectors().astype(float)
+
+    def vector(t):
+        s = [0]
+        for c in t + " ":
+            x = langid.symbol(c)
+            if x or s[-1]:
+                s.append(x)
+        return sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    total = {}
+    for i, t, k in docs:
+        if fold(i) != 2:
+            x = vector(t)
+            total[k] = total.get(k, 0) + np.rint(x / np.linalg.norm(x) * 4096)
+    unit = {k: x / np.linalg.norm(x) for k, x in total.items()}
+    mean = sum(unit.values()) / len(unit)
+    got = {r.doc_id: r for r in langid.identify(make_docs(docs)).collect()}
+    for i, t, _ in docs:
+        x = vector(t)
+        x = x / np.linalg.norm(x) - mean
+        cosine = {k: float(x @ (p - mean) / np.linalg.norm(x) / np.linalg.norm(p - mean)) for k, p in unit.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx((1 + cosine[best]) / 2, abs=1e-9)
 
 
 def test_toxicity(spark, make_docs):
@@ -77,13 +116,41 @@ def test_toxicity(spark, make_docs):
     assert toxicity.classify(make_docs([]), labels).count() == 0
 
 
+def test_noisy_or_by_hand():
+    """Scores by loops over words; the fit's slope by differences."""
+    model = toxicity.Model({"grob*": 7.0, "grobik": 3.0, "vlarm": 12.5, "étéx*": 12.0}, 0.02)
+    evidence = toxicity.Evidence(model)
+    texts = ["A Grobik here. grobs, then vlarms! vlarm?", "Vlarm2 _vlarm x.vlarm", "", "Étéx was été\n\nnothing. ungrobik", "clean all over"]
+    for t in texts:
+        clean = 0.98
+        spans = []
+        for m in toxicity.SENTENCE.finditer(t):
+            have = {f for w in toxicity.WORD.findall(m[0].lower()) for f in toxicity.features(w)} & model.weights.keys()
+            if have:
+                p = 1 / (1 + np.exp(-(toxicity.FLOOR + sum(model.weights[f] for f in have))))
+                clean *= 1 - p
+                spans.append((m.start(), m.end(), pytest.approx(p)))
+        got = toxicity.chances(t, evidence)
+        assert got == spans
+        assert 1 - 0.98 * np.prod([1 - p for _, _, p in got]) == pytest.approx(1 - clean)
+    assert toxicity.without_beginnings(["grob*", "grobi*", "grobik", "grozny", "groz*", "grub"]) == ["grobik", "grozny", "grub"]
+
+
+def test_long_texts_are_sampled_whole():
+    text = ". ".join(f"s{i} " + "w " * 30 for i in range(500)) + ". last marker"
+    cut = toxicity.shorten(text, 2000)
+    places = [int(x) for x in re.findall(r"s(\d+)", cut)]
+    assert len(cut) <= 2000 and places == sorted(places) and min(places) < 150 and max(places) > 350
+    assert toxicity.shorten("x" * 99999, 2000) == "" and toxicity.shorten("short", 2000) == "short"
+
+
 def shingles(t):
     w = (t or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def classes_by_hand(docs):
-    sets = [shingles(t) for _, t in docs]
+def classes_by_hand(docs, similar=lambda a, b: len(a & b) >= 0.8 * len(a | b), sets=None):
+    sets = sets or [shingles(t) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(x):
@@ -93,7 +160,7 @@ def classes_by_hand(docs):
 
     for a in range(len(docs)):
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and similar(sets[a], sets[b]):
                 root[find(a)] = find(b)
     out = []
     for k, (i, _) in enumerate(docs):
@@ -130,6 +197,30 @@ def test_near_duplicates(make_docs, words):
     assert {r.text for r in kept if r.doc_id is None} == {"only me"}
 
 
+def test_near_duplicates_in_split_buckets(make_docs, words, monkeypatch):
+    """Buckets dealt over many parts give the same classes."""
+    docs = near_docs(words)
+    monkeypatch.setattr(neardup, "SALT_ROWS", 3)
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(make_docs(docs)).collect()), key=str)
+    assert got == sorted(((d[0], c) for d, c in zip(docs, classes_by_hand(docs), strict=True)), key=str)
+
+
+def test_weighted_near_duplicates(make_docs, words):
+    """Shingles weigh as often as they stand: texts of equal sets but other repeats are apart, and the reverse."""
+    once, more = words(1, 60), words(2, 60)
+    docs = [(1, once), (2, f"{once} {once} {once}"), (3, f"{once} {once} {once} {words(3, 12)}"), (4, " ".join([more] * 20 + [words(4, 40)])), (5, " ".join([more] * 20 + [words(5, 40)])), (6, "a b c"), (7, "a b c"), (8, None)]
+    docs += [(10 + i, " ".join([words(6, 30)] * 4 + [words(50 + i, 3)])) for i in range(6)]
+
+    def counts(t):
+        w = (t or "").lower().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    want = classes_by_hand(docs, lambda a, b: (a & b).total() >= 0.8 * (a | b).total(), [counts(t) for _, t in docs])
+    got = sorted((r.doc_id, r.class_id) for r in neardup.classes(make_docs(docs), weighted=True).collect())
+    assert got == sorted((d[0], c) for d, c in zip(docs, want, strict=True))
+    assert got != sorted((r.doc_id, r.class_id) for r in neardup.classes(make_docs(docs)).collect())
+
+
 def test_keep_one_without_unique_ids(make_docs, words):
     a, b, c, d = (words(2000 + i, 80) for i in range(4))
     near = a.split()
@@ -147,7 +238,7 @@ def test_keep_one_without_unique_ids(make_docs, words):
 def test_leftovers_find_links(spark):
     sets = [list(range(100)), list(range(10, 110)), list(range(1000, 1100)), list(range(1001, 1101))]
     frame = spark.createDataFrame([(i, len(s), np.array(s, "<u4").tobytes()) for i, s in enumerate(sets)], "node long, n int, shingles binary")
-    member = spark.createDataFrame([(1, i, i) for i in range(4)], "key long, node long, comp long")
+    member = spark.createDataFrame([(1, i, i, 2, i % 2) for i in range(4)], "key long, node long, comp long, parts int, salt int")
     assert sorted(tuple(r) for r in neardup.leftover_links(member, frame, 0.8, block=2).collect()) == [(0, 1), (2, 3)]
     pairs = spark.createDataFrame([(0, 1), (0, 2), (2, 3)], "a long, b long")
     assert sorted(tuple(r) for r in neardup.verify(pairs, frame, 0.8).collect()) == [(0, 1), (2, 3)]

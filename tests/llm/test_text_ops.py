@@ -174,6 +174,23 @@ def test_pii_anchors_in_any_case_and_length(make_docs):
     assert masked == "Social Security Number: [SSN] and [LOGIN]"
 
 
+def test_pii_addresses_and_secrets():
+    def spans(t):
+        return [(pii.KINDS[k], t[s:e]) for s, k, e in pii.find(t)]
+
+    assert spans("at fe80::1ff:fe23:4567:890a, 2001:db8:0:0:0:0:0:1 and ::ffff:0:9") == [("ipv6", "fe80::1ff:fe23:4567:890a"), ("ipv6", "2001:db8:0:0:0:0:0:1"), ("ipv6", "::ffff:0:9")]
+    for t in ("at 12:30:45 or 1:2", "std::vector", "abc::def", "a:b::c::1", "::", "1::", ":" * 5000, "9:" * 5000, "12345::1", "x1::2y"):
+        assert not spans(t), t
+    assert spans("lives at 221B Baker Street, or 7 Old Mill Lane.") == [("street", "221B Baker Street"), ("street", "7 Old Mill Lane")]
+    assert spans("12 Elm Drive") == [("street", "12 Elm Drive")]
+    for t in ("the Baker Street shop", "12 long road", "12 Elm driveway", "3 Streets", "A" * 5000 + " Street", "Aa " * 3000 + "Road"):
+        assert not spans(t), t
+    assert spans('token = "04dbebab91ab85687d33" and Password: Tr0ub4dor&3x9y1') == [("secret", "04dbebab91ab85687d33")]
+    assert spans("api_key=abcdef123456.") == [("secret", "abcdef123456")]
+    for t in ("a token of thanks", "tokens: abcdefghijklmnop", "token = 123456789012", "secret:", "password " * 2000, "token=" + "=" * 100_000):
+        assert not spans(t), t
+
+
 @pytest.fixture(scope="module")
 def reference_encoding():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -202,6 +219,35 @@ def test_bpe_pieces(reference_encoding):
     assert all(v.decode(ids) == p for ids, p in zip(want, pieces, strict=True))
 
 
+def test_bpe_long_rows(reference_encoding):
+    """Rows of one pre-token: runs of one letter, repeated and random text, merged by all places at once."""
+    import random
+
+    r = random.Random(3)
+    v = bpe.vocabulary(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    pieces = [b"a" * n for n in range(1, 40)] + ["".join(r.choice(k) for _ in range(n)).encode() for k in ("ab", "theintrs", "abcdefghijklmnopqrstuvwxyz", "=-#", "é日x") for n in (2, 3, 50, 700, 4000)] + [b"abab" * 500, b"in the" * 300]
+    assert [v._row(p) for p in pieces] == [reference_encoding._core_bpe.encode_single_piece(p) for p in pieces]
+
+
+def test_ranks_are_the_tokenizers_merges(tmp_path):
+    """All 50,000 merges hold; a tokenizer with another merge, or another way to cut text, is found out."""
+    import json
+
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert packing.same_merges(str(path), str(ranks))
+    own = json.loads(open(path, encoding="utf-8").read())
+    for change in ("merge", "cut"):
+        other = json.loads(json.dumps(own))
+        if change == "merge":
+            at = next(i for i, (a, b) in enumerate(other["model"]["merges"]) if len(a) > 1 and a[:1] in other["model"]["vocab"] and a[1:] + b in other["model"]["vocab"])
+            a, b = other["model"]["merges"][at]
+            other["model"]["merges"][at] = [a[:1], a[1:] + b]
+        else:
+            other["pre_tokenizer"]["add_prefix_space"] = True
+        (tmp_path / f"{change}.json").write_text(json.dumps(other), encoding="utf-8")
+        assert not packing.same_merges(str(tmp_path / f"{change}.json"), str(ranks))
+
+
 def test_packing(make_docs, words):
     docs = ODD + [(100 + i, words(i, 10 + 40 * i)) for i in range(40)]
     got = packing.pack(make_docs(docs)).toPandas()
