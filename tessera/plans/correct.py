@@ -79,16 +79,16 @@ def decisions(reads: DataFrame, found: DataFrame, cfg: CorrectConfig) -> DataFra
     @F.pandas_udf(f"struct<strand:string,sjs:array<{SJ}>,extra:array<{EXTRA}>>")
     def run(seen: pd.Series, hits: pd.Series, background: pd.DataFrame, clips: pd.Series, length: pd.Series) -> pd.DataFrame:
         out = []
-        for i in range(len(seen)):
-            bg = tuple(int(background.iloc[i][c]) for c in ("ins", "del", "sub", "total"))
-            err = lambda e: (int(e["ins"]), int(e["del"]), int(e["sub"])) if e is not None else (0, 0, 0)
-            mapped = [jn.Seen((int(x["sj_start"]), int(x["sj_end"])), x["strand"] or "x", int(x["pos"]), bool(x["is_hc"]), err(x["err"])) for x in seen.iloc[i]]
+        err = lambda e: (int(e["ins"]), int(e["del"]), int(e["sub"])) if e is not None else (0, 0, 0)
+        others = background[["ins", "del", "sub", "total"]].astype(int).itertuples(index=False, name=None)
+        for placed, got, bg, clip, size in zip(seen, hits, others, clips, length, strict=True):
+            mapped = [jn.Seen((int(x["sj_start"]), int(x["sj_end"])), x["strand"] or "x", int(x["pos"]), bool(x["is_hc"]), err(x["err"])) for x in placed]
             cands = []
-            for h in hits.iloc[i] if hits.iloc[i] is not None else ():
+            for h in got if got is not None else ():
                 errors, a, b, before = jn.window_errors(h["cigar"], int(h["query_start"]), int(h["ref_start"]), cfg)
                 lo = int(h["lo"])
                 cands.append(jn.Candidate((int(h["start"]), int(h["end"])), h["strand"], lo + a, lo + b, lo + before, jn.error_probability(errors, bg, 2 * cfg.flank)))
-            d = jn.decide(mapped, cands, bg, (int(clips.iloc[i][0]), int(clips.iloc[i][1])), int(length.iloc[i]), cfg)
+            d = jn.decide(mapped, cands, bg, (int(clip[0]), int(clip[1])), int(size), cfg)
             sjs = []
             for k, s in enumerate(mapped):
                 at, status, score, pos = d.fixed.get(k, (None, "fail", None, s.pos))

@@ -86,7 +86,7 @@ def run(reads: DataFrame, exons: DataFrame, perfect: DataFrame | None = None, cf
     """
     cfg = cfg or QuantConfig()
     samples = [r["sample"] for r in reads.select("sample").distinct().orderBy("sample").collect()]  # a name for each input
-    reads = reads.withColumn("rid", F.xxhash64("read_id", "sample", "group_id", "chr", "start", "end"))
+    reads = stored(reads.withColumn("rid", F.monotonically_increasing_id()))
     txs = stored(an.transcripts(exons))
     junction = stored(an.junctions(txs))
     reads = stored(annotate(reads, junction))

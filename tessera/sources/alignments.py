@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import itertools
+import re
 import struct
 
 import pyarrow as pa
@@ -60,8 +62,47 @@ def _sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Struct codes of BAM's number types.
+NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+
+
+def bam_tags(data: bytes, at: int, end: int) -> list[str]:
+    """Tags as SAM writes them: TG:T:value, all integers as i, arrays as B:type,values."""
+    out = []
+    while at < end:
+        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
+        at += 3
+        if kind == "A":
+            out.append(f"{tag}:A:{chr(data[at])}")
+            at += 1
+        elif kind in "ZH":
+            stop = data.index(0, at)
+            out.append(f"{tag}:{kind}:{data[at:stop].decode()}")
+            at = stop + 1
+        elif kind == "B":
+            of, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
+            values = struct.unpack_from(f"<{n}{NUMBERS[of]}", data, at + 5)
+            at += 5 + n * struct.calcsize(NUMBERS[of])
+            out.append(f"{tag}:B:{of}" + "".join(f",{x:g}" if of == "f" else f",{x}" for x in values))
+        else:
+            value = struct.unpack_from(f"<{NUMBERS[kind]}", data, at)[0]
+            at += struct.calcsize(NUMBERS[kind])
+            out.append(f"{tag}:f:{value:g}" if kind == "f" else f"{tag}:i:{value}")
+    return out
+
+
+def long_cigar(cigar: str, tags: list[str], seq_n: int) -> tuple[str, list[str]]:
+    """The CIGAR of more operations than a record holds: it stands in tag CG, the record has <read length>S<span>N instead."""
+    if re.fullmatch(rf"{seq_n}S\d+N", cigar):
+        for t in tags:
+            if t.startswith("CG:B:I,"):
+                ops = (int(x) for x in t[7:].split(","))
+                return "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in ops), [x for x in tags if x is not t]
+    return cigar, tags
+
+
 def decode_bam(raw: bytes):
-    """Rows of SAM_SCHEMA's fields of a BAM file's bytes (BGZF is a run of gzip members)."""
+    """Rows of SAM_SCHEMA's fields and tags of a BAM file's bytes (BGZF is a run of gzip members)."""
     data = gzip.decompress(raw)
     if data[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
@@ -84,23 +125,27 @@ def decode_bam(raw: bytes):
         seq = "".join("=ACMGRSVTWYHKDBN"[b >> 4] + "=ACMGRSVTWYHKDBN"[b & 15] for b in data[at : at + (seq_n + 1) // 2])[:seq_n]
         at += (seq_n + 1) // 2
         qual = data[at : at + seq_n]
-        yield name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq or None, None if qual[:1] in (b"", b"\xff") else "".join(chr(q + 33) for q in qual)
+        cigar, tags = long_cigar(cigar, bam_tags(data, at + seq_n, end), seq_n)
+        yield name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq or None, None if qual[:1] in (b"", b"\xff") else "".join(chr(q + 33) for q in qual), tags
         at = end
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """A BAM file in one task: BGZF records have no split points that a text reader could use. Up to 2 GB; convert larger files to SAM."""
+    schema = pa.schema([("read_id", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("start", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.list_(pa.string())), ("row", pa.int64())])
+
     def run(batches):
         for b in batches:
             for content in b.column("content"):
-                rows = list(decode_bam(content.as_py()))
-                names = [f.split()[0] for f in SAM_SCHEMA.split(", ")]
-                cols = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(rows)), pa.int64())], [*names, "row"]).cast(pa.schema([("read_id", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("start", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("row", pa.int64())]))
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SAM_SCHEMA + ", row long")
-    return rows.withColumns({"tags": F.array().cast("array<string>"), "line": F.struct(F.lit(0).cast("long").alias("block"), F.col("row"))}).drop("row")
+                rows = decode_bam(content.as_py())
+                at = 0
+                while part := list(itertools.islice(rows, 10_000)):
+                    cols = [*zip(*part, strict=True), range(at, at + len(part))]
+                    at += len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SAM_SCHEMA + ", tags array<string>, row long")
+    return rows.withColumn("line", F.struct(F.lit(0).cast("long").alias("block"), F.col("row"))).drop("row")
 
 
 def combine_fastq(spark: SparkSession, folder: str) -> DataFrame:

@@ -121,6 +121,23 @@ def test_bam(spark, tmp_path):
     assert (r.read_id, r.flag, r.chr, r.start, r.mapq, r.cigar, r.seq, r.qual) == ("r1", 16, "chr1", 7, 30, "10M5N10M", seq, "I" * 20)
 
 
+def test_bam_tags_and_long_cigars():
+    """All types of tags, and the CIGAR in CG where the record holds a stand-in."""
+    tags = b"NMC\x05" + b"asi" + struct.pack("<i", -70000) + b"tsA+" + b"RGZgroup 1\0" + b"dvf" + struct.pack("<f", 0.25) + b"MLBC" + struct.pack("<i2B", 2, 7, 255)
+    ops = [(2 << 4) | 0, (30 << 4) | 3, (2 << 4) | 7]
+
+    def record(cigar, extra):
+        body = struct.pack("<iiBBHHHiiii", 0, 6, 3, 30, 0, len(cigar), 0, 4, -1, -1, 0) + b"r1\0" + struct.pack(f"<{len(cigar)}I", *cigar) + bytes([0x12, 0x48]) + b"\xff" * 4 + tags + extra
+        return struct.pack("<i", len(body)) + body
+
+    stand_in = [(4 << 4) | 4, (34 << 4) | 3]
+    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000) + record(ops, b"") + record(stand_in, b"CGBI" + struct.pack("<i3I", 3, *ops)) + record(stand_in, b"")
+    rows = list(al.decode_bam(gzip.compress(raw)))
+    want = ["NM:i:5", "as:i:-70000", "ts:A:+", "RG:Z:group 1", "dv:f:0.25", "ML:B:C,7,255"]
+    assert [(r[5], r[8]) for r in rows] == [("2M30N2=", want), ("2M30N2=", want), ("4S34N", want)]
+    assert rows[0][6:8] == ("ACGT", None)
+
+
 def test_fastq(spark, tmp_path):
     (tmp_path / "q" / "pass").mkdir(parents=True)
     (tmp_path / "q" / "pass" / "a.fastq").write_text("@r1 x\nACGT\n+\n@III\n@r2\nGG\n+\nII\n")
