@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..config import ScanConfig
 from ..functions import cigar as cg
 from ..functions import seq as sq
 from ..operators import counts, intervals
+from ..operators.errors import ERRORS, errors
 from ..sources.genome import tiles, windows
 from ..storage import stored
 
@@ -77,67 +77,8 @@ def check_sorted(alignments: DataFrame) -> DataFrame:
     return alignments
 
 
-ERRORS = "sj_errors array<struct<ins:int,del:int,sub:int>>, background struct<ins:int,del:int,sub:int,total:int>"
-
-
-def junction_errors(ops: list[tuple[int, str]], seq: str, exons: list[str], flank: int, max_deletion: int) -> tuple[list[tuple[int, int, int]], tuple[int, int, int, int]]:
-    """Errors within `flank` bases of each junction, and elsewhere, of one alignment.
-
-    exons: reference bases of each exon. Every exon is laid out column by column (genome bases, and
-    insertions between them); a junction's window is the flank genome bases on either side.
-    """
-    n = len(exons)
-    inserts: list[list[tuple[int, int]]] = [[]]  # per exon: (genome bases before, bases)
-    deletes: list[list[tuple[int, int]]] = [[]]
-    state: list[list[np.ndarray]] = [[]]  # per exon, by genome base: 0 match, 1 mismatch, 2 deleted
-    at_read = at_exon = 0
-    seq = seq.upper()
-    read = np.frombuffer(seq.encode(), np.uint8)
-    ref = [np.frombuffer(e.upper().encode(), np.uint8) for e in exons]
-    for size, op in ops:
-        if op == "N" or (op == "D" and size > max_deletion):
-            state.append([])
-            inserts.append([])
-            deletes.append([])
-            at_exon = 0
-        elif op in "M=X":
-            exon = ref[len(state) - 1] if len(state) <= n else read[:0]
-            a, b = read[at_read : at_read + size], exon[at_exon : at_exon + size]
-            m = min(len(a), len(b))
-            part = np.zeros(size, np.int8)
-            part[:m] = a[:m] != b[:m]
-            state[-1].append(part)
-            at_read, at_exon = at_read + size, at_exon + size
-        elif op == "D":
-            state[-1].append(np.full(size, 2, np.int8))
-            deletes[-1].append((at_exon, size))
-            at_exon += size
-        elif op == "S":
-            at_read += size
-        elif op == "I":
-            inserts[-1].append((at_exon, size))
-            at_read += size
-    whole = [np.concatenate(x) if x else np.zeros(0, np.int8) for x in state]
-    out = []
-    for j in range(n - 1):
-        left, right = whole[j][-flank:] if flank else whole[j][:0], whole[j + 1][:flank]
-        both = np.concatenate([left, right])
-        ins = sum(k for p, k in inserts[j] if len(whole[j]) - p < flank) + sum(k for p, k in inserts[j + 1] if p < flank)
-        out.append((int(ins), int((both == 2).sum()), int((both == 1).sum())))
-    ins = dele = sub = total = 0
-    for e in range(n):
-        size = len(whole[e])
-        inner = whole[e][flank : max(size - flank, flank)]
-        sub += int((inner == 1).sum())
-        total += int((inner != 2).sum())
-        more = sum(k for p, k in inserts[e] if p > flank and size - p > flank)
-        less = sum(k for p, k in deletes[e] if p > flank and size - p - k > flank)
-        ins, dele, total = ins + more, dele + less, total + more + less
-    return out, (ins, dele, sub, total)
-
-
 def error_profiles(reads: DataFrame, genome: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """reads (with a junction) with ERRORS. Exon sequences come from genome tiles by one join; only cigar, bases and exons go to Python."""
+    """reads with sj_errors and background (operators.errors). Exon sequences come from genome tiles by one join; only cigar, bases and exons go to Python."""
     key = ["file_id", "line"]
     exon = reads.select(*key, "chr", F.posexplode(cg.exons(F.col("start"), F.col("s.exon_intron"))).alias("k", "x"))
     spans = exon.select(F.struct(*key, "k").alias("key"), "chr", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
@@ -146,16 +87,9 @@ def error_profiles(reads: DataFrame, genome: DataFrame, cfg: ScanConfig) -> Data
     rows = reads.join(refs, key, "left")
     flank, most = cfg.flank, cfg.cont_del_max
 
-    @F.pandas_udf(f"struct<{ERRORS.replace('sj_errors ', 'sj_errors:').replace('background ', 'background:')}>")
-    def profile(cigar: pd.Series, bases: pd.Series, exons: pd.Series) -> pd.DataFrame:
-        import re
-
-        got = []
-        for c, b, e in zip(cigar, bases, exons, strict=True):
-            ops = [(int(n), "S" if o == "H" else o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", c)]
-            ok = b is not None and len(b) == sum(n for n, o in ops if o in "M=XSI")
-            got.append(junction_errors(ops, b if ok else "", list(e) if e is not None else [], flank, most))
-        return pd.DataFrame({"sj_errors": [[dict(zip(("ins", "del", "sub"), x, strict=True)) for x in a] for a, _ in got], "background": [dict(zip(("ins", "del", "sub", "total"), x, strict=True)) for _, x in got]})
+    @F.arrow_udf(ERRORS)
+    def profile(cigar: pa.Array, bases: pa.Array, exons: pa.Array) -> pa.Array:
+        return errors(cigar, bases, exons, flank, most)
 
     p = profile(F.col("cigar"), F.col("seq"), F.col("exons"))
     return rows.withColumn("_p", p).withColumns({"sj_errors": F.col("_p.sj_errors"), "background": F.col("_p.background")}).drop("_p", "exons")

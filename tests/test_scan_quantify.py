@@ -1,9 +1,14 @@
 """The scan and quantify steps on a synthetic genome."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from synthetic import World
 
 from tessera.config import QuantConfig, ScanConfig
+from tessera.operators import errors
 from tessera.plans import quantify, scan
 from tessera.sources import alignments as al
 from tessera.sources import annotation as an
@@ -110,17 +115,109 @@ def test_quantify(world, scanned):
     assert shape[novel[0][0]].source == "novel_isoform" and shape[novel[0][0]].gene_id == "chr1g0" and len(shape[novel[0][0]].chain) == 2
 
 
+def junction_errors(ops: list[tuple[int, str]], seq: str, exons: list[str], flank: int, max_deletion: int) -> tuple[list[tuple[int, int, int]], tuple[int, int, int, int]]:
+    """Errors within `flank` bases of each junction, and elsewhere, of one alignment.
+
+    exons: reference bases of each exon. Every exon is laid out column by column (genome bases, and
+    insertions between them); a junction's window is the flank genome bases on either side.
+    """
+    n = len(exons)
+    inserts: list[list[tuple[int, int]]] = [[]]  # per exon: (genome bases before, bases)
+    deletes: list[list[tuple[int, int]]] = [[]]
+    state: list[list[np.ndarray]] = [[]]  # per exon, by genome base: 0 match, 1 mismatch, 2 deleted
+    at_read = at_exon = 0
+    seq = seq.upper()
+    read = np.frombuffer(seq.encode(), np.uint8)
+    ref = [np.frombuffer(e.upper().encode(), np.uint8) for e in exons]
+    for size, op in ops:
+        if op == "N" or (op == "D" and size > max_deletion):
+            state.append([])
+            inserts.append([])
+            deletes.append([])
+            at_exon = 0
+        elif op in "M=X":
+            exon = ref[len(state) - 1] if len(state) <= n else read[:0]
+            a, b = read[at_read : at_read + size], exon[at_exon : at_exon + size]
+            m = min(len(a), len(b))
+            part = np.zeros(size, np.int8)
+            part[:m] = a[:m] != b[:m]
+            state[-1].append(part)
+            at_read, at_exon = at_read + size, at_exon + size
+        elif op == "D":
+            state[-1].append(np.full(size, 2, np.int8))
+            deletes[-1].append((at_exon, size))
+            at_exon += size
+        elif op == "S":
+            at_read += size
+        elif op == "I":
+            inserts[-1].append((at_exon, size))
+            at_read += size
+    whole = [np.concatenate(x) if x else np.zeros(0, np.int8) for x in state]
+    out = []
+    for j in range(n - 1):
+        left, right = whole[j][-flank:] if flank else whole[j][:0], whole[j + 1][:flank]
+        both = np.concatenate([left, right])
+        ins = sum(k for p, k in inserts[j] if len(whole[j]) - p < flank) + sum(k for p, k in inserts[j + 1] if p < flank)
+        out.append((int(ins), int((both == 2).sum()), int((both == 1).sum())))
+    ins = dele = sub = total = 0
+    for e in range(n):
+        size = len(whole[e])
+        inner = whole[e][flank : max(size - flank, flank)]
+        sub += int((inner == 1).sum())
+        total += int((inner != 2).sum())
+        more = sum(k for p, k in inserts[e] if p > flank and size - p > flank)
+        less = sum(k for p, k in deletes[e] if p > flank and size - p - k > flank)
+        ins, dele, total = ins + more, dele + less, total + more + less
+    return out, (ins, dele, sub, total)
+
+
 def test_errors_near_junctions():
     ops = [(30, "M"), (100, "N"), (30, "M")]
     seq, exons = "A" * 60, ["A" * 30, "A" * 30]
-    assert scan.junction_errors(ops, seq, exons, 10, 50) == ([(0, 0, 0)], (0, 0, 0, 20))
+    assert junction_errors(ops, seq, exons, 10, 50) == ([(0, 0, 0)], (0, 0, 0, 20))
     near = seq[:28] + "C" + seq[29:]
-    assert scan.junction_errors(ops, near, exons, 10, 50)[0] == [(0, 0, 1)]
+    assert junction_errors(ops, near, exons, 10, 50)[0] == [(0, 0, 1)]
     far = seq[:15] + "C" + seq[16:]
-    assert scan.junction_errors(ops, far, exons, 10, 50) == ([(0, 0, 0)], (0, 0, 1, 20))
+    assert junction_errors(ops, far, exons, 10, 50) == ([(0, 0, 0)], (0, 0, 1, 20))
     gap = [(25, "M"), (2, "D"), (3, "M"), (100, "N"), (2, "M"), (1, "I"), (28, "M")]
-    assert scan.junction_errors(gap, "A" * 59, exons, 10, 50)[0] == [(1, 2, 0)]
-    assert scan.junction_errors([(10, "M")], "", [], 10, 50) == ([], (0, 0, 0, 0))
+    assert junction_errors(gap, "A" * 59, exons, 10, 50)[0] == [(1, 2, 0)]
+    assert junction_errors([(10, "M")], "", [], 10, 50) == ([], (0, 0, 0, 0))
+
+
+@pytest.mark.parametrize("flank", [0, 3, 10])
+def test_errors_of_batches(flank, monkeypatch):
+    """Whole batches against the column-by-column version, in slices of any size."""
+    r = random.Random(flank)
+    cigars, bases, refs, want = [], [], [], []
+    for i in range(400):
+        ops = []
+        for _ in range(r.randint(1, 9)):
+            ops.append((r.randint(1, 25), r.choice("MMM=XIDDNSHP")))
+            if r.random() < 0.2:
+                ops.append((r.randint(51, 90), r.choice("DN")))
+        exons, n = [0], 0
+        for k, o in ops:
+            if o == "N" or (o == "D" and k > 50):
+                exons.append(0)
+            elif o in "M=XD":
+                exons[-1] += k
+            n += k if o in "M=XSIH" else 0
+        ref = ["".join(r.choice("ACGt") for _ in range(e)) for e in exons]
+        if i % 17 == 0 and ref[-1]:
+            ref[-1] = ref[-1][:-1]  # the chromosome ends
+        seq = "".join(r.choice("acGT") for _ in range(n))
+        if i % 13 == 0:
+            seq = None if i % 2 else seq + "A"
+        none = i % 29 == 0
+        cigars.append("".join(f"{k}{o}" for k, o in ops))
+        bases.append(seq)
+        refs.append(None if none else ref)
+        plain_ops = [(k, "S" if o == "H" else o) for k, o in ops]
+        want.append(junction_errors(plain_ops, seq if seq and len(seq) == n else "", [] if none else ref, flank, 50))
+    monkeypatch.setattr(errors, "BASES", 64)
+    got = errors.errors(pa.array(cigars), pa.array(bases), pa.array(refs, pa.list_(pa.string())), flank, 50).to_pylist()
+    assert [([tuple(x.values()) for x in g["sj_errors"]], tuple(g["background"].values())) for g in got] == want
+    assert len(errors.errors(pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.list_(pa.string())), flank, 50)) == 0
 
 
 def test_unsorted_is_an_error(spark, world):
