@@ -147,7 +147,7 @@ def catalog(supported: DataFrame, groups: DataFrame, annotated: DataFrame, genom
     seen = assign_groups(supported.withColumn("_e", F.col("end")), groups, "start", "_e").drop("_e")
     flag = lambda d: F.max((F.col("strand") == d).cast("int")).alias(f"a{d}")
     anno = annotated.groupBy("chr", "start", "end").agg(flag("0"), flag("1"))
-    seen = seen.join(anno, ["chr", "start", "end"], "left")
+    seen = stored(seen.join(anno, ["chr", "start", "end"], "left"))  # what follows reads it, and the rows before clustering, several times
     ends = seen.select("chr", "start", "end").distinct()
     spans = ends.select("chr", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("s"), (F.col("start") + 2).alias("e")), F.struct(F.lit(1).alias("side"), (F.col("end") - 2).alias("s"), F.col("end").alias("e")))).alias("x")).distinct()
     spans = spans.select(F.struct("chr", F.col("x.side").alias("side"), F.when(F.col("x.side") == 0, F.col("x.s")).otherwise(F.col("x.e")).alias("at")).alias("key"), "chr", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
@@ -161,12 +161,13 @@ def catalog(supported: DataFrame, groups: DataFrame, annotated: DataFrame, genom
     tag = F.when(is_anno, 2).when(e0 | e1, 1).otherwise(0)
     cols = ["group_id", "chr", "start", "end", "strand", "n_perfect", "n_all", "up2", "down2", "tag", "is_putative", "is_anno"]
     seen = seen.select("group_id", "chr", "start", "end", sq.strand_vote(e0, e1).alias("strand"), "n_perfect", "n_all", "up2", "down2", tag.alias("tag"), F.lit(True).alias("is_putative"), is_anno.alias("is_anno"))
+    seen = stored(seen)
     near = intervals.overlap_join(annotated.select("chr", "start", "end", "strand"), groups, ["chr"], "start", "end", "w_start", "w_end")
     unseen = near.select("group_id", "chr", "start", "end", "strand").distinct().join(seen.select("group_id", "chr", "start", "end"), ["group_id", "chr", "start", "end"], "left_anti")
     unseen = unseen.select("group_id", "chr", "start", "end", "strand", F.lit(0).cast("long").alias("n_perfect"), F.lit(0).cast("long").alias("n_all"), F.lit("TBD").alias("up2"), F.lit("TBD").alias("down2"), F.lit(2).alias("tag"), F.lit(False).alias("is_putative"), F.lit(True).alias("is_anno"))
     rows = seen.select(*cols).unionByName(unseen)
     rows = rows.withColumn("is_hc", counts.high_confidence(F.col("tag"), F.col("n_perfect"), F.col("n_all"), cfg.read_num_cutoff, cfg.read_ratio_cutoff))
-    return intervals.two_level_clusters(rows, ["group_id", "chr"], "start", "end", cfg.cluster_gap)
+    return intervals.two_level_clusters(stored(rows), ["group_id", "chr"], "start", "end", cfg.cluster_gap)
 
 
 def flanks(cat: DataFrame, genome: DataFrame, cfg: ScanConfig) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.operators import errors
 from tessera.plans import quantify, scan
 from tessera.sources import alignments as al
 from tessera.sources import annotation as an
+from tessera.storage import stored
 from tessera.sources import genome as gn
 
 
@@ -242,26 +243,28 @@ def test_unsorted_across_blocks_is_an_error(spark, world):
     blocks = lambda d: d.select("line.block").distinct().count()
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     size = sum(len(x[6]) + 40 for x in one)
+    cut = {}
     try:
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(500, size // 8)))
-        good = read("sorted.sam", one + two + three)
-        assert blocks(good) > 4 and scan.check_sorted(good).count() == 120
-        assert scan.run(good, genome, exons).reads.count() > 0
-        for name, rows in (("again.sam", one + three + two), ("down.sam", two + one + three), ("late.sam", one[:1] + three + one)):
-            bad = read(name, rows)
-            assert blocks(bad) > 4
-            with pytest.raises(Exception, match="is not sorted"):
-                scan.check_sorted(bad).collect()
-            with pytest.raises(Exception, match="is not sorted"):
-                scan.run(bad, genome, exons)
-        rows = spark.createDataFrame([(0, (b, r), c, s) for b, r, c, s in [(0, 1, "c", 5), (0, 2, "c", 9), (7, 3, "c", 8), (7, 4, "c", 10)]], "file_id int, line struct<block:long,row:long>, chr string, start int")
-        assert [x.file_id for x in scan.unsorted_files(rows).collect()] == [0]  # each block is sorted, the file isn't
-        rows = spark.createDataFrame([(3, (b, b), c, 5) for b, c in enumerate("cdc")] + [(4, (b, b), c, 5) for b, c in enumerate("ccd")], rows.schema)
-        assert [x.file_id for x in scan.unsorted_files(rows).collect()] == [3]
+        for name, rows in (("sorted.sam", one + two + three), ("again.sam", one + three + two), ("down.sam", two + one + three), ("late.sam", one[:1] + three + one)):
+            cut[name] = stored(read(name, rows))  # rows keep the block they were read in
     finally:
-        for k, v in old.items():
+        for k, v in old.items():  # the step tables of a run aren't to be read in splits of a few hundred bytes
             spark.conf.set(k, v)
+    good = cut.pop("sorted.sam")
+    assert blocks(good) > 4 and scan.check_sorted(good).count() == 120
+    assert scan.run(good, genome, exons).reads.count() > 0
+    for bad in cut.values():
+        assert blocks(bad) > 4
+        with pytest.raises(Exception, match="is not sorted"):
+            scan.check_sorted(bad).collect()
+        with pytest.raises(Exception, match="is not sorted"):
+            scan.run(bad, genome, exons)
+    rows = spark.createDataFrame([(0, (b, r), c, s) for b, r, c, s in [(0, 1, "c", 5), (0, 2, "c", 9), (7, 3, "c", 8), (7, 4, "c", 10)]], "file_id int, line struct<block:long,row:long>, chr string, start int")
+    assert [x.file_id for x in scan.unsorted_files(rows).collect()] == [0]  # each block is sorted, the file isn't
+    rows = spark.createDataFrame([(3, (b, b), c, 5) for b, c in enumerate("cdc")] + [(4, (b, b), c, 5) for b, c in enumerate("ccd")], rows.schema)
+    assert [x.file_id for x in scan.unsorted_files(rows).collect()] == [3]
 
 
 def test_unknown_chromosome_is_an_error(spark, world):
