@@ -102,8 +102,17 @@ def with_summary(df: DataFrame, cigar: str, into: str, max_deletion: int) -> Dat
     return df.withColumn(into, summary(F.col(cigar)))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body's own lambdas read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def junctions(start: Column, exon_intron: Column) -> Column:
     """array<struct<start, end>> of introns: 0-based first base, 1-based last base; start is the alignment's 1-based start."""
+    return _bound(exon_intron, lambda parts: _junctions(start, parts))
+
+
+def _junctions(start: Column, exon_intron: Column) -> Column:
     def step(acc: Column, i: Column) -> Column:
         exon, intron = F.element_at(exon_intron, 2 * i - 1), F.element_at(exon_intron, 2 * i)
         s = acc["at"] + exon
@@ -117,6 +126,10 @@ def junctions(start: Column, exon_intron: Column) -> Column:
 
 def exons(start: Column, exon_intron: Column) -> Column:
     """array<struct<start, end>> of exons, 0-based half-open."""
+    return _bound(exon_intron, lambda parts: _exons(start, parts))
+
+
+def _exons(start: Column, exon_intron: Column) -> Column:
     def step(acc: Column, i: Column) -> Column:
         exon = F.element_at(exon_intron, 2 * i - 1)
         gap = F.when(2 * i <= F.size(exon_intron), F.element_at(exon_intron, F.least(2 * i, F.size(exon_intron)))).otherwise(0)
