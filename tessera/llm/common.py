@@ -183,3 +183,13 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = mix(h * U64(0x9FB21C651E98DF25) + words[k : k + m])
     return h
+
+
+#: DuckDB has no CRC-32: its table by rule, and the fold of a text's bytes over it (tb must be in the FROM clause).
+CRC_TABLE_SQL = """tb AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0::BIGINT FOR k IN range(8)]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT) FOR i IN range(octet_length(encode({text})))]),
+    lambda a, b: xor(crc[CAST(xor(a, b) & 255 AS BIGINT) + 1], a // 256)), 4294967295::BIGINT)"""

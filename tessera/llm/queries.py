@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, linededup, lm, neardup, packing, pii, topk, toxicity
+from . import ann, bpe, exactdup, langid, linededup, lm, neardup, packing, pii, resample, topk, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neardup": neardup.op8_neardup,
         "op9_packing": packing.op9_packing,
         "op10_pii": pii.op10_pii,
+        "op11_trie": trie.op11_trie,
+        "op12_exactdup": exactdup.op12_exactdup,
+        "op13_resample": resample.op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_linededup": linededup.OP1_SQL, "op3_lm": lm.OP3_SQL, "op7_topk": topk.OP7_SQL}
+    return {
+        "op1_linededup": linededup.OP1_SQL,
+        "op3_lm": lm.OP3_SQL,
+        "op7_topk": topk.OP7_SQL,
+        "op11_trie": trie.OP11_SQL,
+        "op12_exactdup": exactdup.OP12_SQL,
+        "op13_resample": resample.OP13_SQL,
+    }
