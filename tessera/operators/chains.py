@@ -7,6 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PLACE_BITS = 32
+
+
+def code(junction: Column) -> Column:
+    """One number for a junction (start, end), in their order; null for a failed one."""
+    return F.shiftleft(junction["start"].cast("long"), PLACE_BITS) + junction["end"].cast("long")
+
+
+def code_start(c: Column) -> Column:
+    return F.shiftright(c, PLACE_BITS)
+
+
+def code_end(c: Column) -> Column:
+    return c.bitwiseAND((1 << PLACE_BITS) - 1)
+
 
 def match_offset(short: Column, long: Column) -> Column:
     """Least number of long's leading elements before which short fits, nulls of short fitting anything; null for none."""
@@ -17,43 +32,54 @@ def match_offset(short: Column, long: Column) -> Column:
     return F.when(known, F.try_element_at(fits, F.lit(1)))
 
 
-def match_kind(short: Column, long: Column) -> Column:
-    """0 no match, 1 equal, 2 contiguous part of long, 3 fits with unknown junctions."""
-    at = match_offset(short, long)
-    unknown = F.exists(short, lambda a: a.isNull())
-    return F.when(at.isNull(), 0).when(unknown, 3).when(F.size(short) == F.size(long), 1).otherwise(2)
+def _terms(chain: Column, best: bool) -> Column:
+    """Array of (p, x): the hash of each known junction, and of each two known ones that follow each other, with its place; best: the pairs alone where there are any."""
+    steps = F.transform(chain, lambda c, i: F.struct(i.alias("p"), c.alias("a"), F.get(chain, i + 1).alias("b")))
+    known = F.filter(steps, lambda z: z["a"].isNotNull())
+    single = F.transform(known, lambda z: F.struct(z["p"].alias("p"), F.xxhash64(z["a"]).alias("x")))
+    double = F.transform(F.filter(known, lambda z: z["b"].isNotNull()), lambda z: F.struct(z["p"].alias("p"), F.xxhash64(z["a"], z["b"]).alias("x")))
+    return F.when(F.size(double) > 0, double).otherwise(single) if best else F.concat(single, double)
 
 
-def rarest(chains: DataFrame, key: str, chain_id: str, chain: str) -> DataFrame:
-    """(key, chain_id, _x, _p): of each chain the known element that stands in the fewest places of its key, and its first place."""
-    each = chains.select(key, chain_id, F.posexplode(chain).alias("_p", "_x")).where("_x is not null")
-    often = each.groupBy(key, "_x").agg(F.count("*").alias("_often"))
-    least = each.join(often, [key, "_x"]).groupBy(key, chain_id).agg(F.min(F.struct("_often", "_x", "_p")).alias("_r"))
-    return least.select(key, chain_id, "_r._x", "_r._p")
+def fits(shorts: DataFrame, longs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, short_id, long_id, short, long, offset): each short chain with each long one of its key that it fits in, at the first place; their other columns too.
+
+    shorts: keys, short_id, short; longs: keys, long_id, long. Unknown junctions of short fit anything; a short
+    chain without a known one fits nothing. A short chain can only fit where its rarest pair of neighbours stands (its
+    rarest element, if it has no pair), so chains meet on that alone, and its place gives the offset: what all
+    chains share joins nothing but chains without anything rarer.
+    """
+    keys = list(keys)
+    places = longs.select(*keys, "long_id", F.explode(_terms(F.col("long"), False)).alias("_t"))
+    often = places.groupBy(*keys, F.col("_t.x").alias("_x")).agg(F.count("*").alias("_often"))
+    each = shorts.select(*keys, "short_id", F.explode(_terms(F.col("short"), True)).alias("_t")).select(*keys, "short_id", F.col("_t.p").alias("_p"), F.col("_t.x").alias("_x"))
+    rarest = each.join(often, [*keys, "_x"]).groupBy(*keys, "short_id").agg(F.min(F.struct("_often", "_x", "_p")).alias("_r"), F.count("*").alias("_met"))
+    a = shorts.join(rarest.select(*keys, "short_id", "_met", "_r._x", "_r._p"), [*keys, "short_id"])
+    a = a.where(F.size(_terms(F.col("short"), True)) == F.col("_met")).drop("_met")  # all its terms stand somewhere
+    b = longs.withColumn("_t", F.explode(_terms(F.col("long"), False))).withColumn("_twice", F.size(F.array_distinct("long")) < F.size("long"))
+    b = b.withColumns({"_x": F.col("_t.x"), "_q": F.col("_t.p")}).drop("_t")
+    at = F.col("_q") - F.col("_p")
+    pairs = a.join(b, [*keys, "_x"]).where((at >= 0) & (at + F.size("short") <= F.size("long"))).withColumn("offset", at)
+    part = F.slice("long", F.greatest(F.col("offset"), F.lit(0)) + 1, F.size("short"))  # filters may be tried in any order
+    loose = F.forall(F.zip_with("short", part, lambda x, y: x.isNull() | F.coalesce(x == y, F.lit(False))), lambda v: v)
+    pairs = pairs.where(F.when(F.exists("short", lambda x: x.isNull()), loose).otherwise(part == F.col("short")))
+    once = ~F.col("_twice") | (F.col("offset") == match_offset(F.col("short"), F.col("long")))  # an element may stand in several places
+    return pairs.where(once).drop("_x", "_p", "_q", "_twice")
 
 
 def subchain_pairs(chains: DataFrame, key: str = "group_id", chain_id: str = "chain_id", chain: str = "chain") -> DataFrame:
     """(key, short_id, long_id, short, long, kind, offset): chains of a key of which one fits in the other, once for each pair.
 
-    long has more known elements, or as many while just one of the two has unknown ones. A short
-    chain can only fit where its rarest element stands, so pairs meet on that element alone and
-    its place gives the offset: an element that all chains share joins nothing but chains without a rarer one.
+    long has more known elements, or as many while just one of the two has unknown ones. kind: 1 equal, 2
+    contiguous part, 3 with unknown junctions.
     """
-    known = F.size(F.filter(F.col(chain), lambda x: x.isNotNull()))
-    base = chains.select(key, chain_id, chain, known.alias("_n"), F.exists(F.col(chain), lambda x: x.isNull()).alias("_u"))
-    a = base.join(rarest(chains, key, chain_id, chain), [key, chain_id])
-    a = a.select(F.col(key).alias("_ka"), F.col(chain_id).alias("short_id"), F.col(chain).alias("short"), F.col("_n").alias("_na"), F.col("_u").alias("_ua"), "_x", "_p")
-    b = base.select(F.col(key).alias("_kb"), F.col(chain_id).alias("long_id"), F.col(chain).alias("long"), F.col("_n").alias("_nb"), F.col("_u").alias("_ub"), F.posexplode(chain).alias("_q", "_y"))
-    fit = (F.col("_nb") > F.col("_na")) | ((F.col("_nb") == F.col("_na")) & (F.col("_ua") != F.col("_ub")))
-    at = F.col("_q") - F.col("_p")
-    inside = (at >= 0) & (at + F.size("short") <= F.size("long"))
-    pairs = a.join(b, (F.col("_ka") == F.col("_kb")) & (F.col("_x") == F.col("_y")) & (F.col("short_id") != F.col("long_id")) & fit & inside)
-    part = F.slice("long", F.greatest(at, F.lit(0)) + 1, F.size("short"))
-    loose = F.forall(F.zip_with("short", part, lambda x, y: x.isNull() | F.coalesce(x == y, F.lit(False))), lambda v: v)
-    pairs = pairs.where(F.when(F.col("_ua"), loose).otherwise(part == F.col("short"))).withColumn("offset", at)
-    kind = F.when(F.col("_ua"), 3).when(F.size("short") == F.size("long"), 1).otherwise(2)
-    once = F.col("offset") == match_offset(F.col("short"), F.col("long"))  # an element may stand in several places
-    return pairs.where(once).select(F.col("_ka").alias(key), "short_id", "long_id", "short", "long", kind.alias("kind"), "offset")
+    known = lambda c: F.size(F.filter(F.col(c), lambda x: x.isNotNull()))
+    unknown = lambda c: F.exists(F.col(c), lambda x: x.isNull())
+    side = lambda name: chains.select(key, F.col(chain_id).alias(f"{name}_id"), F.col(chain).alias(name), known(chain).alias(f"_n{name}"), unknown(chain).alias(f"_u{name}"))
+    fit = (F.col("_nlong") > F.col("_nshort")) | ((F.col("_nlong") == F.col("_nshort")) & (F.col("_ushort") != F.col("_ulong")))
+    pairs = fits(side("short"), side("long"), [key]).where((F.col("short_id") != F.col("long_id")) & fit)
+    kind = F.when(F.col("_ushort"), 3).when(F.size("short") == F.size("long"), 1).otherwise(2)
+    return pairs.select(key, "short_id", "long_id", "short", "long", kind.alias("kind"), "offset")
 
 
 def longest(chains: DataFrame, key: str = "group_id", chain_id: str = "chain_id", chain: str = "chain") -> DataFrame:
@@ -62,6 +88,14 @@ def longest(chains: DataFrame, key: str = "group_id", chain_id: str = "chain_id"
     return chains.join(inside, [key, chain_id], "left_anti")
 
 
+def free_ends(long: Column, offset: Column, n: Column, start: Column, end: Column) -> Column:
+    """Struct of the exon ends that n junctions beginning at offset leave free in a structure of junction codes, and whether they are its outer ends."""
+    first, last = offset == 0, offset + n == F.size(long)
+    left = F.when(first, start.cast("long")).otherwise(code_end(F.get(long, offset - 1)))
+    right = F.when(last, end.cast("long")).otherwise(code_start(F.get(long, offset + n)))
+    return F.struct(left.alias("start"), first.alias("outer_start"), right.alias("end"), last.alias("outer_end"))
+
+
 def endpoint_ok(read: Column, isoform: Column, is_start: bool, terminal: Column, sj_dist: int, internal_limit: int, allow_longer: bool = False) -> Column:
     """A read's end does not reach over the isoform's by more than the limit: sj_dist at the outer boundary, else internal_limit."""
     over = isoform - read if is_start else read - isoform
@@ -69,6 +103,12 @@ def endpoint_ok(read: Column, isoform: Column, is_start: bool, terminal: Column,
     return F.when(terminal, outer).otherwise(over <= internal_limit)
 
 
+def ends_ok(free: Column, start: Column, end: Column, sj_dist: int, internal_limit: int, allow_longer: bool = False) -> Column:
+    """Both ends of a read fit the free ends (of free_ends)."""
+    left = endpoint_ok(start, free["start"], True, free["outer_start"], sj_dist, internal_limit, allow_longer)
+    return left & endpoint_ok(end, free["end"], False, free["outer_end"], sj_dist, internal_limit, allow_longer)
+
+
 def class_medians(df: DataFrame, keys: Sequence[str], value: str, upper: bool, into: str, count: str | None = None) -> DataFrame:
     """(keys, into): the middle value of each key, of two middles the upper or lower one; count: how often a row stands (1).
 
@@ -79,10 +119,3 @@ def class_medians(df: DataFrame, keys: Sequence[str], value: str, upper: bool, i
     n = n.withColumn("_upto", F.sum("_m").over(own.orderBy(value))).withColumn("_all", F.sum("_m").over(own))
     at = F.floor(F.col("_all") / 2) + 1 if upper else F.floor((F.col("_all") - 1) / 2) + 1
     return n.where(F.col("_upto") >= at).groupBy(*keys).agg(F.min(value).alias(into))
-
-
-def median_ends(values: Column, upper: bool) -> Column:
-    """Lower or upper median of an array (an element of it)."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    return F.element_at(ordered, (F.floor(n / 2) + 1 if upper else F.floor((n - 1) / 2) + 1).cast("int"))

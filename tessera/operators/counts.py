@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import absolute_difference, c_round, ratio_difference
+from ..ordering import attach
+from ..storage import stored
 
 
 def distinct_support(df: DataFrame, keys: Sequence[str], reader: str, perfect: str) -> DataFrame:
@@ -61,54 +63,109 @@ def per_million(df: DataFrame, sample: str, value: str, into: str) -> DataFrame:
     return out.withColumn(into, c_round(F.coalesce(F.try_divide(F.col(value) * 1e6, F.col("_t")), F.lit(0.0)))).drop("_s", "_t")
 
 
-def _c2(x: float) -> float:
-    return float(f"{x:.2f}")
+#: Evidence rows (one for each target) that one task may hold; groups with more are iterated as joins.
+EM_ROWS = 500_000
 
 
-def em_rounds(direct: dict, evidence: list[tuple[tuple, float]], max_iterate: int = 100, converged: float = 0.1) -> dict:
-    """Expectation maximisation of one group and one sample.
+def _c2(x: np.ndarray) -> np.ndarray:
+    """Two places as C prints them: the exact binary value, half to even."""
+    near = np.round(x, 2)
+    tie = np.flatnonzero(np.abs(np.abs(x * 100 - np.floor(x * 100)) - 0.5) < np.maximum(1e-6, np.abs(x) * 1e-10))  # only near a half can the two differ
+    if len(tie):
+        near[tie] = [float(f"{v:.2f}") for v in x[tie].tolist()]
+    return near
 
-    direct: count of each target; evidence: (targets, count). Each evidence's count is split by the
-    targets' current values (equally where they are all 0), each share to 2 places; new values are
-    direct plus shares. Ends when no value moves by as much as converged, or after max_iterate.
+
+def em_rounds(direct: np.ndarray, evidence: np.ndarray, target: np.ndarray, n: np.ndarray, max_iterate: int = 100, converged: float = 0.1, per_read: bool = False) -> list[np.ndarray]:
+    """The targets' values in each round of expectation maximisation, from round 0, of one group.
+
+    direct: count of each target; evidence, target, n: for each evidence row and each of its targets, the
+    evidence's number, the target's place in direct and the count. An evidence's count is split by its targets'
+    current values (equally where they are all 0), each share to 2 places; new values are direct plus
+    shares, to 2 places. Ends when no value moves by as much as converged, or after max_iterate rounds. per_read:
+    what is split is one read of each evidence, and values are rounded only to compare them.
     """
-    now = dict(direct)
+    rounds = [direct.astype(float)]
+    size = np.bincount(evidence).astype(float) if len(evidence) else np.zeros(0)
     for _ in range(max_iterate):
-        new = dict(direct)
-        for targets, n in evidence:
-            total = sum(now[t] for t in targets)
-            for t in targets:
-                new[t] += _c2(n * now[t] / total if total else n / len(targets))
-        new = {t: _c2(v) for t, v in new.items()}
-        moved = max((abs(new[t] - now[t]) for t in new), default=0.0)
-        now = new
-        if moved < converged:
+        now = rounds[-1]
+        total = np.bincount(evidence, weights=now[target], minlength=len(size))[evidence]
+        alone = np.ones(len(n)) if per_read else n
+        part = alone / size[evidence]  # where all are 0
+        some = total > 0
+        part[some] = alone[some] * (now[target][some] / total[some])
+        part = n * _c2(part) if per_read else _c2(part)
+        new = direct + np.bincount(target, weights=part, minlength=len(direct))
+        if not per_read:
+            new = _c2(new)
+        rounds.append(new)
+        if not len(new) or _c2(np.abs(new - now)).max() < converged:
             break
-    return now
+    return rounds
 
 
-def em_allocate(direct: DataFrame, evidence: DataFrame, group: str, target: str, count: str = "n", max_iterate: int = 100, converged: float = 0.1) -> DataFrame:
-    """(group, target, em). direct: (group, target, n); evidence: (group, targets array, n), ordered by targets for summation.
+def em_allocate(direct: DataFrame, evidence: DataFrame, group: str, target: str, count: str = "n", max_iterate: int = 100, converged: float = 0.1, per_read: bool = False, trace: bool = False, rows_in_task: int = EM_ROWS) -> DataFrame:
+    """(group, target, em), with trace (group, round, target, em) of every round from 0.
 
-    A group is a read group and sample: both sides are already aggregated to chains, so a group's
-    rows are as many as its distinct chains, not its reads. Targets without a direct row start at 0.
+    direct: (group, target, n); evidence: (group, evidence, target, n), a row for each target of an evidence and
+    n the same in all of them. group is the unit of the stop test. Targets without a direct row start at 0. See
+    em_rounds for a round. Groups of at most rows_in_task evidence rows are each iterated in a task, in numpy; larger ones
+    all together, a join and two aggregations a round, until the last of them stops. Both inputs should be stored.
     """
-    key = direct.schema[target].dataType.simpleString()
-    gtype = direct.schema[group].dataType.simpleString()
-    d = direct.groupBy(group, target).agg(F.sum(count).cast("double").alias("n"))
-    e = evidence.groupBy(group, F.array_sort("targets").alias("targets")).agg(F.sum(count).cast("double").alias("n"))
+    start = direct.groupBy(group, target).agg(F.sum(count).cast("double").alias("n"))
+    rows = evidence.select(group, "evidence", target, F.col(count).cast("double").alias("n"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
+    large = stored(sizes.where(F.col("_rows") > rows_in_task).select(group))
+    names = [group, "round", target, "em"] if trace else [group, target, "em"]
+    kind = {f.name: f.dataType.simpleString() for f in direct.schema}
+    schema = ", ".join(f"{c} {'int' if c == 'round' else 'double' if c == 'em' else kind[c]}" for c in names)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        start = {t: float(n) for t, n in zip(a[target], a["n"], strict=True)}
-        rows = sorted((tuple(x), float(n)) for x, n in zip(b["targets"], b["n"], strict=True))
-        for targets, _ in rows:
-            for t in targets:
-                start.setdefault(t, 0.0)
+        place = pd.Index(pd.unique(pd.concat([a[target], b[target]], ignore_index=True)))
+        first = np.zeros(len(place))
+        first[place.get_indexer(a[target])] = a["n"].to_numpy()
+        of = pd.factorize(b["evidence"])[0]
+        rounds = em_rounds(first, of, place.get_indexer(b[target]), b["n"].to_numpy(), max_iterate, converged, per_read)
         name = a[group].iloc[0] if len(a) else b[group].iloc[0]
-        out = em_rounds(dict(sorted(start.items())), rows, max_iterate, converged)
-        return pd.DataFrame({group: [name] * len(out), target: list(out), "em": list(out.values())})
-
-    return d.groupBy(group).cogroup(e.groupBy(group)).applyInPandas(run, f"{group} {gtype}, {target} {key}, em double")
+        shown = list(enumerate(rounds)) if trace else [(len(rounds) - 1, rounds[-1])]
+        out = pd.concat([pd.DataFrame({group: name, "round": r, target: place, "em": v}) for r, v in shown], ignore_index=True)
+        return out[names]
+
+    none = large.isEmpty()
+    small = lambda d: d if none else d.join(F.broadcast(large), group, "left_anti")
+    done = small(start).groupBy(group).cogroup(small(rows).groupBy(group)).applyInPandas(run, schema)
+    if none:
+        return done
+    big = _em_joins(start.join(F.broadcast(large), group), rows.join(F.broadcast(large), group), group, target, max_iterate, converged, per_read)
+    return done.unionByName(big.select(*names) if trace else big.withColumn("_last", F.max("round").over(Window.partitionBy(group, target))).where("round = _last").select(*names))
+
+
+def _em_joins(start: DataFrame, rows: DataFrame, group: str, target: str, max_iterate: int, converged: float, per_read: bool) -> DataFrame:
+    """em_rounds of many groups at once, as (group, round, target, em): each round is written, and groups that stopped take no part in the next."""
+    rows = stored(rows.withColumn("_of", F.count("*").over(Window.partitionBy(group, "evidence"))))
+    held = stored(rows.groupBy(group, target).agg(F.count("*").alias("_n")))
+    total = rows.count()
+    every = start.select(group, target, "n").unionByName(held.select(group, target, F.lit(0.0).alias("n"))).groupBy(group, target).agg(F.sum("n").alias("direct"))
+    every = stored(every.withColumn("em", F.col("direct")).withColumn("round", F.lit(0)))
+    out, now = every, every
+    for r in range(1, max_iterate + 1):
+        known = stored(held.join(now.select(group, target, "em"), [group, target]))
+        live = rows if r == 1 else rows.join(F.broadcast(now.select(group).distinct()), group)
+        each = attach(live, known, [group, target], total)
+        sums = each.groupBy(group, "evidence").agg(F.sum("em").alias("_sum"))
+        alone = F.lit(1.0) if per_read else F.col("n")
+        part = c_round(F.when(F.col("_sum") > 0, alone * F.try_divide("em", "_sum")).otherwise(alone / F.col("_of")))
+        part = F.col("n") * part if per_read else part
+        parts = stored(each.join(sums, [group, "evidence"]).select(group, target, part.alias("part"))).groupBy(group, target).agg(F.sum("part").alias("part"))
+        new = F.col("direct") + F.coalesce("part", F.lit(0.0))
+        moved = now.join(parts, [group, target], "left").select(group, target, "direct", F.col("em").alias("before"), (new if per_read else c_round(new)).alias("em"), F.lit(r).alias("round"))
+        moved = stored(moved)
+        out = out.unionByName(moved.drop("before"))
+        going = moved.groupBy(group).agg(F.max(c_round(F.abs(F.col("em") - F.col("before")))).alias("_m")).where(F.col("_m") >= converged).select(group)
+        now = stored(moved.drop("before").join(F.broadcast(going), group, "left_semi"))
+        if now.isEmpty():
+            break
+    return out.select(group, "round", target, "em")
 
 
 def full_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -1,364 +1,257 @@
-"""Isoform discovery and quantification of one read group.
+"""Isoform discovery and assignment over all read groups at once, as joins of chains and read classes.
 
-Spark reduces reads to chains and read classes (chain, sample, start, end, count) first; what is
-here sees only those, so its input is as large as a group's distinct alignments, not its reads.
+Reads are reduced to chains (one row for each chain of junction codes of a read group) and read classes
+(chain, sample, start, end, count) first. Chains meet isoforms, and each other, only where one fits in the
+other (operators.chains.fits), so no task ever holds a read group.
 
-A structure is a chain of junctions (start, end) between two outer ends. `Fit` says how a chain
-lies in a longer structure and which of its ends meet the structure's outer ends.
+chains: cid, chr, group_id, codes, strand, all_annotated, all_sites, n (reads), valid, start, end (medians).
+classes: cid, sample, start, end, n. isoforms: chr, transcript_id, transcript_name, gene_id, i_start, i_end, i_codes.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass, field
-from typing import NamedTuple
+from dataclasses import dataclass
 
-from ..config import QuantConfig
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-Chain = tuple  # of (start, end), or None for a junction that failed
+from ..config import QuantConfig
+from ..functions.numeric import c_round
+from ..ordering import attach, numbered, ranged, salted_join
+from ..storage import stored
+from . import counts as ct
+from .chains import ends_ok, fits, free_ends
 
 FSM, ISM, NIC, NNC, NCD = "FSM", "ISM", "NIC", "NNC", "NCD"
-
-
-class Fit(NamedTuple):
-    start: int
-    outer_start: bool
-    end: int
-    outer_end: bool
+GROUP = ["chr", "group_id"]
+
+
+def _ends(free: Column, start: str, end: str, cfg: QuantConfig) -> Column:
+    return ends_ok(free, F.col(start), F.col(end), cfg.sj_dist, cfg.internal_boundary_limit, cfg.allow_longer_terminal_exons)
+
+
+def classify(chains: DataFrame, isoforms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains with category, matches: cid, chr, group_id, transcript_id, same, free).
+
+    NCD: a junction failed. NNC, NIC: some junction isn't annotated; in NIC all its sites are. FSM: equal to isoforms;
+    ISM: a part of longer ones; annotated junctions that no isoform has in that order are NIC. matches
+    has the isoforms that an FSM chain equals, or that an ISM chain is part of.
+    """
+    known = chains.where("all_annotated and not exists(codes, c -> c is null)")
+    shapes = stored(isoforms.groupBy("chr", "i_codes").agg(F.min("transcript_id").alias("shape")))  # isoforms of equal chains meet reads once
+    pairs = fits(known.select("chr", "group_id", F.col("cid").alias("short_id"), F.col("codes").alias("short")), shapes.select("chr", F.col("shape").alias("long_id"), F.col("i_codes").alias("long")), ["chr"])
+    pairs = pairs.select(*GROUP, F.col("short_id").alias("cid"), F.col("long_id").alias("shape"), "offset", F.size("short").alias("size"))
+    each = isoforms.join(shapes, ["chr", "i_codes"]).select("chr", "shape", "transcript_id", "i_codes", "i_start", "i_end")
+    pairs = pairs.join(each, ["chr", "shape"])
+    free = free_ends(F.col("i_codes"), F.col("offset"), F.col("size"), F.col("i_start"), F.col("i_end"))
+    matches = stored(pairs.select("cid", *GROUP, "transcript_id", (F.col("size") == F.size("i_codes")).alias("same"), free.alias("free")))
+    kinds = matches.groupBy("cid").agg(F.bool_or("same").alias("whole"))
+    category = (
+        F.when(F.exists("codes", lambda c: c.isNull()), NCD)
+        .when(~F.col("all_annotated"), F.when(F.col("all_sites"), NIC).otherwise(NNC))
+        .when(F.col("whole"), FSM).when(F.col("whole").isNotNull(), ISM).otherwise(NIC)
+    )
+    out = stored(chains.join(kinds, "cid", "left").withColumn("category", category).drop("whole"))
+    wanted = out.where(F.col("category").isin(FSM, ISM)).select("cid", (F.col("category") == FSM).alias("same"))
+    return out, matches.join(wanted, ["cid", "same"])
 
 
 @dataclass
-class Structure:
-    chain: Chain
-    start: int
-    end: int
-
-    def fit(self, offset: int, n: int) -> Fit:
-        """The exon ends that n junctions beginning at offset leave free."""
-        first, last = offset == 0, offset + n == len(self.chain)
-        return Fit(self.start if first else self.chain[offset - 1][1], first, self.end if last else self.chain[offset + n][0], last)
-
-
-@dataclass
-class Isoform(Structure):
-    name: str = ""
-    title: str = "NA"
-    gene: str = "NA"
-
-
-@dataclass
-class ReadChain(Structure):
-    all_annotated: bool = False
-    all_sites: bool = False
-    strand: str = ""
-    perfect: tuple[int, ...] = ()
-    classes: list[tuple[str, int, int, int]] = field(default_factory=list)  # sample, start, end, count
-    category: str = ""
-    isoforms: list[str] = field(default_factory=list)
-
-    @property
-    def reads(self) -> int:
-        return sum(c[3] for c in self.classes)
-
-    def valid(self, cfg: QuantConfig) -> bool:
-        n = self.reads
-        return bool(self.perfect) and all(p >= cfg.read_num_cutoff and p / n >= cfg.read_ratio_cutoff for p in self.perfect)
+class Novel:
+    """What discover finds: longest (cid, number: a novel isoform's place in its group), inside (cid, long: valid longer
+    chains that hold a chain), within (cid, long, free: all such pairs of chains), listed (cid, transcript_id, target, free: isoforms
+    of an ISM chain that agree with its ends, and the chain of reads that equals each)."""
+
+    longest: DataFrame
+    inside: DataFrame
+    within: DataFrame
+    listed: DataFrame
+
+
+def discover(chains: DataFrame, matches: DataFrame, cfg: QuantConfig) -> Novel:
+    """Novel chains that no longer valid one holds, numbered in each group in the order NNC, NIC, ISM, then by length.
+
+    A NIC chain may also be held by an NNC chain that was found novel; an ISM chain is novel if it is valid, agrees with the ends
+    of isoforms that no read shows whole, and neither another such chain nor a novel one holds it. With cfg.raw all valid ISM,
+    NIC and NNC chains are novel, in that order.
+    """
+    of = lambda c: chains.where(F.col("category") == c)
+    open_ = chains.where(F.col("category").isin(NNC, NIC, ISM))
+    valid = open_.where("valid")
+    shorts = open_.where(F.col("valid") | (F.col("category") == ISM)).select(*GROUP, F.col("cid").alias("short_id"), F.col("codes").alias("short"), F.col("category").alias("kind"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    longs = valid.select(*GROUP, F.col("cid").alias("long_id"), F.col("codes").alias("long"), F.col("category").alias("l_kind"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    pairs = fits(shorts, longs, GROUP).where(F.size("short") < F.size("long"))
+    free = free_ends(F.col("long"), F.col("offset"), F.size("short"), F.col("l_start"), F.col("l_end"))
+    pairs = pairs.withColumn("free", free).where(_ends(F.col("free"), "s_start", "s_end", cfg))
+    within = stored(pairs.select(F.col("short_id").alias("cid"), F.col("long_id").alias("long"), "kind", "l_kind", "free"))
+
+    ism = matches.where("not same").join(of(ISM).select("cid", "start", "end"), "cid")
+    ism = stored(ism.where(F.lit(cfg.raw) | _ends(F.col("free"), "start", "end", cfg)).select("cid", *GROUP, "transcript_id", "free"))
+    read = matches.where("same").select(*GROUP, "transcript_id", F.col("cid").alias("target"))
+    listed = stored(ism.join(read, [*GROUP, "transcript_id"]).select("cid", "transcript_id", "target", "free"))
+
+    kind = lambda a, b: (F.col("kind") == a) & (F.col("l_kind") == b)
+    ids = lambda d: d.select("cid")
+    if cfg.raw:
+        inside = within.where(F.lit(False)).select("cid", "long")
+        found, rank = valid, {ISM: 0, NIC: 1, NNC: 2}
+    else:
+        in_nnc = within.where(kind(NNC, NNC))
+        nnc = ids(valid.where(F.col("category") == NNC)).join(ids(in_nnc), "cid", "left_anti")
+        in_nic = within.where(kind(NIC, NIC)).unionByName(within.where(kind(NIC, NNC)).join(nnc.withColumnRenamed("cid", "long"), "long", "left_semi").select(*within.columns))
+        nic = ids(valid.where(F.col("category") == NIC)).join(ids(in_nic), "cid", "left_anti")
+        free_ism = ids(valid.where(F.col("category") == ISM)).join(ids(listed), "cid", "left_anti")
+        holders = free_ism.unionByName(nnc).unionByName(nic).withColumnRenamed("cid", "long")
+        in_ism = within.where(F.col("kind") == ISM).join(free_ism, "cid", "left_semi").join(holders, "long", "left_semi")
+        new_ism = free_ism.join(ids(ism), "cid", "left_semi").join(ids(in_ism), "cid", "left_anti")
+        inside = stored(in_nnc.unionByName(in_nic).unionByName(in_ism.select(*within.columns)).select("cid", "long"))
+        found, rank = valid.join(nnc.unionByName(nic).unionByName(new_ism), "cid", "left_semi"), {NNC: 0, NIC: 1, ISM: 2}
+    back = F.lit(not cfg.raw) & (F.col("category") == ISM)  # these come last first
+    size = F.when(back, -F.size("codes")).otherwise(F.size("codes"))
+    place = F.when(back, F.transform("codes", lambda c: -c)).otherwise(F.col("codes"))
+    order = found.select("cid", *GROUP, F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col("category")].alias("_rank"), size.alias("_size"), place.alias("_place"))
+    at = stored(numbered(ranged(order, *[F.asc(c) for c in (*GROUP, "_rank", "_size", "_place")]), "_at"))
+    first = stored(at.groupBy(*GROUP).agg(F.count("*").alias("_n"), F.min("_at").alias("_first")))
+    longest = attach(at, first, GROUP, at.count()).select("cid", *GROUP, (F.col("_at") - F.col("_first")).alias("number"))
+    return Novel(stored(longest), inside, within, listed)
+
+
+def novel_name(number: str = "number") -> Column:
+    return F.concat(F.lit("TSR:"), "chr", F.lit(":"), F.col("group_id").cast("string"), F.lit(":"), F.col(number).cast("string"))
 
 
 @dataclass
-class Result:
-    abundance: list[tuple[str, str, str, str, float]] = field(default_factory=list)  # id, title, gene, sample, count
-    compatible: list[tuple[Chain, int, int, str, list[str]]] = field(default_factory=list)  # chain, start, end, class, isoforms
-    structures: list[tuple[str, str, str, int, int, Chain, str]] = field(default_factory=list)  # id, gene, source, start0, end, chain, strand
-
-
-def offset_of(short: Chain, long: Chain) -> int | None:
-    """Leading junctions of long before the first place where short fits; None fits anything; None for no fit."""
-    if len(short) > len(long) or all(x is None for x in short):
-        return None
-    for o in range(len(long) - len(short) + 1):
-        if all(a is None or a == b for a, b in zip(short, long[o:], strict=False)):
-            return o
-    return None
-
-
-def lower_median(values: list[tuple[int, int]], upper: bool) -> int:
-    """Middle of counted values; of two middles the upper or lower one."""
-    values = sorted(values)
-    n = sum(c for _, c in values)
-    at = n // 2 if upper else (n - 1) // 2
-    for v, c in values:
-        if at < c:
-            return v
-        at -= c
-    raise ValueError("no values")
-
-
-def c_two(x: float) -> float:
-    return float(f"{x:.2f}")
-
-
-def ends_ok(fit: Fit, start: int, end: int, cfg: QuantConfig) -> bool:
-    """Neither end reaches too far over the structure's: sj_dist at outer ends (any length if allowed), else the internal limit."""
-    def ok(over: int, outer: bool) -> bool:
-        if outer:
-            return cfg.allow_longer_terminal_exons or over <= cfg.sj_dist
-        return over <= cfg.internal_boundary_limit
-
-    return ok(fit.start - start, fit.outer_start) and ok(end - fit.end, fit.outer_end)
-
-
-def part_fits(short: ReadChain, long: Structure, cfg: QuantConfig) -> bool:
-    """short is a contiguous part of the longer structure and its median ends agree."""
-    if len(short.chain) >= len(long.chain) or (o := offset_of(short.chain, long.chain)) is None:
-        return False
-    return ends_ok(long.fit(o, len(short.chain)), short.start, short.end, cfg)
-
-
-def order(c: ReadChain) -> tuple:
-    return len(c.chain), c.chain
-
-
-class Group:
-    """One read group: `run` classifies chains, finds novel ones, assigns reads and quantifies."""
-
-    def __init__(self, chr_: str, group: int, samples: list[str], chains: list[ReadChain], isoforms: list[Isoform], cfg: QuantConfig):
-        self.chr, self.group, self.samples, self.cfg = chr_, group, samples, cfg
-        self.chains = {c.chain: c for c in sorted(chains, key=lambda c: tuple((-1, -1) if x is None else x for x in c.chain))}
-        self.isoforms = {i.name: i for i in isoforms}
-        self.longest: list[ReadChain] = []
-        self.number: dict[Chain, int] = {}
-        self.inside: dict[Chain, list[Chain]] = defaultdict(list)
-        self.initial = {c: {s: 0 for s in samples} for c in self.chains}
-        for c in chains:
-            for sample, _, _, n in c.classes:
-                self.initial[c.chain][sample] += n
-        self.direct = {c: dict(v) for c, v in self.initial.items()}
-        self.evidence: list[tuple[str, str, tuple[Chain, ...], float]] = []  # order, sample, targets, count
-        self.out = Result()
-        self.by_start = defaultdict(list)
-        for c in self.chains.values():
-            for x in set(c.chain) - {None}:
-                self.by_start[x].append(c)
-
-    def name(self, number: int) -> str:
-        return f"TSR:{self.chr}:{self.group}:{number}"
-
-    def of(self, category: str) -> list[ReadChain]:
-        return sorted((c for c in self.chains.values() if c.category == category), key=order)
-
-    def classify(self) -> None:
-        by_junction = defaultdict(set)
-        for i in self.isoforms.values():
-            for x in i.chain:
-                by_junction[x].add(i.name)
-        for c in self.chains.values():
-            if None in c.chain:
-                c.category = NCD
-            elif not c.all_annotated:
-                c.category = NIC if c.all_sites else NNC
-            else:
-                near = sorted(set().union(*(by_junction[x] for x in c.chain)))
-                equal = [n for n in near if self.isoforms[n].chain == c.chain]
-                part = [n for n in near if len(self.isoforms[n].chain) > len(c.chain) and offset_of(c.chain, self.isoforms[n].chain) is not None]
-                c.category, c.isoforms = (FSM, equal) if equal else (ISM, part) if part else (NIC, [])
-
-    def add_longest(self, c: ReadChain) -> None:
-        self.number[c.chain] = len(self.longest)
-        self.longest.append(c)
-
-    def among(self, chains: list[ReadChain]) -> None:
-        for i, c in enumerate(chains):
-            for longer in chains[i + 1 :]:
-                if part_fits(c, longer, self.cfg):
-                    self.inside[c.chain].append(longer.chain)
-
-    def discover(self) -> None:
-        """Novel chains that no longer one contains, in the order NNC, NIC, ISM; their place is their number."""
-        if self.cfg.raw:
-            for category in (ISM, NIC, NNC):
-                for c in self.of(category):
-                    if c.valid(self.cfg):
-                        self.add_longest(c)
-            return
-        for category in (NNC, NIC):
-            good = [c for c in self.of(category) if c.valid(self.cfg)]
-            self.among(good)
-            before = list(self.longest)
-            for c in good:
-                self.inside[c.chain] += [x.chain for x in before if part_fits(c, x, self.cfg)]
-            for c in good:
-                if not self.inside[c.chain]:
-                    self.add_longest(c)
-        self.discover_ism()
-
-    def discover_ism(self) -> None:
-        candidates, unread = [], set()
-        for c in self.of(ISM):
-            fitting = [n for n in c.isoforms if part_fits(c, self.isoforms[n], self.cfg)]
-            c.isoforms = [n for n in fitting if self.isoforms[n].chain in self.chains]
-            if not c.isoforms:
-                if fitting:
-                    unread.add(c.chain)
-                if c.valid(self.cfg):
-                    candidates.append(c)
-        self.among(candidates)
-        for c in reversed(candidates):  # longest first: survivors count for shorter ones
-            known = set(self.inside[c.chain])
-            self.inside[c.chain] += [x.chain for x in self.longest if x.chain not in known and part_fits(c, x, self.cfg)]
-            if not self.inside[c.chain] and c.chain in unread:
-                self.add_longest(c)
-
-    def note(self, c: ReadChain, label: str, isoforms: list[str], ends: tuple[int, int] | None = None) -> None:
-        for _, s, e, _ in c.classes if ends is None else [("", *ends, 0)]:
-            self.out.compatible.append((c.chain, s, e, label, isoforms))
-
-    def containing(self, c: ReadChain) -> list[Chain]:
-        return [x for x in dict.fromkeys(self.inside.get(c.chain, ())) if x in self.number]
-
-    def assign_novel(self) -> None:
-        for category in (NIC, NNC):
-            for c in self.of(category):
-                if self.inside.get(c.chain):
-                    targets = self.containing(c)
-                    if len(targets) == 1:
-                        for s in self.samples:
-                            self.direct[targets[0]][s] += self.initial[c.chain][s]
-                    elif targets:
-                        self.share(f"1{category}", c, targets)
-                    self.note(c, category, [self.name(self.number[t]) for t in targets])
-                else:
-                    self.note(c, category, [self.name(self.number[c.chain])] if c.chain in self.number else [])
-
-    def share(self, rank: str, c: ReadChain, targets: list[Chain]) -> None:
-        for s in self.samples:
-            if self.initial[c.chain][s]:
-                self.evidence.append((rank, s, tuple(targets), self.initial[c.chain][s]))
-
-    def assign_ism(self) -> None:
-        for c in self.of(ISM):
-            if c.chain in self.number:
-                own = Fit(c.start, True, c.end, True)
-                for sample, s, e, n in c.classes:
-                    if ends_ok(own, s, e, self.cfg):
-                        self.note(c, NIC, [self.name(self.number[c.chain])], (s, e))
-                    else:
-                        self.direct[c.chain][sample] -= n
-                        self.note(c, ISM, [], (s, e))
-                continue
-            novel = self.containing(c)
-            if not self.inside.get(c.chain):
-                novel = [x.chain for x in self.longest if part_fits(c, x, self.cfg)]
-                named = c.isoforms
-            else:
-                named = []
-            structures: list[tuple[str, Structure, Chain]] = [(n, self.isoforms[n], self.isoforms[n].chain) for n in named]
-            structures += [(self.name(self.number[x]), self.chains[x], x) for x in novel]
-            shared: dict[tuple[str, tuple[Chain, ...]], int] = defaultdict(int)
-            for sample, s, e, n in c.classes:
-                fitting = [(name, chain) for name, st, chain in structures if ends_ok(st.fit(offset_of(c.chain, st.chain), len(c.chain)), s, e, self.cfg)]
-                self.note(c, ISM, [name for name, _ in fitting], (s, e))
-                targets = tuple(sorted({chain for _, chain in fitting}))
-                if not targets:
-                    continue
-                if len(structures) == 1:
-                    self.direct[targets[0]][sample] += n
-                else:
-                    shared[sample, targets] += n
-            self.evidence += [("0", sample, targets, n) for (sample, targets), n in sorted(shared.items())]
-
-    def assign_failed(self) -> None:
-        for c in self.of(NCD):
-            pool = [x for x in self.of(FSM)] + self.longest
-            targets, names = [], []
-            known = sum(x is not None for x in c.chain)
-            for x in pool:
-                shared = any(j in x.chain for j in c.chain if j is not None)
-                if shared and len(x.chain) >= max(len(c.chain), known) and (o := offset_of(c.chain, x.chain)) is not None and ends_ok(x.fit(o, len(c.chain)), c.start, c.end, self.cfg):
-                    targets.append(x.chain)
-                    names += x.isoforms if x.category == FSM else [self.name(self.number[x.chain])]
-            if len(targets) == 1:
-                for s in self.samples:
-                    self.direct[targets[0]][s] += self.initial[c.chain][s]
-            elif targets:
-                self.share("2", c, sorted(targets))
-            self.note(c, NCD, names)
-
-    def maximise(self) -> dict[Chain, dict[str, float]]:
-        """Expectation maximisation over chains; one stop test for all samples."""
-        now = {c: dict(v) for c, v in self.direct.items()}
-        rows = sorted(self.evidence, key=lambda r: r[0])
-        if not rows:
-            return now
-        for _ in range(self.cfg.max_iterate):
-            new = {c: dict(v) for c, v in self.direct.items()}
-            for _, s, targets, n in rows:
-                total = sum(now[t][s] for t in targets)
-                for t in targets:
-                    new[t][s] += c_two(n * (now[t][s] / total) if total > 0 else n / len(targets))
-            new = {c: {s: c_two(x) for s, x in v.items()} for c, v in new.items()}
-            moved = max(c_two(abs(new[c][s] - now[c][s])) for c in new for s in self.samples)
-            now = new
-            if moved < self.cfg.converged:
-                break
-        return now
-
-    def report(self, em: dict[Chain, dict[str, float]]) -> None:
-        for c in self.of(FSM):
-            near = {}
-            for name in c.isoforms:
-                i = self.isoforms[name]
-                near[name] = defaultdict(int)
-                for sample, s, e, n in c.classes:
-                    if abs(i.start - s) <= self.cfg.sj_dist and abs(i.end - e) <= self.cfg.sj_dist:
-                        near[name][sample] += n
-            total = {s: sum(near[n][s] for n in c.isoforms) for s in self.samples}
-            for name in c.isoforms:
-                i = self.isoforms[name]
-                counts = {}
-                for s in self.samples:
-                    share = near[name][s] / total[s] if total[s] else 1 / len(c.isoforms)
-                    counts[s] = c_two(em[c.chain][s] * share)
-                listed = any(near[name][s] if total[s] else em[c.chain][s] > 0 for s in self.samples)
-                if listed:
-                    self.out.abundance += [(name, i.title, i.gene, s, counts[s]) for s in self.samples]
-                    self.out.structures.append((name, i.gene, "annotated_isoform", i.start, i.end, i.chain, c.strand))
-            self.note(c, FSM, list(c.isoforms))
-        for c in self.longest:
-            votes: dict[str, int] = defaultdict(int)
-            for x in c.chain:
-                for i in self.isoforms.values():
-                    votes[i.gene] += x in i.chain
-            gene = ",".join(g for g, n in sorted(votes.items(), key=lambda v: (-v[1], v[0])) if n) or "NA"
-            name = self.name(self.number[c.chain])
-            self.out.abundance += [(name, "NA", gene, s, c_two(em[c.chain][s])) for s in self.samples]
-            self.out.structures.append((name, gene, "novel_isoform", c.start - 1, c.end, c.chain, c.strand))
-
-    def run(self) -> Result:
-        self.classify()
-        self.discover()
-        self.assign_novel()
-        self.assign_ism()
-        self.assign_failed()
-        self.report(self.maximise())
-        return self.out
-
-
-def single_exon(samples: list[str], reads: dict[tuple[str, tuple[str, ...]], int], cfg: QuantConfig) -> dict[str, dict[str, float]]:
-    """Counts of single-exon isoforms. reads: (sample, compatible isoforms in order) -> number of reads."""
-    now: dict[str, dict[str, float]] = defaultdict(lambda: dict.fromkeys(samples, 0.0))
-    rows = sorted(reads.items())
-    for (s, targets), n in rows:
-        for t in targets:
-            now[t][s] += n * c_two(1 / len(targets))
-    for _ in range(cfg.max_iterate):
-        new: dict[str, dict[str, float]] = {t: dict.fromkeys(samples, 0.0) for t in now}
-        for (s, targets), n in rows:
-            total = sum(now[t][s] for t in targets)
-            for t in targets:
-                new[t][s] += n * c_two(now[t][s] / total if total > 0 else 1 / len(targets))
-        moved = max((c_two(abs(new[t][s] - now[t][s])) for t in new for s in samples), default=0.0)
-        now = new  # type: ignore[assignment]
-        if moved < cfg.converged:
-            break
-    return {t: {s: c_two(x) for s, x in v.items()} for t, v in now.items()}
+class Assigned:
+    """direct (cid, sample, n): reads counted for a chain at once; evidence (evidence, cid, sample, n): reads shared by several chains,
+    a row for each; named (cid, start, end, class, isoforms): what each read class is compatible with."""
+
+    direct: DataFrame
+    evidence: DataFrame
+    named: DataFrame
+
+
+def assign(chains: DataFrame, classes: DataFrame, matches: DataFrame, novel: Novel, cfg: QuantConfig) -> Assigned:
+    """Which chains the reads of each chain count for, and the isoforms that each read class is compatible with: annotated ones by id, then novel ones by number.
+
+    A valid NIC or NNC chain counts for the novel chains that hold it. An ISM class counts for the listed isoforms and novel chains whose ends
+    agree with its own ends. A chain with failed junctions counts for FSM and novel chains that it fits in, by its
+    median ends. One possible chain gets the reads at once; several share them.
+    """
+    total = classes.count()
+    kinds = chains.select("cid", *GROUP, "category", "start", "end")
+    names = novel.longest.select("cid", "number", novel_name().alias("name"))
+    initial = stored(classes.groupBy("cid", "sample").agg(F.sum("n").alias("n")))
+    item = lambda k, n: F.struct(k.alias("k"), n.alias("n"))
+    listing = F.transform(F.array_sort(F.collect_list("x")), lambda v: v["n"]).alias("isoforms")
+    numbered_name = item(F.lpad(F.col("number").cast("string"), 20, "0"), F.col("name"))
+    target = names.select(F.col("cid").alias("long"), "number", "name")
+
+    # NIC and NNC
+    held = novel.inside.join(target, "long").join(chains.where(F.col("category").isin(NIC, NNC)).select("cid"), "cid", "left_semi")
+    own = names.join(chains.where(F.col("category").isin(NIC, NNC)).select("cid"), "cid", "left_semi")
+    part_names = held.select("cid", numbered_name.alias("x")).unionByName(own.select("cid", numbered_name.alias("x"))).groupBy("cid").agg(listing)
+
+    # NCD
+    pool = chains.where(F.col("category") == FSM).select("cid").unionByName(names.select("cid"))
+    longs = chains.join(pool, "cid", "left_semi").select(*GROUP, F.col("cid").alias("long_id"), F.col("codes").alias("long"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    shorts = chains.where(F.col("category") == NCD).select(*GROUP, F.col("cid").alias("short_id"), F.col("codes").alias("short"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    loose = fits(shorts, longs, GROUP)
+    loose = loose.where(_ends(free_ends(F.col("long"), F.col("offset"), F.size("short"), F.col("l_start"), F.col("l_end")), "s_start", "s_end", cfg))
+    loose = stored(loose.select(F.col("short_id").alias("cid"), F.col("long_id").alias("long")))
+    annotated = matches.where("same").select(F.col("cid").alias("long"), item(F.concat(F.lit(" "), "transcript_id"), F.col("transcript_id")).alias("x"))
+    failed_names = loose.join(annotated.unionByName(target.select("long", numbered_name.alias("x"))), "long").groupBy("cid").agg(listing)
+
+    # ISM
+    ism = chains.where(F.col("category") == ISM)
+    novel_ism = ism.join(names, "cid")
+    mine = classes.join(novel_ism.select("cid", "start", "end", "name").withColumnsRenamed({"start": "m_start", "end": "m_end"}), "cid")
+    itself = F.struct(F.col("m_start").cast("long").alias("start"), F.lit(True).alias("outer_start"), F.col("m_end").cast("long").alias("end"), F.lit(True).alias("outer_end"))
+    mine = stored(mine.withColumn("ok", _ends(itself, "start", "end", cfg)))
+    others = ism.join(names.select("cid"), "cid", "left_anti").select("cid")
+    closed = novel.inside.select("cid").distinct()
+    holding = novel.within.where(F.col("kind") == ISM).join(others, "cid", "left_semi").join(target, "long")
+    holding = holding.join(novel.inside, ["cid", "long"], "left_semi").unionByName(holding.join(closed, "cid", "left_anti"))
+    plain = novel.listed.join(others, "cid", "left_semi").join(closed, "cid", "left_anti")
+    options = holding.select("cid", F.col("long").alias("target"), "free", numbered_name.alias("x")).unionByName(plain.select("cid", "target", "free", item(F.concat(F.lit(" "), "transcript_id"), F.col("transcript_id")).alias("x")))
+    options = stored(options)
+    many = options.groupBy("cid").agg(F.count("*").alias("options"))
+    per = classes.groupBy("cid").agg(F.count("*").alias("_n"))
+    met = salted_join(classes, options, "cid", per, total).where(_ends(F.col("free"), "start", "end", cfg))
+    met = stored(met.groupBy("cid", "sample", "start", "end").agg(F.first("n").alias("n"), listing, F.array_sort(F.collect_set("target")).alias("targets")).join(many, "cid"))
+
+    # counts
+    single = lambda pairs: pairs.groupBy("cid").agg(F.min("long").alias("only"), F.count("*").alias("many"))
+    given = held.select("cid", "long").unionByName(loose)
+    alone = single(given).where("many = 1").select("cid", "only")
+    moves = initial.join(alone, "cid").select(F.col("only").alias("cid"), "sample", "n")
+    moves = moves.unionByName(met.where("options = 1").select(F.element_at("targets", 1).alias("cid"), "sample", "n"))
+    moves = moves.unionByName(mine.where("not ok").select("cid", "sample", (-F.col("n")).alias("n")))
+    counted = initial.join(pool, "cid", "left_semi")
+    direct = counted.unionByName(moves).groupBy("cid", "sample").agg(F.sum("n").alias("n"))
+    shared = given.join(single(given).where("many > 1").select("cid"), "cid", "left_semi").join(initial, "cid")
+    number = lambda *c: F.sha2(F.concat_ws(",", *c), 256)
+    shared = shared.select(number(F.lit("chain"), F.col("cid").cast("string"), "sample").alias("evidence"), F.col("long").alias("cid"), "sample", "n")
+    sets = met.where("options > 1").groupBy("cid", "sample", "targets").agg(F.sum("n").alias("n"))
+    several = sets.select(number(F.lit("class"), F.col("cid").cast("string"), "sample", F.col("targets").cast("string")).alias("evidence"), F.explode("targets").alias("cid"), "sample", "n")
+
+    # names
+    none = F.array().cast("array<string>")
+    by_chain = chains.where(F.col("category") != ISM).select("cid", F.col("category").alias("class"))
+    same = matches.where("same").groupBy("cid").agg(F.array_sort(F.collect_list("transcript_id")).alias("isoforms"))
+    lists = stored(by_chain.join(same.unionByName(part_names).unionByName(failed_names), "cid", "left").join(per, "cid"))
+    where = ["cid", "start", "end"]
+    named = attach(classes.select("sample", *where), lists, ["cid"], total).select("sample", *where, "class", F.coalesce("isoforms", none).alias("isoforms"))
+    rest = classes.join(others, "cid", "left_semi").select("sample", *where).join(met.select("sample", *where, "isoforms"), ["sample", *where], "left")
+    named = named.unionByName(rest.select("sample", *where, F.lit(ISM).alias("class"), F.coalesce("isoforms", none).alias("isoforms")))
+    named = named.unionByName(mine.select("sample", *where, F.when(F.col("ok"), NIC).otherwise(ISM).alias("class"), F.when(F.col("ok"), F.array("name")).otherwise(none).alias("isoforms")))
+    return Assigned(stored(direct), stored(shared.unionByName(several)), stored(named))
+
+
+def maximise(chains: DataFrame, assigned: Assigned, samples: list[str], cfg: QuantConfig, trace: bool = False) -> DataFrame:
+    """(cid, sample, em) by expectation maximisation, one stop test for all samples of a read group; with trace each round of it (chr, group_id, round, cid, sample, em)."""
+    at = F.create_map(*[F.lit(x) for i, s in enumerate(samples) for x in (s, i)]) if samples else F.create_map(F.lit(""), F.lit(0))
+    target = (F.col("cid") * max(len(samples), 1) + at[F.col("sample")]).cast("long").alias("target")
+    key = chains.select("cid", F.concat_ws(":", "chr", F.col("group_id").cast("string")).alias("grp"))
+    shape = lambda d, *more: d.join(key, "cid").select("grp", *more, target, "n")
+    out = ct.em_allocate(stored(shape(assigned.direct)), stored(shape(assigned.evidence, "evidence")), "grp", "target", max_iterate=cfg.max_iterate, converged=cfg.converged, trace=trace)
+    sample = F.get(F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>"), F.pmod("target", F.lit(max(len(samples), 1))).cast("int"))
+    out = out.withColumn("cid", F.floor(F.col("target") / max(len(samples), 1))).withColumn("sample", sample)
+    if not trace:
+        return out.select("cid", "sample", "em")
+    return out.join(chains.select("cid", *GROUP), "cid").select(*GROUP, "round", "cid", "sample", "em")
+
+
+def report(chains: DataFrame, classes: DataFrame, isoforms: DataFrame, matches: DataFrame, novel: Novel, em: DataFrame, samples: list[str], cfg: QuantConfig) -> tuple[DataFrame, DataFrame]:
+    """(abundance: transcript_id, transcript_name, gene_id, sample, count; structures: transcript_id, gene_id, source, chr, start0, end, codes, strand).
+
+    Reads of an FSM chain are split over its isoforms by how many end near each one's ends, equally where none do; an isoform
+    without such reads is left out where others have some. A novel isoform's genes are those of the isoforms that
+    share junctions with it, most junctions first.
+    """
+    each = F.explode(F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")).alias("sample")
+    whole = matches.where("same").select("cid", "chr", "transcript_id").join(isoforms.select("chr", "transcript_id", "transcript_name", "gene_id", "i_start", "i_end"), ["chr", "transcript_id"])
+    whole = stored(whole)
+    per = classes.groupBy("cid").agg(F.count("*").alias("_n"))
+    near = salted_join(classes, whole.select("cid", "transcript_id", "i_start", "i_end"), "cid", per, classes.count())
+    near = near.where((F.abs(F.col("i_start") - F.col("start")) <= cfg.sj_dist) & (F.abs(F.col("i_end") - F.col("end")) <= cfg.sj_dist))
+    near = near.groupBy("cid", "transcript_id", "sample").agg(F.sum("n").alias("near"))
+    grid = whole.select("cid", "transcript_id", "transcript_name", "gene_id", each).join(near, ["cid", "transcript_id", "sample"], "left").join(em, ["cid", "sample"], "left").na.fill(0, ["near", "em"])
+    split = ct.proportional_split(grid, ["cid", "sample"], "near", "em", "count")
+    total = F.sum("near").over(Window.partitionBy("cid", "sample"))
+    split = split.withColumn("seen", F.when(total > 0, F.col("near") > 0).otherwise(F.col("em") > 0))
+    split = split.withColumn("seen", F.max("seen").over(Window.partitionBy("cid", "transcript_id"))).where("seen")
+    split = stored(split.select("cid", "transcript_id", "transcript_name", "gene_id", "sample", "count"))
+    long_ = chains.join(novel.longest.select("cid", "number"), "cid")
+    holds = isoforms.select("chr", F.explode("i_codes").alias("c"), "gene_id")
+    votes = long_.select("cid", "chr", F.explode("codes").alias("c")).join(holds.groupBy("chr", "c", "gene_id").agg(F.count("*").alias("votes")), ["chr", "c"]).groupBy("cid", "gene_id").agg(F.sum("votes").alias("votes"))
+    genes = votes.groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), F.col("gene_id").alias("g")))), lambda x: x["g"]), ",").alias("gene_id"))
+    new = stored(long_.join(genes, "cid", "left").select("cid", novel_name().alias("transcript_id"), F.coalesce("gene_id", F.lit("NA")).alias("gene_id"), "chr", "start", "end", "codes", "strand"))
+    new_counts = new.select("cid", "transcript_id", F.lit("NA").alias("transcript_name"), "gene_id", each).join(em, ["cid", "sample"], "left").withColumn("count", c_round(F.coalesce("em", F.lit(0.0))))
+    columns = ["transcript_id", "transcript_name", "gene_id", "sample", "count"]
+    abundance = split.select(*columns).unionByName(new_counts.select(*columns))
+    strands = chains.select("cid", "chr", "codes", "strand")
+    old = split.select("cid", "transcript_id").distinct().join(whole.select("cid", "transcript_id", "gene_id", "i_start", "i_end"), ["cid", "transcript_id"]).join(strands, "cid")
+    shape = ["transcript_id", "gene_id", "source", "chr", "start0", "end", "codes", "strand"]
+    old = old.select("transcript_id", "gene_id", F.lit("annotated_isoform").alias("source"), "chr", F.col("i_start").cast("long").alias("start0"), F.col("i_end").cast("long").alias("end"), "codes", "strand")
+    new = new.select("transcript_id", "gene_id", F.lit("novel_isoform").alias("source"), "chr", (F.col("start") - 1).cast("long").alias("start0"), F.col("end").cast("long").alias("end"), "codes", "strand")
+    return abundance, old.select(*shape).unionByName(new.select(*shape))

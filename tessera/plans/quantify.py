@@ -1,20 +1,23 @@
 """Quantify: classify reads against the annotation, find novel isoforms and count every isoform per sample.
 
-Reads are joined to the annotation junction by junction, reduced to chains and read classes, and
-only these meet in a read group's task (operators.isoforms).
+Reads are joined to the annotation junction by junction and reduced to chains and read classes; all else
+is joins of these with each other and with the annotation (operators.isoforms).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import QuantConfig
+from ..functions.numeric import c_round
+from ..operators import chains as ch
+from ..operators import counts as ct
 from ..operators import intervals
-from ..operators.isoforms import Group, Isoform, ReadChain, lower_median, single_exon
+from ..operators import isoforms as iso
+from ..ordering import attach
 from ..sources import annotation as an
 from ..storage import stored
 
@@ -30,50 +33,70 @@ class Quantified:
 
 
 def annotate(reads: DataFrame, junction: DataFrame) -> DataFrame:
-    """reads with all_annotated and all_sites over their junctions; sites are compared on the junction's strand."""
+    """reads with all_annotated and all_sites over their junctions; sites are compared on the junction's strand.
+
+    Each distinct junction meets the annotation once, and then the reads that have it, however many.
+    """
     each = reads.select("rid", "chr", F.explode("sjs").alias("j")).where("j.start is not null")
-    each = each.select("rid", "chr", F.col("j.start").alias("start"), F.col("j.end").alias("end"), F.col("j.strand").alias("strand"))
+    each = each.select("rid", "chr", F.col("j.start").alias("start"), F.col("j.end").alias("end"), F.coalesce("j.strand", F.lit("")).alias("strand"))
     known = junction.select("chr", "start", "end").distinct().withColumn("sj", F.lit(True))
     sites = an.splice_sites(junction)
     side = lambda i, at, name: sites.where(F.col("side") == i).select("chr", F.col("pos").alias(at), "strand", F.lit(True).alias(name))
-    each = each.join(known, ["chr", "start", "end"], "left").join(side(0, "start", "s0"), ["chr", "start", "strand"], "left").join(side(1, "end", "s1"), ["chr", "end", "strand"], "left")
+    place = ["chr", "start", "end", "strand"]
+    own = each.groupBy(*place).agg(F.count("*").alias("_n"))
+    own = own.join(known, ["chr", "start", "end"], "left").join(side(0, "start", "s0"), ["chr", "start", "strand"], "left").join(side(1, "end", "s1"), ["chr", "end", "strand"], "left")
     on = lambda c: F.coalesce(c, F.lit(False))
-    flags = each.groupBy("rid").agg(F.bool_and(on("sj")).alias("all_annotated"), F.bool_and(on("s0") & on("s1")).alias("all_sites"))
+    own = stored(own.select(*place, "_n", on("sj").alias("sj"), (on("s0") & on("s1")).alias("sites")))
+    total = own.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    flags = attach(each, own, place, total).groupBy("rid").agg(F.bool_and("sj").alias("all_annotated"), F.bool_and("sites").alias("all_sites"))
     return reads.join(flags, "rid", "left").na.fill(False, ["all_annotated", "all_sites"])
 
 
-def chains_of(reads: DataFrame, perfect: DataFrame | None) -> DataFrame:
-    """(chr, group_id, chain, strand, flags, perfect counts by junction, classes) of reads with a junction."""
-    multi = reads.where(F.size("sjs") > 0).withColumn("chain", F.transform("sjs", lambda j: F.when(j["start"].isNotNull(), F.struct(j["start"].alias("start"), j["end"].alias("end")))))
-    cls = multi.groupBy("chr", "group_id", "chain", "sample", "start", "end").agg(F.count("*").alias("n"), F.min(F.struct("rid", "strand")).alias("first"), F.bool_and("all_annotated").alias("all_annotated"), F.bool_and("all_sites").alias("all_sites"))
+def chain_of(sjs: Column) -> Column:
+    return F.transform(sjs, lambda j: F.when(j["start"].isNotNull(), F.struct(j["start"].alias("start"), j["end"].alias("end"))))
+
+
+def classes_of(reads: DataFrame) -> DataFrame:
+    """(chr, group_id, chain, sample, start, end, n, first, flags): reads with a junction that align alike."""
+    multi = reads.where(F.size("sjs") > 0).withColumn("chain", chain_of(F.col("sjs")))
+    return multi.groupBy("chr", "group_id", "chain", "sample", "start", "end").agg(F.count("*").alias("n"), F.min(F.struct("rid", "strand")).alias("first"), F.bool_and("all_annotated").alias("all_annotated"), F.bool_and("all_sites").alias("all_sites"))
+
+
+def chains_of(reads: DataFrame, classes: DataFrame, perfect: DataFrame | None) -> DataFrame:
+    """(chr, group_id, chain, strand, flags, n reads, n_classes, perfect) of the classes' chains; perfect: reads that show each junction without error, none where a junction failed."""
     key = ["chr", "group_id", "chain"]
-    out = cls.groupBy(*key).agg(F.min("first")["strand"].alias("strand"), F.bool_and("all_annotated").alias("all_annotated"), F.bool_and("all_sites").alias("all_sites"), F.collect_list(F.struct("sample", "start", "end", "n")).alias("classes"))
+    out = classes.groupBy(*key).agg(F.min("first")["strand"].alias("strand"), F.bool_and("all_annotated").alias("all_annotated"), F.bool_and("all_sites").alias("all_sites"), F.sum("n").alias("n"), F.count("*").alias("n_classes"))
+    none = F.array().cast("array<long>")
     if perfect is None:
-        return out.withColumn("perfect", F.array().cast("array<long>"))
+        return out.withColumn("perfect", F.when(F.exists("chain", lambda j: j.isNull()), none).otherwise(F.transform("chain", lambda j: F.col("n"))))
+    multi = reads.where(F.size("sjs") > 0).withColumn("chain", chain_of(F.col("sjs")))
     each = multi.where(~F.exists("chain", lambda j: j.isNull())).select(*key, "read_id", F.posexplode("chain").alias("k", "j"))
     hit = each.join(perfect.select("chr", "read_id", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("j"), F.lit(1).alias("hit")).distinct(), ["chr", "read_id", "j"], "left")
     per = hit.groupBy(*key, "k").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("p")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("perfect"))
-    return out.join(per, key, "left").withColumn("perfect", F.coalesce("perfect", F.array().cast("array<long>")))
+    return out.join(per, key, "left").withColumn("perfect", F.coalesce("perfect", none))
 
 
-def _chain(junctions) -> tuple:
-    return tuple(None if j is None else (int(j["start"]), int(j["end"])) for j in junctions)
+def valid(cfg: QuantConfig) -> Column:
+    """Every junction has enough perfect reads, as a share of the chain's reads too."""
+    enough = F.forall("perfect", lambda p: (p >= cfg.read_num_cutoff) & (p / F.col("n") >= cfg.read_ratio_cutoff))
+    return (F.size("perfect") > 0) & enough
 
 
-def read_chains(rows: pd.DataFrame, use_perfect: bool) -> list[ReadChain]:
-    """Rows of chains_of as a group's chains; without perfect counts every read is perfect."""
-    found = []
-    for r in rows.itertuples(index=False):
-        classes = [(c["sample"], int(c["start"]), int(c["end"]), int(c["n"])) for c in r.classes]
-        start, end = lower_median([(s, n) for _, s, _, n in classes], False), lower_median([(e, n) for _, _, e, n in classes], True)
-        chain = _chain(r.chain)
-        good = tuple(int(x) for x in r.perfect) if use_perfect else (sum(c[3] for c in classes),) * len(chain)
-        found.append(ReadChain(chain, start, end, bool(r.all_annotated), bool(r.all_sites), r.strand or "", good, classes))
-    return found
+def with_ids(chains: DataFrame, classes: DataFrame, cfg: QuantConfig) -> tuple[DataFrame, DataFrame]:
+    """(chains, classes) as operators.isoforms takes them: chains get a number, junction codes, validity and median ends."""
+    numbers = stored(chains.withColumn("cid", F.monotonically_increasing_id()))
+    key = ["chr", "group_id", "chain"]
+    total = classes.count()
+    own = stored(attach(classes, numbers.select(*key, "cid", F.col("n_classes").alias("_n")), key, total).select("cid", "sample", "start", "end", "n"))
+    medians = ch.class_medians(own, ["cid"], "start", False, "start", "n").join(ch.class_medians(own, ["cid"], "end", True, "end", "n"), "cid")
+    codes = F.transform("chain", ch.code)
+    out = numbers.join(medians, "cid").select("cid", "chr", "group_id", "chain", codes.alias("codes"), "strand", "all_annotated", "all_sites", "n", "n_classes", valid(cfg).alias("valid"), "start", "end")
+    return stored(out), own
 
 
-def isoform_rows(rows: pd.DataFrame) -> list[Isoform]:
-    return [Isoform(_chain(r.chain), int(r.start0), int(r.end), r.transcript_id, r.transcript_name, r.gene_id) for r in rows.itertuples(index=False)]
+def isoforms_of(txs: DataFrame) -> DataFrame:
+    """Transcripts with a junction, as operators.isoforms takes them."""
+    return txs.where(F.size("chain") > 0).select("chr", "transcript_id", "transcript_name", "gene_id", F.col("start0").alias("i_start"), F.col("end").alias("i_end"), F.transform("chain", ch.code).alias("i_codes"))
 
 
 def run(reads: DataFrame, exons: DataFrame, perfect: DataFrame | None = None, cfg: QuantConfig | None = None) -> Quantified:
@@ -88,42 +111,27 @@ def run(reads: DataFrame, exons: DataFrame, perfect: DataFrame | None = None, cf
     samples = [r["sample"] for r in reads.select("sample").distinct().orderBy("sample").collect()]  # a name for each input
     reads = stored(reads.withColumn("rid", F.monotonically_increasing_id()))
     txs = stored(an.transcripts(exons))
-    junction = stored(an.junctions(txs))
-    reads = stored(annotate(reads, junction))
-    chains = stored(chains_of(reads, perfect))
-    multi = txs.where(F.size("chain") > 0)
-    touch = chains.select("chr", "group_id", F.explode("chain").alias("j")).where("j is not null").distinct()
-    holds = junction.select("chr", F.struct("start", "end").alias("j"), F.explode("isoforms").alias("transcript_id"))
-    in_group = touch.join(holds, ["chr", "j"]).select("chr", "group_id", "transcript_id").distinct().join(multi.select("chr", "transcript_id", "transcript_name", "gene_id", "start0", "end", "chain"), ["chr", "transcript_id"])
-    in_group = in_group.select(F.col("chr").alias("i_chr"), F.col("group_id").alias("i_group"), "transcript_id", "transcript_name", "gene_id", "start0", "end", F.col("chain").alias("chain"))
-    use_perfect = perfect is not None
-
-    def group(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found, isoforms = read_chains(a, use_perfect), isoform_rows(b)
-        out = Group(str(key[0]), int(key[1]), samples, found, isoforms, cfg).run() if found else None
-        rows: list[dict] = []
-        if out:
-            rows += [{"kind": "abundance", "id": i, "title": t, "gene": g, "sample": s, "count": c} for i, t, g, s, c in out.abundance]
-            form = lambda c: [None if j is None else {"start": j[0], "end": j[1]} for j in c]
-            rows += [{"kind": "compatible", "chain": form(c), "start": s, "end": e, "title": label, "isoforms": names} for c, s, e, label, names in out.compatible]
-            rows += [{"kind": "structure", "id": i, "gene": g, "title": src, "start": s, "end": e, "chain": form(c), "sample": strand} for i, g, src, s, e, c, strand in out.structures]
-        names = ["kind", "id", "title", "gene", "sample", "count", "chain", "start", "end", "isoforms"]
-        frame = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
-        frame.insert(0, "group_id", int(key[1]))
-        frame.insert(0, "chr", str(key[0]))
-        frame = frame.astype({"start": "Int64", "end": "Int64", "count": "float64"})
-        return frame
-
-    schema = f"chr string, group_id long, kind string, id string, title string, gene string, sample string, count double, chain {JUNCTION}, start long, end long, isoforms array<string>"
-    done = chains.groupBy("chr", "group_id").cogroup(in_group.groupBy("i_chr", "i_group")).applyInPandas(group, schema)
-    done = stored(done)
-    multi_abundance = done.where("kind = 'abundance'").select(F.col("id").alias("transcript_id"), F.col("title").alias("transcript_name"), F.col("gene").alias("gene_id"), "sample", "count")
-    classes = done.where("kind = 'compatible'").select("chr", "group_id", "chain", "start", "end", F.col("title").alias("class"), "isoforms").distinct()
-    keyed = reads.where(F.size("sjs") > 0).select("read_id", "sample", "chr", "group_id", F.transform("sjs", lambda j: F.when(j["start"].isNotNull(), F.struct(j["start"].alias("start"), j["end"].alias("end")))).alias("chain"), "start", "end")
-    compatible = keyed.join(classes, ["chr", "group_id", "chain", "start", "end"], "left").select("read_id", "sample", "class", F.coalesce("isoforms", F.array().cast("array<string>")).alias("isoforms"))
-    structures = done.where("kind = 'structure'").select(F.col("id").alias("transcript_id"), F.col("gene").alias("gene_id"), F.col("title").alias("source"), "chr", F.col("start").alias("start0"), "end", "chain", F.when(F.col("sample") == "1", "-").when(F.col("sample") == "0", "+").otherwise(".").alias("strand"))
+    reads = stored(annotate(reads, stored(an.junctions(txs))))
+    alike = stored(classes_of(reads))
+    chains, classes = with_ids(chains_of(reads, alike, perfect), alike, cfg)
+    isoforms = stored(isoforms_of(txs))
+    chains, matches = iso.classify(chains, isoforms)
+    matches = stored(matches)
+    novel = iso.discover(chains, matches, cfg)
+    assigned = iso.assign(chains, classes, matches, novel, cfg)
+    em = stored(iso.maximise(chains, assigned, samples, cfg))
+    abundance, structures = iso.report(chains, classes, isoforms, matches, novel, em, samples, cfg)
+    place = F.transform("codes", lambda c: F.struct(ch.code_start(c).cast("int").alias("start"), ch.code_end(c).cast("int").alias("end")))
+    sign = F.when(F.col("strand") == "1", "-").when(F.col("strand") == "0", "+").otherwise(".")
+    structures = structures.select("transcript_id", "gene_id", "source", "chr", "start0", "end", place.alias("chain"), sign.alias("strand"))
+
+    whole = ["chr", "group_id", "chain", "sample", "start", "end"]
+    named = attach(assigned.named, chains.select("cid", "chr", "group_id", "chain", F.col("n_classes").alias("_n")), ["cid"], alike.count())
+    named = stored(named.join(classes.select("cid", "sample", "start", "end", F.col("n").alias("_n")), ["cid", "sample", "start", "end"]).select(*whole, "class", "isoforms", "_n"))
+    keyed = reads.where(F.size("sjs") > 0).select("read_id", "sample", "chr", "group_id", chain_of(F.col("sjs")).alias("chain"), "start", "end")
+    compatible = attach(keyed, named, whole, reads.count()).select("read_id", "sample", "class", "isoforms")
     lone_counts, lone_compatible, lone_structures = lone_exons(reads, txs, samples, cfg)
-    abundance, compatible, structures = multi_abundance.unionByName(lone_counts), compatible.unionByName(lone_compatible), structures.unionByName(lone_structures)
+    abundance, compatible, structures = abundance.unionByName(lone_counts), compatible.unionByName(lone_compatible), structures.unionByName(lone_structures)
     summary = compatible.groupBy("class").agg(F.count("*").alias("n"), F.sum((F.size("isoforms") > 0).cast("long")).alias("assigned"))
     counters = summary.select(F.explode(F.array(F.struct(F.concat(F.lit("reads_"), "class").alias("counter"), "n"), F.struct(F.concat(F.lit("assigned_"), "class").alias("counter"), F.col("assigned").alias("n")))).alias("x")).select("x.*")
     return Quantified(abundance, compatible, structures, counters)
@@ -143,11 +151,16 @@ def lone_exons(reads: DataFrame, txs: DataFrame, samples: list[str], cfg: QuantC
     compatible = with_sets.select("read_id", "sample", F.lit("single-exon").alias("class"), "isoforms")
     evidence = with_sets.where(F.size("isoforms") > 0).groupBy("chr", "group_id", "sample", "isoforms").agg(F.count("*").alias("n"))
 
-    def em(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = single_exon(samples, {(r.sample, tuple(r.isoforms)): int(r.n) for r in pdf.itertuples(index=False)}, cfg)
-        return pd.DataFrame([(t, s, x) for t, v in counts.items() for s, x in v.items()], columns=["transcript_id", "sample", "count"])
-
-    counts = evidence.groupBy("chr", "group_id").applyInPandas(em, "transcript_id string, sample string, count double")
+    at = F.create_map(*[F.lit(x) for i, name in enumerate(samples) for x in (name, i)]) if samples else F.create_map(F.lit(""), F.lit(0))
+    group = F.concat_ws(":", "chr", F.col("group_id").cast("string")).alias("grp")
+    target = F.concat_ws(":", at[F.col("sample")].cast("string"), "t").alias("target")
+    shared = stored(evidence.select(group, F.sha2(F.concat_ws(",", "sample", F.col("isoforms").cast("string")), 256).alias("evidence"), F.explode("isoforms").alias("t"), "sample", "n").select("grp", "evidence", target, "n"))
+    zero = stored(shared.select("grp", "target", F.lit(0).cast("long").alias("n")).distinct())
+    counts = ct.em_allocate(zero, shared, "grp", "target", max_iterate=cfg.max_iterate + 1, converged=cfg.converged, per_read=True)
+    found = F.element_at(F.array(*[F.lit(name) for name in samples]) if samples else F.array().cast("array<string>"), F.substring_index("target", ":", 1).cast("int") + 1)
+    counts = stored(counts.select(F.regexp_replace("target", "^[0-9]+:", "").alias("transcript_id"), found.alias("sample"), c_round(F.col("em")).alias("count")))
+    every = counts.select("transcript_id").distinct().withColumn("sample", F.explode(F.array(*[F.lit(name) for name in samples]) if samples else F.array().cast("array<string>")))
+    counts = every.join(counts, ["transcript_id", "sample"], "left").na.fill(0.0, ["count"])
     total = Window.partitionBy("transcript_id")
     counts = counts.groupBy("transcript_id", "sample").agg(F.sum("count").alias("count")).withColumn("_t", F.sum("count").over(total)).where("_t > 0").drop("_t")
     names = txs.where(F.size("chain") == 0).select("transcript_id", "transcript_name", "gene_id", "chr", "strand", "start0", "end", "chain").dropDuplicates(["transcript_id"])

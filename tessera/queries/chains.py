@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chains as ch
@@ -54,11 +54,6 @@ def wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select((-F.col("short_id") - 1).alias("short_id"), "long_id", F.col("offset").cast("long").alias("offset"))
 
 
-def _member(df: DataFrame, known: DataFrame, on: list[str], into: str) -> DataFrame:
-    """df exploded rows with whether each is known; known is distinct."""
-    return df.join(known.withColumn(into, F.lit(True)), on, "left").withColumn(into, F.coalesce(into, F.lit(False)))
-
-
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items' ends against their supplier's median ends."""
     from .intervals import alignments
@@ -71,46 +66,42 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("chr").agg(count("start_ok"), count("end_ok"), count("inner_start"), count("inner_end"))
 
 
-def em(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _em_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Per user: event types as targets; events of value above 10 are direct, the others are shared by their type and `view`."""
     e = table(spark, sf_dir, "events")
     direct = e.where("value > 10").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    shared = e.where("value <= 10 and event_type <> 'view'").groupBy("user_id", F.array(F.col("event_type"), F.lit("view")).alias("targets")).agg(F.count("*").alias("n"))
-    return ct.em_allocate(direct, shared, "user_id", "event_type")
+    shared = e.where("value <= 10").groupBy("user_id", F.col("event_type").alias("evidence")).agg(F.count("*").alias("n"))
+    targets = F.explode(F.array_distinct(F.array("evidence", F.lit("view")))).alias("event_type")
+    return stored(direct), stored(shared.select("user_id", "evidence", targets, "n"))
+
+
+def em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ct.em_allocate(*_em_input(spark, sf_dir), "user_id", "event_type")
+
+
+def em_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of every round."""
+    return ct.em_allocate(*_em_input(spark, sf_dir), "user_id", "event_type", trace=True)
 
 
 #: Rounds as recursion: a user stops when nothing moves by 0.1, or after 100 rounds.
 _EM = """
 WITH RECURSIVE d AS MATERIALIZED (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value > 10 GROUP BY 1, 2),
-ev AS MATERIALIZED (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value <= 10 AND event_type <> 'view' GROUP BY 1, 2),
+ev AS MATERIALIZED (SELECT user_id, event_type AS t, count(*)::DOUBLE AS n FROM events WHERE value <= 10 GROUP BY 1, 2),
 tg AS MATERIALIZED (SELECT user_id, t FROM d UNION SELECT user_id, t FROM ev UNION SELECT user_id, 'view' FROM ev),
 g AS (
   SELECT 0 AS round, tg.user_id, tg.t, coalesce(d.n, 0) AS direct, coalesce(d.n, 0) AS em, FALSE AS stop FROM tg LEFT JOIN d USING (user_id, t)
   UNION ALL
-  SELECT round + 1, user_id, t, direct, new, max(abs(new - em)) OVER (PARTITION BY user_id) < 0.1 FROM (
+  SELECT round + 1, user_id, t, direct, new, max(printf('%.2f', abs(new - em))::DOUBLE) OVER (PARTITION BY user_id) < 0.1 FROM (
     SELECT g.round, g.user_id, g.t, g.direct, g.em, printf('%.2f', g.direct + coalesce(k.q, 0))::DOUBLE AS new
     FROM g LEFT JOIN (
       SELECT user_id, t, sum(q) AS q FROM (
-        SELECT ev.user_id, unnest([ev.t, 'view']) AS t, unnest([
-          printf('%.2f', CASE WHEN a.em + v.em = 0 THEN ev.n / 2 ELSE ev.n * a.em / (a.em + v.em) END)::DOUBLE,
-          printf('%.2f', CASE WHEN a.em + v.em = 0 THEN ev.n / 2 ELSE ev.n * v.em / (a.em + v.em) END)::DOUBLE]) AS q
-        FROM ev JOIN g a ON a.user_id = ev.user_id AND a.t = ev.t JOIN g v ON v.user_id = ev.user_id AND v.t = 'view') GROUP BY user_id, t
+        SELECT user_id, unnest(CASE WHEN t = 'view' THEN [t] ELSE [t, 'view'] END) AS t, unnest(CASE WHEN t = 'view' THEN [n] ELSE [
+          printf('%.2f', CASE WHEN a + v = 0 THEN n / 2 ELSE n * (a / (a + v)) END)::DOUBLE, printf('%.2f', CASE WHEN a + v = 0 THEN n / 2 ELSE n * (v / (a + v)) END)::DOUBLE] END) AS q
+        FROM (SELECT ev.user_id, ev.t, ev.n, a.em AS a, v.em AS v FROM ev JOIN g a ON a.user_id = ev.user_id AND a.t = ev.t JOIN g v ON v.user_id = ev.user_id AND v.t = 'view')) GROUP BY user_id, t
     ) k ON k.user_id = g.user_id AND k.t = g.t
     WHERE NOT g.stop AND g.round < 100)
 )
-SELECT user_id, t AS event_type, arg_max(em, round) AS em FROM g GROUP BY user_id, t
-"""
-
-_READS = """
-r AS (SELECT l_orderkey, unnest(chain) AS part, unnest(supp) AS supp FROM o WHERE l_orderkey % 2 = 1),
-a AS (SELECT DISTINCT unnest(chain) AS part, unnest(supp) AS supp FROM o WHERE l_orderkey % 2 = 0),
-f AS (SELECT l_orderkey, bool_and(a.part IS NOT NULL) AS sj, bool_and(r.part IN (SELECT part FROM a) AND r.supp IN (SELECT supp FROM a)) AS site
-      FROM r LEFT JOIN a ON a.part = r.part AND a.supp = r.supp GROUP BY l_orderkey),
-nm AS (SELECT l_orderkey, [z[1] * 1000000 + z[2] FOR z IN list_zip(chain, supp)] AS ch FROM o),
-an AS (SELECT DISTINCT ch, unnest(ch) AS x FROM nm WHERE l_orderkey % 2 = 0),
-h AS (SELECT f.l_orderkey, min(CASE WHEN len(an.ch) = len(nm.ch) THEN 1 ELSE 2 END) AS kind
-      FROM f JOIN nm ON nm.l_orderkey = f.l_orderkey JOIN an ON an.x = nm.ch[1]
-      WHERE f.sj AND len(list_filter(range(0, len(an.ch) - len(nm.ch) + 1), lambda i: an.ch[i + 1 : i + len(nm.ch)] = nm.ch)) > 0 GROUP BY f.l_orderkey)
 """
 
 QUERIES: dict[str, Query] = {
@@ -129,5 +120,6 @@ m AS (SELECT chr, CAST(trunc(quantile_cont(s, 0.5)) AS BIGINT) AS ms, CAST(trunc
 SELECT iv.chr, CAST(sum(CAST(ms - s <= 350 AS INT)) AS BIGINT) AS start_ok, CAST(sum(CAST(e - me <= 350 AS INT)) AS BIGINT) AS end_ok,
        CAST(sum(CAST(ms - s <= 60 AS INT)) AS BIGINT) AS inner_start, CAST(sum(CAST(e - me <= 60 AS INT)) AS BIGINT) AS inner_end
 FROM iv JOIN m ON m.chr = iv.chr GROUP BY iv.chr"""),
-    "em_allocation": (em, _EM),
+    "em_allocation": (em, f"{_EM} SELECT user_id, t AS event_type, arg_max(em, round) AS em FROM g GROUP BY user_id, t"),
+    "em_rounds_trace": (em_trace, f"{_EM} SELECT user_id, CAST(round AS INTEGER) AS round, t AS event_type, em FROM g"),
 }

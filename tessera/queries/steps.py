@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import CorrectConfig, QuantConfig, ScanConfig
 from ..functions import cigar, names, numeric
+from ..operators import chains as ch
 from ..operators import counts as ct
+from ..operators import isoforms as iso
 from ..operators import junctions as jn
-from ..operators.isoforms import Group, Structure
 from ..plans import balance, compare, correct, quantify, scan, visualize
 from ..sources import annotation as an
 from ..storage import stored
@@ -43,7 +44,8 @@ def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantify.annotate(derived.reads(spark, sf_dir), an.junctions(an.transcripts(derived.exons(spark, sf_dir))))
+    junction = an.junctions(stored(an.transcripts(derived.exons(spark, sf_dir))))
+    return quantify.annotate(stored(derived.reads(spark, sf_dir)), stored(junction))
 
 
 def annotated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,88 +53,68 @@ def annotated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _annotated(spark, sf_dir).select("read_id", "all_annotated", "all_sites")
 
 
-def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = derived.reads(spark, sf_dir)
-    each = r.select("chr", "read_id", "k", F.posexplode("sjs").alias("i", "j")).where((F.col("k") + F.col("i") + 1) % 3 != 0)
+def _chains(spark: SparkSession, sf_dir: str, cfg: QuantConfig | None = None, use_perfect: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chains as chains_of has them, chains and classes with ids) of the derived reads."""
+    reads = stored(_annotated(spark, sf_dir))
+    each = reads.select("chr", "read_id", "k", F.posexplode("sjs").alias("i", "j")).where((F.col("k") + F.col("i") + 1) % 3 != 0)  # the others have errors
     perfect = each.select("chr", F.col("j.start").alias("start"), F.col("j.end").alias("end"), "read_id")
-    return quantify.chains_of(_annotated(spark, sf_dir), perfect)
+    alike = stored(quantify.classes_of(reads))
+    chains = stored(quantify.chains_of(reads, alike, perfect if use_perfect else None))
+    return chains, *quantify.with_ids(chains, alike, cfg or QuantConfig())
 
 
 def ordered_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of reads with their read classes and each junction's perfect reads."""
-    c = _chains(spark, sf_dir)
-    total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return c.select("chr", "group_id", text(F.col("chain")).alias("chain"), "strand", "all_annotated", "all_sites", total.alias("n"), F.size("classes").cast("long").alias("n_classes"), F.array_join(F.col("perfect").cast("array<string>"), ",").alias("perfect"))
+    """Chains of reads with their reads and read classes, and each junction's perfect reads."""
+    c, _, _ = _chains(spark, sf_dir)
+    return c.select("chr", "group_id", text(F.col("chain")).alias("chain"), "strand", "all_annotated", "all_sites", "n", "n_classes", F.array_join(F.col("perfect").cast("array<string>"), ",").alias("perfect"))
 
 
 def valid_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains in which every junction has enough perfect reads, as a share of the chain's reads too."""
-    cfg = QuantConfig(read_num_cutoff=2, read_ratio_cutoff=0.5)
-    c = _chains(spark, sf_dir).select("chr", "group_id", text(F.col("chain")).alias("name"), "chain", "strand", "all_annotated", "all_sites", "classes", "perfect")
+    _, c, _ = _chains(spark, sf_dir, QuantConfig(read_num_cutoff=2, read_ratio_cutoff=0.5))
+    return c.select("chr", "group_id", text(F.col("chain")).alias("chain"), "valid")
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"chr": b.chr, "group_id": b.group_id, "chain": b.name_, "valid": [x.valid(cfg) for x in quantify.read_chains(b, True)]})
 
-    return c.withColumnRenamed("name", "name_").mapInPandas(run, "chr string, group_id long, chain string, valid boolean")
+def _isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(quantify.isoforms_of(an.transcripts(derived.exons(spark, sf_dir))))
 
 
-def _grouped(spark: SparkSession, sf_dir: str, run, schema: str) -> DataFrame:
-    """run(Group) rows of every read group, its chains taken as perfect."""
-    chains = quantify.chains_of(_annotated(spark, sf_dir), None)
-    t = an.transcripts(derived.exons(spark, sf_dir))
-    iso = t.select(F.col("chr").alias("i_chr"), F.expr("cast(substring(chr, 2) as long)").alias("i_group"), "transcript_id", "transcript_name", "gene_id", "start0", "end", "chain")
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def group(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = run(Group(str(key[0]), int(key[1]), ["s0", "s1"], quantify.read_chains(a, False), quantify.isoform_rows(b), QuantConfig())) if len(a) else []
-        return pd.DataFrame([(str(key[0]), *r) for r in rows], columns=columns)
-
-    return chains.groupBy("chr", "group_id").cogroup(iso.groupBy("i_chr", "i_group")).applyInPandas(group, schema)
-
-
-def _name(chain) -> str:
-    return ",".join(f"{s}-{e}" for s, e in chain)
+def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chains with their class, read classes, matches with isoforms), every read taken as perfect."""
+    _, chains, classes = _chains(spark, sf_dir, use_perfect=False)
+    chains, matches = iso.classify(chains, _isoforms(spark, sf_dir))
+    return chains, classes, stored(matches)
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FSM, ISM, NIC or NNC of each chain, and the isoforms that it equals or is part of."""
-    def run(g: Group):
-        g.classify()
-        return [(_name(c.chain), c.category, ",".join(c.isoforms)) for c in g.chains.values()]
-
-    return _grouped(spark, sf_dir, run, "chr string, chain string, class string, isoforms string")
+    chains, _, matches = _classified(spark, sf_dir)
+    names = matches.groupBy("cid").agg(F.array_join(F.array_sort(F.collect_list("transcript_id")), ",").alias("isoforms"))
+    return chains.join(names, "cid", "left").select("chr", text(F.col("chain")).alias("chain"), F.col("category").alias("class"), F.coalesce("isoforms", F.lit("")).alias("isoforms"))
 
 
 def novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Novel chains that no longer one of their kind, or novel one of the kind before, contains; with how many contain each."""
-    def run(g: Group):
-        g.classify()
-        g.discover()
-        return [(_name(c.chain), c.category, c.chain in g.number, len(set(g.inside[c.chain]))) for k in ("NNC", "NIC") for c in g.of(k) if c.valid(g.cfg)]
-
-    return _grouped(spark, sf_dir, run, "chr string, chain string, class string, novel boolean, containing long")
+    chains, _, matches = _classified(spark, sf_dir)
+    found = iso.discover(chains, matches, QuantConfig())
+    held = found.inside.groupBy("cid").agg(F.count("*").alias("containing"))
+    out = chains.where("valid and category in ('NNC', 'NIC')").join(found.longest.select("cid", F.lit(True).alias("novel")), "cid", "left").join(held, "cid", "left")
+    return out.select("chr", text(F.col("chain")).alias("chain"), F.col("category").alias("class"), F.coalesce("novel", F.lit(False)).alias("novel"), F.coalesce("containing", F.lit(0)).cast("long").alias("containing"))
 
 
 def chain_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower median start and upper median end of the reads of each chromosome and number of junctions."""
-    from ..operators import chains as ch
-
     r = derived.reads(spark, sf_dir).withColumn("n", F.size("sjs").cast("long"))
     return ch.class_medians(r, ["chr", "n"], "start", False, "start").join(ch.class_medians(r, ["chr", "n"], "end", True, "end"), ["chr", "n"])
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exon ends that each junction of a read leaves free."""
-    def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                s = Structure(tuple((int(j["start"]), int(j["end"])) for j in r.sjs), int(r.start), int(r.end))
-                rows += [(r.k, i + 1, *s.fit(i, 1)) for i in range(len(s.chain))]
-            yield pd.DataFrame(rows, columns=["k", "i", "exon_start", "outer_start", "exon_end", "outer_end"])
-
-    return derived.reads(spark, sf_dir).select("k", "start", "end", "sjs").mapInPandas(run, "k long, i long, exon_start long, outer_start boolean, exon_end long, outer_end boolean")
+    r = derived.reads(spark, sf_dir).select("k", "start", "end", F.transform("sjs", ch.code).alias("codes"))
+    each = r.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("codes"))))
+    free = ch.free_ends(F.col("codes"), F.col("i") - 1, F.lit(1), F.col("start"), F.col("end"))
+    each = each.select("k", F.col("i").cast("long").alias("i"), free.alias("f"))
+    return each.select("k", "i", F.col("f.start").alias("exon_start"), F.col("f.outer_start").alias("outer_start"), F.col("f.end").alias("exon_end"), F.col("f.outer_end").alias("outer_end"))
 
 
 def lone_exons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,12 +57,14 @@ def test_names(spark):
 
 
 def test_chain_matches(spark):
-    arr = lambda *x: F.array(*[F.lit(v).cast("int") for v in x])
-    cases = [((1, 2), (1, 2), 1), ((2, 3), (1, 2, 3), 2), ((1, 3), (1, 2, 3), 0), ((None, 3), (1, 2, 3), 3), ((None,), (1,), 0), ((1, 2, 3), (1, 2), 0)]
-    for short, long, kind in cases:
-        assert one(spark, k=chains.match_kind(arr(*short), arr(*long))).k == kind
-    r = one(spark, a=chains.median_ends(arr(3, 1), False), b=chains.median_ends(arr(3, 1), True), c=chains.median_ends(arr(5, 3, 1), False))
-    assert tuple(r) == (1, 3, 3)
+    cases = [((1, 2), (1, 2), None, 0), ((2, 3), (1, 2, 3), 2, 1), ((1, 3), (1, 2, 3), None, None), ((None, 3), (1, 2, 3), 3, 1), ((None,), (1,), None, None), ((1, 2, 3), (1, 2), None, None), ((7, 7), (7, 7, 7), 2, 0), ((2, None), (5, 2, 2, 2), 3, 1)]
+    rows = [(i, 10 * k, list(c)) for i, (s, x, _, _) in enumerate(cases) for k, c in enumerate((s, x))]
+    df = spark.createDataFrame(rows, "group_id int, chain_id int, chain array<int>")
+    got = {r.group_id: (r.kind, r.offset) for r in chains.subchain_pairs(df).where("short_id = 0").collect()}
+    assert got == {i: (kind, at) for i, (_, _, kind, at) in enumerate(cases) if kind}
+    side = lambda k, name: df.where(f"chain_id = {k}").select("group_id", F.col("chain_id").alias(f"{name}_id"), F.col("chain").alias(name))
+    got = {r.group_id: r.offset for r in chains.fits(side(0, "short"), side(10, "long"), ["group_id"]).collect()}
+    assert got == {i: at for i, (*_, at) in enumerate(cases) if at is not None}
 
 
 def test_intervals_across_bins(spark):
