@@ -76,32 +76,35 @@ def _c2(x: np.ndarray) -> np.ndarray:
     return near
 
 
-def em_rounds(direct: np.ndarray, evidence: np.ndarray, target: np.ndarray, n: np.ndarray, max_iterate: int = 100, converged: float = 0.1, per_read: bool = False) -> list[np.ndarray]:
-    """The targets' values in each round of expectation maximisation, from round 0, of one group.
-
-    direct: count of each target; evidence, target, n: for each evidence row and each of its targets, the
-    evidence's number, the target's place in direct and the count. An evidence's count is split by its targets'
-    current values (equally where they are all 0), each share to 2 places; new values are direct plus
-    shares, to 2 places. Ends when no value moves by as much as converged, or after max_iterate rounds. per_read:
-    what is split is one read of each evidence, and values are rounded only to compare them.
+def em_rounds(direct: np.ndarray, evidence: np.ndarray, target: np.ndarray, n: np.ndarray, unit: np.ndarray, max_iterate: int = 100, converged: float = 0.1, per_read: bool = False, trace: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the targets' values in each round of expectation maximisation, from round 0 (the last alone without trace); each unit's last round).
+
+    direct: count of each target; unit: its stop test's number; evidence, target, n: for each evidence row and each of its
+    targets, the evidence's number, the target's place in direct and the count. An evidence's count is split by its
+    targets' current values (equally where they are all 0), each share to 2 places; new values are direct plus
+    shares, to 2 places. A unit ends when none of its values moves by as much as converged, or after max_iterate
+    rounds. per_read: what is split is one read of each evidence, and values are rounded only to compare them.
     """
-    rounds = [direct.astype(float)]
+    rounds, units = [direct.astype(float)], int(unit.max()) + 1 if len(unit) else 0
+    last, live = np.zeros(units, int), np.ones(units, bool)
     size = np.bincount(evidence).astype(float) if len(evidence) else np.zeros(0)
-    for _ in range(max_iterate):
-        now = rounds[-1]
-        total = np.bincount(evidence, weights=now[target], minlength=len(size))[evidence]
-        alone = np.ones(len(n)) if per_read else n
-        part = alone / size[evidence]  # where all are 0
-        some = total > 0
-        part[some] = alone[some] * (now[target][some] / total[some])
-        part = n * _c2(part) if per_read else _c2(part)
-        new = direct + np.bincount(target, weights=part, minlength=len(direct))
-        if not per_read:
-            new = _c2(new)
-        rounds.append(new)
-        if not len(new) or _c2(np.abs(new - now)).max() < converged:
+    for r in range(1, max_iterate + 1):
+        if not live.any():
             break
-    return rounds
+        now, rows = rounds[-1], np.flatnonzero(live[unit[target]])
+        e, t, alone = evidence[rows], target[rows], np.ones(len(rows)) if per_read else n[rows]
+        total = np.bincount(e, weights=now[t], minlength=len(size))[e]
+        part, some = alone / size[e], total > 0  # equal where all are 0
+        part[some] = alone[some] * (now[t][some] / total[some])
+        part = n[rows] * _c2(part) if per_read else _c2(part)
+        new = direct + np.bincount(t, weights=part, minlength=len(direct))
+        new = np.where(live[unit], new if per_read else _c2(new), now)
+        moved = np.zeros(units)
+        np.maximum.at(moved, unit, _c2(np.abs(new - now)))
+        rounds = [*rounds, new] if trace else [new]
+        last[live] = r
+        live &= moved >= converged
+    return rounds, last
 
 
 def em_allocate(direct: DataFrame, evidence: DataFrame, group: str, target: str, count: str = "n", max_iterate: int = 100, converged: float = 0.1, per_read: bool = False, trace: bool = False, rows_in_task: int = EM_ROWS) -> DataFrame:
@@ -109,31 +112,38 @@ def em_allocate(direct: DataFrame, evidence: DataFrame, group: str, target: str,
 
     direct: (group, target, n); evidence: (group, evidence, target, n), a row for each target of an evidence and
     n the same in all of them. group is the unit of the stop test. Targets without a direct row start at 0. See
-    em_rounds for a round. Groups of at most rows_in_task evidence rows are each iterated in a task, in numpy; larger ones
-    all together, a join and two aggregations a round, until the last of them stops. Both inputs should be stored.
+    em_rounds for a round. Groups of at most rows_in_task evidence rows are iterated in tasks of about so many rows,
+    in numpy; larger ones all together, a join and two aggregations a round, until the last of them stops. Both
+    inputs should be stored.
     """
     start = direct.groupBy(group, target).agg(F.sum(count).cast("double").alias("n"))
     rows = evidence.select(group, "evidence", target, F.col(count).cast("double").alias("n"))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
-    large = stored(sizes.where(F.col("_rows") > rows_in_task).select(group))
+    sizes = stored(rows.groupBy(group).agg(F.count("*").alias("_rows")))
+    large = sizes.where(F.col("_rows") > rows_in_task).select(group)
+    many, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     names = [group, "round", target, "em"] if trace else [group, target, "em"]
     kind = {f.name: f.dataType.simpleString() for f in direct.schema}
     schema = ", ".join(f"{c} {'int' if c == 'round' else 'double' if c == 'em' else kind[c]}" for c in names)
+    bundles = max(int(direct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(many or 0) // max(rows_in_task, 1)))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        place = pd.Index(pd.unique(pd.concat([a[target], b[target]], ignore_index=True)))
-        first = np.zeros(len(place))
-        first[place.get_indexer(a[target])] = a["n"].to_numpy()
-        of = pd.factorize(b["evidence"])[0]
-        rounds = em_rounds(first, of, place.get_indexer(b[target]), b["n"].to_numpy(), max_iterate, converged, per_read)
-        name = a[group].iloc[0] if len(a) else b[group].iloc[0]
-        shown = list(enumerate(rounds)) if trace else [(len(rounds) - 1, rounds[-1])]
-        out = pd.concat([pd.DataFrame({group: name, "round": r, target: place, "em": v}) for r, v in shown], ignore_index=True)
-        return out[names]
-
-    none = large.isEmpty()
-    small = lambda d: d if none else d.join(F.broadcast(large), group, "left_anti")
-    done = small(start).groupBy(group).cogroup(small(rows).groupBy(group)).applyInPandas(run, schema)
+        both = pd.concat([a[[group, target]], b[[group, target]]], ignore_index=True)
+        place = both.groupby([group, target], sort=False).ngroup().to_numpy()
+        first = both[~both.duplicated()].reset_index(drop=True)
+        value = np.zeros(len(first))
+        value[place[: len(a)]] = a["n"].to_numpy()
+        of = b.groupby([group, "evidence"], sort=False).ngroup().to_numpy() if len(b) else np.zeros(0, int)
+        unit = pd.factorize(first[group])[0]
+        rounds, last = em_rounds(value, of, place[len(a) :], b["n"].to_numpy(), unit, max_iterate, converged, per_read, trace)
+        out = []
+        for r, v in enumerate(rounds):
+            shown = first[last[unit] >= r] if trace else first
+            out.append(shown.assign(round=r, em=v[shown.index]))
+        return pd.concat(out, ignore_index=True)[names]
+
+    none = (most or 0) <= rows_in_task
+    small = lambda d: (d if none else d.join(F.broadcast(large), group, "left_anti")).withColumn("_bundle", F.pmod(F.xxhash64(group), F.lit(bundles)))
+    done = small(start).groupBy("_bundle").cogroup(small(rows).groupBy("_bundle")).applyInPandas(run, schema)
     if none:
         return done
     big = _em_joins(start.join(F.broadcast(large), group), rows.join(F.broadcast(large), group), group, target, max_iterate, converged, per_read)

@@ -137,17 +137,19 @@ def run(reads: DataFrame, exons: DataFrame, perfect: DataFrame | None = None, cf
     return Quantified(abundance, compatible, structures, counters)
 
 
-def lone_exons(reads: DataFrame, txs: DataFrame, samples: list[str], cfg: QuantConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reads without a junction: isoforms of one exon that hold them with sj_dist to spare, and their counts."""
+def lone_sets(reads: DataFrame, txs: DataFrame, cfg: QuantConfig) -> DataFrame:
+    """Reads without a junction, with the isoforms of one exon that hold them with sj_dist to spare (or overlap them, where longer ends are allowed)."""
     lone = reads.where(F.size("sjs") == 0).select("rid", "read_id", "sample", "chr", "group_id", "start", "end")
     slack = cfg.sj_dist
-    iso = txs.where(F.size("chain") == 0).select("chr", "transcript_id", "transcript_name", "gene_id", "strand", F.col("start0").alias("i_start"), F.col("end").alias("i_end"))
-    if cfg.allow_longer_terminal_exons:
-        pairs = intervals.overlap_join(lone, iso.withColumns({"x": F.col("i_start") - slack, "y": F.col("i_end") + slack}), ["chr"], "start", "end", "x", "y")
-    else:
-        pairs = intervals.overlap_join(lone, iso.withColumns({"x": F.col("i_start") - slack, "y": F.col("i_end") + slack}), ["chr"], "start", "end", "x", "y", how="contains")
+    single = txs.where(F.size("chain") == 0).select("chr", "transcript_id", (F.col("start0") - slack).alias("x"), (F.col("end") + slack).alias("y"))
+    pairs = intervals.overlap_join(lone, single, ["chr"], "start", "end", "x", "y", how="overlap" if cfg.allow_longer_terminal_exons else "contains")
     sets = pairs.groupBy("rid").agg(F.array_sort(F.collect_set("transcript_id")).alias("isoforms"))
-    with_sets = lone.join(sets, "rid", "left").withColumn("isoforms", F.coalesce("isoforms", F.array().cast("array<string>")))
+    return lone.join(sets, "rid", "left").withColumn("isoforms", F.coalesce("isoforms", F.array().cast("array<string>")))
+
+
+def lone_exons(reads: DataFrame, txs: DataFrame, samples: list[str], cfg: QuantConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(abundance, compatible, structures) of reads without a junction and isoforms of one exon."""
+    with_sets = stored(lone_sets(reads, txs, cfg))
     compatible = with_sets.select("read_id", "sample", F.lit("single-exon").alias("class"), "isoforms")
     evidence = with_sets.where(F.size("isoforms") > 0).groupBy("chr", "group_id", "sample", "isoforms").agg(F.count("*").alias("n"))
 

@@ -126,8 +126,7 @@ def lone_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     begin = F.col("p_partkey") * 37 % 100000
     t = p.select(F.col("p_partkey").cast("string").alias("transcript_id"), F.lit("n").alias("transcript_name"), F.lit("g").alias("gene_id"), F.lit("+").alias("strand"), chrom("p_partkey"), begin.cast("int").alias("start0"), (begin + 60 + F.col("p_size")).cast("int").alias("end"), F.array().cast(quantify.JUNCTION).alias("chain"))
-    _, compatible, _ = quantify.lone_exons(r, t, ["s"], QuantConfig())
-    return compatible.select(F.col("read_id").cast("long").alias("read_id"), F.array_join(F.array_sort("isoforms"), ",").alias("isoforms"))
+    return quantify.lone_sets(r, t, QuantConfig()).select(F.col("read_id").cast("long").alias("read_id"), F.array_join(F.array_sort("isoforms"), ",").alias("isoforms"))
 
 
 def support_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
