@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ordering import numbered, ranged
 from .common import CRC_TABLE_SQL, checkpoint, chunks, crc_sql, string_buffer
-from .ordered import numbered, ranged
 
 BUCKETS = 10_000
 MAX_N = 1

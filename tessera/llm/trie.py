@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ordering import attach, numbered, placed, ranged, running
 from .common import CRC_TABLE_SQL, checkpoint, crc_sql
-from .ordered import attach, numbered, placed, ranged, running
 
 PREFIX_TURNS = 6
 BASE = 100

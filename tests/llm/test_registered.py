@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_neardup": ["doc_id", "class_id"],
     "op9_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12_exactdup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op13_resample": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
@@ -35,7 +38,7 @@ def plain(v):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
@@ -57,6 +60,8 @@ def test_query(spark, con, name):
         for parts in used.values():
             parts.sort()
             assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 1024
+    elif name == "op11_trie":
+        assert sum(r["depth"] == 0 for r in got) == 1
     else:
         assert len(got) == docs
     if sql := queries.oracle_sql().get(name):
