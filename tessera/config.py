@@ -61,3 +61,16 @@ class Scores:
 
 LOCAL_SCORES = Scores(5, -4, 8, 6)
 GLOBAL_SCORES = Scores(3, -2, 3, 1)
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A single sequence as a profile: chance that a base is read right, that a gap opens (of either kind) and goes on; hits below least_bits are none."""
+
+    identity: float = 0.9
+    gap_open: float = 0.03125
+    gap_extend: float = 0.75
+    least_bits: float = 3.0
+
+
+PROFILE = Profile()

@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LOCAL_SCORES, CorrectConfig
+from ..config import PROFILE, CorrectConfig
 from ..functions import cigar as cg
 from ..functions import seq as sq
-from ..operators import align, counts, intervals
+from ..operators import align, counts, intervals, profile
 from ..operators import junctions as jn
 from ..sources.genome import tiles, windows
 from ..storage import stored
@@ -104,29 +104,40 @@ def decisions(reads: DataFrame, found: DataFrame, cfg: CorrectConfig) -> DataFra
 def accept_extra(decided: DataFrame, genome: DataFrame, cfg: CorrectConfig) -> DataFrame:
     """(KEY, side, junction) of terminal candidates that explain the read's end better than the genome beside it.
 
-    The read's outer bases are aligned to the exon across the junction and to the intron's edge; the
-    junction must win by score_difference matches, and beat the next candidate by as much.
+    The read's outer bases, with some of the mapped ones, are a profile that meets two sequences: the exon across the junction
+    and the intron's edge, each before (or after) the mapped exon. A hit counts if it reaches over the junction. The best
+    candidate must beat the intron's edge by score_difference bits, and the next candidate by as much.
     """
+    anchor, pad = cfg.flank + cfg.flank_extra, cfg.flank
     e = decided.select(*KEY, "chr", "bases", "read_length", F.explode("extra").alias("x")).select(*KEY, "chr", "bases", "read_length", "x.*")
     size = F.least(F.when(F.col("side") == "first", F.col("pos")).otherwise(F.col("read_length") - F.col("pos")), F.lit(cfg.end_extra))
     e = e.withColumn("size", size).where("size > 0").withColumn("id", F.struct(*KEY, "side", "start", "end"))
     is_first = F.col("side") == "first"
-    part = F.when(is_first, F.substring("bases", F.col("pos") - F.col("size") + 1, F.col("size"))).otherwise(F.substring("bases", F.col("pos") + 1, F.col("size")))
-    e = e.withColumn("part", part)
-    spans = {"across": (F.when(is_first, F.col("start") - F.col("size")).otherwise(F.col("end")), F.when(is_first, F.col("start")).otherwise(F.col("end") + F.col("size"))), "beside": (F.when(is_first, F.col("end") - F.col("size")).otherwise(F.col("start")), F.when(is_first, F.col("end")).otherwise(F.col("start") + F.col("size")))}
-    e = stored(e)
+    begin = F.when(is_first, F.col("pos") - F.col("size")).otherwise(F.greatest(F.col("pos") - anchor, F.lit(0)))
+    stop = F.when(is_first, F.col("pos") + anchor).otherwise(F.col("pos") + F.col("size"))
+    e = stored(e.withColumn("part", F.substring("bases", begin + 1, stop - begin)))
+    reach = F.col("size") + pad
+    spans = {
+        "mapped": (F.when(is_first, F.col("end")).otherwise(F.col("start") - anchor), F.when(is_first, F.col("end") + anchor).otherwise(F.col("start"))),
+        "exon": (F.when(is_first, F.col("start") - reach).otherwise(F.col("end")), F.when(is_first, F.col("start")).otherwise(F.col("end") + reach)),
+        "intron": (F.when(is_first, F.col("end") - reach).otherwise(F.col("start")), F.when(is_first, F.col("end")).otherwise(F.col("start") + reach)),
+    }
     cut = tiles(genome)
-    scored = e.select("id", "part", "strand", "pos", "prob")
+    texts = e.select("id", "side", "part", "strand", "pos", "prob")
     for name, (a, b) in spans.items():
-        seqs = windows(e.select(F.col("id").alias("key"), "chr", a.alias("s"), b.alias("e")), cut, "key").select(F.col("key").alias("id"), F.col("seq").alias(name))
-        scored = scored.join(seqs, "id", "left")
-        got = align.local(scored, "part", name).select(*scored.columns, F.col("score").alias(f"{name}_score"))
-        scored = stored(got)
-    gain = (F.col("across_score") - F.col("beside_score")) / F.lit(float(LOCAL_SCORES.match))
-    good = scored.where(gain >= cfg.score_difference).select("id.*", "strand", "pos", "prob", "across_score")
-    top = counts.best_margin(good, [*KEY, "side"], "across_score", "start", "end", "strand", "pos", "prob")
-    margin = (F.col("best.across_score") - F.col("second")) / F.lit(float(LOCAL_SCORES.match))
-    return top.where(F.coalesce(margin, F.lit(1e9)) >= cfg.score_difference).select(*KEY, "side", "best")
+        seqs = windows(e.select(F.col("id").alias("key"), "chr", F.greatest(a, F.lit(0)).alias("s"), b.alias("e")), cut, "key").select(F.col("key").alias("id"), F.col("seq").alias(name))
+        texts = texts.join(seqs, "id", "left")
+    scored = stored(texts)
+    for name, outer in (("across", "exon"), ("beside", "intron")):
+        whole = F.when(is_first, F.concat(outer, "mapped")).otherwise(F.concat("mapped", outer))
+        met = profile.profile(scored.withColumn("ref", whole), "part", "ref")
+        over = F.when(is_first, F.length("ref") - 1 - F.col("ref_end")).otherwise(F.col("ref_start")) <= anchor
+        hit = over & (F.col("ref_end") - F.col("ref_start") + 1 > anchor) & (F.col("bits") >= PROFILE.least_bits)
+        scored = stored(met.select(*scored.columns, F.when(hit, F.col("bits")).alias(name)))
+    good = scored.where("across is not null").select("id.*", "strand", "pos", "prob", "across", "beside")
+    top = counts.best_margin(good, [*KEY, "side"], "across", "start", "end", "strand", "pos", "prob", "beside")
+    far = lambda other: F.coalesce(F.col("best.across") - other, F.lit(1e9)) >= cfg.score_difference
+    return top.where(far(F.col("best.beside")) & far(F.col("second"))).select(*KEY, "side", "best")
 
 
 def run(scan: Scan, genome: DataFrame, cfg: CorrectConfig | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar, names, numeric, seq
-from ..operators import align
+from ..operators import align, profile
 from . import Query, table
 
 _CIGAR = "CAST(l_linenumber AS VARCHAR) || 'S' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || 'M' || CAST(l_linenumber * 30 AS VARCHAR) || 'D' || CAST(CAST(l_quantity AS INT) + 3 AS VARCHAR) || '=' || CAST(l_orderkey % 7 + 1 AS VARCHAR) || 'I' || CAST(l_suppkey + 60 AS VARCHAR) || 'N' || CAST(l_linenumber AS VARCHAR) || 'X' || CAST(l_partkey % 5 + 1 AS VARCHAR) || 'H'"
@@ -82,13 +82,23 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", *[names.gtf_attribute(F.col("a"), k).alias(k) for k in ("gene_id", "transcript_id", "exon_number", "gene_name")])
 
 
-def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best local alignment of each part's name with the texts of the parts of its brand and size."""
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, ref): each part's name with the texts of the parts of its brand and size."""
     p = table(spark, sf_dir, "part")
     key = ["p_brand", "p_size"]
     a = p.select(*key, _dna("p_name").alias("query")).distinct()
     b = p.select(*key, _dna(F.concat("p_type", "p_name", "p_type")).alias("ref")).distinct()
-    return align.local(a.join(b, key).select("query", "ref").distinct(), "query", "ref")
+    return a.join(b, key).select("query", "ref").distinct()
+
+
+def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best local alignment of each pair."""
+    return align.local(_pairs(spark, sf_dir), "query", "ref")
+
+
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each part's name, as a profile, explains the other texts, and the likeliest alignment's ends."""
+    return profile.profile(_pairs(spark, sf_dir), "query", "ref")
 
 
 QUERIES: dict[str, Query] = {
@@ -125,4 +135,5 @@ WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l
 SELECT l_orderkey, strand || ',' || CASE WHEN len(s) = 1 THEN s[1] || ',' || e[1] ELSE array_to_string(flatten([[e[i], s[i + 1]] FOR i IN range(1, len(s))]), ',') END AS signature FROM o"""),
     "gtf_attributes": (attributes, "SELECT p_partkey, p_brand AS gene_id, p_name AS transcript_id, CAST(p_size AS VARCHAR) AS exon_number, CAST(NULL AS VARCHAR) AS gene_name FROM part"),
     "sw_align_score": (local_alignment, None),
+    "profile_scores": (profile_scores, None),
 }
