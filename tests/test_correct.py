@@ -70,6 +70,9 @@ def corrected(spark, tmp_path_factory):
     reads = [w.read(f"a{i}", g, [0, 1, 2, 3]) for i in range(4)] + [w.read("s", g, [0, 1, 2, 3], tweak=shift)]
     name, flag, c, _, q, cg, seq = w.read("k", g, [0, 1, 2, 3], tweak=clip)
     reads.append((name, flag, c, g.exons[1][0] + 1, q, cg, seq))
+    outer = {"junk": "".join("GATC"[(k * k + k // 3) % 4] for k in range(40)), "edge": w.chromosomes["chr1"][g.exons[1][0] - 40 : g.exons[1][0]]}
+    for other, outside in outer.items():  # soft clips that are no exon: other bases, and the intron's own
+        reads.append((other, flag, c, g.exons[1][0] + 1, q, cg, outside + seq[40:]))
     (folder / "r.sam").write_text(w.sam(reads))
     genome, exons = gn.read_fasta(spark, str(folder / "g.fa")), an.read_exons(spark, str(folder / "a.gtf"))
     s = scan.run(al.read_sam(spark, [(str(folder / "r.sam"), "one")]), genome, exons)
@@ -98,7 +101,13 @@ def test_clipped_junction_is_added(corrected):
     assert rows["k"].start == pytest.approx(g.exons[0][1] - 40 + 1, abs=3)
 
 
+def test_other_ends_add_no_junction(corrected):
+    w, _, rows, _ = corrected
+    for other in ("junk", "edge"):
+        assert {j.status for j in rows[other].sjs} == {"pass"} and len(rows[other].sjs) == 2 and rows[other].start == w.genes[0].exons[1][0] + 1
+
+
 def test_counts_after_correction(corrected):
     _, exons, _, reads = corrected
     q = quantify.run(reads.select("read_id", "sample", "chr", "group_id", "strand", "start", "end", "sjs"), exons)
-    assert {(r.transcript_id, r.sample): r["count"] for r in q.abundance.collect()} == {("T1", "one"): 6.0}
+    assert {(r.transcript_id, r.sample): r["count"] for r in q.abundance.collect()} == {("T1", "one"): 8.0}

@@ -1,7 +1,8 @@
 """Sinks, comparison, tracks, specificity, rebuilt alignments, balancing and streams."""
 
-import gzip
+import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,16 +110,96 @@ def test_samples(spark, tmp_path):
     assert sink.rename_collisions(["a/x.sam", "b/x.sam", "y.bam"]) == {"a/x.sam": "x.sam", "b/x.sam": "x_1.sam", "y.bam": "y.sam"}
 
 
+CODE = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
+BAM_HEAD = b"BAM\1" + struct.pack("<i", 4) + b"@HD\t" + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 1000) for n in (b"chr1", b"chr2"))
+
+
+def bgzf(raw, size):
+    """Blocks of size bytes each, and the empty one at the end."""
+    blocks = []
+    for at in [*range(0, len(raw), size), len(raw)]:
+        part = raw[at : at + size]
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        blocks.append(al.BLOCK_MAGIC.encode("latin-1") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return blocks
+
+
+def bam_record(name, ref, pos, cigar, seq, flag=0, qual=40):
+    packed = bytes(CODE[a] << 4 | CODE[b] for a, b in zip(seq[::2], seq[1::2] + "=" * (len(seq) % 2), strict=True))
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 30, 0, len(cigar), flag, len(seq), -1, -1, 0) + name + b"\0" + struct.pack(f"<{len(cigar)}I", *cigar) + packed + bytes([qual] * len(seq)) + b"NMC\x05"
+    return struct.pack("<i", len(body)) + body
+
+
+def bam_rows(seed, n):
+    r = random.Random(seed)
+    return b"".join(bam_record(f"read{i}".encode(), r.choice([0, 1, -1]), r.randrange(900), [(m << 4) | r.choice([0, 3, 4]) for m in r.sample(range(1, 30), r.randrange(4))], "".join(r.choice("ACGTN") for _ in range(r.choice([1, 20, 300]))), r.choice([0, 16]), r.choice([0, 1, 33, 40])) for i in range(n))
+
+
 def test_bam(spark, tmp_path):
-    name, cigar, seq = b"r1\0", [(10 << 4) | 0, (5 << 4) | 3, (10 << 4) | 0], "ACGTACGTACGTACGTACGT"
-    code = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
-    packed = bytes(code[a] << 4 | code[b] for a, b in zip(seq[::2], seq[1::2], strict=True))
-    body = struct.pack("<iiBBHHHiiii", 0, 6, len(name), 30, 0, len(cigar), 16, len(seq), -1, -1, 0) + name + struct.pack("<3I", *cigar) + packed + bytes([40] * len(seq))
-    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000) + struct.pack("<i", len(body)) + body
-    half = len(raw) // 2
-    (tmp_path / "x.bam").write_bytes(gzip.compress(raw[:half]) + gzip.compress(raw[half:]))
-    r = al.read_sam(spark, [(str(tmp_path / "x.bam"), "s")]).collect()[0]
-    assert (r.read_id, r.flag, r.chr, r.start, r.mapq, r.cigar, r.seq, r.qual) == ("r1", 16, "chr1", 7, 30, "10M5N10M", seq, "I" * 20)
+    raw = BAM_HEAD + bam_record(b"r1", 0, 6, [(10 << 4) | 0, (5 << 4) | 3, (10 << 4) | 0], "ACGTACGTACGTACGTACGT", 16)
+    (tmp_path / "x.bam").write_bytes(b"".join(bgzf(raw, len(raw) // 2)))
+    (tmp_path / "y.sam").write_text("@HD\tx\nr2\t0\tchr2\t5\t9\t4M\t*\t0\t0\tACGT\t*\n")
+    got = {r.read_id: r for r in al.read_sam(spark, [(str(tmp_path / "y.sam"), "t"), (str(tmp_path / "x.bam"), "s")]).collect()}
+    r = got["r1"]
+    assert (r.flag, r.chr, r.start, r.mapq, r.cigar, r.seq, r.qual, r.tags, r.file_id, r["sample"]) == (16, "chr1", 7, 30, "10M5N10M", "ACGT" * 5, "I" * 20, ["NM:i:5"], 1, "s")
+    assert (got["r2"].chr, got["r2"].file_id, got["r2"]["sample"]) == ("chr2", 0, "t")
+
+
+@pytest.mark.parametrize("size", [60, 251, 1000])
+def test_bam_cut_at_every_block(size):
+    """Whatever block a split begins with, and however many splits there are, the records are the same."""
+    raw = bam_rows(size, 40)
+    want = list(al.decode_whole(raw))
+    head = len(BAM_HEAD)
+    magic = len(al.BLOCK_MAGIC)
+    blocks = [al.inflate(b[magic:]) for b in bgzf(BAM_HEAD + raw, size)]
+
+    def decode(cuts):
+        rows, loose = [], b""
+        for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(blocks)], strict=True)):
+            for kind, x in al.decode_split(iter(blocks[a:b]), 2, head if n == 0 else None):
+                if kind == "row" and loose:
+                    rows, loose = [*rows, *al.decode_whole(loose)], b""
+                if kind == "row":
+                    rows.append(x)
+                else:
+                    loose += x
+        return rows + list(al.decode_whole(loose))
+
+    first = -(-head // size) + 1
+    for cut in range(first, len(blocks), 1 if size > 100 else 7):
+        assert decode([cut]) == want
+    r = random.Random(size)
+    for _ in range(20):
+        assert decode(sorted(r.sample(range(first, len(blocks)), min(6, len(blocks) - first)))) == want
+
+
+@pytest.mark.parametrize("split", [700, 2500])
+def test_bam_by_splits(spark, tmp_path, split):
+    for name, n in (("a", 60), ("b", 25)):
+        (tmp_path / f"{name}.bam").write_bytes(b"".join(bgzf(BAM_HEAD + bam_rows(n, n), 200)))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        rows = al.read_sam(spark, [(str(tmp_path / f"{n}.bam"), n) for n in "ab"]).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len({(r["sample"], r.line.block) for r in rows}) > 4
+    for name, n in (("a", 60), ("b", 25)):
+        own = sorted((r for r in rows if r["sample"] == name), key=lambda r: r.line)
+        names = ["chr1", "chr2", "*"]
+        assert [(r.read_id, r.flag, r.chr, r.start, r.mapq, r.cigar, r.seq, r.qual, r.tags) for r in own] == [(*x[:2], names[x[2]], *x[3:]) for x in al.decode_whole(bam_rows(n, n))]
+
+
+def test_damaged_bam(spark, tmp_path):
+    blocks = bgzf(BAM_HEAD + bam_rows(1, 30), 200)
+    for bad in (blocks[:-3], blocks[:4] + blocks[6:], [*blocks[:3], blocks[3][:-5] + b"12345", *blocks[4:]]):  # cut off, blocks gone, bytes changed
+        (tmp_path / "x.bam").write_bytes(b"".join(bad))
+        with pytest.raises(Exception, match="BAM|BGZF|struct|unpack"):
+            al.read_sam(spark, [(str(tmp_path / "x.bam"), "s")]).collect()
 
 
 def test_bam_tags_and_long_cigars():
@@ -132,7 +213,7 @@ def test_bam_tags_and_long_cigars():
 
     stand_in = [(4 << 4) | 4, (34 << 4) | 3]
     raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000) + record(ops, b"") + record(stand_in, b"CGBI" + struct.pack("<i3I", 3, *ops)) + record(stand_in, b"")
-    rows = list(al.decode_bam(gzip.compress(raw)))
+    rows = list(al.decode_whole(raw[al.header(raw)[1] :]))
     want = ["NM:i:5", "as:i:-70000", "ts:A:+", "RG:Z:group 1", "dv:f:0.25", "ML:B:C,7,255"]
     assert [(r[5], r[8]) for r in rows] == [("2M30N2=", want), ("2M30N2=", want), ("4S34N", want)]
     assert rows[0][6:8] == ("ACGT", None)
