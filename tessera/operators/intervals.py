@@ -39,19 +39,19 @@ def _islands(df: DataFrame, keys: Sequence[str], start: str, end: str, extra: in
 def _across_bins(local: DataFrame, keys: Sequence[str], extra: int) -> DataFrame:
     """local (keys, _bin, _s, _e: islands inside bins) with _g, the first start of the group that each island falls in.
 
-    What reaches into a bin from the left is the largest end of all bins before it: a window over
-    bins, of which a key has as many as its length allows, not over islands. An island that begins
-    beyond it begins a group; others belong to the last group begun, in this bin or an earlier one.
+    What reaches into a bin from the left is the largest end of all bins before it. An island that begins beyond it
+    begins a group; others belong to the last group begun, in this bin or an earlier one. In each bin
+    that last one can only be the island that begins last, so one window over bins (of which a key has as many as its
+    length allows) finds both what reaches in and what is open, and one join brings them to the islands.
     """
     on = [*keys, "_bin"]
-    ends = local.groupBy(*_cols(on)).agg(F.max("_e").alias("_m"))
     before = Window.partitionBy(*_cols(keys)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _by_bin(local, ends.withColumn("_reach", F.max("_m").over(before)).drop("_m"), keys)
-    rows = rows.withColumn("_fresh", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + extra), F.col("_s"))).drop("_reach")
-    last = rows.groupBy(*_cols(on)).agg(F.max("_fresh").alias("_m"))
-    rows = _by_bin(rows, last.withColumn("_open", F.max("_m").over(before)).drop("_m"), keys)
+    bins = local.groupBy(*_cols(on)).agg(F.max("_e").alias("_m"), F.max("_s").alias("_top")).withColumn("_reach", F.max("_m").over(before))
+    fresh = lambda s: F.when(F.col("_reach").isNull() | (F.col(s) > F.col("_reach") + extra), F.col(s))
+    bins = bins.withColumn("_last", fresh("_top")).withColumn("_open", F.max("_last").over(before)).drop("_m", "_top", "_last")
+    rows = _by_bin(local, bins, keys).withColumn("_fresh", fresh("_s"))
     own = F.max("_fresh").over(Window.partitionBy(*_cols(on)).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("_g", F.coalesce(own, F.col("_open"))).drop("_fresh", "_open")
+    return rows.withColumn("_g", F.coalesce(own, F.col("_open"))).drop("_fresh", "_open", "_reach")
 
 
 def _by_bin(rows: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
