@@ -8,10 +8,9 @@ labels alone, and then point at the offending sentences.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -40,19 +39,19 @@ def features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in range(4, min(8, len(word) + 1))]]
 
 
-def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
-    """(start, end, distinct lower-case words) of each sentence."""
-    return [(m.start(), m.end(), set(WORD.findall(m[0].lower()))) for m in SENTENCE.finditer(text or "")]
+def bags(texts: DataFrame) -> DataFrame:
+    """(doc_id, t, toxic, key, words) of texts (doc_id, t, toxic, text): the distinct lower-case word sets of each whole text's sentences."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text", 1 << 20):
+            for k, text in enumerate(b.column("text").to_pylist()):
+                found = {frozenset(WORD.findall(m[0].lower())) for m in SENTENCE.finditer(text or "")} - {frozenset()}
+                words = [sorted(w) for w in found]
+                keys = [int.from_bytes(hashlib.blake2b("\n".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in words]
+                own = [pa.array([b.column(c)[k].as_py()] * len(words), t) for c, t in (("doc_id", pa.int64()), ("t", pa.int64()), ("toxic", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "t", "toxic", "key", "words"])
 
-def distinct_sentences(texts: Iterable[str]) -> Iterator[set[str]]:
-    """Feature sets of the texts' sentences, equal word sets once: a document copied many times lends no more support."""
-    seen: set[int] = set()
-    for t in texts:
-        for _, _, words in sentences(t):
-            if words and (key := hash(frozenset(words))) not in seen:
-                seen.add(key)
-                yield {f for w in words for f in features(w)}
+    return texts.select("doc_id", "t", "toxic", "text").mapInArrow(run, "doc_id long, t long, toxic int, key long, words array<string>")
 
 
 def without_beginnings(features: list[str]) -> list[str]:
@@ -64,73 +63,64 @@ def without_beginnings(features: list[str]) -> list[str]:
     return kept
 
 
-def select_features(clean: list[str], toxic: list[str], evidence: float) -> list[str]:
-    """Features likelier in toxic documents' sentences than chance: their log-likelihood ratio reaches `evidence`.
+def select_features(bag: DataFrame, evidence: float = 8.0, least: int = 3) -> list[str]:
+    """Features likelier in toxic documents' sentences than chance: in at least `least` of them, with a log-likelihood ratio of `evidence`.
 
-    Toxic texts are counted first, into hash buckets and then exactly where a bucket reaches the
-    least support; clean ones only for what is left, so that memory doesn't follow the vocabulary.
+    Equal word sets of a class count once: a document copied many times lends no more support.
     """
-    least, mask = 3, (1 << 22) - 1
-    bucket = np.zeros(mask + 1, np.uint16)
-    for f in distinct_sentences(toxic):
-        at = np.array([hash(x) & mask for x in f])
-        bucket[at] += bucket[at] < least
-    hits: Counter[str] = Counter()
-    n_toxic = 0
-    for f in distinct_sentences(toxic):
-        n_toxic += 1
-        hits.update(x for x in f if bucket[hash(x) & mask] >= least)
-    hits = Counter({f: n for f, n in hits.items() if n >= least})
-    misses: Counter[str] = Counter()
-    n_clean = 0
-    for f in distinct_sentences(clean):
-        n_clean += 1
-        misses.update(f & hits.keys())
-    share = n_toxic / max(1, n_clean + n_toxic)
-
-    def ratio(no: int, yes: int) -> float:
-        n = no + yes
-        return (yes * np.log(yes / (n * share)) if yes > n * share else 0.0) + (no * np.log(no / (n * (1 - share))) if no else 0.0)
-
+    once = bag.dropDuplicates(["toxic", "key"]).select("toxic", "words")
+    n = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = n.get(1, 0) / max(1, sum(n.values()))
+    beginning = lambda w, k: F.when(F.length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*")))
+    each = F.transform("words", lambda w: F.array_compact(F.array(w, *[beginning(w, k) for k in range(4, 8)])))
+    per = once.select("toxic", F.explode(F.array_distinct(F.flatten(each))).alias("f")).groupBy("f").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
+    all_ = F.col("yes") + F.col("no")
+    part = lambda c, of: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (all_ * F.lit(of)))).otherwise(0.0)
+    good = (F.col("yes") >= least) & (F.col("yes") > all_ * share) & (part("yes", share) + part("no", 1 - share) >= evidence)
     alike: dict[tuple[str, int, int], list[str]] = {}
-    for f, yes in hits.items():
-        if ratio(misses[f], yes) >= evidence and yes > (yes + misses[f]) * share:
-            alike.setdefault((f[:4], misses[f], yes), []).append(f)
+    for r in per.where(good).collect():  # what tells a bounded sample's classes apart
+        alike.setdefault((r["f"][:4], r["no"], r["yes"]), []).append(r["f"])
     return sorted(f for same in alike.values() for f in without_beginnings(same))
 
 
-def fit(texts: list[str], labels: np.ndarray, evidence: float = 8.0, rounds: int = 400, l2: float = 1e-3) -> Model:
-    """Maximum likelihood of the noisy-or by projected Adam; weights stay >= 0."""
-    if not len(labels) or labels.min() == labels.max():
-        return Model({}, float(labels.mean()) if len(labels) else 0.0)
-    words = select_features([t for t, y in zip(texts, labels, strict=True) if not y], [t for t, y in zip(texts, labels, strict=True) if y], evidence)
-    index = {w: i for i, w in enumerate(words)}
-    doc, row, col = [], [], []
-    for d, text in enumerate(texts):
-        for s in {frozenset(w) for _, _, w in sentences(text)}:
-            hit = sorted({index[f] for w in s for f in features(w) if f in index})
-            if hit:
-                row += [len(doc)] * len(hit)
-                col += hit
-                doc.append(d)
-    doc, row, col = (np.array(x, np.int64) for x in (doc, row, col))
-    y = labels.astype(float)
-    w = np.full(len(words), 6.0)
+def evidence_rows(bag: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, t, hits): the places in words of each sentence's features, for sentences that have some."""
+    shared = bag.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            hits = [sorted({index[f] for w in ws for f in features(w) if f in index}) for ws in b.column("words").to_pylist()]
+            keep = pa.array([bool(h) for h in hits], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(keep), b.column("t").filter(keep), pa.array([h for h in hits if h], pa.list_(pa.int32()))], ["doc_id", "t", "hits"])
+
+    return bag.select("doc_id", "t", "words").mapInArrow(run, "doc_id long, t long, hits array<int>")
+
+
+def loss_and_slope(w: np.ndarray, leak: float, y: np.ndarray, doc: np.ndarray, row: np.ndarray, col: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(mean negative log-likelihood of the noisy-or with its penalty, its slope by w, each sentence's chance). doc: each sentence's document; row, col: each feature's sentence and number."""
+    p = 1 / (1 + np.exp(-(FLOOR + np.bincount(row, weights=w[col], minlength=len(doc)))))
+    log_clean = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + np.log1p(-leak)
+    clean = np.exp(log_clean)
+    loss = -np.where(y > 0, np.log(np.maximum(1 - clean, 1e-300)), log_clean).mean() + l2 * (w @ w) / 2 / len(y)
+    down = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # d loss / d(-log clean)
+    return float(loss), np.bincount(col, weights=(down[doc] * p)[row], minlength=len(w)) / len(y) + l2 * w / len(y), p
+
+
+def fit(y: np.ndarray, doc: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, rounds: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(weights, leak) of n features: maximum likelihood of the noisy-or by projected Adam; weights stay >= 0."""
+    y = y.astype(float)
+    w = np.full(n, 6.0)
     leak = float(np.clip(y.mean() / 4, 1e-3, 0.2))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        z = FLOOR + np.bincount(row, weights=w[col], minlength=len(doc))
-        p = 1 / (1 + np.exp(-z))
-        log_clean = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + np.log1p(-leak)
-        clean = np.exp(log_clean)
-        slope = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # d loss / d(-log clean)
-        grad = np.bincount(col, weights=(slope[doc] * p)[row], minlength=len(w)) / len(y) + l2 * w / len(y)
+        _, grad, p = loss_and_slope(w, leak, y, doc, row, col, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = np.maximum(0, w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9))
         free = np.ones(len(y), bool)
         free[doc[p > 0.5]] = False
         leak = float(np.clip(y[free].mean() if free.any() else leak, 1e-4, 0.2))
-    return Model({t: float(x) for t, x in zip(words, w, strict=True) if x > 0}, leak)
+    return w, leak
 
 
 class Evidence:
@@ -174,45 +164,34 @@ def chances(text: str | None, evidence: Evidence) -> list[tuple[int, int, float]
     return out
 
 
-def shorten(text: str, most: int) -> str:
-    """A text of at most `most` characters: whole, or sentences drawn by hash from all of it, in order; a sentence is cut after every 100 words."""
-    if len(text) <= most:
-        return text
-    parts = [" ".join(words[i : i + 100]) for m in SENTENCE.finditer(text) if (words := m[0].split()) for i in range(0, len(words), 100)]
-    drawn, size = [], 0
-    for i in sorted(range(len(parts)), key=lambda i: zlib.crc32(f"{i} {parts[i]}".encode("utf-8", "surrogatepass"))):
-        if size + len(parts[i]) + 2 <= most:
-            drawn.append(i)
-            size += len(parts[i]) + 2
-    return ". ".join(parts[i] for i in sorted(drawn))
-
-
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_chars: int = 8000) -> Model:
-    """Fit on a bounded sample: about per_class labelled texts of each class, of longer ones max_chars characters of sentences drawn from the whole text.
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
+    """Fit on a bounded sample: about per_class labelled texts of each class, all their sentences.
 
     docs: doc_id, text; labels: doc_id, toxic. Held-out folds, null ids, texts and labels take no part.
     Labels that contradict each other for one id count as toxic; an exactly repeated row counts once,
-    several texts of one id count each. Empty tables, or one class alone, teach a constant.
+    several texts of one id count each. Empty tables, or one class alone, teach a constant. Sentences are counted
+    where the texts are; the driver sees the chosen features and which of them each sentence has.
     """
     rows = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).withColumn("t", F.xxhash64("text"))
     known = checkpoint(texts.select("doc_id", "t").join(rows, "doc_id").distinct())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rate = lambda y: F.lit(min(1.0, per_class / counts.get(y, 1)) * (1 << 20))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", "t", F.lit(2)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
-    taken = texts.join(broadcast_if(checkpoint(drawn), 16 * per_class), ["doc_id", "t"])
-    long = F.length("text") > max_chars
-
-    def run(batches):
-        for b in chunks(batches, "text", 1 << 20):
-            cut = [shorten(t, max_chars) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), b.column("toxic"), pa.array(cut, pa.string())], ["doc_id", "t", "toxic", "text"])
-
-    schema = "doc_id long, t long, toxic int, text string"
-    whole = taken.where(~long).select("doc_id", "t", "toxic", "text")
-    cut = taken.where(long).select("doc_id", "t", "toxic", "text").mapInArrow(run, schema)
-    sample = whole.unionByName(cut).dropDuplicates(["doc_id", "t"]).toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
-    return fit(sample["text"].to_pylist(), sample["toxic"].to_numpy())
+    drawn = checkpoint(known.where(F.pmod(F.xxhash64("doc_id", "t", F.lit(2)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0))))
+    sample = drawn.select("doc_id", "t", "toxic").toPandas().sort_values(["doc_id", "t"], ignore_index=True)
+    y = sample["toxic"].to_numpy()
+    if not len(y) or y.min() == y.max():
+        return Model({}, float(y.mean()) if len(y) else 0.0)
+    bag = checkpoint(bags(texts.join(broadcast_if(drawn, 16 * per_class), ["doc_id", "t"])).dropDuplicates(["doc_id", "t", "key"]))
+    words = select_features(bag)
+    found = evidence_rows(bag, words).toPandas()
+    place = {k: i for i, k in enumerate(zip(sample["doc_id"], sample["t"], strict=True))}
+    order = sorted((place[k], list(h)) for k, h in zip(zip(found["doc_id"], found["t"], strict=True), found["hits"], strict=True))
+    doc = np.array([d for d, _ in order], np.int64)
+    row = np.repeat(np.arange(len(order)), [len(h) for _, h in order]) if order else np.zeros(0, np.int64)
+    col = np.array([x for _, h in order for x in h], np.int64)
+    w, leak = fit(y, doc, row, col, len(words))
+    return Model({t: float(x) for t, x in zip(words, w, strict=True) if x > 0}, leak)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -136,12 +136,48 @@ def test_noisy_or_by_hand():
     assert toxicity.without_beginnings(["grob*", "grobi*", "grobik", "grozny", "groz*", "grub"]) == ["grobik", "grozny", "grub"]
 
 
-def test_long_texts_are_sampled_whole():
-    text = ". ".join(f"s{i} " + "w " * 30 for i in range(500)) + ". last marker"
-    cut = toxicity.shorten(text, 2000)
-    places = [int(x) for x in re.findall(r"s(\d+)", cut)]
-    assert len(cut) <= 2000 and places == sorted(places) and min(places) < 150 and max(places) > 350
-    assert toxicity.shorten("x" * 99999, 2000) == "" and toxicity.shorten("short", 2000) == "short"
+def test_slope_by_differences():
+    """The fit's slope against differences of its loss, and the loss against the noisy-or's formula."""
+    r = np.random.default_rng(3)
+    y, n = r.integers(0, 2, 12).astype(float), 5
+    doc = np.sort(r.integers(0, 12, 30))
+    row = np.repeat(np.arange(30), 2)
+    col = r.integers(0, n, 60)
+    w, leak, l2 = r.uniform(2, 12, n), 0.05, 1e-3
+    loss, slope, p = toxicity.loss_and_slope(w, leak, y, doc, row, col, l2)
+    clean = np.array([(1 - leak) * np.prod(1 - p[doc == d]) for d in range(12)])
+    assert loss == pytest.approx(-np.mean(np.where(y > 0, np.log(1 - clean), np.log(clean))) + l2 * (w @ w) / 24)
+    for k in range(n):
+        step = np.eye(n)[k] * 1e-6
+        assert slope[k] == pytest.approx((toxicity.loss_and_slope(w + step, leak, y, doc, row, col, l2)[0] - toxicity.loss_and_slope(w - step, leak, y, doc, row, col, l2)[0]) / 2e-6, rel=1e-4, abs=1e-9)
+    fitted, _ = toxicity.fit(y, doc, row, col, n, rounds=50)
+    assert (fitted >= 0).all()
+
+
+def test_features_by_hand(spark):
+    """Features are chosen from all sentences of whole texts, however long, by their ratio; equal word sets of a class count once."""
+    filler = ". ".join(f"{a}{b} lorem" for a in "abcdefgh" for b in "ijklmnop")
+    rows = [(i, i, int(i % 3 == 0), f"{filler}. {'x' * 30000}" + (f". Grobik{'ab'[i % 2]} here {'qrstuvw'[i // 3 % 7]}" if i % 3 == 0 else "")) for i in range(60)] + [(i, i, 0, "copy of vlarm") for i in range(60, 70)]
+    bag = toxicity.bags(spark.createDataFrame(rows, "doc_id long, t long, toxic int, text string"))
+    got = bag.collect()
+    assert max(len(b.words) for b in got) == 3 and sum(b.words == ["copy", "of", "vlarm"] for b in got) == 10
+    sets = {0: set(), 1: set()}
+    for b in got:
+        sets[b.toxic].add(frozenset(b.words))
+    count = {y: Counter(f for s in sets[y] for f in {f for w in s for f in toxicity.features(w)}) for y in (0, 1)}
+    share = len(sets[1]) / (len(sets[0]) + len(sets[1]))
+    want = []
+    for f, yes in count[1].items():
+        no = count[0][f]
+        ratio = yes * np.log(yes / (yes + no) / share) + (no * np.log(no / (yes + no) / (1 - share)) if no else 0)
+        if yes >= 3 and yes > (yes + no) * share and ratio >= 3:
+            want.append(f)
+    groups = {}
+    for f in want:
+        groups.setdefault((f[:4], count[0][f], count[1][f]), []).append(f)
+    assert toxicity.select_features(bag, evidence=3.0) == sorted(f for g in groups.values() for f in toxicity.without_beginnings(g)) and "grobik*" in want
+    hits = toxicity.evidence_rows(bag, ["grobik*", "lorem"]).collect()
+    assert {tuple(h.hits) for h in hits} == {(0,), (1,)}
 
 
 def shingles(t):
