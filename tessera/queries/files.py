@@ -117,6 +117,12 @@ def sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("read_id", "flag", "chr", "start", "mapq", "cigar", "seq", F.array_join("tags", ",").alias("tags"), "file_id", "sample")
 
 
+def fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as FASTQ records whose qualities begin with @; read back."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws("\n", F.concat(F.lit("@p"), F.col("p_partkey").cast("string")), F.regexp_replace("p_name", " ", "N"), F.lit("+"), F.regexp_replace("p_name", ".", "@")).alias("value"))
+    return al.combine_fastq(spark, written(p), "*.txt")
+
+
 def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments by the SAM sink, with a header line for each chromosome; read back."""
     c = derived.reads(spark, sf_dir).select("read_id", F.lit(0).alias("flag"), "chr", "start", F.lit(60).alias("mapq"), F.concat((F.col("k") % 90 + 1).cast("string"), F.lit("M")).alias("cigar"), F.lit("ACGT").alias("seq"), F.lit(None).cast("string").alias("qual"))
@@ -192,6 +198,7 @@ WITH c AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l
 SELECT o || '_' || n || '_' || p || '_' || u AS read_id, p % 17 AS flag, 'c' || (u % 5) AS chr, o AS start, n * 9 AS mapq,
 n || 'S' || q || 'M' || n * 30 || 'D' || (q + 3) || '=' || (o % 7 + 1) || 'I' || (u + 60) || 'N' || n || 'X' || (p % 5 + 1) || 'H' AS cigar, NULL AS seq, 'NM:i:' || (u % 9) || ',ts:A:+' AS tags, 0 AS file_id, 's' AS sample FROM c"""),
     "sam_round_trip": (sam_lines, f"WITH {_R} SELECT 'r' || k AS read_id, 0 AS flag, chr, st AS start, 60 AS mapq, (k % 90 + 1) || 'M' AS cigar, 'ACGT' AS seq, NULL AS qual FROM r"),
+    "fastq_round_trip": (fastq, "SELECT 'p' || p_partkey AS name, replace(p_name, ' ', 'N') AS seq, repeat('@', length(p_name)) AS qual FROM part"),
     "fasta_windows": (fasta_windows, f"""
 WITH {_G}, w AS (SELECT p_partkey AS id, replace(p_brand, '#', '') AS chr, p_partkey * 7 % 300 AS s, p_size * 3 AS n FROM part), x AS (SELECT id, substring(seq, CAST(s + 1 AS BIGINT), CAST(n AS BIGINT)) AS seq FROM w JOIN sq ON sq.chr = w.chr) SELECT * FROM x WHERE seq <> ''"""),
     "junction_flanks": (flank_lines, f"""

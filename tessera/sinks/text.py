@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import sj_id
+from ..ordering import KEYS_TO_BROADCAST
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -102,7 +103,9 @@ def sam(rows: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """Header lines in the chromosomes' order, then alignments by place."""
     head = chromosomes.select(F.lit(0).alias("o"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.concat(F.lit("@SQ\tSN:"), "chr", F.lit("\tLN:"), F.col("len").cast("string")).alias("value"))
     text = F.concat_ws("\t", "read_id", F.col("flag").cast("string"), "chr", F.col("start").cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")))
-    body = rows.join(F.broadcast(chromosomes.select("chr", "rank")), "chr").select(F.lit(1).alias("o"), F.col("rank").cast("long").alias("a"), F.col("start").cast("long").alias("b"), text.alias("value"))
+    ranks = chromosomes.select("chr", "rank")
+    ranks = F.broadcast(ranks) if ranks.limit(KEYS_TO_BROADCAST + 1).count() <= KEYS_TO_BROADCAST else ranks
+    body = rows.join(ranks, "chr").select(F.lit(1).alias("o"), F.col("rank").cast("long").alias("a"), F.col("start").cast("long").alias("b"), text.alias("value"))
     return head.unionByName(body).repartitionByRange("o", "a", "b").sortWithinPartitions("o", "a", "b").select("value")
 
 

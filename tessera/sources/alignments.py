@@ -41,20 +41,22 @@ def sample_rows(paths: str, names: str) -> list[tuple[str, str]]:
     return list(zip(a, b, strict=True))
 
 
-def _uri(spark: SparkSession, path: str) -> str:
-    """The path as _metadata.file_path has it."""
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The file at path, or those of the folder at path, as _metadata.file_path has them."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in (fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)])]
+    return [re.sub("^file:/+", "file:/", x.toUri().toString()) for x in found if not x.getName().startswith(("_", "."))]
 
 
 def read_sam(spark: SparkSession, samples: list[tuple[str, str]]) -> DataFrame:
-    """Alignments of (path, sample) pairs, each path one file: all SAM files in one scan, all BAM files in another, by splits.
+    """Alignments of (path, sample) pairs, each path a file or a folder of its parts: all SAM files in one scan, all BAM files in another, by splits.
 
     file_id is the pair's place; line orders a file's rows. Header lines are skipped, tags are an array.
     """
     if not samples:
         raise ValueError("no input files")
-    known = spark.createDataFrame([(re.sub("^file:/+", "file:/", _uri(spark, path)), i, sample) for i, (path, sample) in enumerate(samples)], "file string, file_id int, sample string")
+    known = spark.createDataFrame([(file, i, sample) for i, (path, sample) in enumerate(samples) for file in _files(spark, path)], "file string, file_id int, sample string")
     out = None
     for read, own in ((_sam, [p for p, _ in samples if not p.endswith(".bam")]), (read_bam, [p for p, _ in samples if p.endswith(".bam")])):
         if own:
@@ -320,10 +322,29 @@ def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("read_id", "flag", "chr", "start", "mapq", "cigar", "seq", "qual", "tags", F.struct("block", "row").alias("line"), "file")
 
 
-def combine_fastq(spark: SparkSession, folder: str) -> DataFrame:
-    """Records (name, seq, qual) of all .fastq files below folder; every record is four lines, a file is read whole."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fastq").text(folder, wholetext=True)
-    lines = F.split(F.rtrim("value"), "\n")
-    starts = F.sequence(F.lit(1), F.size(lines), F.lit(4))
-    rec = text.select(F.explode(F.transform(starts, lambda i: F.slice(lines, i, 4))).alias("r")).where(F.size("r") == 4)
-    return rec.select(F.expr("substring(r[0], 2)").alias("name"), F.col("r")[1].alias("seq"), F.col("r")[3].alias("qual"))
+def numbered_lines(text: DataFrame) -> DataFrame:
+    """(file, line_no, value) of text (file, block, value: lines as splits give them): each line's number in its file, from 0.
+
+    Lines are counted in each split; a split's first number is the sum of those before it.
+    """
+    rows = stored(text.withColumn("_m", F.monotonically_increasing_id()))  # in a split, ids follow the lines
+    per = rows.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    per = per.select("file", "block", "_first", F.coalesce(before, F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(per), ["file", "block"]).select("file", (F.col("_base") + F.col("_m") - F.col("_first")).alias("line_no"), "value")
+
+
+def combine_fastq(spark: SparkSession, folder: str, pattern: str = "*.fastq") -> DataFrame:
+    """Records (name, seq, qual) of all files below folder whose name is like pattern, by splits; every record is four lines, whatever they begin with.
+
+    An error: a record whose first or third line doesn't begin with @ or +, or whose sequence and qualities differ in
+    length. Blank lines at a file's end are none.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    at = lambda k: F.max(F.when(F.col("line_no") % 4 == k, F.col("value"))).alias(f"l{k}")
+    rec = numbered_lines(text).groupBy("file", F.floor(F.col("line_no") / 4).alias("record")).agg(*[at(k) for k in range(4)])
+    blank = F.forall(F.array(*[F.coalesce(f"l{k}", F.lit("")) for k in range(4)]), lambda x: x == "")
+    bad = ~F.coalesce(F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3")), F.lit(False))
+    name = F.when(bad, F.raise_error(F.concat(F.col("file"), F.lit(": record "), F.col("record").cast("string"), F.lit(" is no FASTQ record")))).otherwise(F.expr("substring(l0, 2)"))
+    return rec.where(~blank).select(name.cast("string").alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))

@@ -225,6 +225,29 @@ def test_fastq(spark, tmp_path):
     assert sorted(tuple(r) for r in al.combine_fastq(spark, str(tmp_path / "q")).collect()) == [("r1 x", "ACGT", "@III"), ("r2", "GG", "II")]
 
 
+@pytest.mark.parametrize("split", [90, 333])
+def test_fastq_by_splits(spark, tmp_path, split):
+    """Qualities that begin with @ or +, and splits that begin anywhere."""
+    r = random.Random(split)
+    want = []
+    for f in "ab":
+        rows = [(f"{f}{i}", "".join(r.choice("ACGT") for _ in range(n)), "".join(r.choice("@+I") for _ in range(n))) for i in range(40) for n in [r.randrange(30)]]
+        (tmp_path / f"{f}.fastq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in rows) + "\n" * (f == "a"))
+        want += rows
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = al.combine_fastq(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(x) for x in got) == sorted(want)
+    (tmp_path / "c.fastq").write_text("@x\nACGT\n+\nIII\n")
+    with pytest.raises(Exception, match="no FASTQ record"):
+        al.combine_fastq(spark, str(tmp_path)).collect()
+
+
 AB = "transcript_id string, transcript_name string, gene_id string, sample string, count double"
 
 
