@@ -102,6 +102,12 @@ def novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chr", text(F.col("chain")).alias("chain"), F.col("category").alias("class"), F.coalesce("novel", F.lit(False)).alias("novel"), F.coalesce("containing", F.lit(0)).cast("long").alias("containing"))
 
 
+def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole quantify step on derived reads: counts of annotated and novel isoforms."""
+    reads = derived.reads(spark, sf_dir).drop("rid", "k")
+    return quantify.run(reads, derived.exons(spark, sf_dir)).abundance
+
+
 def chain_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower median start and upper median end of the reads of each chromosome and number of junctions."""
     r = derived.reads(spark, sf_dir).withColumn("n", F.size("sjs").cast("long"))
@@ -411,6 +417,7 @@ QUERIES: dict[str, Query] = {
     "valid_novel_chains": (valid_chains, f"WITH {_C} SELECT ch.chr, group_id, ch.chain, least >= 2 AND least >= 0.5::DOUBLE * n AS valid FROM ch JOIN pf ON pf.chr = ch.chr AND pf.chain = ch.chain"),
     "classify_chain_matches": (classes, f"WITH {_K} SELECT chr, chain, class, isoforms FROM cl"),
     "discover_novel_chains": (novel, f"WITH {_N} SELECT chr, chain, class, novel, c AS containing FROM n1 UNION ALL SELECT * FROM n2"),
+    "isoform_abundance": (abundance, None),
     "median_endpoints": (chain_medians, f"WITH {_R} SELECT chr, n, list_sort(list(st))[(count(*) - 1) // 2 + 1] AS start, list_sort(list(en))[count(*) // 2 + 1] AS \"end\" FROM r GROUP BY chr, n"),
     "exon_boundaries": (boundaries, f"""
 WITH {_R} SELECT r.k, i, coalesce(lag(e) OVER w, st) AS exon_start, lag(e) OVER w IS NULL AS outer_start, coalesce(lead(s) OVER w, en) AS exon_end, lead(s) OVER w IS NULL AS outer_end
