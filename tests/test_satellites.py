@@ -328,6 +328,31 @@ def test_stream(spark, tmp_path):
     assert sorted(r.n for r in spark.table("merged").collect() if r.k == 1) == [1, 2]
 
 
+def test_intervals_of_a_stream(spark, tmp_path):
+    """Groups of a stream with late rows are those of merge_intervals over all its rows; what is too late is dropped."""
+    from tessera.operators.intervals import merge_intervals
+
+    r = random.Random(8)
+    base, rows = 1_700_000_000, []
+    for batch in range(6):
+        for _ in range(40):
+            s = base + batch * 1800 + r.randrange(-1500, 1800)  # up to 55 minutes late
+            rows.append((batch, r.choice("ab"), s, s + r.choice([0, 5, 60, 4000])))
+    rows += [(6, k, base + 10**6, base + 10**6) for k in "ab"] + [(7, "a", base, base + 5), (7, None, base + 10**6, base + 10**6)]  # far ahead, then too late
+    when = lambda c: F.timestamp_seconds(c).alias(c)
+    df = spark.createDataFrame(rows, "batch int, k string, s long, e long")
+    for i in range(8):
+        df.where(f"batch = {i}").select("k", when("s"), when("e")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("k string, s timestamp, e timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = merge.merge_stream(source, "k", "s", "e", "1 hour", extra=30_000_000)
+    q = out.writeStream.format("memory").queryName("merged_intervals").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((x.k, int(x.g_start.timestamp()), int(x.g_end.timestamp()), x.n) for x in spark.table("merged_intervals").collect())
+    want = merge_intervals(df.where("batch < 6"), ["k"], "s", "e", 30).collect()
+    assert got == sorted((x.k, x.g_start, x.g_end, x.n) for x in want) and len(got) > 4
+
+
 def test_feature_log(spark, tmp_path):
     (tmp_path / "l").write_text("isoform id: a, diff: 2\n\nread id: r, diff: 1\n")
     got = compare.parse_pairs(rs.read_comparison_log(spark, str(tmp_path / "l"), ("isoform", "read"))).collect()
