@@ -21,7 +21,8 @@ from tessera.storage import stored  # noqa: E402
 
 
 def main(n: int, cores: int) -> None:
-    spark = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    steps = tempfile.mkdtemp(prefix="bench-steps-")  # one machine: driver and executors share it
+    spark = SparkSession.builder.master(f"local[{cores}]").config("spark.checkpoint.dir", steps).config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     w, r = World(), random.Random(2)
     for c in range(4):
