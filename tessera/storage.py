@@ -28,8 +28,22 @@ def new_path(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def broadcast_by_measure(spark: SparkSession) -> None:
+    """Let joins broadcast a side by the bytes of its rows, measured when they are shuffled, and no longer by the size of its files.
+
+    Chains repeat, so a step table takes up to a hundred times its files' size as a hash table, which the driver
+    would build. The session's threshold stays, as the one for measured sizes; F.broadcast stays as it is.
+    """
+    plain, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(plain)
+    if threshold != "-1":
+        spark.conf.set(measured, spark.conf.get(measured, None) or threshold)
+        spark.conf.set(plain, "-1")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read back: lineage and plan are cut there, columns can be pruned, and the planner knows the table's true size."""
+    """df written as Parquet and read back: lineage and plan are cut there, and columns can be pruned."""
+    broadcast_by_measure(df.sparkSession)
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
