@@ -13,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 BIN = 1 << 16
+SLAB = 2000  # intervals gathered in a row
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -127,6 +130,38 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_start: str,
     return left.join(right, cond).drop("_bin", "_bbin", *[f"_b_{k}" for k in keys])
 
 
+def span_width(b: DataFrame, start: str, end: str) -> int:
+    """A bin width that suits b: a quarter of its mean length, so that b takes a few bins a row and a bin holds little that meets nothing."""
+    mean = b.agg(F.avg(F.col(end).cast("double") - F.col(start))).first()[0]
+    return max(1, int((mean or 0) / 4))
+
+
+def holders(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, a_start: str, a_end: str, b_start: str, b_end: str, name: str, into: str, slab: int = SLAB) -> DataFrame:
+    """a with `into`: the sorted distinct names of the b rows of equal keys that contain it.
+
+    a_id tells a's rows apart. b's rows of a bin (span_width) are gathered in lists of at most `slab`, and a row of a
+    meets the lists of its start's bin. So no pair is shuffled; rows whose bin has several lists are put together after.
+    """
+    width = span_width(b, b_start, b_end)
+    item = F.struct(F.col(name).alias("v"), F.col(b_start).cast("long").alias("x"), F.col(b_end).cast("long").alias("y"))
+    each = b.select(*_cols(keys), F.explode(_bins(F.col(b_start), F.col(b_end), width)).alias("_bin"), item.alias("_t")).distinct()
+    on = [*keys, "_bin"]
+    place = F.row_number().over(Window.partitionBy(*_cols(on)).orderBy("_t.x", "_t.y", "_t.v"))
+    lists = each.withColumn("_slab", F.floor((place - 1) / slab)).groupBy(*_cols(on), "_slab").agg(F.array_sort(F.collect_list("_t")).alias("_list"))
+    lists = stored(lists)
+    rows = a.withColumn("_bin", F.floor(F.col(a_start) / width)).join(lists, on, "left")
+    fits = F.filter("_list", lambda t: (t["x"] <= F.col(a_start)) & (F.col(a_end) <= t["y"]))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn(into, F.coalesce(F.array_distinct(F.transform(fits, lambda t: t["v"])), none))
+    if lists.where("_slab > 0").isEmpty():
+        return rows.select(*a.columns, into)
+    several = lists.where("_slab = 1").select(*on, F.lit(True).alias("_several"))
+    rows = rows.join(several, on, "left")
+    parts = rows.where("_several").where(F.size(into) > 0).groupBy(a_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(into)))).alias(into))
+    crowded = a.withColumn("_bin", F.floor(F.col(a_start) / width)).join(several, on, "left_semi").join(parts, a_id, "left").withColumn(into, F.coalesce(into, none))
+    return rows.where("_several is null").select(*a.columns, into).unionByName(crowded.select(*a.columns, into))
+
+
 def linkage_clusters(df: DataFrame, keys: Sequence[str], position: str, gap: int, into: str, bin_width: int = BIN) -> DataFrame:
     """df with `into`: the smallest position of its single-linkage cluster, where neighbours are at most gap apart."""
     rows = df.withColumn("_bin", F.floor(F.col(position) / bin_width))
