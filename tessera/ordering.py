@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 HOT_SHARE = 1000
-KEYS_TO_BROADCAST = 100_000  # of a few numbers or a digest each
+KEYS_TO_BROADCAST = 100_000
+BYTES_TO_BROADCAST = 32 << 20  # as JSON
 
 
 def ranged(df: DataFrame, *order: Column) -> DataFrame:
@@ -51,12 +52,13 @@ def running(t: DataFrame, value: Column, into: str) -> DataFrame:
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], total: int, held: str = "_n") -> DataFrame:
     """Inner join of rows with table, whose keys are unique and whose column `held` says how many rows have each.
 
-    A table of few keys is broadcast. Of others, keys with more than a thousandth of all rows, of which there
+    A table of few keys, and of few bytes in all, is broadcast. Of others, keys with more than a thousandth of all rows, of which there
     can't be a thousand, are broadcast; the rest are too small to be hot in a shuffle. Both should be stored:
     they are read twice.
     """
     keys = list(keys)
-    if table.limit(KEYS_TO_BROADCAST + 1).count() <= KEYS_TO_BROADCAST:
+    size = table.limit(KEYS_TO_BROADCAST + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if size[0] <= KEYS_TO_BROADCAST and size[1] <= BYTES_TO_BROADCAST:
         return rows.join(F.broadcast(table.drop(held)), keys)
     hot = table.where(F.col(held) > total / HOT_SHARE).drop(held)
     cold = table.where(F.col(held) <= total / HOT_SHARE).drop(held)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera import ordering
 from tessera.storage import stored
 
 
@@ -15,3 +16,13 @@ def test_compressed_tables_are_not_broadcast_by_file_size(spark):
     assert joined.count() == 100
     joined.collect()
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()  # measured: small
+
+
+def test_few_keys_with_long_lists_are_not_broadcast(spark, monkeypatch):
+    """Isoform lists of a chain grow with the annotation: a table of few keys may be too much for the driver."""
+    monkeypatch.setattr(ordering, "BYTES_TO_BROADCAST", 10_000)
+    monkeypatch.setattr(ordering, "HOT_SHARE", 10)
+    rows = stored(spark.range(1000).select((F.col("id") % 50).alias("k"), "id"))
+    lists = stored(rows.groupBy("k").agg(F.count("*").alias("_n")).withColumn("names", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: i.cast("string"))))
+    out = ordering.attach(rows, lists, ["k"], 1000)
+    assert out.count() == 1000 and "Union" in out._jdf.queryExecution().optimizedPlan().toString()  # hot and cold keys apart
