@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, broadcast_if, checkpoint, chunks, columns_first, held_out, may_learn
+from .common import bounded_batches, chunks, columns_first, held_out, may_learn
 
 DIM = 1024
 SYMBOLS = 256
 SEED = 4
 CHUNK = 1 << 18
-LANGUAGES_TO_BROADCAST = 100_000
+LEVEL_STEPS = 1 << 12
 UNKNOWN = "und"
 #: Letters with a symbol of their own beside a-z; others share the rest by code point.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœąćęłńśźżčďěňřšťůž"
@@ -143,26 +143,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def labelled(docs: DataFrame, per_language: int) -> DataFrame | None:
-    """text and lang of the rows to learn from: about per_language of each language. None where no row has a label."""
-    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    if counts.isEmpty():
-        return None
-    rate = broadcast_if(counts.select("lang", (F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * (1 << 20)).alias("rate")), LANGUAGES_TO_BROADCAST)
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate")
-    return rows.join(rate, "lang").where(drawn).select("text", "lang")
+def labelled(docs: DataFrame) -> DataFrame | None:
+    """text and lang of all rows to learn from. None where no row has a label."""
+    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    return None if rows.isEmpty() else rows
 
 
-def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """Prototype of each language: the sum of its documents' unit bundles, rounded to 1/4096.
 
     docs: doc_id, text, lang. Rows whose fold is held out, and null ids, texts or languages take no
-    part; texts without a letter add nothing. About per_language documents of each language are taken,
-    by a hash of id and text; of languages with fewer, all are. Exactly repeated rows are taken
-    together or not at all. An empty table teaches nothing. The driver holds a prototype for each value of lang.
+    part; texts without a letter add nothing. All other rows are taken, repeated ones each time. An empty
+    table teaches nothing. The driver holds a prototype for each value of lang.
     """
-    rows = labelled(docs, per_language)
+    rows = labelled(docs)
     if rows is None:
         return {}
 
@@ -187,16 +181,17 @@ def learn(docs: DataFrame, per_language: int = 6000) -> dict[str, np.ndarray]:
     return out
 
 
-def least_levels(docs: DataFrame, prototypes: dict[str, np.ndarray], per_language: int = 6000, quantile: float = 0.001) -> dict[str, float]:
+def least_levels(docs: DataFrame, prototypes: dict[str, np.ndarray], quantile: float = 0.001) -> dict[str, float]:
     """The level below which a text is not of a language, fitted on the documents that learn() takes.
 
     A text's level is its bundle's projection on the unit prototype for each letter: the same for
     short and long texts of a language, and about 0 for random letters. A document's own part of the
     prototype is left out. The least level is a low quantile of the language's documents, but at
     least a quarter of their median (else labelled junk would let junk through) and at most half of
-    it. A language of one document has no level to go by: 0.
+    it. A language of one document has no level to go by: 0. Levels are counted in steps of 1/LEVEL_STEPS, so
+    that what a language's quantiles are taken from doesn't grow with its documents.
     """
-    rows = labelled(docs, per_language) if prototypes else None
+    rows = labelled(docs) if prototypes else None
     if rows is None:
         return {}
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
@@ -211,9 +206,12 @@ def least_levels(docs: DataFrame, prototypes: dict[str, np.ndarray], per_languag
                 others = prototypes[k] - np.rint(unit(own) * 4096)
                 level = (own * unit(others)).sum(axis=1) / letters[at]
                 level = level[others.any(axis=1)]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(level), pa.string()), pa.array(level, pa.float64())], ["lang", "level"])
+                step, n = np.unique(np.rint(level * LEVEL_STEPS).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(step), pa.string()), pa.array(step), pa.array(n.astype(np.int64))], ["lang", "step", "n"])
 
-    got = rows.mapInArrow(run, "lang string, level double").groupBy("lang").agg(F.percentile("level", F.array(F.lit(quantile), F.lit(0.5))).alias("q"))
+    steps = rows.mapInArrow(run, "lang string, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    level = F.col("step") / F.lit(float(LEVEL_STEPS))
+    got = steps.groupBy("lang").agg(F.percentile(level, F.array(F.lit(quantile), F.lit(0.5)), F.col("n")).alias("q"))
     fitted = {r["lang"]: float(np.clip(r["q"][0], r["q"][1] / 4, r["q"][1] / 2)) if r["q"][1] > 0 else 0.0 for r in got.collect()}
     return {k: fitted.get(k, 0.0) for k in prototypes}
 
