@@ -39,7 +39,7 @@ def classify(chains: DataFrame, isoforms: DataFrame) -> tuple[DataFrame, DataFra
     """
     known = chains.where("all_annotated and not exists(codes, c -> c is null)")
     shapes = stored(isoforms.groupBy("chr", "i_codes").agg(F.min("transcript_id").alias("shape")))  # isoforms of equal chains meet reads once
-    pairs = fits(known.select("chr", "group_id", F.col("cid").alias("short_id"), F.col("codes").alias("short")), shapes.select("chr", F.col("shape").alias("long_id"), F.col("i_codes").alias("long")), ["chr"])
+    pairs = fits(known.select("chr", "group_id", F.col("cid").alias("short_id"), F.col("codes").alias("short")), shapes.select("chr", F.col("shape").alias("long_id"), F.col("i_codes").alias("long")), ["chr"], loose=False)
     pairs = pairs.select(*GROUP, F.col("short_id").alias("cid"), F.col("long_id").alias("shape"), "offset", F.size("short").alias("size"))
     each = isoforms.join(shapes, ["chr", "i_codes"]).select("chr", "shape", "transcript_id", "i_codes", "i_start", "i_end")
     pairs = pairs.join(each, ["chr", "shape"])
@@ -80,7 +80,7 @@ def discover(chains: DataFrame, matches: DataFrame, cfg: QuantConfig) -> Novel:
     valid = open_.where("valid")
     shorts = open_.where(F.col("valid") | (F.col("category") == ISM)).select(*GROUP, F.col("cid").alias("short_id"), F.col("codes").alias("short"), F.col("category").alias("kind"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     longs = valid.select(*GROUP, F.col("cid").alias("long_id"), F.col("codes").alias("long"), F.col("category").alias("l_kind"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    pairs = fits(shorts, longs, GROUP).where(F.size("short") < F.size("long"))
+    pairs = fits(shorts, longs, GROUP, loose=False).where(F.size("short") < F.size("long"))
     free = free_ends(F.col("long"), F.col("offset"), F.size("short"), F.col("l_start"), F.col("l_end"))
     pairs = pairs.withColumn("free", free).where(_ends(F.col("free"), "s_start", "s_end", cfg))
     within = stored(pairs.select(F.col("short_id").alias("cid"), F.col("long_id").alias("long"), "kind", "l_kind", "free"))
