@@ -14,7 +14,12 @@ def sj_id(chrom: Column, start: Column, end: Column, strand: Column | None = Non
 
 def split_sj(sj: Column) -> Column:
     """struct<chr, start, end, strand>; strand null where the id has none."""
-    part = lambda i: F.try_element_at(F.split(sj, ":"), F.lit(i))
+    return sj_parts(F.split(sj, ":"))
+
+
+def sj_parts(parts: Column) -> Column:
+    """split_sj of an id that is split already."""
+    part = lambda i: F.try_element_at(parts, F.lit(i))
     return F.struct(part(1).alias("chr"), part(2).try_cast("int").alias("start"), part(3).try_cast("int").alias("end"), part(4).alias("strand"))
 
 

@@ -6,7 +6,7 @@ so that orders share chains, contain each other's, and end near each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import table
@@ -27,16 +27,17 @@ JUNCTIONS = "array<struct<start:int,end:int,strand:string>>"
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, chr, group_id, strand digit, sample, start (1-based), end, sjs) of every order."""
     k = F.col("l_orderkey")
-    item = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(item.alias("x"))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # one shuffle and sort, and no lists kept by key
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(own).alias("i"))
     digit = (k % 5 % 2).cast("string")
-    def place(v: Column, i: Column) -> Column:
-        base = 1000 * (i + 1 + k % 3)
-        return F.struct((base + 10 * (v["l_suppkey"] % 2)).cast("int").alias("start"), (base + 500 + 10 * (v["l_partkey"] % 2)).cast("int").alias("end"), digit.alias("strand"))
+    base = 1000 * (F.col("i") + k % 3)
+    place = F.struct((base + 10 * (F.col("l_suppkey") % 2)).cast("int").alias("start"), (base + 500 + 10 * (F.col("l_partkey") % 2)).cast("int").alias("end"), digit.alias("strand"))
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("l_orderkey", "i", F.collect_list(place).over(every).cast(JUNCTIONS).alias("sjs")).where("i = 1")
 
     chrom, sample = F.concat(F.lit("c"), (k % 5).cast("string")), F.concat(F.lit("s"), (k % 2).cast("string"))
-    start, end = 1000 * (k % 3) + 495 + 2 * (k % 13), 1000 * (F.size("x") + k % 3 + 1) - 5 + k % 13
-    return rows.select(k.alias("k"), chrom.alias("chr"), (k % 5).cast("long").alias("group_id"), digit.alias("strand"), sample.alias("sample"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.transform("x", place).cast(JUNCTIONS).alias("sjs"))
+    start, end = 1000 * (k % 3) + 495 + 2 * (k % 13), 1000 * (F.size("sjs") + k % 3 + 1) - 5 + k % 13
+    return rows.select(k.alias("k"), chrom.alias("chr"), (k % 5).cast("long").alias("group_id"), digit.alias("strand"), sample.alias("sample"), start.cast("int").alias("start"), end.cast("int").alias("end"), "sjs")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,18 +59,18 @@ def compatible(rows: DataFrame) -> DataFrame:
 
 def corrected_features(rows: DataFrame) -> DataFrame:
     """The long feature table of corrected reads: scalars, a line for each junction (added ones numbered 0 and -1), start and end."""
-    scalar = lambda name, *c: F.struct(F.lit(name).alias("f"), F.array(*[x.cast("string") for x in c]).alias("v"))
+    line = lambda name, *c: F.concat_ws("\t", "read_id", F.lit(name), F.concat_ws("\t", *[x.cast("string") for x in c]))
     na = lambda c: F.coalesce(c.cast("string"), F.lit("NA"))
     def junction(j: Column, i: Column) -> Column:
         added = j["status"] == "added"
         index = F.when(added & (i == 0), F.lit("0")).when(added, F.lit("-1")).otherwise((i + 1).cast("string"))
         orig = F.when(j["orig_start"].isNotNull(), sj_id(F.col("chr"), j["orig_start"], j["orig_end"])).otherwise("NA")
         corr = F.when(j["start"].isNotNull(), sj_id(F.col("chr"), j["start"], j["end"], j["strand"])).otherwise("NA")
-        return F.struct(F.lit("SJ").alias("f"), F.array(index, orig, F.lit("NA"), F.lit("NA"), j["status"], corr, na(j["pos"]), F.lit("NA"), na(j["score"]), F.lit("NA"), F.lit("NA")).alias("v"))
+        return line("SJ", index, orig, F.lit("NA"), F.lit("NA"), j["status"], corr, na(j["pos"]), F.lit("NA"), na(j["score"]), F.lit("NA"), F.lit("NA"))
 
-    end = lambda name: scalar(name, F.lit("NA"), F.col(name), F.lit("NA"), F.lit("NA"), F.lit("pass"), F.col(name), F.lit("NA"), F.lit("NA"), F.lit("NA"), F.lit("NA"), F.lit("NA"))
-    every = F.concat(F.array(scalar("group_ID", F.col("group_id"), F.col("group_id"), F.col("sample")), scalar("strand_isoform", F.col("strand")), scalar("chr", F.col("chr")), scalar("flag", F.col("flag"))), F.transform("sjs", junction), F.array(end("start"), end("end")))
-    return rows.select("read_id", F.posexplode(every).alias("k", "x")).select(F.concat_ws("\t", "read_id", "x.f", F.array_join("x.v", "\t")).alias("value"))
+    end = lambda name: line(name, F.lit("NA"), F.col(name), F.lit("NA"), F.lit("NA"), F.lit("pass"), F.col(name), F.lit("NA"), F.lit("NA"), F.lit("NA"), F.lit("NA"), F.lit("NA"))
+    head = F.array(line("group_ID", F.col("group_id"), F.col("group_id"), F.col("sample")), line("strand_isoform", F.col("strand")), line("chr", F.col("chr")), line("flag", F.col("flag")))
+    return rows.select(F.explode(F.concat(head, F.transform("sjs", junction), F.array(end("start"), end("end")))).alias("value"))
 
 
 def junction_fasta(flanks: DataFrame) -> DataFrame:

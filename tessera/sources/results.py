@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import na, split_sj
+from ..functions.names import na, sj_parts
 
 IDS = ("transcript_ID", "transcript_name", "gene_ID")
+FIELDS = 13  # of a line of corrected reads, at most
 
 
 def read_abundance(spark: SparkSession, path: str) -> DataFrame:
@@ -34,19 +35,31 @@ def read_compatible(spark: SparkSession, path: str, novel_prefix: str = "TSR:")
 
 
 def read_corrected(spark: SparkSession, path: str) -> DataFrame:
-    """One row per read of the long feature table: scalars and its junctions in order (0 first, -1 last)."""
-    names = ["read_id", "feature", *[f"c{i}" for i in range(2, 13)]]
-    rows = spark.read.csv(path, sep="\t", schema=", ".join(f"{n} string" for n in names))
-    rows = rows.dropDuplicates()
-    at = F.col("c2").try_cast("int")
-    sj = F.struct(F.when(at == -1, F.lit(2**30)).otherwise(at).alias("ord"), split_sj(F.col("c3")).alias("orig"), F.col("c6").alias("status"), F.when(F.col("c7") != "NA", split_sj(F.col("c7"))).alias("corr"), F.col("c10").try_cast("double").alias("score"))
-    one = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c))).alias(f if c == "c2" else f"{f}_{c}")
-    g = rows.groupBy("read_id").agg(
-        one("group_ID", "c2"), one("group_ID", "c4"), one("strand_isoform", "c2"), one("strand_read", "c2"), one("chr", "c2"), one("mapq", "c2"), one("flag", "c2"), one("mapped_length_read", "c2"),
-        *[F.max(F.when(F.col("feature") == f, F.struct(F.col("c3").try_cast("int").alias("orig"), F.col("c6").alias("status"), F.col("c7").try_cast("int").alias("corr")))).alias(f) for f in ("start", "end")],
-        F.array_sort(F.collect_list(F.when(F.col("feature") == "SJ", sj))).alias("sjs"),
-    )
-    return g.select("read_id", F.col("group_ID").cast("int").alias("group_id"), F.col("group_ID_c4").alias("sample"), "strand_isoform", "strand_read", "chr", F.col("mapq").cast("int").alias("mapq"), F.col("flag").cast("int").alias("flag"), F.col("mapped_length_read").cast("int").alias("mapped_length"), "start", "end", "sjs")
+    """One row per read of the long feature table: scalars and its junctions in order (0 first, -1 last).
+
+    Lines are gathered by read as they are, each text once, and taken apart then. Fields have no quotes.
+    """
+    text = spark.read.text(path).where(F.trim("value") != "")
+    value = F.rtrim(F.substring_index("value", "\t", FIELDS), F.lit("\t"))  # the same for lines of the same fields
+    lines = text.groupBy(F.nullif(F.substring_index("value", "\t", 1), F.lit("")).alias("read_id")).agg(F.collect_set(value).alias("x"))
+    lines = lines.select("read_id", F.transform("x", lambda v: F.split(v, "\t")).alias("x"))
+    field = lambda p, i: F.nullif(F.get(p, F.lit(i)), F.lit(""))
+    is_sj = lambda p: F.coalesce(F.get(p, F.lit(1)) == "SJ", F.lit(False))
+    lines = lines.select("read_id", F.filter("x", lambda p: ~is_sj(p)).alias("x"), F.filter("x", is_sj).alias("j"))
+    of = lambda f, into: F.array_max(F.transform(F.filter("x", lambda p: F.get(p, F.lit(1)) == f), into))
+    one = lambda f, i=2: of(f, lambda p: field(p, i))
+    end = lambda f: of(f, lambda p: F.struct(F.get(p, F.lit(3)).try_cast("int").alias("orig"), field(p, 6).alias("status"), F.get(p, F.lit(7)).try_cast("int").alias("corr")))
+
+    def parts(p: Column) -> Column:
+        get = lambda i: F.get(p, F.lit(i))
+        at, corr = get(2).try_cast("int"), get(7)
+        return F.struct(F.when(at == -1, F.lit(2**30)).otherwise(at).alias("ord"), F.split(field(p, 3), ":").alias("orig"), field(p, 6).alias("status"), F.when((corr != "NA") & (corr != ""), F.split(corr, ":")).alias("corr"), get(10).try_cast("double").alias("score"))
+
+    def junction(x: Column) -> Column:
+        return F.struct(x["ord"].alias("ord"), sj_parts(x["orig"]).alias("orig"), x["status"].alias("status"), F.when(x["corr"].isNotNull(), sj_parts(x["corr"])).alias("corr"), x["score"].alias("score"))
+
+    sjs = F.array_sort(F.transform(F.transform("j", parts), junction))
+    return lines.select("read_id", one("group_ID").cast("int").alias("group_id"), one("group_ID", 4).alias("sample"), one("strand_isoform").alias("strand_isoform"), one("strand_read").alias("strand_read"), one("chr").alias("chr"), one("mapq").cast("int").alias("mapq"), one("flag").cast("int").alias("flag"), one("mapped_length_read").cast("int").alias("mapped_length"), end("start").alias("start"), end("end").alias("end"), sjs.alias("sjs"))
 
 
 def read_comparison_log(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> DataFrame:
