@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
@@ -17,6 +17,7 @@ from ..sources.genome import tiles, windows
 from ..storage import stored
 
 GENOME_ROWS_TO_BROADCAST = 100_000
+ROWS_OF_A_TASK = 1_000_000
 REASONS = ("unmapped", "mitochondrial", "secondary", "mapping_quality", "max_insertion", "exceeding_chromosome")
 
 
@@ -46,32 +47,37 @@ def parse(alignments: DataFrame, genome: DataFrame, cfg: ScanConfig) -> DataFram
     return rows.withColumn("end", (F.col("start") - 1 + F.col("s.mapped_n")).cast("int"))
 
 
+def dealt(alignments: DataFrame, rows: int) -> DataFrame:
+    """Those many alignments in tasks of a bounded size, a file's block in one: what a task sorts doesn't grow with the input."""
+    n = max(alignments.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_A_TASK))
+    return alignments.repartition(n, "file_id", "line.block")
+
+
 def unsorted_files(alignments: DataFrame) -> DataFrame:
     """file_id of each file with a start below that of the row before it, or a chromosome met again after another one.
 
-    Rows are compared inside blocks. What meets across blocks are the ends of each block's chromosomes,
-    at most a row for each (block, chromosome).
+    Rows are compared inside blocks, in order, and nothing is kept of them but both ends of each run of a chromosome. These are
+    compared alike in each file. Rows of a file with the same number have to be the same.
     """
-    w = Window.partitionBy("file_id", "block").orderBy("row")
-    rows = alignments.select("file_id", "line.block", "line.row", "chr", "start")
-    before, last = F.lag("chr").over(w), F.lag("start").over(w)
-    fresh = F.coalesce(before != F.col("chr"), F.lit(True))
-    rows = rows.select("*", F.coalesce((before == F.col("chr")) & (last > F.col("start")), F.lit(False)).alias("_bad"), fresh.alias("_fresh"))
-    ends = rows.groupBy("file_id", "block", "chr").agg(
-        F.min("row").alias("_at"), F.min_by("start", "row").alias("_first"), F.max_by("start", "row").alias("_last"),
-        (F.bool_or("_bad") | (F.sum(F.col("_fresh").cast("int")) > 1)).alias("_bad"),
-    )
-    f = Window.partitionBy("file_id").orderBy("block", "_at")
-    before, last = F.lag("chr").over(f), F.lag("_last").over(f)
-    down = F.coalesce((before == F.col("chr")) & (last > F.col("_first")), F.lit(False))
-    runs = ends.select("file_id", "chr", (F.col("_bad") | down).alias("_bad"), F.coalesce(before != F.col("chr"), F.lit(True)).alias("_fresh"))
-    each = runs.groupBy("file_id", "chr").agg((F.bool_or("_bad") | (F.sum(F.col("_fresh").cast("int")) > 1)).alias("_bad"))
-    return each.where("_bad").select("file_id").distinct()
+    rows = alignments.select("file_id", F.col("line.block").alias("block"), F.col("line.row").alias("row"), "chr", "start")
+    ends = _compared(rows.withColumn("_bad", F.lit(False)), Window.partitionBy("file_id", "block").orderBy("row"))
+    runs = _compared(ends.where("_bad or _fresh or _ends").select(*rows.columns, "_bad"), Window.partitionBy("file_id").orderBy("block", "row"))
+    runs = runs.where("_bad or _fresh").select("file_id", "chr", "_bad", F.col("_fresh").cast("int").alias("_runs"))
+    again = F.sum("_runs").over(Window.partitionBy("file_id", "chr")) > 1
+    return runs.select("file_id", (F.col("_bad") | again).alias("_bad")).where("_bad").select("file_id").distinct()
+
+
+def _compared(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    """rows with _bad where their start is below the one before on the chromosome, too; _fresh, _ends: the first and last of a run of a chromosome."""
+    before, last, after = F.lag("chr").over(w), F.lag("start").over(w), F.lead("chr").over(w)
+    other = lambda c: F.coalesce(c != F.col("chr"), F.lit(True))
+    down = F.coalesce((before == F.col("chr")) & (last > F.col("start")), F.lit(False))
+    return rows.withColumns({"_bad": F.col("_bad") | down, "_fresh": other(before), "_ends": other(after)})
 
 
 def check_sorted(alignments: DataFrame) -> DataFrame:
     """The alignments; an error at once if a file is not sorted (see unsorted_files), inside a block or across blocks."""
-    bad = unsorted_files(alignments).agg(F.min("file_id")).first()[0]
+    bad = unsorted_files(dealt(alignments, alignments.count())).agg(F.min("file_id")).first()[0]
     if bad is not None:
         raise ValueError(f"file {bad} is not sorted")
     return alignments

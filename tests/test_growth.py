@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tessera.queries import derived
+import random
+import re
+
+from tessera.plans import scan
+from tessera.queries import catalog, derived
 from tessera.sources import results as rs
 
 
@@ -30,3 +34,55 @@ def test_orders_keep_no_lists_by_key(spark, tmp_path):
     assert "ObjectHashAggregate" not in plan(o)[0] and plan(o)[1].count("Exchange hashpartitioning") == 1
     got = {r.k: [(j.start, j.end, j.strand) for j in r.sjs] for r in o.collect()}
     assert got == {7: [(2000, 2500, "0"), (3000, 3500, "0"), (4010, 4510, "0")], 8: [(3010, 3510, "1")]}
+
+
+def _unsorted(rows):
+    """Files, row by row."""
+    bad, last = set(), {}
+    for f, _, c, s in sorted(rows):
+        seen = last.setdefault(f, [set(), None, None])
+        if c == seen[1]:
+            if s < seen[2]:
+                bad.add(f)
+        elif c in seen[0]:
+            bad.add(f)
+        seen[0].add(c)
+        seen[1:] = [c, s]
+    return bad
+
+
+def test_sort_check_keeps_no_table_of_rows(spark):
+    """Hash tables of all rows of a task grew with the input; the check sorts tasks of a bounded size, and keeps ends of runs."""
+    rnd = random.Random(12)
+    rows = []
+    for f in range(400):
+        n, at = rnd.randrange(1, 30), 0
+        chroms = sorted(rnd.randrange(4) for _ in range(n))
+        if rnd.random() < 0.3:
+            rnd.shuffle(chroms)
+        for r in range(n):
+            at = 0 if r and chroms[r] != chroms[r - 1] else at
+            at += rnd.randrange(3) - (rnd.random() < 0.02) * 3
+            rows.append((f, (r // rnd.choice((3, 7)) if f % 2 else r // 5, r), f"c{chroms[r]}", at))
+    rows = [x for f in range(400) for x in _blocks_in_order([x for x in rows if x[0] == f])]
+    df = spark.createDataFrame(rows + rows[::7], "file_id int, line struct<block:long,row:long>, chr string, start int")  # some rows twice
+    want = _unsorted([(f, row, c, s) for f, (_, row), c, s in rows])
+    assert 40 < len(want) < 360
+    out = scan.unsorted_files(scan.dealt(df, len(rows)))
+    assert {r.file_id for r in out.collect()} == want
+    assert all(len(x) < 60 for x in re.findall(r"HashAggregate\(keys=\[(.*?)\]", plan(out)[0])) and "min_by" not in plan(out)[0]
+    assert scan.dealt(df, 20 * scan.ROWS_OF_A_TASK).rdd.getNumPartitions() == 20
+
+
+def _blocks_in_order(rows):
+    block, out = 0, []
+    for f, (b, r), c, s in rows:
+        block = max(block, b)
+        out.append((f, (block, r), c, s))
+    return out
+
+
+def test_sortedness_query_moves_lines_once(spark):
+    out = catalog()["sortedness_check"][0](spark, "/root/testdata/sf0.001")
+    text = plan(out)[0]
+    assert "max(l_quantity" in text and not any("l_quantity" in x for x in text.splitlines() if "HashAggregate" in x)
