@@ -49,10 +49,12 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.agg(count(F.col("_b").isNull(), "only_a"), count(F.col("_a").isNull(), "only_b"), count(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both"))
 
 
-def proportional_split(df: DataFrame, keys: Sequence[str], weight: str, total: str, into: str) -> DataFrame:
-    """df with total shared out inside keys by weight (equally where all weights are 0), to 2 places as C prints them."""
+def proportional_split(df: DataFrame, keys: Sequence[str], weight: str, total: str, into: str, copies: str | None = None) -> DataFrame:
+    """df with total shared out inside keys by weight (equally where all weights are 0), to 2 places as C prints them; copies: how often a row stands (1), each with that share."""
     w = Window.partitionBy(*keys)
-    share = F.when(F.sum(weight).over(w) == 0, 1 / F.count("*").over(w)).otherwise(F.try_divide(F.col(weight), F.sum(weight).over(w)))
+    times = F.lit(1) if copies is None else F.col(copies)
+    whole = F.sum(F.col(weight) * times).over(w)
+    share = F.when(whole == 0, 1 / F.sum(times).over(w)).otherwise(F.try_divide(F.col(weight), whole))
     return df.withColumn(into, c_round(share * F.col(total)))
 
 
@@ -94,6 +96,7 @@ def em_rounds(direct: np.ndarray, evidence: np.ndarray, target: np.ndarray, n: n
         now, rows = rounds[-1], np.flatnonzero(live[unit[target]])
         e, t, alone = evidence[rows], target[rows], np.ones(len(rows)) if per_read else n[rows]
         total = np.bincount(e, weights=now[t], minlength=len(size))[e]
+        total = total if per_read else np.round(total, 2)  # a sum of such values, whatever the order of rows
         part, some = alone / size[e], total > 0  # equal where all are 0
         part[some] = alone[some] * (now[t][some] / total[some])
         part = n[rows] * _c2(part) if per_read else _c2(part)
@@ -162,7 +165,8 @@ def _em_joins(start: DataFrame, rows: DataFrame, group: str, target: str, max_it
         known = stored(held.join(now.select(group, target, "em"), [group, target]))
         live = rows if r == 1 else rows.join(F.broadcast(now.select(group).distinct()), group)
         each = attach(live, known, [group, target], total)
-        sums = each.groupBy(group, "evidence").agg(F.sum("em").alias("_sum"))
+        total_of = F.sum("em") if per_read else F.round(F.sum("em"), 2)
+        sums = each.groupBy(group, "evidence").agg(total_of.alias("_sum"))
         alone = F.lit(1.0) if per_read else F.col("n")
         part = c_round(F.when(F.col("_sum") > 0, alone * F.try_divide("em", "_sum")).otherwise(alone / F.col("_of")))
         part = F.col("n") * part if per_read else part

@@ -6,6 +6,7 @@ other (operators.chains.fits), so no task ever holds a read group.
 
 chains: cid, chr, group_id, codes, strand, all_annotated, all_sites, n (reads), valid, start, end (medians).
 classes: cid, sample, start, end, n. isoforms: chr, transcript_id, transcript_name, gene_id, i_start, i_end, i_codes.
+Isoforms of equal chains and ends meet reads alike: they are one variant (variants_of), and become single ones again in what is given out.
 """
 
 from __future__ import annotations
@@ -24,27 +25,33 @@ from .chains import ends_ok, fits, free_ends
 
 FSM, ISM, NIC, NNC, NCD = "FSM", "ISM", "NIC", "NNC", "NCD"
 GROUP = ["chr", "group_id"]
+ALIKE = ["chr", "i_codes", "i_start", "i_end"]
 
 
 def _ends(free: Column, start: str, end: str, cfg: QuantConfig) -> Column:
     return ends_ok(free, F.col(start), F.col(end), cfg.sj_dist, cfg.internal_boundary_limit, cfg.allow_longer_terminal_exons)
 
 
-def classify(chains: DataFrame, isoforms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chains with category, matches: cid, chr, group_id, transcript_id, same, free).
+def variants_of(isoforms: DataFrame) -> DataFrame:
+    """(chr, i_codes, i_start, i_end, copies, variant: a number): isoforms of equal chains and ends, and how many they are."""
+    return stored(isoforms.groupBy(*ALIKE).agg(F.count("*").alias("copies")).withColumn("variant", F.monotonically_increasing_id()))
+
+
+def classify(chains: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains with category, matches: cid, chr, group_id, variant, copies, same, free).
 
     NCD: a junction failed. NNC, NIC: some junction isn't annotated; in NIC all its sites are. FSM: equal to isoforms;
     ISM: a part of longer ones; annotated junctions that no isoform has in that order are NIC. matches
-    has the isoforms that an FSM chain equals, or that an ISM chain is part of.
+    has the variants of isoforms that an FSM chain equals, or that an ISM chain is part of.
     """
     known = chains.where("all_annotated and not exists(codes, c -> c is null)")
-    shapes = stored(isoforms.groupBy("chr", "i_codes").agg(F.min("transcript_id").alias("shape")))  # isoforms of equal chains meet reads once
+    shapes = stored(variants.groupBy("chr", "i_codes").agg(F.min("variant").alias("shape")))  # isoforms of equal chains meet reads once
     pairs = fits(known.select("chr", "group_id", F.col("cid").alias("short_id"), F.col("codes").alias("short")), shapes.select("chr", F.col("shape").alias("long_id"), F.col("i_codes").alias("long")), ["chr"], loose=False)
     pairs = pairs.select(*GROUP, F.col("short_id").alias("cid"), F.col("long_id").alias("shape"), "offset", F.size("short").alias("size"))
-    each = isoforms.join(shapes, ["chr", "i_codes"]).select("chr", "shape", "transcript_id", "i_codes", "i_start", "i_end")
+    each = variants.join(shapes, ["chr", "i_codes"]).select("chr", "shape", "variant", "copies", "i_codes", "i_start", "i_end")
     pairs = pairs.join(each, ["chr", "shape"])
     free = free_ends(F.col("i_codes"), F.col("offset"), F.col("size"), F.col("i_start"), F.col("i_end"))
-    matches = stored(pairs.select("cid", *GROUP, "transcript_id", (F.col("size") == F.size("i_codes")).alias("same"), free.alias("free")))
+    matches = stored(pairs.select("cid", *GROUP, "variant", "copies", (F.col("size") == F.size("i_codes")).alias("same"), free.alias("free")))
     kinds = matches.groupBy("cid").agg(F.bool_or("same").alias("whole"))
     category = (
         F.when(F.exists("codes", lambda c: c.isNull()), NCD)
@@ -59,7 +66,7 @@ def classify(chains: DataFrame, isoforms: DataFrame) -> tuple[DataFrame, DataFra
 @dataclass
 class Novel:
     """What discover finds: longest (cid, number: a novel isoform's place in its group), inside (cid, long: valid longer
-    chains that hold a chain), within (cid, long, free: all such pairs of chains), listed (cid, transcript_id, target, free: isoforms
+    chains that hold a chain), within (cid, long, free: all such pairs of chains), listed (cid, variant, copies, target, free: isoforms
     of an ISM chain that agree with its ends, and the chain of reads that equals each)."""
 
     longest: DataFrame
@@ -86,9 +93,9 @@ def discover(chains: DataFrame, matches: DataFrame, cfg: QuantConfig) -> Novel:
     within = stored(pairs.select(F.col("short_id").alias("cid"), F.col("long_id").alias("long"), "kind", "l_kind", "free"))
 
     ism = matches.where("not same").join(of(ISM).select("cid", "start", "end"), "cid")
-    ism = stored(ism.where(F.lit(cfg.raw) | _ends(F.col("free"), "start", "end", cfg)).select("cid", *GROUP, "transcript_id", "free"))
-    read = matches.where("same").select(*GROUP, "transcript_id", F.col("cid").alias("target"))
-    listed = stored(ism.join(read, [*GROUP, "transcript_id"]).select("cid", "transcript_id", "target", "free"))
+    ism = stored(ism.where(F.lit(cfg.raw) | _ends(F.col("free"), "start", "end", cfg)).select("cid", *GROUP, "variant", "copies", "free"))
+    read = matches.where("same").select(*GROUP, "variant", F.col("cid").alias("target"))
+    listed = stored(ism.join(read, [*GROUP, "variant"]).select("cid", "variant", "copies", "target", "free"))
 
     kind = lambda a, b: (F.col("kind") == a) & (F.col("l_kind") == b)
     ids = lambda d: d.select("cid")
@@ -123,33 +130,38 @@ def novel_name(number: str = "number") -> Column:
 @dataclass
 class Assigned:
     """direct (cid, sample, n): reads counted for a chain at once; evidence (evidence, cid, sample, n): reads shared by several chains,
-    a row for each; named (cid, start, end, class, isoforms): what each read class is compatible with."""
+    a row for each. For named: held (cid, long, number, name: the novel chains of a NIC or NNC chain), loose (cid, long: what a chain with failed
+    junctions fits in), mine (the read classes of novel ISM chains), options (cid, target, free, variant, copies, number, name: what others may count for)."""
 
     direct: DataFrame
     evidence: DataFrame
-    named: DataFrame
+    held: DataFrame
+    loose: DataFrame
+    mine: DataFrame
+    options: DataFrame
+
+
+def _numbered(novel: Novel) -> DataFrame:
+    return novel.longest.select("cid", "number", novel_name().alias("name"))
+
+
+def _rows_of(classes: DataFrame) -> DataFrame:
+    return classes.groupBy("cid").agg(F.count("*").alias("_n"))
 
 
 def assign(chains: DataFrame, classes: DataFrame, matches: DataFrame, novel: Novel, cfg: QuantConfig) -> Assigned:
-    """Which chains the reads of each chain count for, and the isoforms that each read class is compatible with: annotated ones by id, then novel ones by number.
+    """Which chains the reads of each chain count for.
 
     A valid NIC or NNC chain counts for the novel chains that hold it. An ISM class counts for the listed isoforms and novel chains whose ends
     agree with its own ends. A chain with failed junctions counts for FSM and novel chains that it fits in, by its
     median ends. One possible chain gets the reads at once; several share them.
     """
-    total = classes.count()
-    kinds = chains.select("cid", *GROUP, "category", "start", "end")
-    names = novel.longest.select("cid", "number", novel_name().alias("name"))
+    names = _numbered(novel)
     initial = stored(classes.groupBy("cid", "sample").agg(F.sum("n").alias("n")))
-    item = lambda k, n: F.struct(k.alias("k"), n.alias("n"))
-    listing = F.transform(F.array_sort(F.collect_list("x")), lambda v: v["n"]).alias("isoforms")
-    numbered_name = item(F.lpad(F.col("number").cast("string"), 20, "0"), F.col("name"))
     target = names.select(F.col("cid").alias("long"), "number", "name")
 
     # NIC and NNC
-    held = novel.inside.join(target, "long").join(chains.where(F.col("category").isin(NIC, NNC)).select("cid"), "cid", "left_semi")
-    own = names.join(chains.where(F.col("category").isin(NIC, NNC)).select("cid"), "cid", "left_semi")
-    part_names = held.select("cid", numbered_name.alias("x")).unionByName(own.select("cid", numbered_name.alias("x"))).groupBy("cid").agg(listing)
+    held = stored(novel.inside.join(target, "long").join(chains.where(F.col("category").isin(NIC, NNC)).select("cid"), "cid", "left_semi"))
 
     # NCD
     pool = chains.where(F.col("category") == FSM).select("cid").unionByName(names.select("cid"))
@@ -158,8 +170,6 @@ def assign(chains: DataFrame, classes: DataFrame, matches: DataFrame, novel: Nov
     loose = fits(shorts, longs, GROUP)
     loose = loose.where(_ends(free_ends(F.col("long"), F.col("offset"), F.size("short"), F.col("l_start"), F.col("l_end")), "s_start", "s_end", cfg))
     loose = stored(loose.select(F.col("short_id").alias("cid"), F.col("long_id").alias("long")))
-    annotated = matches.where("same").select(F.col("cid").alias("long"), item(F.concat(F.lit(" "), "transcript_id"), F.col("transcript_id")).alias("x"))
-    failed_names = loose.join(annotated.unionByName(target.select("long", numbered_name.alias("x"))), "long").groupBy("cid").agg(listing)
 
     # ISM
     ism = chains.where(F.col("category") == ISM)
@@ -172,12 +182,12 @@ def assign(chains: DataFrame, classes: DataFrame, matches: DataFrame, novel: Nov
     holding = novel.within.where(F.col("kind") == ISM).join(others, "cid", "left_semi").join(target, "long")
     holding = holding.join(novel.inside, ["cid", "long"], "left_semi").unionByName(holding.join(closed, "cid", "left_anti"))
     plain = novel.listed.join(others, "cid", "left_semi").join(closed, "cid", "left_anti")
-    options = holding.select("cid", F.col("long").alias("target"), "free", numbered_name.alias("x")).unionByName(plain.select("cid", "target", "free", item(F.concat(F.lit(" "), "transcript_id"), F.col("transcript_id")).alias("x")))
+    options = holding.select("cid", F.col("long").alias("target"), "free", F.lit(1).cast("long").alias("copies"), "number", "name").unionByName(plain.select("cid", "target", "free", "variant", "copies"), allowMissingColumns=True)
     options = stored(options)
-    many = options.groupBy("cid").agg(F.count("*").alias("options"))
-    per = classes.groupBy("cid").agg(F.count("*").alias("_n"))
-    met = salted_join(classes, options, "cid", per, total).where(_ends(F.col("free"), "start", "end", cfg))
-    met = stored(met.groupBy("cid", "sample", "start", "end").agg(F.first("n").alias("n"), listing, F.array_sort(F.collect_set("target")).alias("targets")).join(many, "cid"))
+    many = options.groupBy("cid").agg(F.sum("copies").alias("options"))
+    ways = options.select("cid", "target", "free").distinct()  # classes needn't meet each isoform
+    met = salted_join(classes, ways, "cid", _rows_of(classes), classes.count()).where(_ends(F.col("free"), "start", "end", cfg))
+    met = stored(met.groupBy("cid", "sample", "start", "end").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("target")).alias("targets")).join(many, "cid"))
 
     # counts
     single = lambda pairs: pairs.groupBy("cid").agg(F.min("long").alias("only"), F.count("*").alias("many"))
@@ -193,18 +203,40 @@ def assign(chains: DataFrame, classes: DataFrame, matches: DataFrame, novel: Nov
     shared = shared.select(number(F.lit("chain"), F.col("cid").cast("string"), "sample").alias("evidence"), F.col("long").alias("cid"), "sample", "n")
     sets = met.where("options > 1").groupBy("cid", "sample", "targets").agg(F.sum("n").alias("n"))
     several = sets.select(number(F.lit("class"), F.col("cid").cast("string"), "sample", F.col("targets").cast("string")).alias("evidence"), F.explode("targets").alias("cid"), "sample", "n")
+    return Assigned(stored(direct), stored(shared.unionByName(several)), held, loose, mine, options)
+
+
+def named(chains: DataFrame, classes: DataFrame, isoforms: DataFrame, variants: DataFrame, matches: DataFrame, novel: Novel, assigned: Assigned, cfg: QuantConfig) -> DataFrame:
+    """(cid, sample, start, end, class, isoforms): what each read class is compatible with, annotated isoforms by id, then novel ones by number.
+
+    Counts don't need it, and the lists grow with read classes times isoforms.
+    """
+    names, per, total = _numbered(novel), _rows_of(classes), classes.count()
+    item = lambda k, n: F.struct(k.alias("k"), n.alias("n"))
+    listing = F.transform(F.array_sort(F.collect_list("x")), lambda v: v["n"]).alias("isoforms")
+    numbered_name = item(F.lpad(F.col("number").cast("string"), 20, "0"), F.col("name")).alias("x")
+    single = stored(isoforms.join(variants, ALIKE).select("variant", item(F.concat(F.lit(" "), "transcript_id"), F.col("transcript_id")).alias("x")))
+
+    own = names.join(chains.where(F.col("category").isin(NIC, NNC)).select("cid"), "cid", "left_semi")
+    part_names = assigned.held.select("cid", numbered_name).unionByName(own.select("cid", numbered_name)).groupBy("cid").agg(listing)
+    whole = stored(matches.where("same").select("cid", "variant").join(single, "variant").select("cid", "x"))
+    fitting = whole.unionByName(names.select("cid", numbered_name)).withColumnRenamed("cid", "long")
+    failed_names = assigned.loose.join(fitting, "long").groupBy("cid").agg(listing)
+    ism = chains.where(F.col("category") == ISM)
+    others = ism.join(names.select("cid"), "cid", "left_anti").select("cid")
+    options = assigned.options.where("variant is null").select("cid", "free", numbered_name).unionByName(assigned.options.join(single, "variant").select("cid", "free", "x"))
+    met = salted_join(classes, stored(options), "cid", per, total).where(_ends(F.col("free"), "start", "end", cfg))
+    met = met.groupBy("cid", "sample", "start", "end").agg(listing)
 
-    # names
     none = F.array().cast("array<string>")
     by_chain = chains.where(F.col("category") != ISM).select("cid", F.col("category").alias("class"))
-    same = matches.where("same").groupBy("cid").agg(F.array_sort(F.collect_list("transcript_id")).alias("isoforms"))
-    lists = stored(by_chain.join(same.unionByName(part_names).unionByName(failed_names), "cid", "left").join(per, "cid"))
+    lists = stored(by_chain.join(whole.groupBy("cid").agg(listing).unionByName(part_names).unionByName(failed_names), "cid", "left").join(per, "cid"))
     where = ["cid", "start", "end"]
-    named = attach(classes.select("sample", *where), lists, ["cid"], total).select("sample", *where, "class", F.coalesce("isoforms", none).alias("isoforms"))
+    out = attach(classes.select("sample", *where), lists, ["cid"], total).select("sample", *where, "class", F.coalesce("isoforms", none).alias("isoforms"))
     rest = classes.join(others, "cid", "left_semi").select("sample", *where).join(met.select("sample", *where, "isoforms"), ["sample", *where], "left")
-    named = named.unionByName(rest.select("sample", *where, F.lit(ISM).alias("class"), F.coalesce("isoforms", none).alias("isoforms")))
-    named = named.unionByName(mine.select("sample", *where, F.when(F.col("ok"), NIC).otherwise(ISM).alias("class"), F.when(F.col("ok"), F.array("name")).otherwise(none).alias("isoforms")))
-    return Assigned(stored(direct), stored(shared.unionByName(several)), stored(named))
+    out = out.unionByName(rest.select("sample", *where, F.lit(ISM).alias("class"), F.coalesce("isoforms", none).alias("isoforms")))
+    out = out.unionByName(assigned.mine.select("sample", *where, F.when(F.col("ok"), NIC).otherwise(ISM).alias("class"), F.when(F.col("ok"), F.array("name")).otherwise(none).alias("isoforms")))
+    return stored(out)
 
 
 def maximise(chains: DataFrame, assigned: Assigned, samples: list[str], cfg: QuantConfig, trace: bool = False) -> DataFrame:
@@ -221,7 +253,7 @@ def maximise(chains: DataFrame, assigned: Assigned, samples: list[str], cfg: Qua
     return out.join(chains.select("cid", *GROUP), "cid").select(*GROUP, "round", "cid", "sample", "em")
 
 
-def report(chains: DataFrame, classes: DataFrame, isoforms: DataFrame, matches: DataFrame, novel: Novel, em: DataFrame, samples: list[str], cfg: QuantConfig) -> tuple[DataFrame, DataFrame]:
+def report(chains: DataFrame, classes: DataFrame, isoforms: DataFrame, variants: DataFrame, matches: DataFrame, novel: Novel, em: DataFrame, samples: list[str], cfg: QuantConfig) -> tuple[DataFrame, DataFrame]:
     """(abundance: transcript_id, transcript_name, gene_id, sample, count; structures: transcript_id, gene_id, source, chr, start0, end, codes, strand).
 
     Reads of an FSM chain are split over its isoforms by how many end near each one's ends, equally where none do; an isoform
@@ -229,18 +261,16 @@ def report(chains: DataFrame, classes: DataFrame, isoforms: DataFrame, matches:
     share junctions with it, most junctions first.
     """
     each = F.explode(F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")).alias("sample")
-    whole = matches.where("same").select("cid", "chr", "transcript_id").join(isoforms.select("chr", "transcript_id", "transcript_name", "gene_id", "i_start", "i_end"), ["chr", "transcript_id"])
-    whole = stored(whole)
-    per = classes.groupBy("cid").agg(F.count("*").alias("_n"))
-    near = salted_join(classes, whole.select("cid", "transcript_id", "i_start", "i_end"), "cid", per, classes.count())
+    whole = stored(matches.where("same").select("cid", "variant").join(variants, "variant"))
+    near = salted_join(classes, whole.select("cid", "variant", "i_start", "i_end"), "cid", _rows_of(classes), classes.count())
     near = near.where((F.abs(F.col("i_start") - F.col("start")) <= cfg.sj_dist) & (F.abs(F.col("i_end") - F.col("end")) <= cfg.sj_dist))
-    near = near.groupBy("cid", "transcript_id", "sample").agg(F.sum("n").alias("near"))
-    grid = whole.select("cid", "transcript_id", "transcript_name", "gene_id", each).join(near, ["cid", "transcript_id", "sample"], "left").join(em, ["cid", "sample"], "left").na.fill(0, ["near", "em"])
-    split = ct.proportional_split(grid, ["cid", "sample"], "near", "em", "count")
+    near = near.groupBy("cid", "variant", "sample").agg(F.sum("n").alias("near"))
+    grid = whole.select("cid", "variant", "copies", each).join(near, ["cid", "variant", "sample"], "left").join(em, ["cid", "sample"], "left").na.fill(0, ["near", "em"])
+    split = ct.proportional_split(grid, ["cid", "sample"], "near", "em", "count", "copies")
     total = F.sum("near").over(Window.partitionBy("cid", "sample"))
     split = split.withColumn("seen", F.when(total > 0, F.col("near") > 0).otherwise(F.col("em") > 0))
-    split = split.withColumn("seen", F.max("seen").over(Window.partitionBy("cid", "transcript_id"))).where("seen")
-    split = stored(split.select("cid", "transcript_id", "transcript_name", "gene_id", "sample", "count"))
+    split = split.withColumn("seen", F.max("seen").over(Window.partitionBy("cid", "variant"))).where("seen")
+    split = stored(split.select("cid", "variant", "sample", "count").join(whole, ["cid", "variant"]).select("cid", *ALIKE, "sample", "count"))
     long_ = chains.join(novel.longest.select("cid", "number"), "cid")
     holds = isoforms.select("chr", F.explode("i_codes").alias("c"), "gene_id")
     votes = long_.select("cid", "chr", F.explode("codes").alias("c")).join(holds.groupBy("chr", "c", "gene_id").agg(F.count("*").alias("votes")), ["chr", "c"]).groupBy("cid", "gene_id").agg(F.sum("votes").alias("votes"))
@@ -248,9 +278,10 @@ def report(chains: DataFrame, classes: DataFrame, isoforms: DataFrame, matches:
     new = stored(long_.join(genes, "cid", "left").select("cid", novel_name().alias("transcript_id"), F.coalesce("gene_id", F.lit("NA")).alias("gene_id"), "chr", "start", "end", "codes", "strand"))
     new_counts = new.select("cid", "transcript_id", F.lit("NA").alias("transcript_name"), "gene_id", each).join(em, ["cid", "sample"], "left").withColumn("count", c_round(F.coalesce("em", F.lit(0.0))))
     columns = ["transcript_id", "transcript_name", "gene_id", "sample", "count"]
-    abundance = split.select(*columns).unionByName(new_counts.select(*columns))
+    single = lambda d: isoforms.join(d.hint("shuffle_hash"), ALIKE)
+    abundance = single(split).select(*columns).unionByName(new_counts.select(*columns))
     strands = chains.select("cid", "chr", "codes", "strand")
-    old = split.select("cid", "transcript_id").distinct().join(whole.select("cid", "transcript_id", "gene_id", "i_start", "i_end"), ["cid", "transcript_id"]).join(strands, "cid")
+    old = single(split.select("cid", *ALIKE).distinct()).select("cid", "transcript_id", "gene_id", "i_start", "i_end").join(strands, "cid")
     shape = ["transcript_id", "gene_id", "source", "chr", "start0", "end", "codes", "strand"]
     old = old.select("transcript_id", "gene_id", F.lit("annotated_isoform").alias("source"), "chr", F.col("i_start").cast("long").alias("start0"), F.col("i_end").cast("long").alias("end"), "codes", "strand")
     new = new.select("transcript_id", "gene_id", F.lit("novel_isoform").alias("source"), "chr", (F.col("start") - 1).cast("long").alias("start0"), F.col("end").cast("long").alias("end"), "codes", "strand")
