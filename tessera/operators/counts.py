@@ -84,7 +84,8 @@ def em_rounds(direct: np.ndarray, evidence: np.ndarray, target: np.ndarray, n: n
     direct: count of each target; unit: its stop test's number; evidence, target, n: for each evidence row and each of its
     targets, the evidence's number, the target's place in direct and the count. An evidence's count is split by its
     targets' current values (equally where they are all 0), each share to 2 places; new values are direct plus
-    shares, to 2 places. A unit ends when none of its values moves by as much as converged, or after max_iterate
+    shares, to 2 places. The sum of more than two values is rounded to 2 places, as it depends on their order; that of two is
+    taken as it is. A unit ends when none of its values moves by as much as converged, or after max_iterate
     rounds. per_read: what is split is one read of each evidence, and values are rounded only to compare them.
     """
     rounds, units = [direct.astype(float)], int(unit.max()) + 1 if len(unit) else 0
@@ -96,7 +97,7 @@ def em_rounds(direct: np.ndarray, evidence: np.ndarray, target: np.ndarray, n: n
         now, rows = rounds[-1], np.flatnonzero(live[unit[target]])
         e, t, alone = evidence[rows], target[rows], np.ones(len(rows)) if per_read else n[rows]
         total = np.bincount(e, weights=now[t], minlength=len(size))[e]
-        total = total if per_read else np.round(total, 2)  # a sum of such values, whatever the order of rows
+        total = total if per_read else np.where(size[e] > 2, np.round(total, 2), total)  # whatever the order of rows: two values have one sum
         part, some = alone / size[e], total > 0  # equal where all are 0
         part[some] = alone[some] * (now[t][some] / total[some])
         part = n[rows] * _c2(part) if per_read else _c2(part)
@@ -165,7 +166,7 @@ def _em_joins(start: DataFrame, rows: DataFrame, group: str, target: str, max_it
         known = stored(held.join(now.select(group, target, "em"), [group, target]))
         live = rows if r == 1 else rows.join(F.broadcast(now.select(group).distinct()), group)
         each = attach(live, known, [group, target], total)
-        total_of = F.sum("em") if per_read else F.round(F.sum("em"), 2)
+        total_of = F.sum("em") if per_read else F.when(F.max("_of") > 2, F.round(F.sum("em"), 2)).otherwise(F.sum("em"))
         sums = each.groupBy(group, "evidence").agg(total_of.alias("_sum"))
         alone = F.lit(1.0) if per_read else F.col("n")
         part = c_round(F.when(F.col("_sum") > 0, alone * F.try_divide("em", "_sum")).otherwise(alone / F.col("_of")))
