@@ -8,7 +8,7 @@ share_gaps take merged groups, whose number a genome bounds, not the reads.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 BIN = 1 << 16
-SLAB = 2000  # intervals gathered in a row
+SLAB = 100_000  # intervals gathered in a row
+ALIKE = 1000  # rows of one place gathered in a row
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -136,30 +137,37 @@ def span_width(b: DataFrame, start: str, end: str) -> int:
     return max(1, int((mean or 0) / 4))
 
 
-def holders(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, a_start: str, a_end: str, b_start: str, b_end: str, name: str, into: str, slab: int = SLAB) -> DataFrame:
-    """a with `into`: the sorted distinct names of the b rows of equal keys that contain it.
+def holders(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, a_start: str, a_end: str, b_start: str, b_end: str, name: str, into: str, slab: int = SLAB, alike: int = ALIKE, shown: Callable[[Column], Column] | None = None) -> DataFrame:
+    """a with `into`: the sorted distinct names of the b rows of equal keys that contain it, or what shown makes of them.
 
-    a_id tells a's rows apart. b's rows of a bin (span_width) are gathered in lists of at most `slab`, and a row of a
-    meets the lists of its start's bin. So no pair is shuffled; rows whose bin has several lists are put together after.
+    a_id tells a's rows apart. b's rows of a bin (span_width) are gathered in a list, and a row of a meets the list of its
+    start's bin; rows of a with equal keys, start and end meet it once, in lots of at most `alike`. So no pair is shuffled, and
+    none is stored. Lists hold at most `slab` rows: a bin of more has several, whose names are put together in the task that met them.
     """
     width = span_width(b, b_start, b_end)
     item = F.struct(F.col(name).alias("v"), F.col(b_start).cast("long").alias("x"), F.col(b_end).cast("long").alias("y"))
-    each = b.select(*_cols(keys), F.explode(_bins(F.col(b_start), F.col(b_end), width)).alias("_bin"), item.alias("_t")).distinct()
+    each = b.select(*_cols(keys), item.alias("_t")).distinct().withColumn("_bin", F.explode(_bins(F.col("_t.x"), F.col("_t.y"), width)))
     on = [*keys, "_bin"]
-    place = F.row_number().over(Window.partitionBy(*_cols(on)).orderBy("_t.x", "_t.y", "_t.v"))
-    lists = each.withColumn("_slab", F.floor((place - 1) / slab)).groupBy(*_cols(on), "_slab").agg(F.array_sort(F.collect_list("_t")).alias("_list"))
-    lists = stored(lists)
-    rows = a.withColumn("_bin", F.floor(F.col(a_start) / width)).join(lists, on, "left")
-    fits = F.filter("_list", lambda t: (t["x"] <= F.col(a_start)) & (F.col(a_end) <= t["y"]))
+    bin_of = Window.partitionBy(*_cols(on))
+    each = each.withColumn("_slab", F.floor((F.row_number().over(bin_of.orderBy("_t.v")) - 1) / slab)).withColumn("_several", F.count("*").over(bin_of) > slab)
+    lists = each.groupBy(*_cols(on), "_slab", "_several").agg(F.sort_array(F.collect_list("_t")).alias("_list"))
+    lists = stored(lists.withColumn("_twice", F.size(F.array_distinct("_list.v")) < F.size("_list")))
+
+    rest = [c for c in a.columns if c not in (*keys, a_start, a_end)]
+    place = [*on, a_start, a_end, "_lot"]
+    rows = a.withColumn("_bin", F.floor(F.col(a_start) / width)).repartition(*_cols(on))  # all that follows needs no other shuffle of them
+    lot = F.row_number().over(Window.partitionBy(*_cols(place[:-1])).orderBy(a_id))
+    rows = rows.withColumn("_lot", F.floor((lot - 1) / alike)).groupBy(*_cols(place)).agg(F.collect_list(F.struct(*_cols(rest))).alias("_rows"))
+    rows = rows.withColumns({"_from": F.col(a_start).cast("long"), "_to": F.col(a_end).cast("long")}).join(lists, on, "left")
+    fits = F.transform(F.filter("_list", lambda t: (F.col("_to") <= t["y"]) & (t["x"] <= F.col("_from"))), lambda t: t["v"])
     none = F.array().cast("array<string>")
-    rows = rows.withColumn(into, F.coalesce(F.array_distinct(F.transform(fits, lambda t: t["v"])), none))
-    if lists.where("_slab > 0").isEmpty():
-        return rows.select(*a.columns, into)
-    several = lists.where("_slab = 1").select(*on, F.lit(True).alias("_several"))
-    rows = rows.join(several, on, "left")
-    parts = rows.where("_several").where(F.size(into) > 0).groupBy(a_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(into)))).alias(into))
-    crowded = a.withColumn("_bin", F.floor(F.col(a_start) / width)).join(several, on, "left_semi").join(parts, a_id, "left").withColumn(into, F.coalesce(into, none))
-    return rows.where("_several is null").select(*a.columns, into).unionByName(crowded.select(*a.columns, into))
+    rows = rows.withColumn(into, F.coalesce(F.when(F.col("_twice"), F.array_distinct(fits)).otherwise(fits), none))
+    out = rows
+    if not lists.where("_several").isEmpty():
+        parts = rows.where("_several").groupBy(*_cols(place)).agg(F.first("_rows").alias("_rows"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(into)))).alias(into))
+        out = rows.where("_several is null or not _several").select(*parts.columns).unionByName(parts)
+    out = out if shown is None else out.withColumn(into, shown(F.col(into)))
+    return out.withColumn("_row", F.explode("_rows")).select(*[F.col(f"_row.`{c}`" if c in rest else f"`{c}`") for c in a.columns], into)
 
 
 def linkage_clusters(df: DataFrame, keys: Sequence[str], position: str, gap: int, into: str, bin_width: int = BIN) -> DataFrame:
